@@ -1,8 +1,10 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Fitting sees a bounded sample of labelled rows (`most_examples`, those with the smallest hashes of their identifiers, at
-most so many of each label). Terms are words and the first 4, 5 and 6 letters of words; kept are the `most_terms` whose
-document frequency differs most between the labels, by z-score. Examples and texts are unit TF-IDF vectors over these and
+most so many of each label; texts of one label that share the smallest hash of their three-word shingles, as copies do,
+are one example, and labels are weighed by their shares of all labelled rows). Terms are words and the first 4, 5 and 6 letters of words; kept are the `most_terms` whose document
+frequency differs most between the labels, by z-score, of those `purity` times as frequent in toxic examples, even with
+one more clean one. Examples and texts are unit TF-IDF vectors over these and
 one constant term, which stands for all other words and lets the amount of evidence count.
 
 Examples lie in blocks, ordered so that like ones meet; for each term the index has its examples block by block and its
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treeline.llm._common import materialise, table
+from treeline.llm._common import blocks, materialise, table, utf8, windows, word_hashes
 
 _TRIM = ".,;:!?\"'()[]{}*%#|<>&/-_…«»“”¿¡"
 _PREFIXES = (4, 5, 6)
@@ -44,6 +46,8 @@ class Model(NamedTuple):
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
+    #: What an example of label 0 or 1 counts for: the share of all labelled rows over that of the sample.
+    weights: np.ndarray
     #: For each term: its blocks, its largest weight in each, and its examples and weights in each.
     blocks: list[np.ndarray]
     tops: list[np.ndarray]
@@ -60,11 +64,11 @@ def weigh(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return terms, w / np.sqrt((w * w).sum())
 
 
-def index(examples: list[tuple[int, int, dict[int, int]]], terms: dict[str, int], idf: np.ndarray, size: int = 64) -> Model:
+def index(examples: list[tuple[int, int, dict[int, int]]], terms: dict[str, int], idf: np.ndarray, weights: np.ndarray, size: int = 64) -> Model:
     """examples: identifier, label, counts of terms."""
-    bare = [y for _, y, c in examples if not c]
-    base = (sum(y for _, y, _ in examples) + 0.5) / (len(examples) + 1) if examples else 0.0
-    empty = (sum(bare) + base) / (len(bare) + 1) if examples else 0.0
+    rate = lambda some, more, base: (sum(y * weights[y] for _, y, _ in some) + base) / (sum(weights[y] for _, y, _ in some) + more)
+    base = rate(examples, 1, 0.5) if examples else 0.0
+    empty = rate([e for e in examples if not e[2]], 1, base) if examples else 0.0
     full = sorted((e for e in examples if e[2]), key=lambda e: (sorted(e[2], key=lambda t: (-idf[t], t)), e[0]))
     posts: list[dict[int, list[tuple[int, float]]]] = [{} for _ in range(len(idf) + 1)]
     for k, (_, _, counts) in enumerate(full):
@@ -73,7 +77,7 @@ def index(examples: list[tuple[int, int, dict[int, int]]], terms: dict[str, int]
     blocks = [np.array(sorted(p), np.int64) for p in posts]
     tops = [np.array([max(w for _, w in p[b]) for b in sorted(p)]) for p in posts]
     lists = [[(np.array([k for k, _ in p[b]]), np.array([w for _, w in p[b]])) for b in sorted(p)] for p in posts]
-    return Model(terms, idf, np.array([i for i, _, _ in full], np.int64), np.array([y for _, y, _ in full], np.int64), blocks, tops, lists, size, empty, base)
+    return Model(terms, idf, np.array([i for i, _, _ in full], np.int64), np.array([y for _, y, _ in full], np.int64), weights, blocks, tops, lists, size, empty, base)
 
 
 def nearest(m: Model, counts: dict[int, int], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +135,7 @@ class Scorer:
         key = tuple(sorted(counts.items()))
         if (out := self.known.get(key)) is None:
             at, near = nearest(self.model, counts, self.k)
-            votes = 1.0 / (1.05 - near)
+            votes = self.model.weights[self.model.labels[at]] / (1.05 - near)
             out = (float((votes @ self.model.labels[at] + self.model.base) / (votes.sum() + 1.0)), self.model.ids[at][:3].tolist())
             if len(self.known) >= 20_000:
                 self.known.clear()
@@ -139,13 +143,28 @@ class Scorer:
         return out
 
 
-def fit(df: DataFrame, labels: DataFrame, learn: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_examples: int = 3000, most_terms: int = 1500, seed: int = 5) -> Model:
+def sketched(rows: DataFrame) -> DataFrame:
+    """rows: id, text, y. Adds sketch, the smallest hash of a text's three-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketches = []
+            for _, texts in blocks(utf8(batch.column(1))):
+                h, at = word_hashes([t.lower() for t in texts])
+                sketches += [int(windows(h[a:b], min(3, b - a)).min() >> np.uint64(1)) if b > a else 0 for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sketches, pa.int64())], names=["id", "text", "y", "sketch"])
+
+    return rows.select("id", "text", "y").mapInArrow(run, "id bigint, text string, y int, sketch bigint")
+
+
+def fit(df: DataFrame, labels: DataFrame, learn: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_examples: int = 3000, most_terms: int = 1500, purity: float = 20.0, seed: int = 5) -> Model:
     """Learns from rows of labels whose identifier passes `learn`, at most most_examples of each label."""
     rows = labels.where(learn(F.col(id_col)) & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     by_hash = Window.partitionBy("y").orderBy(F.xxhash64(F.lit(seed), id_col), id_col)
+    whole = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = rows.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= most_examples).select(F.col(id_col).cast("bigint").alias("id"), "y")
     own = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(rows), "id")  # at most 2 * most_examples rows
-    own = materialise(own.dropDuplicates(["id"]).repartition(df.sparkSession.sparkContext.defaultParallelism, "id"), "examples")
+    own = materialise(sketched(own).groupBy("sketch", "y").agg(F.min_by("text", "id").alias("text"), F.min("id").alias("id")).repartition(df.sparkSession.sparkContext.defaultParallelism, "id"), "examples")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,11 +179,13 @@ def fit(df: DataFrame, labels: DataFrame, learn: Callable[[Column], Column], id_
     toxic, clean = max(sums.get(1, 0), 1), max(sums.get(0, 0), 1)
     df_terms = own.select("text", "y").mapInArrow(found, "term string, y int").groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     rate = (F.col("a") + F.col("b")) / (toxic + clean)
+    weights = np.array([whole.get(y, 0) / max(sums.get(y, 0), 1) for y in (0, 1)])
+    weights = weights / (weights.max() or 1.0)
     z = (F.col("a") / toxic - F.col("b") / clean) / F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-9)) * (1 / toxic + 1 / clean))
-    chosen = df_terms.where("a >= 5").withColumn("z", z).where("z > 5").orderBy(F.desc("z"), "term").limit(most_terms).collect()
+    chosen = df_terms.where(F.col("a") / toxic >= purity * (F.col("b") + 1) / clean).withColumn("z", z).where("a >= 3 and z > 3").orderBy(F.desc("z"), "term").limit(most_terms).collect()
     terms = {r.term: k for k, r in enumerate(chosen)}
     idf = np.array([math.log((1 + toxic + clean) / (1 + r.a + r.b)) + 1 for r in chosen])
-    scorer = Scorer(Model(terms, idf, np.zeros(0, np.int64), np.zeros(0, np.int64), [], [], [], 1, 0.0, 0.0), 1)
+    scorer = Scorer(Model(terms, idf, np.zeros(0, np.int64), np.zeros(0, np.int64), weights, [], [], [], 1, 0.0, 0.0), 1)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +193,7 @@ def fit(df: DataFrame, labels: DataFrame, learn: Callable[[Column], Column], id_
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(c) for c in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], names=["id", "y", "t", "c"])
 
     examples = own.select("id", "text", "y").mapInArrow(vectors, "id bigint, y int, t array<int>, c array<int>").collect()
-    return index([(r.id, r.y, dict(zip(r.t, r.c, strict=True))) for r in sorted(examples)], terms, idf)
+    return index([(r.id, r.y, dict(zip(r.t, r.c, strict=True))) for r in sorted(examples)], terms, idf, weights)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", k: int = 15) -> DataFrame:
