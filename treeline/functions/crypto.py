@@ -22,7 +22,7 @@ def _xor(key: Column, byte: int) -> Column:
 
 
 def hmac_sha256(key: Column, data: Column) -> Column:
-    block = F.rpad(F.when(F.octet_length(key) > 64, _sha(key)).otherwise(key), 64, b"\0") if False else F.unhex(F.rpad(F.hex(F.when(F.octet_length(key) > 64, _sha(key)).otherwise(key)), 128, "0"))
+    block = F.unhex(F.rpad(F.hex(F.when(F.octet_length(key) > 64, _sha(key)).otherwise(key)), 128, "0"))
     return _sha(F.concat(_xor(block, 0x5C), _sha(F.concat(_xor(block, 0x36), data))))
 
 

@@ -12,8 +12,8 @@ def conflict_stamp(seconds: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """Bytes, KiB or MiB, with one decimal."""
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.format_string("%.1f KiB", n / 1024)).otherwise(F.format_string("%.1f MiB", n / (1 << 20)))
+    """Bytes, KiB or MiB, with one decimal; a tie goes to the even digit."""
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.format_string("%.1f KiB", F.bround(n / 1024, 1))).otherwise(F.format_string("%.1f MiB", F.bround(n / (1 << 20), 1)))
 
 
 def percent_encode(text: Column) -> Column:

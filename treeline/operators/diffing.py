@@ -62,7 +62,7 @@ def reuse(scan: DataFrame, old: DataFrame, present: DataFrame, scanned_at: int,
     missing = old.select(*KEY, F.explode("chunks").alias("hash")).join(present.select("hash"), "hash", "left_anti").select(*KEY).distinct()
     usable = old.join(missing, list(KEY), "left_anti").select(*KEY, F.col("size").alias("o_size"), F.col("mtime_secs").alias("o_secs"), F.col("mtime_nanos").alias("o_nanos"), "chunks")
     hit = (F.col("size") == F.col("o_size")) & (F.col("mtime_secs") == F.col("o_secs")) & (F.col("mtime_nanos") == F.col("o_nanos")) & (F.col("mtime_secs") + guard <= scanned_at)
-    return scan.join(usable, list(KEY), "left").select(*KEY, "size", F.coalesce(hit, F.lit(False)).alias("reused"), F.when(hit, F.col("chunks")).alias("chunks"))
+    return scan.select(*KEY, "size", "mtime_secs", "mtime_nanos").join(usable, list(KEY), "left").select(*KEY, "size", F.coalesce(hit, F.lit(False)).alias("reused"), F.when(hit, F.col("chunks")).alias("chunks"))
 
 
 def retained_under(old: DataFrame, unreadable: DataFrame, scanned: DataFrame) -> DataFrame:

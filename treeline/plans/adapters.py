@@ -52,7 +52,7 @@ from ({_SIDES}) s where {here}"""
 
 #: ws, file (key), size, pos, hash: files with ordered chunks; a file without lines is empty.
 CHUNKS = """
-select o_custkey as ws, o_orderkey as file, {sha:l_partkey} as hash, l_partkey as part,
+select o_custkey as ws, o_orderkey as file, {sha:l_partkey} as hash, l_partkey as part_no,
   row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as pos
 from lineitem join orders on l_orderkey = o_orderkey"""
 #: Chunks in the pool: those of parts not divisible by 7.
@@ -64,6 +64,6 @@ MEMBERS = "select s_nationkey as team, 'u' || cast(s_suppkey as varchar(20)) as
 USERS = "select 'u' || cast(s_suppkey as varchar(20)) as name, case when s_suppkey % 7 = 0 then null else {sha:s_name} end as pubkey, case when s_suppkey % 5 = 0 then null else {sha:s_suppkey} end as key_sig, s_suppkey % 4 <> 0 as sig_valid from supplier"
 HEADS = "select o_custkey as ws, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as seq, o_orderkey as file, o_orderkey % 97 <> 5 as parseable from orders"
 SNAPSHOTS = "select user_id as ws, event_id as id, {secs:ts} as created_at, case when event_id % 9 = 0 then 'named' else 'checkpoint' end as kind, event_type as device from events"
-EVENTS = "select user_id % 5 as ws, event_id as id, {secs:ts} as at, event_type <> 'view' as wanted from events"
-HINTS = "select user_id as ws, event_id as id, event_id % 50 + cast(value as bigint) % 10 as seq, case when event_id % 10 = 0 then 'other' when event_id % 2 = 0 then 'head_now' else 'head_changed' end as type from events"
+EVENTS = "select user_id % 5 as ws, event_id as id, {secs:ts} as seen_at, event_type <> 'view' as wanted from events"
+HINTS = "select user_id as ws, event_id as id, event_id % 50 + cast(floor(value) as bigint) % 10 as seq, case when event_id % 10 = 0 then 'other' when event_id % 2 = 0 then 'head_now' else 'head_changed' end as type from events"
 PATHS = "select page_id as id, case when page_id % 9 = 0 then '/' else '' end || regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') || case when page_id % 8 = 1 then '/.env' when page_id % 8 = 2 then '//x' when page_id % 8 = 3 then '/../y' when page_id % 8 = 4 then '/./z' else '' end as path from pages"

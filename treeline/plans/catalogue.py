@@ -1,4 +1,526 @@
-"""Queries and their SQL."""
+"""Queries over the projected tables, and their SQL. Every result has scalar columns only."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from treeline.functions import crypto, scalars
+from treeline.operators import access, diffing, folds, merging, pool, predicates, retention
+from treeline.plans import adapters as A
+from treeline.sources import chunks as chunking
+from treeline.streaming import feeds
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+STAMP = "2026-07-24 153000"
+NOW = 1706659200
+GRACE = 600
+
+
+class Tables:
+    """The projected tables of one folder, by name."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        text = A.side(name) if name in ("base", "local", "remote") else getattr(A, name.upper())
+        return A.rows(self.spark, self.sf_dir, text)
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[Tables], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            SQL[f.__name__] = A.duck(sql)
+        return f
+
+    return add
+
+
+# --- merge ---------------------------------------------------------------------------------------------------------
+
+_DECIDED = f"""
+base as ({A.side("base")}), local as ({A.side("local")}), remote as ({A.side("remote")}),
+b as (select ws, path, struct_pack(size := size, mode := mode, s := mtime_secs, n := mtime_nanos, c := chunks) as e from base),
+l as (select ws, path, struct_pack(size := size, mode := mode, s := mtime_secs, n := mtime_nanos, c := chunks) as e from local),
+r as (select ws, path, struct_pack(size := size, mode := mode, s := mtime_secs, n := mtime_nanos, c := chunks) as e from remote),
+al as (select ws, path, b.e as b, l.e as l, r.e as r from b full join l using (ws, path) full join r using (ws, path)),
+d as (select *, case when l is not distinct from r then 'keep' when l is not distinct from b then 'remote' when r is not distinct from b then 'local'
+  when l is null then 'edit_beats_delete_remote' when r is null then 'edit_beats_delete_local'
+  when l.c = r.c and l.mode = r.mode and l.size = r.size then case when (r.s, r.n) >= (l.s, l.n) then 'same_content_remote' else 'same_content_local' end
+  when (r.s, r.n) >= (l.s, l.n) then 'conflict_local_loses' else 'conflict_remote_loses' end as decision from al),
+w as (select *, case when decision in ('remote', 'edit_beats_delete_remote', 'same_content_remote', 'conflict_local_loses') then r else l end as win from d),
+x as (select ws, path, case when decision = 'conflict_local_loses' then 'local' else 'remote' end as loser, case when decision = 'conflict_local_loses' then l else r end as e,
+  string_split(path, '/')[-1] as nm, path = '.git' or starts_with(path, '.git/') as git from d where starts_with(decision, 'conflict_')),
+x2 as (select *, regexp_extract(nm, '^.+(\\.[^.]*)$', 1) as ext, substr(path, 1, length(path) - length(nm)) as dir from x),
+k as (select ws, path, loser, e, git, case when git then '.treeline/conflicts/' else '' end || dir || substr(nm, 1, length(nm) - length(ext)) || ' (conflict from '
+  || case when loser = 'local' then 'dev' else 'remote' end || ' {STAMP})' || ext as copy from x2),
+m as (select ws, path, win as e from w where win is not null union all select ws, copy, e from k where not git)"""
+
+
+def _decided(t: Tables) -> DataFrame:
+    return merging.decide(t.base, t.local, t.remote)
+
+
+def _merged(t: Tables) -> tuple[DataFrame, DataFrame]:
+    decided = _decided(t)
+    lost = merging.conflicts(decided, "dev", STAMP)
+    return merging.merged_rows(decided, lost), lost
+
+
+_FLAT = "ws, path, e.size as size, e.mode as mode, e.s as mtime_secs, e.n as mtime_nanos, array_to_string(e.c, ',') as chunks"
+
+
+@query(f"with {_DECIDED} select decision, count(*) as n from d group by decision")
+def merge_decisions(t):
+    return _decided(t).groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {_DECIDED} select {_FLAT} from m")
+def merge_merged_rows(t):
+    return _merged(t)[0].withColumn("chunks", F.array_join("chunks", ","))
+
+
+@query(f"with {_DECIDED} select ws, path, copy, loser, git as local_only, e.size as size from k")
+def merge_conflicts(t):
+    return _merged(t)[1].select("ws", "path", "copy", "loser", "local_only", F.col("entry.size").alias("size"))
+
+
+_CHANGES = """ch as (select ws, path, case when o.e is null then 'added' when n.e is null then 'deleted' else 'changed' end as change
+  from l o full join m n using (ws, path) where o.e is distinct from n.e),
+ap as (select ws, path, change from ch where not exists (select 1 from k where k.ws = ch.ws and k.copy = ch.path and k.loser = 'local' and not k.git and ch.change = 'added'))"""
+
+
+@query(f"with {_DECIDED}, {_CHANGES} select ws, path, change from ap")
+def merge_apply_list(t):
+    merged, lost = _merged(t)
+    return merging.apply_list(t.local, merged, lost)
+
+
+@query(f"with {_DECIDED}, {_CHANGES} select case when path = '.git' or starts_with(path, '.git/') then 2 else 0 end + case when change = 'deleted' then 1 else 2 end as phase, change, count(*) as n from ap group by all")
+def apply_phases(t):
+    merged, lost = _merged(t)
+    return merging.apply_phases(merging.apply_list(t.local, merged, lost)).groupBy("phase", "change").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {_DECIDED} select count(*) as files, cast(0 as bigint) as new_conflicts, cast(0 as bigint) as changes from m")
+def merge_convergence(t):
+    """Another device that merges the published result gets no conflict and the same files."""
+    merged, _ = _merged(t)
+    again = merging.decide(t.remote, t.remote, merged)
+    lost = merging.conflicts(again, "other", STAMP)
+    changes = merging.diff(merged, merging.merged_rows(again, lost))
+    one = merged.agg(F.count(F.lit(1)).alias("files"))
+    return one.join(lost.agg(F.count(F.lit(1)).alias("new_conflicts"))).join(changes.agg(F.count(F.lit(1)).alias("changes")))
+
+
+# --- diff and validation -------------------------------------------------------------------------------------------
+
+
+@query(f"with o as ({A.side('base')}), n as ({A.side('local')}) select ws, path, case when o.mode is null then 'added' when n.mode is null then 'deleted' else 'changed' end as change from o full join n using (ws, path) where (o.size, o.mode, o.mtime_secs, o.mtime_nanos, o.chunks) is distinct from (n.size, n.mode, n.mtime_secs, n.mtime_nanos, n.chunks)")
+def manifest_diff(t):
+    return diffing.diff(t.base, t.local)
+
+
+@query(f"with o as ({A.side('base')}) select ws, path, 'changed' as change from o where ws % 2 = 0")
+def manifest_diff_mode_only(t):
+    return diffing.diff(t.base, t.base.withColumn("mode", F.when(F.col("ws") % 2 == 0, 493).otherwise(F.col("mode"))))
+
+
+@query(f"with p as ({A.PATHS}) select id, path, not (list_contains(string_split(path, '/'), '') or list_contains(string_split(path, '/'), '..') or string_split(path, '/')[1] = '.' or lower(string_split(path, '/')[1]) = '.treeline') as ok from p")
+def validate_paths(t):
+    return t.paths.select("id", "path", predicates.path_valid(F.col("path")).alias("ok"))
+
+
+_ABOVE = f"""p as (select distinct path from ({A.PATHS}) q),
+a as (select distinct array_to_string(s[1:i], '/') as path from (select s, unnest(generate_series(1, len(s) - 1)) as i from (select string_split(path, '/') as s from p) z where len(s) > 1) y)"""
+
+
+@query(f"with {_ABOVE} select 1 as ws, path from p where path in (select path from a)")
+def validate_file_dir_conflict(t):
+    return diffing.file_dir_conflicts(t.paths.select(F.lit(1).alias("ws"), "path"))
+
+
+@query(f"with c as ({A.CHUNKS}) select ws, count(*) filter (where regexp_matches(case when part_no % 5 = 0 then upper(hash) else hash end, '^[0-9a-f]+$') and length(hash) = 64) as good, count(*) as n from c group by ws")
+def validate_chunk_hash(t):
+    rows = t.chunks.withColumn("hash", F.when(F.col("part_no") % 5 == 0, F.upper("hash")).otherwise(F.col("hash")))
+    return rows.groupBy("ws").agg(F.count_if(predicates.is_chunk_hash(F.col("hash"))).alias("good"), F.count(F.lit(1)).alias("n"))
+
+
+_CASES = "select c_nationkey as ws, case when c_custkey % 3 = 0 then upper('f' || cast(c_custkey % 50 as varchar(20))) else 'f' || cast(c_custkey % 50 as varchar(20)) end as path from customer"
+
+
+@query(f"with p as ({_CASES}) select ws, lower(path) as folded, count(distinct path) as n, min(path) as first from p group by 1, 2 having count(distinct path) > 1")
+def casefold_collisions(t):
+    return diffing.casefold_collisions(A.rows(t.spark, t.sf_dir, _CASES))
+
+
+# --- predicates ----------------------------------------------------------------------------------------------------
+
+
+@query(f"with p as ({A.PATHS}) select id, path from p where starts_with(string_split(path, '/')[-1], '.env')")
+def dotenv_filter(t):
+    return t.paths.where(predicates.is_dotenv(F.col("path"))).select("id", "path")
+
+
+@query(f"with m as ({A.side('local')}), w as ({A.WORKSPACES}), g as ({A.TEAMS}) select m.ws, path from m join w using (ws) join g on w.team = g.team where not sync_env and starts_with(string_split(path, '/')[-1], '.env')")
+def dotenv_policy_violations(t):
+    return access.policy_violations(t.local, t.workspaces, t.teams)
+
+
+_TREE = "select l_orderkey as id, l_linenumber as ln, l_suppkey as sk, case l_partkey % 6 when 0 then 'src/' when 1 then 'build/' when 2 then 'build/generated/' when 3 then 'node_modules/x/' when 4 then '.git/logs/' else 'a/target/b/' end || case when l_suppkey % 5 = 0 then '.env.' else 'f' end || cast(l_orderkey as varchar(20)) as path, l_suppkey % 7 = 0 as ignored from lineitem"
+
+
+@query(f"""with p as ({_TREE}) select path, ignored, case when starts_with(path, 'src/f9') then false when starts_with(path, '.git/') then true
+  when starts_with(path, 'build/generated/') then true when starts_with(path, 'build/') or starts_with(path, 'node_modules/') or starts_with(path, 'a/target/') then false
+  when starts_with(string_split(path, '/')[-1], '.env') then true else not ignored end and not regexp_matches(path, '^src/f9$') as captured
+  from p where not regexp_matches(path, '^src/f9')""")
+def prefix_precedence(t):
+    rows = A.rows(t.spark, t.sf_dir, _TREE).where("not rlike(path, '^src/f9')")
+    return rows.select("path", "ignored", predicates.captured(F.col("path"), ["build/generated"], ["src/f9"], F.col("ignored")).alias("captured"))
+
+
+# --- scan cache ----------------------------------------------------------------------------------------------------
+
+_PRESENT = "select distinct hash from (select {sha:0} as hash from region union all select {sha:2} as hash from region) z"
+
+
+@query(f"""with s as ({A.side("local")}), o as ({A.side("base")}), pr as ({_PRESENT})
+select s.ws, s.path, s.size, coalesce(o.size = s.size and o.mtime_secs = s.mtime_secs and o.mtime_nanos = s.mtime_nanos and s.mtime_secs + 2 <= 3
+  and len(list_filter(o.chunks, lambda c: c not in (select hash from pr))) = 0, false) as reused from s left join o using (ws, path)""".replace("len(list_filter(o.chunks, lambda c: c not in (select hash from pr))) = 0", "o.chunks[1] in (select hash from pr)"))
+def scan_cache_reuse(t):
+    present = A.rows(t.spark, t.sf_dir, _PRESENT)
+    return diffing.reuse(t.local, t.base, present, 3).select("ws", "path", "size", "reused")
+
+
+_BROKEN = "select c_custkey as ws, 'src' as path from customer where c_custkey % 3 = 0"
+
+
+@query(f"with o as ({A.side('base')}), s as ({A.side('local')}), u as ({_BROKEN}) select o.ws, o.path from o join u on o.ws = u.ws and (o.path = u.path or starts_with(o.path, u.path || '/')) where not exists (select 1 from s where s.ws = o.ws and s.path = o.path)")
+def unreadable_retention(t):
+    return diffing.retained_under(t.base, A.rows(t.spark, t.sf_dir, _BROKEN), t.local)
+
+
+# --- pool ----------------------------------------------------------------------------------------------------------
+
+_POOL = f"c as ({A.CHUNKS}), pool as ({A.POOL}), refs as (select distinct ws, hash from c), ws as ({A.WORKSPACES}), mem as ({A.MEMBERS})"
+
+
+@query(f"with {_POOL}, e as (select ws, hash, count(*) as refs from c group by 1, 2) select ws, cast(sum(refs) as bigint) as refs, count(*) as chunks, count(length) as present, cast(coalesce(sum(length), 0) as bigint) as present_bytes from e left join pool using (hash) group by ws")
+def chunk_dedup_stats(t):
+    return pool.dedup_stats(t.chunks, t.pool)
+
+
+@query(f"with {_POOL} select ws, hash, file, pos from c qualify row_number() over (partition by ws, hash order by file, pos) = 1")
+def chunk_first_reference(t):
+    return pool.first_reference(t.chunks)
+
+
+@query(f"with {_POOL} select ws, count(distinct hash) as n, min(hash) as first_hash from c group by ws")
+def chunk_hashes_distinct(t):
+    return t.chunks.groupBy("ws").agg(F.array_sort(F.collect_set("hash")).alias("h")).select("ws", F.size("h").cast("bigint").alias("n"), F.element_at("h", 1).alias("first_hash"))
+
+
+_ASKED = "select 'u' || cast(l_suppkey % 50 as varchar(20)) as user_name, l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey * 1000 + l_suppkey as ord, {sha:l_partkey} as hash from lineitem where l_orderkey % 4 = 0"
+_SEEN = "seen as (select distinct u.user_name, r.hash from (select owner as user_name, ws from ws union select mem.user_name, ws.ws from ws join mem on ws.team = mem.team) u join refs r on u.ws = r.ws)"
+
+
+@query(f"with {_POOL}, {_SEEN}, a as (select distinct user_name, ord, hash from ({_ASKED}) z) select user_name, ord, hash from a where not (hash in (select hash from pool) and exists (select 1 from seen where seen.user_name = a.user_name and seen.hash = a.hash))")
+def chunks_missing(t):
+    asked = A.rows(t.spark, t.sf_dir, _ASKED).distinct()
+    return pool.missing(asked, t.pool, pool.visible(t.workspaces, t.members, t.refs))
+
+
+@query(f"with {_POOL}, {_SEEN} select user_name, count(*) as n, min(hash) as first_hash from seen group by user_name")
+def chunk_visibility(t):
+    return pool.visible(t.workspaces, t.members, t.refs).groupBy("user_name").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("first_hash"))
+
+
+@query(f"with {_POOL}, f as (select ws, hash, min((file, pos)) as pl from c where hash not in (select hash from pool) group by 1, 2), g as (select *, row_number() over (partition by ws order by pl) as rn, count(*) over (partition by ws) as n from f) select ws, n as n_missing, pl[1] as first_file, hash as first_hash from g where rn = 1")
+def missing_report(t):
+    return pool.missing_report(t.chunks, t.pool)
+
+
+@query(f"with {_POOL} select ws, file, count(*) as n, count(length) = count(*) as complete, sha256(string_agg(substr(hash, 1, 8), '' order by pos)) as content from c left join pool using (hash) group by ws, file having count(length) = count(*)")
+def file_assembly(t):
+    parts = t.pool.select("hash", F.encode(F.substring("hash", 1, 8), "UTF-8").alias("data"))
+    n = t.chunks.groupBy("ws", "file").agg(F.count(F.lit(1)).alias("n"))
+    return pool.assemble(t.chunks, parts).where("complete").join(n, ["ws", "file"]).select("ws", "file", "n", "complete", F.sha2("data", 256).alias("content"))
+
+
+@query(f"with {_POOL}, b as (select hash, count(*) as n from c where ws % 2 = 0 group by 1), a as (select hash, count(*) as n from c where ws % 2 = 1 group by 1) select cast(sum(abs(coalesce(b.n, 0) - coalesce(a.n, 0))) as bigint) as changed from b full join a using (hash)")
+def chunk_locality(t):
+    return pool.locality(t.chunks.where("ws % 2 = 0"), t.chunks.where("ws % 2 = 1"))
+
+
+# --- retention -----------------------------------------------------------------------------------------------------
+
+
+@query(f"with h as ({A.HEADS}) select ws, seq, file, parseable from h qualify row_number() over (partition by ws order by seq desc) = 1")
+def current_head(t):
+    return retention.current_head(t.heads)
+
+
+@query(f"with h as ({A.HEADS}) select ws, seq, file from h qualify row_number() over (partition by ws order by seq desc) <= 5")
+def head_retention(t):
+    return retention.retained_heads(t.heads, 5).select("ws", "seq", "file")
+
+
+_FATE = f"""s as (select * from ({A.SNAPSHOTS}) z where kind = 'checkpoint'),
+f as (select *, {NOW} - created_at as age, case when {NOW} - created_at < 3600 then 0 when {NOW} - created_at >= 604800 then 3 when {NOW} - created_at < 86400 then 1 else 2 end as tier from s),
+g as (select *, case tier when 1 then age // 3600 when 2 then age // 86400 else 0 end as bucket from f),
+fate as (select *, tier = 3 or (tier in (1, 2) and row_number() over (partition by ws, tier, bucket order by created_at desc, id desc) > 1) as pruned from g)"""
+
+
+@query(f"with {_FATE} select ws, id, tier, cast(bucket as bigint) as bucket, pruned from fate")
+def checkpoint_retention(t):
+    return retention.checkpoint_fates(t.snapshots.where("kind = 'checkpoint'"), NOW).select("ws", "id", "tier", F.col("bucket").cast("bigint").alias("bucket"), "pruned")
+
+
+@query(f"with s as ({A.SNAPSHOTS}), w as ({A.WORKSPACES}) select w.ws, coalesce(max(s.id), 0) + 1 as next_id from w left join s using (ws) group by w.ws")
+def next_snapshot_id(t):
+    return retention.next_id(t.snapshots, t.workspaces)
+
+
+@query(f"select ws, id, kind, device, created_at from ({A.SNAPSHOTS}) z")
+def snapshot_listing(t):
+    return retention.listing(t.snapshots)
+
+
+# --- garbage collection --------------------------------------------------------------------------------------------
+
+_GC = f"""{_POOL}, h as (select * from ({A.HEADS}) z qualify row_number() over (partition by ws order by seq desc) <= 5),
+ok as (select ws from h group by ws having bool_and(parseable)),
+live as (select distinct h.ws, c.hash from h join ok using (ws) join c on c.ws = h.ws and c.file = h.file),
+gone as (select ws, hash from refs where ws in (select ws from ok) except select ws, hash from live),
+new as (select ws, hash from live except select ws, hash from refs),
+after_refs as (select ws, hash from refs except select ws, hash from gone)"""
+
+
+@query(f"with {_GC} select ws, count(*) as n, min(hash) as first_hash from live group by ws")
+def gc_live_set(t):
+    return pool.live(retention.retained_heads(t.heads, 5), t.chunks).groupBy("ws").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("first_hash"))
+
+
+def _gc(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return pool.gc(t.refs, retention.retained_heads(t.heads, 5), t.chunks, t.pool, 1500, GRACE)
+
+
+@query(f"with {_GC} select ws, hash, 'delete' as action from gone union all select ws, hash, 'add' from new")
+def gc_refs_delta(t):
+    return _gc(t)[0]
+
+
+@query(f"with {_GC} select hash, length, mtime from pool where mtime < 900 and hash not in (select hash from after_refs where ws % 300 = 7)")
+def gc_sweep(t):
+    after = t.refs.join(_gc(t)[0].where("action = 'delete'"), ["ws", "hash"], "left_anti").where("ws % 300 = 7")
+    return pool.sweep(t.pool, after, 1500, GRACE).select("hash", "length", "mtime")
+
+
+@query(f"with {_GC} select ws, count(*) as refs from refs where ws not in (select ws from ok) and ws in (select ws from h) group by ws")
+def gc_skip_unparseable(t):
+    bad = retention.retained_heads(t.heads, 5).groupBy("ws").agg(F.bool_and("parseable").alias("ok")).where("not ok").select("ws")
+    return t.refs.join(bad, "ws", "left_semi").groupBy("ws").agg(F.count(F.lit(1)).alias("refs"))
+
+
+@query(f"with {_POOL} select hash, length from pool where hash not in (select hash from c where file % 10 = 0)")
+def local_sweep(t):
+    return t.pool.join(t.chunks.where("file % 10 = 0").select("hash"), "hash", "left_anti").select("hash", "length")
+
+
+# --- access --------------------------------------------------------------------------------------------------------
+
+_ACL = f"ws as ({A.WORKSPACES}), mem as ({A.MEMBERS}), usr as ({A.USERS}), tm as ({A.TEAMS}), roles as (select ws, user_name, max(role) as role from (select ws, owner as user_name, 3 as role from ws union all select ws.ws, mem.user_name, mem.role from ws join mem on ws.team = mem.team) z group by 1, 2)"
+
+
+@query(f"with {_ACL} select ws, user_name, role from roles")
+def effective_roles(t):
+    return access.effective_roles(t.workspaces, t.members, t.users)
+
+
+_WANT = "select o_custkey as ws, 'u' || cast(o_orderkey % 120 as varchar(20)) as user_name, cast(o_orderkey % 3 + 1 as int) as need, o_orderkey as id from orders"
+
+
+@query(f"with {_ACL}, q as ({_WANT}) select q.id, q.ws, q.user_name, need, case when role is null then 404 when role < need then 403 else 200 end as status from q left join roles using (ws, user_name)")
+def role_gate(t):
+    return access.gate(A.rows(t.spark, t.sf_dir, _WANT), access.effective_roles(t.workspaces, t.members, t.users))
+
+
+@query(f"with {_ACL} select mem.team, mem.user_name, mem.role, usr.pubkey from mem left join usr on usr.name = mem.user_name")
+def team_members(t):
+    return access.team_members(t.members, t.users)
+
+
+@query(f"with {_ACL} select mem.user_name, tm.name, mem.role, tm.sync_env from mem join tm using (team)")
+def user_teams(t):
+    return access.user_teams(t.members, t.teams)
+
+
+_LOOK = "select distinct 'u' || cast(s_suppkey as varchar(20)) as user_name, n_name as team_name, 'w' || cast(s_suppkey % 40 as varchar(20)) as name from supplier join nation on (s_nationkey + s_suppkey % 2) % 25 = n_nationkey"
+
+
+@query(f"with {_ACL}, q as ({_LOOK}) select distinct q.user_name, q.team_name, q.name, ws.ws from q join tm on tm.name = q.team_name join ws on ws.team = tm.team and ws.name = q.name where ws.owner = q.user_name or exists (select 1 from mem where mem.team = tm.team and mem.user_name = q.user_name)")
+def resolve_workspace(t):
+    return access.resolve(A.rows(t.spark, t.sf_dir, _LOOK), t.teams, t.workspaces, t.members)
+
+
+@query(f"with {_ACL} select team, name, count(*) as n, min(ws) as first_ws from ws where team is not null group by 1, 2 having count(*) > 1")
+def name_conflicts(t):
+    return access.name_conflicts(t.workspaces)
+
+
+@query(f"with {_ACL} select team, min(user_name) as user_name from mem where role = 3 group by team having count(*) = 1")
+def last_owner_guard(t):
+    return access.last_owners(t.members)
+
+
+_PINS = "select 'u' || cast(s_suppkey as varchar(20)) as user_name, {sha:s_name} as pinned from supplier where s_suppkey % 3 = 0 union all select 'u' || cast(s_suppkey as varchar(20)) as user_name, {sha:s_suppkey} as pinned from supplier where s_suppkey % 3 = 1"
+
+
+@query(f"with {_ACL}, pins as ({_PINS}) select mem.team, mem.user_name, case when pubkey is null then 'no_key' when key_sig is null then 'unsigned' when not sig_valid then 'bad_sig' when pinned is null then 'wrap_first_sight' when pinned <> pubkey then 'pin_changed' else 'wrap' end as class from mem left join usr on usr.name = mem.user_name left join pins on pins.user_name = mem.user_name")
+def member_classification(t):
+    return access.classify(t.members, t.users, A.rows(t.spark, t.sf_dir, _PINS)).select("team", "user_name", "class")
+
+
+_LAST = "select c_custkey as ws, 'u' || cast(s_suppkey as varchar(20)) as user_name from customer join supplier on c_nationkey = s_nationkey where s_suppkey % 4 <> 0"
+_NOWM = "select c_custkey as ws, 'u' || cast(s_suppkey as varchar(20)) as user_name from customer join supplier on c_nationkey = s_nationkey where (s_suppkey + c_custkey) % 5 <> 0"
+
+
+@query(f"select ws, user_name from ({_LAST}) a except select ws, user_name from ({_NOWM}) b")
+def departed_members(t):
+    return access.departed(A.rows(t.spark, t.sf_dir, _LAST), A.rows(t.spark, t.sf_dir, _NOWM))
+
+
+_RING = "select o_custkey as ws, cast(o_orderkey % 6 + 1 as int) as generation, {sha:max(o_orderkey)} as key from orders where o_orderkey % 3 <> 0 group by 1, 2"
+_OTHER = "select o_custkey as ws, cast(o_orderkey % 6 + 1 as int) as generation, {sha:max(o_orderkey)} as key from orders where o_orderkey % 4 <> 0 group by 1, 2"
+
+
+@query(f"with m as ({_RING}), o as ({_OTHER}) select ws, generation, coalesce(o.key, m.key) as key, o.key is not null and m.key is distinct from o.key as adopted from m full join o using (ws, generation)")
+def keyring_union(t):
+    return access.keyring_union(A.rows(t.spark, t.sf_dir, _RING), A.rows(t.spark, t.sf_dir, _OTHER))
+
+
+@query(f"with m as ({_RING}), due as (select distinct ws from (select ws, user_name from ({_LAST}) a except select ws, user_name from ({_NOWM}) b) z union select c_custkey from customer where c_custkey % 50 = 1) select ws, max(generation) + 1 as generation from m where ws in (select ws from due) group by ws")
+def key_rotation(t):
+    forced = A.rows(t.spark, t.sf_dir, "select c_custkey as ws from customer where c_custkey % 50 = 1")
+    return access.rotation(A.rows(t.spark, t.sf_dir, _LAST), A.rows(t.spark, t.sf_dir, _NOWM), A.rows(t.spark, t.sf_dir, _RING), forced)
+
+
+_GONE = "select s_nationkey + case when s_suppkey % 6 = 0 then 1 else 0 end as team, 'u' || cast(s_suppkey as varchar(20)) as user_name from supplier where s_suppkey % 2 = 0"
+
+
+@query(f"with {_ACL}, rm as ({_GONE}), wk as ({_LAST}) select ws, user_name from wk where not exists (select 1 from rm join mem on mem.team = rm.team and mem.user_name = rm.user_name join ws on ws.team = rm.team where ws.ws = wk.ws and rm.user_name = wk.user_name)")
+def remove_member_cascade(t):
+    return access.remove_members(A.rows(t.spark, t.sf_dir, _GONE), t.members, t.workspaces, A.rows(t.spark, t.sf_dir, _LAST))
+
+
+# --- folds ---------------------------------------------------------------------------------------------------------
+
+_SIZES = "select o_custkey as ws, o_orderkey as file, cast(o_orderkey % 100 as bigint) as size from orders"
+
+
+def _packing(files: str, hashes: int, size: int) -> str:
+    return f"""with recursive f as ({files}),
+s(ws, rn, batch, h, b) as (select ws, rn, cast(0 as bigint), new, size from f where rn = 1
+  union all select f.ws, f.rn, s.batch + case when s.h > 0 and (s.h + f.new > {hashes} or s.b + f.size > {size}) then 1 else 0 end,
+    case when s.h > 0 and (s.h + f.new > {hashes} or s.b + f.size > {size}) then f.new else s.h + f.new end,
+    case when s.h > 0 and (s.h + f.new > {hashes} or s.b + f.size > {size}) then f.size else s.b + f.size end
+  from s join f on f.ws = s.ws and f.rn = s.rn + 1)
+select ws, batch, cast(max(h) as bigint) as hashes, cast(max(b) as bigint) as bytes from s group by ws, batch having max(h) > 0"""
+
+
+@query(_packing(f"select z.ws, z.size, coalesce(n.new, 0) as new, row_number() over (partition by z.ws order by z.file) as rn from ({_SIZES}) z left join (select ws, file, count(*) as new from (select ws, hash, file from ({A.CHUNKS}) c qualify row_number() over (partition by ws, hash order by file, pos) = 1) y group by 1, 2) n using (ws, file)", 12, 300))
+def fetch_plan_batches(t):
+    return folds.fetch_plan(t.chunks, A.rows(t.spark, t.sf_dir, _SIZES), 12, 300)
+
+
+_PUTS = "select o_custkey as ws, o_orderkey as ord, cast(o_orderkey % 90 as bigint) as length from orders"
+
+
+@query(_packing(f"select ws, length as size, cast(1 as bigint) as new, row_number() over (partition by ws order by ord) as rn from ({_PUTS}) z", 4, 150))
+def put_plan_batches(t):
+    return folds.put_plan(A.rows(t.spark, t.sf_dir, _PUTS), 4, 150)
+
+
+@query(f"""with recursive f as (select *, row_number() over (partition by ws order by seen_at, id) as rn from ({A.EVENTS}) z),
+s(ws, rn, win, opened, last, n, capped, runs) as (select ws, rn, cast(0 as bigint), seen_at, seen_at, cast(1 as bigint), false, wanted from f where rn = 1
+  union all select f.ws, f.rn, s.win + case when s.capped or f.seen_at - s.last >= 1200 then 1 else 0 end,
+    case when s.capped or f.seen_at - s.last >= 1200 then f.seen_at else s.opened end, f.seen_at,
+    case when s.capped or f.seen_at - s.last >= 1200 then 1 else s.n + 1 end,
+    case when s.capped or f.seen_at - s.last >= 1200 then false else f.seen_at - s.opened >= 4800 end,
+    case when s.capped or f.seen_at - s.last >= 1200 then f.wanted else s.runs or f.wanted end
+  from s join f on f.ws = s.ws and f.rn = s.rn + 1)
+select ws, max(opened) as opened, max(last) as last, max(n) as n, bool_or(capped) as capped, bool_or(runs) as runs from s group by ws, win""")
+def debounce_windows(t):
+    return folds.debounce(t.events.withColumnRenamed("seen_at", "at"), 1200, 4800)
+
+
+@query(f"with h as ({A.HINTS}) select ws, id, seq from (select *, max(seq) over (partition by ws order by id rows between unbounded preceding and 1 preceding) as known from h where type <> 'other') z where seq > coalesce(known, 0)")
+def hint_echo_suppression(t):
+    return feeds.fresh_hints(t.hints.where("type <> 'other'")).select("ws", "id", "seq")
+
+
+@query(f"with h as ({A.HEADS}), now as (select ws, max(seq) as seq from h group by ws) select ws, seq, 'head_now' as type from now union all select distinct n.ws, x.seq, 'head_changed' from ({A.HINTS}) x join now n using (ws) where x.seq > n.seq")
+def head_now_catchup(t):
+    return feeds.catch_up(t.heads, t.hints)
+
+
+# --- functions -----------------------------------------------------------------------------------------------------
+
+
+@query("select o_orderkey, strftime(to_timestamp(greatest(o_orderkey * 86399 - 1000000, 0)) at time zone 'UTC', '%Y-%m-%d %H%M%S') as stamp from orders")
+def conflict_stamp(t):
+    rows = t.spark.read.parquet(f"{t.sf_dir}/orders.parquet")
+    return rows.select("o_orderkey", scalars.conflict_stamp(F.col("o_orderkey") * 86399 - 1000000).alias("stamp"))
+
+
+@query("select o_orderkey, case when o_orderkey * 512 < 1024 then cast(o_orderkey * 512 as varchar) || ' B' when o_orderkey * 512 < 1048576 then printf('%.1f KiB', o_orderkey * 512 / 1024.0) else printf('%.1f MiB', o_orderkey * 512 / 1048576.0) end as size from orders")
+def human_bytes(t):
+    rows = t.spark.read.parquet(f"{t.sf_dir}/orders.parquet")
+    return rows.select("o_orderkey", scalars.human_bytes(F.col("o_orderkey") * 512).alias("size"))
+
+
+@query("select page_id, replace(replace(url_encode(url || ' ~*ä'), '+', '%20'), '*', '%2A') as encoded from pages")
+def percent_encode(t):
+    rows = t.spark.read.parquet(f"{t.sf_dir}/pages.parquet")
+    return rows.select("page_id", scalars.percent_encode(F.concat("url", F.lit(" ~*ä"))).alias("encoded"))
+
+
+@query("select o_orderkey, cast(least(pow(2, o_orderkey % 40), 30) as bigint) as wait from orders")
+def backoff_schedule(t):
+    rows = t.spark.read.parquet(f"{t.sf_dir}/orders.parquet")
+    return rows.select("o_orderkey", scalars.backoff(F.col("o_orderkey") % 40 + 1).alias("wait"))
+
+
+@query(f"with m as ({A.side('local')}) select ws, count(*) as files, cast(sum(mode & 511) as bigint) as modes from m group by ws")
+def mode_mask(t):
+    return t.local.withColumn("mode", F.col("mode").bitwiseOR(0o7000)).groupBy("ws").agg(F.count(F.lit(1)).alias("files"), F.sum(predicates.plain_mode(F.col("mode"))).alias("modes"))
+
+
+# --- beyond SQL ----------------------------------------------------------------------------------------------------
+
+
+@query()
+def cdc_chunks(t):
+    rows = t.spark.read.parquet(f"{t.sf_dir}/documents.parquet").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    return chunking.chunked(rows, least=256, average=1024, most=4096, with_data=False)
+
+
+@query("select doc_id, octet_length(encode(coalesce(text, ''))) + 28 as stored, true as back, true as refused from documents")
+def aes_roundtrip(t):
+    rows = t.spark.read.parquet(f"{t.sf_dir}/documents.parquet").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    key, other = F.unhex(F.lit("07" * 32)), F.unhex(F.lit("08" * 32))
+    rows = rows.withColumn("sealed", crypto.encrypt_chunk(F.col("data"), key))
+    return rows.select("doc_id", F.octet_length("sealed").cast("bigint").alias("stored"), (crypto.decrypt(F.col("sealed"), key) == F.col("data")).alias("back"), crypto.decrypt(F.col("sealed"), other).isNull().alias("refused"))
+
+
+@query("select doc_id, line as idx, sha256(text) as hash, octet_length(encode(text)) as length from (select doc_id, unnest(generate_series(1, len(x))) as line, unnest(x) as text from (select doc_id, string_split(coalesce(text, ''), chr(10)) as x from documents) z) y")
+def frame_roundtrip(t):
+    rows = t.spark.read.parquet(f"{t.sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("idx", "line"))
+    rows = rows.select("doc_id", "idx", F.encode("line", "UTF-8").alias("data")).withColumn("hash", F.sha2("data", 256))
+    back = chunking.unframed(chunking.framed(rows, "doc_id"), "doc_id")
+    return back.select("doc_id", (F.col("idx") + 1).alias("idx"), "hash", F.octet_length("data").cast("bigint").alias("length"))
