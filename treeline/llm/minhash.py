@@ -7,8 +7,9 @@ million with the defaults at 0.75.
 
 Documents with the same shingle set are one class from the start. In each bucket all classes are compared with the
 smallest one; what is confirmed gives components. Only in buckets that still hold several components are classes compared
-by their whole signatures, in blocks, and those pairs of different components whose estimate is within `slack` of the
-threshold are confirmed too. So a large group of near copies costs a star, not all its pairs, and no cap drops a pair.
+by their whole signatures, in blocks, and those pairs of different components whose estimate is within `slack` (four
+standard deviations) of the threshold are compared on full sets too, inside the block. So a large group of near copies
+costs a star, not all its pairs, and no cap drops a pair.
 
 Nulls and texts without words have an empty set, link with nothing and are their own component. A document of fewer
 than `shingle` words has one shingle, the whole sequence. Identifiers name a document: rows repeated with the same
@@ -108,63 +109,110 @@ def confirm(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str, size: i
     return dealt.sortWithinPartitions("a", "salt", "side").select("id", "a", "side", "text").mapInArrow(run, "a bigint, b bigint")
 
 
-def close_pairs(rows: DataFrame, least: int, block: int = 512) -> DataFrame:
-    """rows: bucket, id, comp, sig of buckets with several components. Pairs of different components in one bucket whose
-    signatures agree in `least` values or more. Buckets are cut into blocks; each two blocks of one meet in a task."""
-    size = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k"))
-    own = rows.join(size, "bucket").withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    meet = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("bucket", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "comp", "sig")
-
-    def flush(held: list) -> list[tuple[int, int]]:
-        if len({c for _, _, c, _ in held}) < 2:
-            return []
-        x = min(i for i, _, _, _ in held)
-        y = max(i for i, _, _, _ in held)
-        left = [h for h in held if h[0] == x]
-        right = [h for h in held if h[0] == y]
-        sigs = np.frombuffer(b"".join(h[3] for h in right), np.uint16).reshape(len(right), -1)
-        comps, ids = np.array([h[2] for h in right]), np.array([h[1] for h in right])
-        out = []
-        for _, i, c, s in left:
-            near = ((sigs == np.frombuffer(s, np.uint16)).sum(1) >= least) & (comps != c) & ((ids > i) if x == y else True)
-            out += [(min(i, k), max(i, k)) for k in ids[near].tolist()]
-        return out
+def _near(held: list, bands: int, rows: int, least: int, number: int) -> list[tuple[int, int]]:
+    """held: block, id, comp, sig, ... of a unit. Places of its pairs of different components that agree in `least`
+    signature values and share no band before `number`: each pair belongs to one bucket."""
+    if len({h[2] for h in held}) < 2:
+        return []
+    x, y = min(h[0] for h in held), max(h[0] for h in held)
+    sigs = np.frombuffer(b"".join(h[3] for h in held), np.uint16).reshape(len(held), -1)
+    comps, blocks = np.array([h[2] for h in held]), np.array([h[0] for h in held])
+    out = []
+    for i in np.flatnonzero(blocks == x).tolist():
+        others = np.flatnonzero((blocks == y) & (comps != comps[i]))
+        if x == y:
+            others = others[others > i]
+        same = sigs[others] == sigs[i]
+        first = same.reshape(len(others), bands, rows).all(2).argmax(1) if len(others) else others
+        out += [(i, k) for k in others[(same.sum(1) >= least) & (first == number)].tolist()]
+    return out
+
+
+def _units(rows: DataFrame, keys: list[str], n: int, flush, schema: str, pack) -> DataFrame:
+    """Deals rows out by unit and calls flush on each unit's rows; holds one unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
-        pack = lambda found: pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([q for _, q in found], pa.int64())], names=["a", "b"])
+        unit, held = None, []
         for batch in batches:
-            found = set()
-            for b, x, y, *rest in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                if (b, x, y) != group:
-                    found.update(flush(held))
-                    group, held = (b, x, y), []
-                held.append(rest)
-            yield pack(sorted(found))
-        yield pack(flush(held))
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:n] != unit:
+                    if held:
+                        yield pack(flush(unit, held))
+                    unit, held = row[:n], []
+                held.append(row[n:])
+        if held:
+            yield pack(flush(unit, held))
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys, "id").mapInArrow(run, schema)
+
+
+def close_links(tagged: DataFrame, texts: DataFrame, size: int, num: int, den: int, minmax: MinMax, least: int, block: int = 256) -> DataFrame:
+    """tagged: bucket, band, id, comp, sig of buckets with several components. The links between components, as a, b.
+
+    Buckets are cut into blocks; each two blocks of one are a unit. A unit's signatures say which documents have a near one
+    of another component; only these are joined with their texts, once for each unit, and compared there on full sets, but
+    for pairs that links of the unit already connect. So no pair is a row but a link."""
+    bands, per = minmax.bands, minmax.rows
+    many = tagged.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k"))
+    own = tagged.join(many, "bucket").withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    meet = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("bucket", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "band", "i", "id", "comp", "sig")
+    keys = ["bucket", "x", "y"]
+    names = [*keys, "band", "i", "id", "comp", "sig"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+
+    def involved(unit: tuple, held: list) -> list[tuple]:
+        rest = [h[1:] for h in held]
+        places = sorted({p for pair in _near(rest, bands, per, least, held[0][0]) for p in pair})
+        return [(*unit, *held[p]) for p in places]
+
+    pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, types, strict=True)], names=names)
+    some = materialise(_units(meet, keys, 3, involved, "bucket bigint, x int, y int, band int, i int, id bigint, comp bigint, sig binary", pack), "involved")
+
+    def links(unit: tuple, held: list) -> list[tuple[int, int]]:
+        rest, sets, up, out = [h[1:] for h in held], list(shingle_sets([(h[5] or "").encode() for h in held], size)), {}, []
+
+        def top(c: int) -> int:
+            while c in up:
+                c = up[c]
+            return c
+
+        for i, k in _near(rest, bands, per, least, held[0][0]):
+            a, b = top(rest[i][2]), top(rest[k][2])
+            if a == b:
+                continue
+            both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+            if both and den * both >= num * (len(sets[i]) + len(sets[k]) - both):
+                up[max(a, b)] = min(a, b)
+                out.append((rest[i][1], rest[k][1]))
+        return out
 
-    dealt = meet.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "x", "y")
-    return dealt.sortWithinPartitions("bucket", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct()
+    pack2 = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    full = some.join(texts, "id").select(*names, "text")
+    return _units(full, keys, 3, links, "a bigint, b bigint", pack2)
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 75, den: int = 100, bands: int = 36, rows: int = 4, slack: float = 0.2) -> DataFrame:
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 75, den: int = 100, bands: int = 36, rows: int = 4, slack: float = 0.15) -> DataFrame:
     """A row for each row of df: id_col, n_shingles, component_id, kept."""
     minmax = MinMax(bands, rows)
     sigs = materialise(signatures(df, id_col, text_col, size, minmax), "signatures")
     classes = materialise(sigs.where("key is not null").groupBy("key").agg(F.min("id").alias("rep")), "classes")
     reps = sigs.join(classes, (sigs.id == classes.rep) & (sigs.key == classes.key)).select("id", "buckets", "sig")
-    entries = materialise(reps.select(F.explode("buckets").alias("bucket"), "id").distinct(), "buckets")
+    entries = materialise(reps.select(F.posexplode("buckets").alias("band", "bucket"), "id").distinct(), "buckets")
     heads = entries.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("bucket", "a")
-    first = materialise(entries.join(heads, "bucket").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "pairs")
-    links = materialise(confirm(df, first, id_col, text_col, size, num, den), "links")
+    shared = materialise(entries.join(heads, "bucket"), "shared")
+    # all that is compared on full sets: documents that share a bucket
+    texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(shared.select("id").distinct(), "id")
+    texts = materialise(texts, "texts")
+    release(df.sparkSession)
+    first = materialise(shared.where("id <> a").select("a", F.col("id").alias("b")).distinct(), "pairs")
+    links = materialise(confirm(texts, first, "id", "text", size, num, den), "links")
     release(df.sparkSession)
     nodes = components(links)
-    tagged = entries.join(nodes, entries.id == nodes.node, "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
+    tagged = shared.join(nodes, shared.id == nodes.node, "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("comp"))
     mixed = tagged.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    left = materialise(tagged.join(mixed, "bucket").join(reps.select("id", "sig"), "id").select("bucket", "id", "comp", "sig"), "mixed")
-    second = close_pairs(left, round((num / den - slack) * bands * rows)).join(first, ["a", "b"], "left_anti")
-    second = materialise(second, "pairs")
-    more = materialise(confirm(df, second, id_col, text_col, size, num, den), "links")
+    left = materialise(tagged.join(mixed, "bucket").join(reps.select("id", "sig"), "id").select("bucket", "band", "id", "comp", "sig"), "mixed")
+    more = materialise(close_links(left, texts.dropDuplicates(["id"]), size, num, den, minmax, round((num / den - slack) * bands * rows)), "links")
     release(df.sparkSession)
     if more.limit(1).count():
         nodes = components(nodes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
