@@ -6,8 +6,10 @@ are dropped; the others are extended to twice their length, to the right and to
 dropped again; what is left is extended to the wanted length, at every start that holds such a half. Windows found twice
 at this last level decide. Hashes of a level are made of two of the level before; the last has 128 bits.
 
-Counting is a partial aggregation by hash, and decisions come back by a join on the hash, so a window in a third of all
-documents is one row of each task and its rows are split among tasks. Within a document equal windows are one row.
+Counting is a partial aggregation by hash, and decisions come back by a join on the hash, which splits a frequent one's
+rows among tasks. At the last level documents with candidates are packed into units of some megabytes; a unit gives each
+of its windows once, so a window in a third of all documents is no more rows than units, and rows in order of the hash
+are streamed past each other. The unit gets the places of its repeated windows back.
 
 Words are runs of anything but space and \\x09-\\x0D, unchanged; null has none. Identifiers name a document: rows repeated
 with the same identifier and text count as occurrences of each other's windows, and each gets the result.
@@ -16,6 +18,7 @@ with the same identifier and text count as occurrences of each other's windows,
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm._common import blocks, materialise, mix, release, table, utf8, windows, word_hashes
+from treeline.llm._common import blocks, discard, materialise, mix, release, table, utf8, windows, word_hashes
 
 _C = [np.uint64(c) for c in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -106,76 +109,125 @@ def _twice(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(*keys)
 
 
-def _wholes(texts: DataFrame, levels: Levels) -> DataFrame:
-    """texts: id, text, places, rights. The hashes of its candidate windows, each once, and whether it occurs again here."""
+def _units(texts: DataFrame, most: int = 1 << 21) -> DataFrame:
+    """Packs texts (id, text, places, rights) into rows of about `most` bytes, each with a number of its own. Written at
+    once, so the numbers stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, rights = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for lo, some in blocks(utf8(batch.column(1))):
-                h, at = word_hashes(some)
-                w, w2 = levels.wholes(h)
-                parts: list[list[np.ndarray]] = [[], [], []]
-                for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-                    s = a + levels.starts(np.array(places[lo + k], np.int64), np.array(rights[lo + k], bool), b - a)
-                    one, first, times = np.unique(w[s], return_index=True, return_counts=True)
-                    parts[0].append(one)
-                    parts[1].append(w2[s][first])
-                    parts[2].append((times > 1).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(some)).cast(pa.int64()), *map(_lists, parts)], names=["id", "h", "h2", "again"])
+            lo = 0
+            sizes = [len(t) for t in utf8(batch.column(1))]
+            while lo < batch.num_rows:
+                hi, size = lo + 1, sizes[lo]
+                while hi < batch.num_rows and size + sizes[hi] <= most:
+                    size, hi = size + sizes[hi], hi + 1
+                some = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), *(pa.array([some.column(k).to_pylist()], pa.list_(some.column(k).type)) for k in range(4))], names=["unit", "ids", "texts", "places", "rights"])
+                lo = hi
 
-    return texts.select("id", "text", "places", "rights").mapInArrow(run, "id bigint, h array<bigint>, h2 array<bigint>, again array<bigint>")
+    return texts.select("id", "text", "places", "rights").mapInArrow(run, "unit bigint, ids array<bigint>, texts array<string>, places array<array<bigint>>, rights array<array<boolean>>")
 
 
-def _remove(texts: DataFrame, levels: Levels, with_text: bool) -> DataFrame:
-    """texts: id, text, found (hashes of repeated windows): n_removed, kept_sha256 and on request the kept text."""
+def _candidates(levels: Levels, texts: list[bytes], places: list, rights: list):
+    """Of a unit: offsets of its documents, starts of candidate windows, their distinct hashes, and for each start the place
+    of its hash among these."""
+    h, at = word_hashes(texts)
+    w, w2 = levels.wholes(h)
+    starts = [a + levels.starts(np.array(p, np.int64), np.array(r, bool), b - a) for a, b, p, r in zip(at[:-1].tolist(), at[1:].tolist(), places, rights, strict=True)]
+    starts = np.concatenate([np.zeros(0, np.int64), *starts])
+    one, first, place, times = np.unique(w[starts], return_index=True, return_inverse=True, return_counts=True)
+    return at, starts, one.view(np.int64), w2[starts][first].astype(np.uint32).view(np.int32), times > 1, place
+
+
+def _asked(units: DataFrame, levels: Levels) -> DataFrame:
+    """unit, k, h, h2, again: the distinct candidate windows of each unit, and whether one occurs twice there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, _, h, h2, again, _ = _candidates(levels, [(t or "").encode() for t in row["texts"]], row["places"], row["rights"])
+                for lo in range(0, len(h), 1 << 16):
+                    n = len(h[lo : lo + (1 << 16)])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row["unit"])), pa.array(np.arange(lo, lo + n, dtype=np.int32)), pa.array(h[lo : lo + n]), pa.array(h2[lo : lo + n]), pa.array(again[lo : lo + n])], names=["unit", "k", "h", "h2", "again"])
+
+    return units.select("unit", "texts", "places", "rights").mapInArrow(run, "unit bigint, k int, h bigint, h2 int, again boolean")
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of h and h2. unit and k of those that have an equal neighbour or occur again; holds a batch."""
+    held = None
+    like = False  # whether the held row is like the one before it
+
+    def out(cols: dict, hit: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(cols["unit"][hit]), pa.array(cols["k"][hit])], names=["unit", "k"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("unit", "k", "h", "h2", "again")}
+        if held is not None:
+            cols = {c: np.concatenate([held[c], v]) for c, v in cols.items()}
+        same = (cols["h"][1:] == cols["h"][:-1]) & (cols["h2"][1:] == cols["h2"][:-1])
+        hit = cols["again"] | np.concatenate([[like], same]) | np.concatenate([same, [False]])
+        held, like = {c: v[-1:] for c, v in cols.items()}, bool(same[-1]) if len(same) else like
+        hit[-1] = False
+        yield out(cols, hit)
+    if held is not None:
+        yield out(held, held["again"] | like)
+
+
+def _remove(units: DataFrame, levels: Levels, with_text: bool) -> DataFrame:
+    """units with found (places of repeated windows): id, n_removed, kept_sha256 and on request the kept text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column(2)
-            for lo, some in blocks(utf8(batch.column(1))):
-                h, at = word_hashes(some)
-                w, _ = levels.wholes(h)
+            for row in batch.to_pylist():
+                texts = [(t or "").encode() for t in row["texts"]]
+                at, starts, h, _, _, place = _candidates(levels, texts, row["places"], row["rights"])
+                hit = np.zeros(len(h), bool)
+                hit[row["found"]] = True
+                starts = starts[hit[place]]
+                change = np.zeros(at[-1] + 1, np.int64)
+                np.add.at(change, starts, 1)
+                np.add.at(change, starts + levels.length, -1)
+                keep = np.cumsum(change)[: at[-1]] == 0
                 removed, sha, kept_text = [], [], []
-                for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-                    n = b - a
-                    own = w[a : a + max(0, n - levels.length + 1)].view(np.int64)
-                    hit = np.flatnonzero(np.isin(own, found[lo + k].values.to_numpy()))
-                    change = np.zeros(n + 1, np.int64)
-                    np.add.at(change, hit, 1)
-                    np.add.at(change, hit + levels.length, -1)
-                    keep = np.cumsum(change)[:n] == 0
-                    words = some[k].split()
-                    kept = b" ".join([words[i] for i in np.flatnonzero(keep).tolist()])
-                    removed.append(n - int(keep.sum()))
+                for t, a, b in zip(texts, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    words = t.split()
+                    kept = b" ".join([words[i] for i in np.flatnonzero(keep[a:b]).tolist()])
+                    removed.append(b - a - int(keep[a:b].sum()))
                     sha.append(hashlib.sha256(kept).hexdigest())
                     kept_text.append(kept.decode() if with_text else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(some)).cast(pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_text, pa.string())], names=["id", "n_removed", "kept_sha256", "kept"])
+                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_text, pa.string())], names=["id", "n_removed", "kept_sha256", "kept"])
 
-    return texts.select("id", "text", "found").mapInArrow(run, "id bigint, n_removed bigint, kept_sha256 string, kept string")
+    return units.select("unit", "ids", "texts", "places", "rights", "found").mapInArrow(run, "id bigint, n_removed bigint, kept_sha256 string, kept string")
 
 
 def substring_dedup(df: DataFrame, length: int, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """A row for each row of df: id_col, n_words, n_removed, kept_sha256; with_text: kept, the text that is left where
     words were removed (else null)."""
     levels, spark = Levels(length), df.sparkSession
-    scan = materialise(_scan(df, id_col, text_col, levels), "anchors")
+    anchors = materialise(_scan(df, id_col, text_col, levels), "anchors")
+    scan = materialise(anchors.select("id", "n", "sha"), "texts")
     # level 1: quarters at anchors
-    again = _twice(scan.select(F.explode("q").alias("q")), "q")
-    rows = scan.select("id", F.explode(F.arrays_zip("place", "q", "r", "l")).alias("x")).select("id", "x.*")
+    again = _twice(anchors.select(F.explode("q").alias("q")), "q")
+    rows = anchors.select("id", F.explode(F.arrays_zip("place", "q", "r", "l")).alias("x")).select("id", "x.*")
     rows = rows.join(again, "q").select("id", "place", F.explode(F.array(F.struct(F.lit(True).alias("right"), F.col("r").alias("h")), F.struct(F.lit(False).alias("right"), F.col("l").alias("h")))).alias("x"))
-    rows = materialise(rows.select("id", "place", "x.*").where("h <> 0").repartition("h"), "halves")
+    rows = materialise(rows.select("id", "place", "x.*").where("h <> 0"), "halves")
+    discard(anchors)
+    release(spark)
     # level 2: halves
     live = rows.join(_twice(rows.select("h", "right"), "h"), "h")
     live = live.groupBy("id").agg(F.collect_set(F.struct("place", "right")).alias("x")).select("id", F.col("x.place").alias("places"), F.col("x.right").alias("rights"))
-    texts = materialise(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(live, "id"), "texts")
+    units = materialise(_units(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(live, "id")), "units")
+    discard(rows)
     release(spark)
     # level 3: whole windows
-    wholes = materialise(_wholes(texts, levels), "wholes").select("id", F.explode(F.arrays_zip("h", "h2", "again")).alias("x")).select("id", "x.*")
-    again = wholes.groupBy("h", "h2").agg((F.count(F.lit(1)) + F.max("again")).alias("times")).where("times > 1").select("h", "h2")
-    found = materialise(wholes.join(again, ["h", "h2"]).groupBy("id").agg(F.collect_set("h").alias("found")), "found")
+    found = _asked(units, levels).repartition("h").sortWithinPartitions("h", "h2").mapInArrow(_repeated, "unit bigint, k int")
+    found = materialise(found.groupBy("unit").agg(F.collect_list("k").alias("found")), "found")
     release(spark)
-    out = materialise(_remove(texts.select("id", "text").join(found, "id"), levels, with_text).dropDuplicates(["id"]), "removed")
+    out = materialise(_remove(units.join(found, "unit"), levels, with_text).dropDuplicates(["id"]), "removed")
+    discard(units)
     cols = [F.col("id").alias(id_col), F.col("n").alias("n_words"), F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")]
     return scan.select("id", "n", "sha").join(out, "id", "left").select(*cols, *(["kept"] if with_text else []))
 
