@@ -117,7 +117,7 @@ def windows(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """Hashes of all runs of n consecutive word hashes."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
-    out = np.full(len(h) - n + 1, (seed * 0x9E3779B97F4A7C15 + n) & (2**64 - 1), np.uint64)
+    out = np.full(len(h) - n + 1, (seed * 0x9E3779B97F4A7C15 + int(n)) & (2**64 - 1), np.uint64)
     for j in range(n):
         out = (out ^ h[j : len(h) - n + 1 + j]) * np.uint64(0xFF51AFD7ED558CCD + 2 * seed)
         out ^= out >> np.uint64(32)
