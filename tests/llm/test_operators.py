@@ -120,6 +120,18 @@ def test_token_counts(docs):
         assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len(want[r.doc_id].encode()), n > 50)
 
 
+def test_token_counts_random_characters():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), np.random.default_rng(5)
+    own, counter = Tokenizer.from_file(path), token_counts.counter(path)
+    spans = [(0x20, 0x7F), (0x80, 0x250), (0x250, 0xD800), (0xE000, 0xFFFE), (0x10000, 0x20000)]
+    made = ["".join(chr(rng.integers(*spans[k])) for k in rng.integers(0, 5, n)) for n in rng.integers(1, 60, 4000)]
+    made += ["\u200d\U00018ee6", "o\U00010efd\u0301", "a" * 5000, "abcxyzqu" * 2000, "!?.-" * 700, "ééà" * 900, "中文字" * 700]
+    assert [counter.count(t) for t in made] == [len(e.ids) for e in own.encode_batch(made, add_special_tokens=False)]
+
+
 def test_warc(spark, tmp_path):
     rows = [(k, f"http://x/{k}\n y", ["a", "", None, "ä" * 9, "b"][k % 5]) for k in range(40)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)

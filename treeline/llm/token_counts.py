@@ -3,11 +3,15 @@
 Before any text is read, every vocabulary string that ends a word is encoded alone; those that give one token are
 proven. A pre-token that is a proven string counts one without merging; only the rest is merged, lowest rank first, and
 its count remembered. Nulls count as empty texts, which have no tokens.
+
+Characters on which the library's Unicode tables and Python's disagree (scripts newer than one of them) are found by
+probing the library once; texts that hold one are normalised and split by the library itself, then counted as the others.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import re
 import unicodedata
@@ -43,7 +47,7 @@ class Counter:
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
         if kinds != ["NFC", "Replace", "Lowercase"] or model["type"] != "BPE" or model.get("ignore_merges") or not split["invert"]:
             raise ValueError("this kind of tokenizer isn't supported")
-        self.split = regex.compile(split["pattern"]["Regex"]).findall
+        self.path, self.split = path, regex.compile(split["pattern"]["Regex"]).findall
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(re.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
         self.suffix = model["end_of_word_suffix"]
@@ -64,6 +68,8 @@ class Counter:
         syms = [self.chars[b] for b in word]
         syms[-1] = self.ends[word[-1]]
         get = self.pairs.get
+        if len(syms) > 256:
+            return self._merge_long(syms)
         ranks = [get(a << 20 | b, _NEVER) for a, b in zip(syms, syms[1:], strict=False)]
         while ranks:
             best = min(ranks)
@@ -78,6 +84,65 @@ class Counter:
                 ranks[i] = get(syms[i] << 20 | syms[i + 1], _NEVER)
         return len(syms)
 
+    def _merge_long(self, syms: list[int]) -> int:
+        """The same by a heap, for words whose length squared would take too long."""
+        get, n, left = self.pairs.get, len(syms), len(syms)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(k, i) for i in range(n - 1) if (k := get(syms[i] << 20 | syms[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            k, i = heapq.heappop(heap)
+            j = after[i]
+            if syms[i] < 0 or j >= n or get(syms[i] << 20 | syms[j]) != k:
+                continue  # one of the two has been merged since
+            syms[i], syms[j], after[i], left = k & 0xFFFFF, -1, after[j], left - 1
+            if after[i] < n:
+                before[after[i]] = i
+            for a in (before[i], i):
+                if a >= 0 and after[a] < n and (k := get(syms[a] << 20 | syms[after[a]])) is not None:
+                    heapq.heappush(heap, (k, a))
+        return left
+
+    @functools.cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    @functools.cached_property
+    def doubtful(self):
+        """Finds a character that the library classes, composes or orders unlike Python or the regex module."""
+        import regex
+        from tokenizers import Regex, normalizers
+
+        chars = [chr(c) for c in (*range(0x80, 0xD800), *range(0xF900, 0x40000), *range(0xE0000, 0xE1000))]
+        found = set()
+
+        def probe(normalizer, own, strings: list[str]) -> None:
+            theirs = normalizer.normalize_str("|".join(strings)).split("|")
+            found.update(c for c, s, t in zip(chars, strings, theirs, strict=True) if own(s) != t)
+
+        nfc = functools.partial(unicodedata.normalize, "NFC")
+        for shape in ("{}", "a{}\u0334", "a\u0301{}"):
+            probe(normalizers.NFC(), nfc, [shape.format(c) for c in chars])
+        probe(normalizers.Lowercase(), lambda c: "σ" if c == "Σ" else c.lower(), chars)
+        for kind, same in ((r"\p{L}", str.isalpha), (r"\p{N}", None), (r"\s", str.isspace)):
+            match = regex.compile(kind).match
+            probe(normalizers.Replace(Regex(kind), "="), lambda c, m=match: "=" if m(c) else c, chars)
+            found.update(c for c in chars if same and same(c) != bool(match(c)))
+        spans: list[list[int]] = []
+        for c in sorted(map(ord, found)):
+            if spans and spans[-1][1] == c - 1:
+                spans[-1][1] = c
+            else:
+                spans.append([c, c])
+        return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in spans) + "]" if spans else "(?!)")
+
+    def by_library(self, text: str) -> int:
+        back = {c: b for b, c in enumerate(byte_chars())}
+        parts = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return sum(self.pretoken(bytes(back[c] for c in part).decode()) for part, _ in parts)
+
     def _prove(self, vocab: dict[str, int]) -> frozenset[str]:
         back = {c: b for b, c in enumerate(byte_chars())}
         out = set()
@@ -88,7 +153,7 @@ class Counter:
                     text = word.decode()
                 except UnicodeDecodeError:
                     continue  # part of a character: never a pre-token
-                if self.merge(word) == 1:
+                if self.split(text) == [text] and self.merge(word) == 1:
                     out.add(text)
         return frozenset(out)
 
@@ -122,6 +187,8 @@ class Counter:
 
     def plain(self, text: str) -> int:
         if not text.isascii():
+            if self.doubtful.search(text):
+                return self.by_library(text)
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # a sigma is lowered without a look at its place
         text = text.lower()
         if self._CONTROLS.search(text):  # white space to str.split() only
