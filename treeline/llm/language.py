@@ -69,6 +69,7 @@ class Labeller:
     def _forget(self) -> None:
         n = len(self.model.langs)
         self.rows: dict[str, int] = {"": 0}
+        self.words: dict[str, int] = {"": 0}
         self.scores = np.zeros((1024, n), np.float64)
         self.sizes = np.zeros(1024, np.int64)
 
@@ -76,24 +77,22 @@ class Labeller:
         """Scores by language, the best one 0 and none below -cut."""
         m, n = self.model, len(self.model.langs)
         some = m.scripts.get(script(word)) or range(n)
-        total = [0.0] * n
-        for g in trigrams(word):
-            p = m.grams.get(g, m.floor)
-            for k in range(n):
-                total[k] += p[k]
+        get, floor = m.grams.get, m.floor
+        total = [sum(p) for p in zip(*[get(g, floor) for g in trigrams(word)], strict=True)]
         top = max(total[k] for k in some)
         return [max(total[k] - top, -self.cut) if k in some else -self.cut for k in range(n)]
 
     def _add(self, token: str) -> int:
-        word, at = letters(token), len(self.rows)
+        word = letters(token)
+        if (at := self.words.get(word)) is not None:
+            self.rows[token] = at
+            return at
+        at = len(self.words)
         if at >= len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        if not word:
-            self.rows[token] = 0
-            return 0
         self.scores[at], self.sizes[at] = self.word(word), len(word)
-        self.rows[token] = at
+        self.rows[token] = self.words[word] = at
         return at
 
     def path(self, s: np.ndarray) -> np.ndarray:
@@ -120,7 +119,9 @@ class Labeller:
             self._forget()
         tokens = text.split()
         get = self.rows.get
-        at = [r if r is not None else (get(t) if t in self.rows else self._add(t)) for t, r in zip(tokens, list(map(get, tokens)), strict=True)]
+        at = list(map(get, tokens))
+        if None in at:
+            at = [r if r is not None else (get(t) if t in self.rows else self._add(t)) for t, r in zip(tokens, at, strict=True)]
         rows = np.array(at, np.int64)
         rows = rows[rows > 0]
         if not len(rows) or not self.model.langs:
@@ -142,8 +143,10 @@ class Labeller:
 def fit(df: DataFrame, learn: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_texts: int = 1500, most_grams: int = 60_000, seed: int = 3) -> Model:
     """Learns from rows whose identifier passes `learn` and whose language is known, at most most_texts of each."""
     rows = df.where(learn(F.col(id_col)) & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(lang_col).alias("lang"))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "id"), "id")
-    rows = rows.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= most_texts).select("id", "lang").dropDuplicates(["id"])
+    for parts in (["lang", F.pmod(F.xxhash64("id"), F.lit(64))], ["lang"]):  # no task sees a whole language: the first pass leaves at most 64 * most_texts of each
+        by_hash = Window.partitionBy(*parts).orderBy(F.xxhash64(F.lit(seed), "id"), "id")
+        rows = rows.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= most_texts).select("id", "lang")
+    rows = rows.dropDuplicates(["id"])
     own = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(rows, "id")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
