@@ -260,6 +260,26 @@ def test_toxicity(spark, docs):
     assert toxicity.score(docs, model).count() == len(TEXTS) + 2
 
 
+def test_toxicity_searches_every_text(spark):
+    d = "/root/testdata/sf0.01"
+    model = toxicity.model_of(spark, d)
+    rows = [(k, t) for k, t in enumerate(["the and of", "unheard", "...", "", None])]
+    found = {r.doc_id: r.evidence for r in toxicity.score(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
+    assert all(len(found[k]) == 3 for k in (0, 1, 2)) and not found[3] and not found[4]
+    assert {"the", "and", "of"} <= set(model.terms)
+    examples = [(k, k % 2, {t: 1 + k % 3 for t in range(k % 7, 40, 1 + k % 5)}) for k in range(90)]
+    idf = 1 + np.arange(40) / 40
+    small = toxicity.index(examples, {}, idf, np.ones(2))
+    dense = np.zeros((90, 41))
+    for k, _, counts in examples:
+        t, w = toxicity.weigh(counts, idf)
+        dense[k, t] = w
+    queries = [toxicity.weigh(c, idf) for _, _, c in examples]
+    for common in (0.0, 0.4, 1.0):
+        for k, (at, near) in enumerate(toxicity.Search(small, common).nearest(queries, 9)):
+            assert at.tolist() == np.lexsort((np.arange(90), -np.round(dense @ dense[k], 12)))[:9].tolist() and np.allclose(near, dense[at] @ dense[k])
+
+
 def test_language(spark, docs):
     d = "/root/testdata/sf0.01"
     langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").collect()}

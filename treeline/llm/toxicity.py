@@ -1,25 +1,26 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine.
+"""Toxicity from the nearest labelled examples by exact cosine of weighted terms.
 
 Fitting sees a bounded sample of labelled rows (`most_examples`, those with the smallest hashes of their identifiers, at
 most so many of each label; texts of one label that share the smallest hash of their three-word shingles, as copies do,
-are one example, and labels are weighed by their shares of all labelled rows). Terms are words and the first 4, 5 and 6 letters of words; kept are the `most_terms` whose document
-frequency differs most between the labels, by z-score, of those `purity` times as frequent in toxic examples, even with
-one more clean one. Examples and texts are unit TF-IDF vectors over these and
-one constant term, which stands for all other words and lets the amount of evidence count.
-
-Examples lie in blocks, ordered so that like ones meet; for each term the index has its examples block by block and its
-largest weight in each. A search takes blocks by their bound, the sum of the text's weights times these, and stops when
-no bound is above the kth cosine: the same k neighbours as without the bounds. Their votes, weighted by nearness and
-smoothed by the base rate, give the score; the neighbours are the evidence. Texts with none of the terms share one
-vector, and their score is the smoothed rate of such examples.
-
-Nulls count as empty texts and are scored like other texts without terms. A row repeated is scored each time. Labels
+are one example, and labels are weighed by their shares of all labelled rows). Terms are words and the first 4, 5 and 6
+letters of words; all terms of the examples are kept. A term weighs its IDF times FLOOR plus what its labels tell: the
+log odds of toxic to clean examples less two standard errors, times the square of its purity (at most 1, which is
+`purity` times as frequent in toxic examples, even with one more clean one). Examples and texts are unit vectors over
+these and one constant term, which lets the amount of evidence count; words that no example has weigh nothing.
+
+A search has the cosines of all examples in single precision, common terms by a matrix product over some texts at once
+and the others by their postings; those within the error of the kth are computed anew in double precision. The votes of
+the k nearest, weighted by nearness and smoothed by the base rate, give the score; they are the evidence. Every text with
+words is searched; only texts without any have the smoothed rate of such examples, and no evidence.
+
+Nulls count as empty texts. A row repeated is scored each time. Labels
 that are null are no examples; an identifier labelled twice counts as toxic if one label says so. Without any example
 every score is 0.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -43,70 +44,109 @@ def terms_of(word: str) -> list[str]:
 
 class Model(NamedTuple):
     terms: dict[str, int]
+    #: What each term weighs.
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
     #: What an example of label 0 or 1 counts for: the share of all labelled rows over that of the sample.
     weights: np.ndarray
-    #: For each term: its blocks, its largest weight in each, and its examples and weights in each.
-    blocks: list[np.ndarray]
-    tops: list[np.ndarray]
-    posts: list[list[tuple[np.ndarray, np.ndarray]]]
+    #: Example k has the terms own[at[k]:at[k + 1]] with the weights beside them.
+    at: np.ndarray
+    own: np.ndarray
+    values: np.ndarray
+    #: How many texts are searched at once.
     size: int
     empty: float
     base: float
 
 
-def weigh(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def unit(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Terms and weights of a unit vector; the last term is the constant one."""
-    terms = np.array([*sorted(counts), len(idf)], np.int64)
-    w = np.array([(1 + math.log(counts[t])) * idf[t] for t in sorted(counts)] + [1.0])
-    return terms, w / np.sqrt((w * w).sum())
+    w = np.append((1 + np.log(counts)) * idf[terms], 1.0)
+    return np.append(terms, len(idf)).astype(np.int64), w / math.sqrt(w @ w)
+
+
+def weigh(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    terms = sorted(counts)
+    return unit(np.array(terms, np.int64), np.array([counts[t] for t in terms], np.float64), idf)
 
 
 def index(examples: list[tuple[int, int, dict[int, int]]], terms: dict[str, int], idf: np.ndarray, weights: np.ndarray, size: int = 64) -> Model:
     """examples: identifier, label, counts of terms."""
-    rate = lambda some, more, base: (sum(y * weights[y] for _, y, _ in some) + base) / (sum(weights[y] for _, y, _ in some) + more)
+    return indexed([(i, y, np.array(sorted(c), np.int64), np.array([c[t] for t in sorted(c)], np.float64)) for i, y, c in examples], terms, idf, weights, size)
+
+
+def indexed(examples: list[tuple[int, int, np.ndarray, np.ndarray]], terms: dict[str, int], idf: np.ndarray, weights: np.ndarray, size: int = 64) -> Model:
+    """examples: identifier, label, terms in order, their counts."""
+    rate = lambda some, more, base: (sum(e[1] * weights[e[1]] for e in some) + base) / (sum(weights[e[1]] for e in some) + more)
     base = rate(examples, 1, 0.5) if examples else 0.0
-    empty = rate([e for e in examples if not e[2]], 1, base) if examples else 0.0
-    full = sorted((e for e in examples if e[2]), key=lambda e: (sorted(e[2], key=lambda t: (-idf[t], t)), e[0]))
-    posts: list[dict[int, list[tuple[int, float]]]] = [{} for _ in range(len(idf) + 1)]
-    for k, (_, _, counts) in enumerate(full):
-        for t, w in zip(*weigh(counts, idf), strict=True):
-            posts[t].setdefault(k // size, []).append((k, w))
-    blocks = [np.array(sorted(p), np.int64) for p in posts]
-    tops = [np.array([max(w for _, w in p[b]) for b in sorted(p)]) for p in posts]
-    lists = [[(np.array([k for k, _ in p[b]]), np.array([w for _, w in p[b]])) for b in sorted(p)] for p in posts]
-    return Model(terms, idf, np.array([i for i, _, _ in full], np.int64), np.array([y for _, y, _ in full], np.int64), weights, blocks, tops, lists, size, empty, base)
+    empty = rate([e for e in examples if not len(e[2])], 1, base) if examples else 0.0
+    full = sorted((e for e in examples if len(e[2])), key=lambda e: e[0])
+    vectors = [unit(t, c, idf) for _, _, t, c in full]
+    at = np.cumsum([0, *(len(t) for t, _ in vectors)])
+    own, values = (np.concatenate([v[k] for v in vectors]) if vectors else np.zeros(0) for k in (0, 1))
+    return Model(terms, idf, np.array([e[0] for e in full], np.int64), np.array([e[1] for e in full], np.int64), weights, at, own.astype(np.int32), values, size, empty, base)
+
+
+def _spans(lows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places low .. low + size - 1 of all spans, one after the other."""
+    return np.arange(sizes.sum()) + np.repeat(lows - np.cumsum(sizes) + sizes, sizes)
+
+
+class Search:
+    """The examples by term: a dense row for a term that more than `common` of them have, postings for the others."""
+
+    ERROR = 2e-5  # more than single precision is off by, on unit vectors
+
+    def __init__(self, m: Model, common: float = 0.05):
+        self.m, n, size = m, len(m.ids), len(m.idf) + 1
+        often = np.flatnonzero(np.bincount(m.own, minlength=size) > common * n)
+        self.place = np.full(size, -1, np.int32)
+        self.place[often] = np.arange(len(often))
+        rows, place = np.repeat(np.arange(n, dtype=np.int32), np.diff(m.at)), self.place[m.own]
+        self.dense = np.zeros((len(often), n), np.float32)
+        self.dense[place[place >= 0], rows[place >= 0]] = m.values[place >= 0]
+        order = np.flatnonzero(place < 0)
+        order = order[np.argsort(m.own[order], kind="stable")]
+        self.low = np.searchsorted(m.own[order], np.arange(size + 1))
+        self.rows, self.values = rows[order], m.values[order]
+        self.query = np.zeros(size)
+
+    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each of texts (terms and weights of a unit vector) the places and cosines of the k nearest examples, ties to
+        the smaller place."""
+        m, n = self.m, len(self.m.ids)
+        often = np.zeros((len(texts), len(self.dense)), np.float32)
+        for i, (terms, w) in enumerate(texts):
+            p = self.place[terms]
+            often[i, p[p >= 0]] = w[p >= 0]
+        for (terms, w), scores in zip(texts, often @ self.dense, strict=True):
+            rare = self.place[terms] < 0
+            low, sizes = self.low[terms[rare]], self.low[terms[rare] + 1] - self.low[terms[rare]]
+            at = _spans(low, sizes)
+            scores = scores + np.bincount(self.rows[at], self.values[at] * np.repeat(w[rare], sizes), n)
+            least = np.partition(scores, n - k)[n - k] if k < n else -1.0
+            near = np.flatnonzero(scores >= least - self.ERROR)
+            self.query[terms] = w
+            sizes = m.at[near + 1] - m.at[near]
+            at = _spans(m.at[near], sizes)
+            exact = np.round(np.bincount(np.repeat(np.arange(len(near)), sizes), self.query[m.own[at]] * m.values[at], len(near)), 12)
+            self.query[terms] = 0.0
+            best = np.lexsort((near, -exact))[:k]
+            yield near[best], exact[best]
 
 
 def nearest(m: Model, counts: dict[int, int], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and cosines of the k nearest examples, ties to the smaller place."""
-    terms, w = weigh(counts, m.idf)
-    n = len(m.ids)
-    bounds = np.zeros(-(-n // m.size))
-    for t, x in zip(terms, w, strict=True):
-        bounds[m.blocks[t]] += x * m.tops[t]
-    where = [dict(zip(m.blocks[t].tolist(), range(len(m.blocks[t])), strict=True)) for t in terms]
-    best: list[tuple[float, int]] = []
-    for b in np.argsort(-bounds, kind="stable").tolist():
-        if len(best) == k and bounds[b] < -best[-1][0] - 1e-12:
-            break
-        lo = b * m.size
-        scores = np.zeros(min(m.size, n - lo))
-        for t, x, at in zip(terms, w, where, strict=True):
-            if (p := at.get(b)) is not None:
-                rows, weights = m.posts[t][p]
-                scores[rows - lo] += x * weights
-        best = sorted(best + [(-round(float(s), 12), lo + r) for r, s in enumerate(scores)])[:k]
-    return np.array([i for _, i in best], np.int64), np.array([-s for s, _ in best])
+    return next(Search(m).nearest([weigh(counts, m.idf)], k))
 
 
 class Scorer:
     def __init__(self, model: Model, k: int, most: int = 200_000):
         self.model, self.k, self.most = model, k, most
+        self.search = Search(model) if len(model.ids) else None
         self.words: dict[str, tuple[int, ...]] = {}
-        self.known: dict[tuple, tuple[float, list[int]]] = {}
+        self.known: dict[bytes, tuple[float, list[int]]] = {}
 
     def word(self, word: str) -> tuple[int, ...]:
         out = tuple(t for x in terms_of(word) if (t := self.model.terms.get(x)) is not None)
@@ -116,32 +156,45 @@ class Scorer:
             self.words[word] = out
         return out
 
-    def counts(self, text: str) -> dict[int, int]:
-        words, get, out = text.lower().split(), self.words.get, {}
-        for word, terms in zip(words, list(map(get, words)), strict=True):
-            if terms is None:
-                terms = get(word)
-                if terms is None:
-                    terms = self.word(word)
-            for t in terms:
-                out[t] = out.get(t, 0) + 1
-        return out
-
-    def score(self, text: str) -> tuple[float, list[int]]:
-        """The score and the identifiers of the nearest examples."""
-        counts = self.counts(text)
-        if not counts or not len(self.model.ids):
-            return self.model.empty, []
-        key = tuple(sorted(counts.items()))
-        if (out := self.known.get(key)) is None:
-            at, near = nearest(self.model, counts, self.k)
-            votes = self.model.weights[self.model.labels[at]] / (1.05 - near)
-            out = (float((votes @ self.model.labels[at] + self.model.base) / (votes.sum() + 1.0)), self.model.ids[at][:3].tolist())
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The known terms of a text in order, and how often it has each."""
+        get, out = self.words.get, []
+        for word in text.lower().split():
+            terms = get(word)
+            out += self.word(word) if terms is None else terms
+        return np.unique(np.array(out, np.int64), return_counts=True)
+
+    def score(self, texts: list[str]) -> list[tuple[float, list[int]]]:
+        """The score of each text and the identifiers of its nearest examples."""
+        out: list[tuple[float, list[int]]] = []
+        for lo in range(0, len(texts), self.model.size):
+            some = texts[lo : lo + self.model.size]
+            keys = [hashlib.blake2b(t.encode(), digest_size=16).digest() if self.search and t.split(None, 1) else None for t in some]
             if len(self.known) >= 20_000:
                 self.known.clear()
-            self.known[key] = out
+            new = {key: t for key, t in zip(keys, some, strict=True) if key and key not in self.known}
+            if new:
+                self.known.update(zip(new, self.votes([unit(*self.counts(t), self.model.idf) for t in new.values()]), strict=True))
+            out += [self.known[key] if key else (self.model.empty, []) for key in keys]
         return out
 
+    def votes(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, list[int]]]:
+        m = self.model
+        for at, near in self.search.nearest(texts, self.k):
+            votes = m.weights[m.labels[at]] / (1.05 - near)
+            yield float((votes @ m.labels[at] + m.base) / (votes.sum() + 1.0)), m.ids[at][:3].tolist()
+
+
+#: The share of its IDF that a term has whatever its labels tell.
+FLOOR = 0.01
+
+
+def told(a: np.ndarray, b: np.ndarray, toxic: int, clean: int, purity: float) -> np.ndarray:
+    """What it tells that a of the toxic and b of the clean examples have a term: 0 or more."""
+    odds = np.log((a + 0.5) / (toxic + 1) / ((b + 0.5) / (clean + 1)))
+    pure = np.minimum((a / toxic) / (purity * (b + 1) / clean), 1.0)
+    return np.maximum(odds - 2 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)), 0.0) * pure**2
+
 
 def sketched(rows: DataFrame) -> DataFrame:
     """rows: id, text, y. Adds sketch, the smallest hash of a text's three-word shingles."""
@@ -157,7 +210,7 @@ def sketched(rows: DataFrame) -> DataFrame:
     return rows.select("id", "text", "y").mapInArrow(run, "id bigint, text string, y int, sketch bigint")
 
 
-def fit(df: DataFrame, labels: DataFrame, learn: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_examples: int = 3000, most_terms: int = 1500, purity: float = 20.0, seed: int = 5) -> Model:
+def fit(df: DataFrame, labels: DataFrame, learn: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_examples: int = 3000, purity: float = 20.0, seed: int = 5) -> Model:
     """Learns from rows of labels whose identifier passes `learn`, at most most_examples of each label."""
     rows = labels.where(learn(F.col(id_col)) & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     by_hash = Window.partitionBy("y").orderBy(F.xxhash64(F.lit(seed), id_col), id_col)
@@ -178,22 +231,22 @@ def fit(df: DataFrame, labels: DataFrame, learn: Callable[[Column], Column], id_
     sums = {r.y: r.n for r in own.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = max(sums.get(1, 0), 1), max(sums.get(0, 0), 1)
     df_terms = own.select("text", "y").mapInArrow(found, "term string, y int").groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    rate = (F.col("a") + F.col("b")) / (toxic + clean)
     weights = np.array([whole.get(y, 0) / max(sums.get(y, 0), 1) for y in (0, 1)])
     weights = weights / (weights.max() or 1.0)
-    z = (F.col("a") / toxic - F.col("b") / clean) / F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-9)) * (1 / toxic + 1 / clean))
-    chosen = df_terms.where(F.col("a") / toxic >= purity * (F.col("b") + 1) / clean).withColumn("z", z).where("a >= 3 and z > 3").orderBy(F.desc("z"), "term").limit(most_terms).collect()
-    terms = {r.term: k for k, r in enumerate(chosen)}
-    idf = np.array([math.log((1 + toxic + clean) / (1 + r.a + r.b)) + 1 for r in chosen])
-    scorer = Scorer(Model(terms, idf, np.zeros(0, np.int64), np.zeros(0, np.int64), weights, [], [], [], 1, 0.0, 0.0), 1)
+    found_terms = df_terms.orderBy("term").toArrow()
+    terms = {t: k for k, t in enumerate(found_terms["term"].to_pylist())}
+    a, b = (found_terms[x].to_numpy().astype(np.float64) for x in "ab")
+    idf = (np.log((1 + toxic + clean) / (1 + a + b)) + 1) * (FLOOR + told(a, b, toxic, clean, purity))
+    scorer = Scorer(Model(terms, idf, *[np.zeros(0, np.int64)] * 6, 1, 0.0, 0.0), 1)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = [scorer.counts(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([list(c) for c in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], names=["id", "y", "t", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([t for t, _ in counts], pa.list_(pa.int64())), pa.array([c for _, c in counts], pa.list_(pa.int64()))], names=["id", "y", "t", "c"])
 
-    examples = own.select("id", "text", "y").mapInArrow(vectors, "id bigint, y int, t array<int>, c array<int>").collect()
-    return index([(r.id, r.y, dict(zip(r.t, r.c, strict=True))) for r in sorted(examples)], terms, idf, weights)
+    examples = own.select("id", "text", "y").mapInArrow(vectors, "id bigint, y int, t array<bigint>, c array<bigint>").toArrow()
+    columns = [examples["id"].to_pylist(), examples["y"].to_pylist(), *([x.values.to_numpy(zero_copy_only=False) for x in examples[k]] for k in "tc")]
+    return indexed(list(zip(*columns, strict=True)), terms, idf, weights)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", k: int = 15) -> DataFrame:
@@ -204,7 +257,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
         if not held:
             held.append(Scorer(model, k))
         for batch in batches:
-            out = [held[0].score(t or "") for t in batch.column(1).to_pylist()]
+            out = held[0].score([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.int64()))], names=[id_col, "score", "evidence"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` bigint, score double, evidence array<bigint>")
