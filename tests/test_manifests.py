@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from treeline.functions import crypto, scalars
 from treeline.operators import access, diffing, folds, merging, pool, predicates, retention
+from treeline.plans import catalogue
 from treeline.sources.store import MANIFEST
 
 STAMP = "2026-07-24 153000"
@@ -109,6 +110,13 @@ def test_gc(spark):
     assert [tuple(r) for r in delta.collect()] == [("w", h["old"], "delete")] and [r.hash for r in gone.collect()] == [h["old"]]
 
 
+def test_gc_sweep_all(spark):
+    d, bound = "/root/testdata/sf0.001", catalogue.Tables(spark, "/root/testdata/sf0.001")
+    for name in ("gc_sweep_all", "local_sweep_all"):
+        got = catalogue.QUERIES[name](spark, d)
+        assert got.count() and not got.join(bound.chunks if name == "local_sweep_all" else pool.live(retention.retained_heads(bound.heads, 5), bound.chunks), "hash", "left_semi").count()
+
+
 def test_fetch_plan(spark):
     mib = 1 << 20
     cases = [([], []), ([(0, 0)], []), ([(10, 10)] * 13, [120, 10]), ([(8 * mib, 2)] * 5, [8, 2]), ([(4 * mib, 1)] * 8 + [(1, 1)], [8, 1]), ([(1, 1), (64 * mib, 17), (1, 1)], [1, 17, 1]), ([(4096, 200)], [200]), ([(8 * mib, 3)] * 10, [12, 12, 6])]

@@ -338,6 +338,11 @@ _ACL = f"ws as ({A.WORKSPACES}), mem as ({A.MEMBERS}), usr as ({A.USERS}), tm as
 
 
 @query(f"with {_ACL} select ws, user_name, role from roles")
+@query(f"with {_GC}, blobs as ({A.BLOBS}) select hash, length, mtime from blobs where mtime < 900 and hash not in (select hash from after_refs union all select hash from new)")
+def gc_sweep_all(t):
+    return pool.gc(t.refs, retention.retained_heads(t.heads, 5), t.chunks, t.blobs, 1500, GRACE)[1].select("hash", "length", "mtime")
+
+
 def effective_roles(t):
     return access.effective_roles(t.workspaces, t.members, t.users)
 
@@ -349,6 +354,11 @@ _WANT = "select o_custkey as ws, 'u' || cast(o_orderkey % 120 as varchar(20)) as
 def role_gate(t):
     return access.gate(A.rows(t.spark, t.sf_dir, _WANT), access.effective_roles(t.workspaces, t.members, t.users))
 
+@query(f"with {_POOL}, blobs as ({A.BLOBS}) select hash, length from blobs where hash not in (select hash from c)")
+def local_sweep_all(t):
+    return t.blobs.join(t.chunks.select("hash"), "hash", "left_anti").select("hash", "length")
+
+
 
 @query(f"with {_ACL} select mem.team, mem.user_name, mem.role, usr.pubkey from mem left join usr on usr.name = mem.user_name")
 def team_members(t):
