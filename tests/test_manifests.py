@@ -117,6 +117,19 @@ def test_gc_sweep_all(spark):
         assert got.count() and not got.join(bound.chunks if name == "local_sweep_all" else pool.live(retention.retained_heads(bound.heads, 5), bound.chunks), "hash", "left_semi").count()
 
 
+def test_missing_in_calls(spark):
+    rows = [("a", k * k, f"h{k % 7}") for k in range(103)] + [("b", 5, "h1"), (None, 1, "h1")]
+    asked = spark.createDataFrame(rows, "user_name string, ord bigint, hash string")
+    calls = pool.calls(asked, most=10, cell=7)
+    assert {(r.user_name, r.ord): r.call for r in calls.collect()} == {("a", k * k): k // 10 for k in range(103)} | {("b", 5): 0, (None, 1): 0}
+    blobs = spark.createDataFrame([("h1",), ("h2",)], "hash string")
+    seen = spark.createDataFrame([("a", "h1")], "user_name string, hash string")
+    got = sorted((tuple(r) for r in pool.missing(calls, blobs, seen, most=10).collect()), key=str)
+    assert got == sorted((r for r in rows if (r[0], r[2]) != ("a", "h1")), key=str)
+    with pytest.raises(Exception, match="too many hashes"):
+        pool.missing(calls, blobs, seen, most=9).collect()
+
+
 def test_fetch_plan(spark):
     mib = 1 << 20
     cases = [([], []), ([(0, 0)], []), ([(10, 10)] * 13, [120, 10]), ([(8 * mib, 2)] * 5, [8, 2]), ([(4 * mib, 1)] * 8 + [(1, 1)], [8, 1]), ([(1, 1), (64 * mib, 17), (1, 1)], [1, 17, 1]), ([(4096, 200)], [200]), ([(8 * mib, 3)] * 10, [12, 12, 6])]

@@ -4,7 +4,7 @@ refs: ws, hash. files: ws, file, size, pos, hash (a row for each chunk in order)
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.operators import predicates as P
@@ -28,13 +28,29 @@ def visible(workspaces: DataFrame, members: DataFrame, refs: DataFrame) -> DataF
     return own.unionByName(shared).distinct().join(refs, "ws").select("user_name", "hash").distinct()
 
 
+def calls(asked: DataFrame, most: int = 50_000, cell: int = 10_000) -> DataFrame:
+    """asked: user_name, ord, ... Adds call: each user's list in order, split after every `most` rows. Places are counted
+    by cells of a user's range of ord, then inside the cell, so that a long list is not one task's."""
+    ends = asked.groupBy("user_name").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.ceil(F.count(F.lit(1)) / cell).alias("cells"))
+    ends = ends.withColumnRenamed("user_name", "user")
+    rows = asked.join(F.broadcast(ends), F.col("user_name").eqNullSafe(F.col("user")))
+    rows = rows.withColumn("cell", F.floor((F.col("ord") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1) * F.col("cells")))
+    before = Window.partitionBy("user").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("user", F.col("cell").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    sums = sums.select(F.col("user").alias("whose"), "at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("user", "cell").orderBy("ord")) - 1)
+    rows = rows.join(F.broadcast(sums), F.col("user").eqNullSafe(F.col("whose")) & (F.col("cell") == F.col("at")))
+    return rows.select(*asked.columns, F.floor((F.col("base") + F.col("place")) / most).alias("call"))
+
+
 def missing(asked: DataFrame, pool: DataFrame, seen: DataFrame, admin: bool = False, most: int = 50_000) -> DataFrame:
-    """asked: user_name, ord, hash. What is not both in the pool and visible, duplicates and order kept. Requests of over
-    `most` hashes fail."""
-    over = asked.groupBy("user_name").agg(F.count(F.lit(1)).alias("n"))
-    asked = asked.join(over, "user_name").where(F.when(F.col("n") > most, F.raise_error(F.lit("too many hashes"))).otherwise(True)).drop("n")
+    """asked: user_name, ord, hash, call (see calls). What is not both in the pool and visible, duplicates and order kept.
+    Calls of over `most` hashes fail."""
+    over = asked.groupBy(F.col("user_name").alias("user"), F.col("call").alias("which")).agg(F.count(F.lit(1)).alias("n"))
+    asked = asked.join(F.broadcast(over), F.col("user_name").eqNullSafe(F.col("user")) & (F.col("call") == F.col("which")))
+    asked = asked.where(F.when(F.col("n") > most, F.raise_error(F.lit("too many hashes"))).otherwise(True)).select("user_name", "ord", "hash")
     there = asked.join(pool.select("hash"), "hash", "left_semi") if admin else asked.join(pool.select("hash"), "hash", "left_semi").join(seen, ["user_name", "hash"], "left_semi")
-    return asked.join(there.select("user_name", "ord"), ["user_name", "ord"], "left_anti").select("user_name", "ord", "hash")
+    return asked.join(there.select("user_name", "ord", "hash"), ["user_name", "ord", "hash"], "left_anti").select("user_name", "ord", "hash")
 
 
 def missing_report(files: DataFrame, pool: DataFrame) -> DataFrame:

@@ -232,7 +232,16 @@ _SEEN = "seen as (select distinct u.user_name, r.hash from (select owner as user
 @query(f"with {_POOL}, {_SEEN}, a as (select distinct user_name, ord, hash from ({_ASKED}) z) select user_name, ord, hash from a where not (hash in (select hash from pool) and exists (select 1 from seen where seen.user_name = a.user_name and seen.hash = a.hash))")
 def chunks_missing(t):
     asked = A.rows(t.spark, t.sf_dir, _ASKED).distinct()
-    return pool.missing(asked, t.pool, pool.visible(t.workspaces, t.members, t.refs))
+    return pool.missing(pool.calls(asked), t.pool, pool.visible(t.workspaces, t.members, t.refs))
+
+
+_ASKED_ALL = _ASKED.removesuffix(" where l_orderkey % 4 = 0")
+
+
+@query(f"with {_POOL}, {_SEEN}, a as (select distinct user_name, ord, hash from ({_ASKED_ALL}) z) select user_name, ord, hash from a where not (hash in (select hash from pool) and exists (select 1 from seen where seen.user_name = a.user_name and seen.hash = a.hash))")
+def chunks_missing_all(t):
+    asked = A.rows(t.spark, t.sf_dir, _ASKED_ALL).distinct()
+    return pool.missing(pool.calls(asked), t.pool, pool.visible(t.workspaces, t.members, t.refs))
 
 
 @query(f"with {_POOL}, {_SEEN} select user_name, count(*) as n, min(hash) as first_hash from seen group by user_name")
