@@ -85,6 +85,13 @@ def test_predicates(spark, f, good, bad):
     assert rows.where(f(F.col("v")) != F.col("want")).collect() == []
 
 
+def test_prefix_precedence_all(spark):
+    rows = spark.createDataFrame([("src/f9", False), ("src/f9/a", False), ("src/f91", True), ("src/f", True)], "path string, want boolean")
+    assert rows.where(predicates.captured(F.col("path"), ["build/generated"], ["src/f9"], F.lit(False)) != F.col("want")).collect() == []
+    got = catalogue.QUERIES["prefix_precedence_all"](spark, "/root/testdata/sf0.001")
+    assert got.count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() and got.where("path like 'src/f9%' and captured").count()
+
+
 def test_file_dir(spark):
     rows = spark.createDataFrame([("1", "a"), ("1", "a/b"), ("2", "a"), ("2", "a-x"), ("2", "a/b"), ("3", "a/b"), ("3", "a/c")], "ws string, path string")
     assert {(r.ws, r.path) for r in diffing.file_dir_conflicts(rows).collect()} == {("1", "a"), ("2", "a")}
