@@ -230,6 +230,12 @@ def test_components(spark):
     assert {r.node: r.component for r in got} == {k: 1 for k in range(1, 41)} | {100: 100, 200: 100, 150: 100}
 
 
+def test_minhash_band_of_a_pair():
+    sig, buckets = np.arange(8, dtype=np.uint16).tobytes(), [np.array(b, np.int64).tobytes() for b in ([10, 20], [11, 20])]
+    held = [(0, k, k, sig + b) for k, b in enumerate(buckets)]  # all 16 bits agree, of the buckets only the second
+    assert [minhash._near(held, 2, 4, 6, band) for band in (0, 1)] == [[], [(0, 1)]]
+
+
 def test_toxicity_neighbours():
     rng = np.random.default_rng(1)
     idf = rng.uniform(1, 4, 30)

@@ -74,7 +74,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, size: int, minmax: Min
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sig = minmax.signature(s) if len(s) else None
                 buckets.append(minmax.buckets(sig) if len(s) else None)
-                sigs.append(mix(sig).astype(np.uint16).tobytes() if len(s) else None)
+                sigs.append(mix(sig).astype(np.uint16).tobytes() + buckets[-1].tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["id", "n", "key", "buckets", "sig"]
             )
@@ -111,20 +111,22 @@ def confirm(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str, size: i
 
 def _near(held: list, bands: int, rows: int, least: int, number: int) -> list[tuple[int, int]]:
     """held: block, id, comp, sig, ... of a unit. Places of its pairs of different components that agree in `least`
-    signature values and share no band before `number`: each pair belongs to one bucket."""
+    signature values and share no bucket before that of band `number`: each pair belongs to one bucket. sig: 16 bits of each
+    signature value, then the buckets, as values that agree in 16 bits only share none."""
     if len({h[2] for h in held}) < 2:
         return []
     x, y = min(h[0] for h in held), max(h[0] for h in held)
-    sigs = np.frombuffer(b"".join(h[3] for h in held), np.uint16).reshape(len(held), -1)
+    both = np.frombuffer(b"".join(h[3] for h in held), np.uint16).reshape(len(held), -1)
+    sigs, buckets = both[:, : bands * rows], np.ascontiguousarray(both[:, bands * rows :]).view(np.int64)
     comps, blocks = np.array([h[2] for h in held]), np.array([h[0] for h in held])
     out = []
     for i in np.flatnonzero(blocks == x).tolist():
         others = np.flatnonzero((blocks == y) & (comps != comps[i]))
         if x == y:
             others = others[others > i]
-        same = sigs[others] == sigs[i]
-        first = same.reshape(len(others), bands, rows).all(2).argmax(1) if len(others) else others
-        out += [(i, k) for k in others[(same.sum(1) >= least) & (first == number)].tolist()]
+        others = others[(sigs[others] == sigs[i]).sum(1) >= least]
+        first = (buckets[others] == buckets[i]).argmax(1) if len(others) else others
+        out += [(i, k) for k in others[first == number].tolist()]
     return out
 
 
