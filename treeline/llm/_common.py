@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are runs of anything but space, tab, LF, VT, FF and CR: exactly what bytes.split() yields.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, set to a temporary one only where unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a local session gets a
+    temporary one; any other is refused, as its executors would each write to a disk of their own."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="treeline-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -35,8 +45,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a written table that all that follows has been written without."""
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that all that follows has been written without."""
+    for df in tables:
+        _delete(df)
+
+
+def lookup(rows: DataFrame, per_key: DataFrame, keys: list[str], times: str, most: int = 2000) -> DataFrame:
+    """rows joined with per_key, a written table with a row for each key that says how many of rows have it (times).
+
+    Keys of more than a share of 1 / most of these rows are fewer than most, so they are broadcast and their rows stay where
+    they are; only the others are dealt by key. So no task gets a hot key's rows."""
+    total, top = per_key.agg(F.sum(times), F.max(times)).first()
+    limit = max((total or 0) // most, 4096)
+    if not top or top <= limit:
+        return rows.join(per_key, keys)
+    hot, rest = per_key.where(F.col(times) > limit), per_key.where(F.col(times) <= limit)
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys))
+
+
+def _delete(df: DataFrame) -> None:
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
     path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -55,24 +83,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def utf8(values) -> list[bytes]:
     """An Arrow string column as bytes, null as empty."""
-    return [b"" if v is None else v.encode() for v in values.to_pylist()]
+    return [v or b"" for v in values.cast(pa.binary()).to_pylist()]
+
+
+def stretches(values, limit: int = 1 << 22) -> Iterator[tuple[int, list[bytes]]]:
+    """(first index, texts as bytes) of an Arrow string column in stretches of about `limit` bytes, null as empty; a longer
+    text is a stretch of its own. Only one stretch at a time is Python objects."""
+    sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
+    lo, size = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if size and size + n > limit:
+            yield lo, utf8(values.slice(lo, k - lo))
+            lo, size = k, 0
+        size += n
+    if len(values):
+        yield lo, utf8(values.slice(lo))
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C55)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-CHUNK_BYTES = 1 << 21
+def trimmed(run: Callable) -> Callable:
+    """For mapInArrow: gives what a finished task has freed back to the system, as workers are used again."""
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # not glibc
+            pass
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(max(n, CHUNK_BYTES), base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS[0][:n], _POWERS[1][:n]
+    return whole
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -82,35 +121,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of all texts, one after the other, and len(texts) + 1 offsets into them.
-
-    Words are hashed together as differences of one running polynomial, so there is no step per word in Python."""
-    hashes, counts, block, size = [], [], [], 0
-    for t in texts:
-        block.append(t)
-        size += len(t) + 1
-        if size >= CHUNK_BYTES:
-            _hash_block(block, hashes, counts)
-            block, size = [], 0
-    _hash_block(block, hashes, counts)
-    return np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int64)
-
-
-def _hash_block(block: list[bytes], hashes: list, counts: list) -> None:
-    if not block:
-        return
-    data = np.frombuffer(b" ".join(block) + b" ", np.uint8)
-    inside = ~_SPACE[data]
-    edges = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    up, down = _powers(len(data))
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)])
-    h = mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    limits = np.cumsum([len(t) + 1 for t in block])
-    at = np.searchsorted(starts, limits)
-    hashes.append(h)
-    counts.extend(np.diff(np.concatenate([[0], at])).tolist())
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+_DIGEST = xxhash.xxh3_128_digest
+
+
+def _hashes(text: bytes) -> np.ndarray:
+    """Two rows of hashes of a text's words, the halves of 128 bits of XXH3. Long texts are split in pieces of about a
+    megabyte."""
+    out, lo = [], 0
+    while lo < len(text):
+        end = _GAP.search(text, lo + (1 << 20)) if len(text) - lo > 1 << 20 else None
+        hi = end.start() if end else len(text)
+        out.append(np.frombuffer(b"".join(map(_DIGEST, text[lo:hi].split())), np.uint64).reshape(-1, 2).T)
+        lo = hi
+    return out[0] if len(out) == 1 else np.concatenate([np.zeros((2, 0), np.uint64), *out], 1)
+
+
+def word_hashes(texts: list[bytes], both: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts, one after the other, and len(texts) + 1 offsets into them; both: two rows,
+    so 128 bits for each word."""
+    parts = [_hashes(t) for t in texts]
+    at = np.concatenate([[0], np.cumsum([p.shape[1] for p in parts], dtype=np.int64)]).astype(np.int64)
+    whole = np.concatenate([np.zeros((2, 0), np.uint64), *parts], 1)
+    return (whole if both else whole[0]), at
 
 
 def windows(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
@@ -122,15 +155,3 @@ def windows(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
         out = (out ^ h[j : len(h) - n + 1 + j]) * np.uint64(0xFF51AFD7ED558CCD + 2 * seed)
         out ^= out >> np.uint64(32)
     return mix(out)
-
-
-def blocks(texts: list[bytes], limit: int = 1 << 22):
-    """(first index, texts) of stretches of about `limit` bytes; a longer text is a stretch of its own."""
-    lo, size = 0, 0
-    for k, t in enumerate(texts):
-        if size and size + len(t) > limit:
-            yield lo, texts[lo:k]
-            lo, size = k, 0
-        size += len(t)
-    if texts:
-        yield lo, texts[lo:]

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm._common import materialise, table, utf8
+from treeline.llm._common import materialise, stretches, table, trimmed
 
 _RUN = "digest binary, id bigint, n bigint, size bigint, crc bigint"
 _ARROW = pa.schema([("digest", pa.binary()), ("id", pa.int64()), ("n", pa.int64()), ("size", pa.int64()), ("crc", pa.int64())])
@@ -34,13 +34,15 @@ def digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.lower() for t in utf8(batch.column(1))]  # bytes.lower() changes A-Z only
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array([zlib.crc32(t) for t in texts], pa.int64())],
-                names=["id", "digest", "size", "crc"],
-            )
-
-    return df.select(id_col, text_col).mapInArrow(run, "id bigint, digest binary, size bigint, crc bigint")
+            ids = batch.column(0).cast(pa.int64())
+            for lo, some in stretches(batch.column(1)):
+                texts = [t.lower() for t in some]  # bytes.lower() changes A-Z only
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(lo, len(texts)), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array([zlib.crc32(t) for t in texts], pa.int64())],
+                    names=["id", "digest", "size", "crc"],
+                )
+
+    return df.select(id_col, text_col).mapInArrow(trimmed(run), "id bigint, digest binary, size bigint, crc bigint")
 
 
 def merger(keep: str):

@@ -5,20 +5,25 @@ evaluations give a signature of the same length, whose estimate is unbiased and
 `rows` values each name buckets; a pair at the threshold shares none with probability (1 - t**rows)**bands, one in a
 million with the defaults at 0.75.
 
-Documents with the same shingle set are one class from the start. In each bucket all classes are compared with the
-smallest one; what is confirmed gives components. Only in buckets that still hold several components are classes compared
-by their whole signatures, in blocks, and those pairs of different components whose estimate is within `slack` (four
-standard deviations) of the threshold are compared on full sets too, inside the block. So a large group of near copies
-costs a star, not all its pairs, and no cap drops a pair.
-
-Nulls and texts without words have an empty set, link with nothing and are their own component. A document of fewer
-than `shingle` words has one shingle, the whole sequence. Identifiers name a document: rows repeated with the same
-identifier and text get the same result. An empty table gives an empty result.
+Documents with the same shingle set are one class from the start. In each bucket all classes are compared on full sets
+with the smallest one; what is confirmed gives components. Only documents of buckets that still hold several components go
+on: they get a second, longer signature, whose bands of twice as many rows split the buckets further (a pair at the
+threshold shares none of these with probability 1.4e-6). Inside such a fine bucket the long signatures are compared, and
+those documents that have one of another component near or over the threshold (five standard deviations below it; a pair
+at the threshold is missed with probability 3e-7) get their texts and are compared on full sets there. So a row is a
+document in a bucket or a link, never a pair: a large group of near copies costs a star and no cap drops a pair.
+
+Words are hashed to 64 bits of XXH3 and shingles to 64 bits made of these; sets are compared as sets of
+such hashes. Nulls and texts without words have an empty set, link with nothing and are their own component. A document of
+fewer than `shingle` words has one shingle, the whole sequence. Rows repeated with the same identifier and text get the
+same result; rows with the same identifier and other texts each get that of their own text's class, and a link of any of
+the texts counts for the identifier. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,20 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm._common import materialise, mix, release, table, utf8, windows, word_hashes
+from treeline.llm._common import discard, lookup, materialise, mix, release, stretches, table, trimmed, windows, word_hashes
 from treeline.llm.components import components
 
 
 def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text, A-Z lower-cased."""
-    h, at = word_hashes([t.lower() for t in texts])
-    for lo, hi in zip(at[:-1], at[1:], strict=True):
-        words = h[lo:hi]
-        yield np.unique(windows(words, min(size, len(words)))) if hi > lo else np.zeros(0, np.uint64)
+    for t in texts:
+        words, _ = word_hashes([t.lower()])
+        yield np.unique(windows(words, min(size, len(words)))) if len(words) else np.zeros(0, np.uint64)
 
 
 class MinMax:
-    """values: an even number of signature values, of half as many permutations."""
+    """bands * rows: an even number of signature values, of half as many permutations."""
 
     def __init__(self, bands: int, rows: int, seed: int = 1):
         self.bands, self.rows = bands, rows
@@ -52,8 +56,10 @@ class MinMax:
     def signature(self, sets: np.ndarray) -> np.ndarray:
         low = np.full(len(self.a), 2**64 - 1, np.uint64)
         high = np.zeros(len(self.a), np.uint64)
-        for i in range(0, len(sets), 2048):
-            x = self.a[:, None] * sets[None, i : i + 2048] + self.b[:, None]
+        step = max(64, (1 << 17) // len(self.a))
+        for i in range(0, len(sets), step):
+            x = self.a[:, None] * sets[None, i : i + step]
+            x += self.b[:, None]
             x ^= x >> np.uint64(29)
             low, high = np.minimum(low, x.min(1)), np.maximum(high, x.max(1))
         return np.concatenate([low, high])[self.order]
@@ -66,157 +72,205 @@ class MinMax:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, size: int, minmax: MinMax) -> DataFrame:
+    """id, n (size of the set), key (its digest) and buckets of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).cast(pa.int64())
+            for lo, texts in stretches(batch.column(1)):
+                n, keys, buckets = [], [], []
+                for s in shingle_sets(texts, size):
+                    n.append(len(s))
+                    keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    buckets.append(minmax.buckets(minmax.signature(s)) if len(s) else None)
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, len(texts)), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], names=["id", "n", "key", "buckets"])
+
+    return df.select(id_col, text_col).mapInArrow(trimmed(run), "id bigint, n bigint, key binary, buckets array<bigint>")
+
+
+def long_signatures(texts: DataFrame, size: int, minmax: MinMax) -> DataFrame:
+    """id, n and, for each band of eight values, these values with eight bits each, as one number."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, buckets, sigs = [], [], [], []
-            for s in shingle_sets(utf8(batch.column(1)), size):
-                n.append(len(s))
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sig = minmax.signature(s) if len(s) else None
-                buckets.append(minmax.buckets(sig) if len(s) else None)
-                sigs.append(mix(sig).astype(np.uint16).tobytes() + buckets[-1].tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["id", "n", "key", "buckets", "sig"]
-            )
-
-    return df.select(id_col, text_col).mapInArrow(run, "id bigint, n bigint, key binary, buckets array<bigint>, sig binary")
-
-
-def confirm(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int, block: int = 48) -> DataFrame:
-    """The pairs (a, b) with den * intersection >= num * union of their full sets. Each a goes with at most about `block`
-    of its partners to a task, so one with very many is spread; a task holds the set of one a and one b."""
-    spread = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k"))
+            for lo, some in stretches(batch.column(1)):
+                n, sigs = [], []
+                for s in shingle_sets(some, size):
+                    n.append(len(s))
+                    sigs.append(mix(minmax.signature(s)).astype(np.uint8).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(some)), pa.array(n, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], names=["id", "n", "sig"])
+
+    return texts.select("id", "text").mapInArrow(trimmed(run), "id bigint, n bigint, sig array<bigint>")
+
+
+def confirm(texts: DataFrame, pairs: DataFrame, size: int, num: int, den: int, block: int = 48) -> DataFrame:
+    """texts: id, text. pairs: a, b, a written table. Those with den * intersection >= num * union of their full sets. Each a
+    goes with at most about `block` of its partners to a task, so one with very many is spread; a task holds the set of one
+    a and one b."""
+    spark = texts.sparkSession
+    spread = materialise(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("times")).withColumn("k", F.ceil(F.col("times") / block).cast("int")), "spread")
     ours = spread.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"), F.lit(0).alias("side"))
-    theirs = pairs.join(spread, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("salt"), F.lit(1).alias("side"))
-    roles = ours.unionByName(theirs)
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(roles, "id")
+    theirs = lookup(pairs, spread, ["a"], "times").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("salt"), F.lit(1).alias("side"))
+    rows = texts.join(ours.unionByName(theirs), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, own = None, None
+        a, own, compared = None, [], False
         for batch in batches:
             ids, aa, sides, found = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), []
-            for i, s in enumerate(shingle_sets(utf8(batch.column(3)), size)):
-                if sides[i] == 0:
-                    a, own = aa[i], s
-                    continue
-                assert a == aa[i]
-                both = len(np.intersect1d(own, s, assume_unique=True))
-                if both and den * both >= num * (len(own) + len(s) - both):
-                    found.append((a, ids[i]))
+            for lo, some in stretches(batch.column(3)):
+                for i, s in enumerate(shingle_sets(some, size), lo):
+                    if sides[i] == 0:
+                        own = [*own, s] if a == aa[i] and not compared else [s]
+                        a, compared = aa[i], False
+                        continue
+                    assert a == aa[i]
+                    compared = True
+                    for x in own:
+                        if den * min(len(x), len(s)) >= num * max(len(x), len(s)):
+                            both = len(np.intersect1d(x, s, assume_unique=True))
+                            if both and den * both >= num * (len(x) + len(s) - both):
+                                found.append((a, ids[i]))
+                                break
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    dealt = texts.repartition(max(texts.sparkSession.sparkContext.defaultParallelism, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "a", "salt")
-    return dealt.sortWithinPartitions("a", "salt", "side").select("id", "a", "side", "text").mapInArrow(run, "a bigint, b bigint")
-
-
-def _near(held: list, bands: int, rows: int, least: int, number: int) -> list[tuple[int, int]]:
-    """held: block, id, comp, sig, ... of a unit. Places of its pairs of different components that agree in `least`
-    signature values and share no bucket before that of band `number`: each pair belongs to one bucket. sig: 16 bits of each
-    signature value, then the buckets, as values that agree in 16 bits only share none."""
-    if len({h[2] for h in held}) < 2:
-        return []
-    x, y = min(h[0] for h in held), max(h[0] for h in held)
-    both = np.frombuffer(b"".join(h[3] for h in held), np.uint16).reshape(len(held), -1)
-    sigs, buckets = both[:, : bands * rows], np.ascontiguousarray(both[:, bands * rows :]).view(np.int64)
-    comps, blocks = np.array([h[2] for h in held]), np.array([h[0] for h in held])
-    out = []
-    for i in np.flatnonzero(blocks == x).tolist():
-        others = np.flatnonzero((blocks == y) & (comps != comps[i]))
-        if x == y:
-            others = others[others > i]
-        others = others[(sigs[others] == sigs[i]).sum(1) >= least]
-        first = (buckets[others] == buckets[i]).argmax(1) if len(others) else others
-        out += [(i, k) for k in others[first == number].tolist()]
-    return out
+    dealt = rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "a", "salt")
+    return dealt.sortWithinPartitions("a", "salt", "side").select("id", "a", "side", "text").mapInArrow(trimmed(run), "a bigint, b bigint")
+
 
+class Near:
+    """Pairs of a unit's rows (i, id, comp, n, sig) of different components that are near by their long signatures: pairs at
+    the threshold agree in `least` of the values at least. A pair belongs to the first band that it shares."""
+
+    def __init__(self, num: int, den: int, values: int):
+        self.num, self.den = num, den
+        self.least = math.floor(values * num / den - 5 * math.sqrt(values * num * (den - num)) / den)
+
+    def pairs(self, band: int, held: list) -> list[tuple[int, int]]:
+        """Places of the two rows, the nearest pair first."""
+        blocks, _, comps, n = (np.array([h[k] for h in held], np.int64) for k in range(4))
+        bands = np.array([h[4] for h in held], np.int64)
+        sigs = bands.view(np.uint8)
+        cut, found = blocks.min() != blocks.max(), []
+        for i in np.flatnonzero(blocks == blocks[0]).tolist():
+            others = np.flatnonzero((comps != comps[i]) & (self.den * np.minimum(n, n[i]) >= self.num * np.maximum(n, n[i])))
+            others = others[blocks[others] != blocks[i]] if cut else others[others > i]
+            if not len(others):
+                continue
+            agree = (sigs[others] == sigs[i]).sum(1)
+            others, agree = others[agree >= self.least], agree[agree >= self.least]
+            mine = (bands[others] == bands[i]).argmax(1) == band if len(others) else others
+            found += [(-int(c), i, int(k)) for c, k in zip(agree[mine], others[mine], strict=True)]
+        return [(i, k) for _, i, k in sorted(found)]
 
-def _units(rows: DataFrame, keys: list[str], n: int, flush, schema: str, pack) -> DataFrame:
-    """Deals rows out by unit and calls flush on each unit's rows; holds one unit."""
+
+_UNIT = ["band", "key", "x", "y"]
+
+
+def _units(rows: DataFrame, flush, schema: str, kinds: list[pa.DataType]) -> DataFrame:
+    """Deals rows (_UNIT, i, id, comp, n, sig, ...) out by unit and gives what flush gives for each; holds one unit."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, held = None, []
+
+        def done() -> pa.RecordBatch:
+            out = flush(unit, held) if len({h[2] for h in held}) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
+
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:n] != unit:
-                    if held:
-                        yield pack(flush(unit, held))
-                    unit, held = row[:n], []
-                held.append(row[n:])
+            for lo in range(0, batch.num_rows, 1024):
+                for row in zip(*(c.to_pylist() for c in batch.slice(lo, 1024).columns), strict=True):
+                    if row[:4] != unit:
+                        if held:
+                            yield done()
+                        unit, held = row[:4], []
+                    held.append((*row[4:8], np.array(row[8], np.int64), *row[9:]))
         if held:
-            yield pack(flush(unit, held))
+            yield done()
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *keys).sortWithinPartitions(*keys, "id").mapInArrow(run, schema)
-
-
-def close_links(tagged: DataFrame, texts: DataFrame, size: int, num: int, den: int, minmax: MinMax, least: int, block: int = 256) -> DataFrame:
-    """tagged: bucket, band, id, comp, sig of buckets with several components. The links between components, as a, b.
-
-    Buckets are cut into blocks; each two blocks of one are a unit. A unit's signatures say which documents have a near one
-    of another component; only these are joined with their texts, once for each unit, and compared there on full sets, but
-    for pairs that links of the unit already connect. So no pair is a row but a link."""
-    bands, per = minmax.bands, minmax.rows
-    many = tagged.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k"))
-    own = tagged.join(many, "bucket").withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    meet = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("bucket", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "band", "i", "id", "comp", "sig")
-    keys = ["bucket", "x", "y"]
-    names = [*keys, "band", "i", "id", "comp", "sig"]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    return rows.repartition(parts, *_UNIT).sortWithinPartitions(*_UNIT, "id").mapInArrow(trimmed(run), schema)
+
+
+def close_links(texts: DataFrame, tagged: DataFrame, size: int, num: int, den: int, block: int = 2048, shingles: int = 1 << 21) -> DataFrame:
+    """tagged: id, comp of the documents of buckets with several components; texts: id, text of at least these. The links
+    between components, as a, b.
+
+    Fine buckets are units; those of more than `block` members or of many more than `shingles` shingles are cut into blocks,
+    of which each two are a unit. A unit's signatures say which documents have a near one of another component; only these
+    get their texts and are compared on full sets, the nearest first, but for pairs that links of the unit already connect."""
+    wide = materialise(long_signatures(texts.join(tagged.select("id"), "id", "left_semi"), size, MinMax(128, 8, seed=2)), "wide")
+    own = materialise(wide.join(tagged, "id"), "own")
+    fine = own.select("comp", "n", F.posexplode("sig").alias("band", "key")).groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("times"), F.sum("n").alias("all"))
+    cuts = F.ceil(F.greatest(F.col("times") / block, F.col("all") / shingles)).cast("int")
+    fine = materialise(fine.where("lo < hi").select("band", "key", "times", cuts.alias("k")), "fine")
+    # signatures are long, so that only those of members are dealt
+    members = lookup(own.select("id", F.posexplode("sig").alias("band", "key")), fine, ["band", "key"], "times").select("id", "band", "key", "k").join(own, "id")
+    rest = ["id", "comp", "n", "sig"]
+    whole = members.where("k = 1").select("band", "key", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("i"), *rest)
+    cut = members.where("k > 1").withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    cut = cut.select("band", "key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", *rest)
+    near = Near(num, den, 1024)
 
     def involved(unit: tuple, held: list) -> list[tuple]:
-        rest = [h[1:] for h in held]
-        places = sorted({p for pair in _near(rest, bands, per, least, held[0][0]) for p in pair})
-        return [(*unit, *held[p]) for p in places]
-
-    pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, types, strict=True)], names=names)
-    some = materialise(_units(meet, keys, 3, involved, "bucket bigint, x int, y int, band int, i int, id bigint, comp bigint, sig binary", pack), "involved")
+        return [(*unit, *held[p]) for p in sorted({p for pair in near.pairs(unit[0], held) for p in pair})]
 
     def links(unit: tuple, held: list) -> list[tuple[int, int]]:
-        rest, sets, up, out = [h[1:] for h in held], list(shingle_sets([(h[5] or "").encode() for h in held], size)), {}, []
+        sets, up, out = {}, {}, []
 
         def top(c: int) -> int:
             while c in up:
                 c = up[c]
             return c
 
-        for i, k in _near(rest, bands, per, least, held[0][0]):
-            a, b = top(rest[i][2]), top(rest[k][2])
-            if a == b:
-                continue
-            both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
-            if both and den * both >= num * (len(sets[i]) + len(sets[k]) - both):
-                up[max(a, b)] = min(a, b)
-                out.append((rest[i][1], rest[k][1]))
+        def shingles_of(p: int) -> np.ndarray:
+            if p not in sets:
+                sets[p] = next(shingle_sets([(held[p][5] or "").encode()], size))
+            return sets[p]
+
+        for i, k in near.pairs(unit[0], held):
+            a, b = top(held[i][2]), top(held[k][2])
+            if a != b:
+                x, y = shingles_of(i), shingles_of(k)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both and den * both >= num * (len(x) + len(y) - both):
+                    up[max(a, b)] = min(a, b)
+                    out.append((held[i][1], held[k][1]))
         return out
 
-    pack2 = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
-    full = some.join(texts, "id").select(*names, "text")
-    return _units(full, keys, 3, links, "a bigint, b bigint", pack2)
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    some = materialise(_units(whole.unionByName(cut), involved, "band int, key bigint, x int, y int, i int, id bigint, comp bigint, n bigint, sig array<bigint>", kinds), "involved")
+    out = materialise(_units(some.join(texts, "id").select(*some.columns, "text"), links, "a bigint, b bigint", [pa.int64(), pa.int64()]), "links")
+    discard(own, wide, fine, some)
+    return out
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 75, den: int = 100, bands: int = 36, rows: int = 4, slack: float = 0.15) -> DataFrame:
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 75, den: int = 100, bands: int = 36, rows: int = 4) -> DataFrame:
     """A row for each row of df: id_col, n_shingles, component_id, kept."""
-    minmax = MinMax(bands, rows)
-    sigs = materialise(signatures(df, id_col, text_col, size, minmax), "signatures")
+    sigs = materialise(signatures(df, id_col, text_col, size, MinMax(bands, rows)), "signatures")
     classes = materialise(sigs.where("key is not null").groupBy("key").agg(F.min("id").alias("rep")), "classes")
-    reps = sigs.join(classes, (sigs.id == classes.rep) & (sigs.key == classes.key)).select("id", "buckets", "sig")
-    entries = materialise(reps.select(F.posexplode("buckets").alias("band", "bucket"), "id").distinct(), "buckets")
-    heads = entries.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("bucket", "a")
-    shared = materialise(entries.join(heads, "bucket"), "shared")
+    reps = sigs.join(classes, (sigs.id == classes.rep) & (sigs.key == classes.key)).select("id", "buckets")
+    entries = materialise(reps.select(F.explode("buckets").alias("bucket"), "id").distinct(), "buckets")
+    heads = materialise(entries.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count(F.lit(1)).alias("times")).where("a < z").drop("z"), "heads")
+    shared = materialise(lookup(entries, heads, ["bucket"], "times").select("bucket", "id", "a"), "shared")
+    discard(entries, heads)
     # all that is compared on full sets: documents that share a bucket
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(shared.select("id").distinct(), "id")
     texts = materialise(texts, "texts")
     release(df.sparkSession)
     first = materialise(shared.where("id <> a").select("a", F.col("id").alias("b")).distinct(), "pairs")
-    links = materialise(confirm(texts, first, "id", "text", size, num, den), "links")
+    links = materialise(confirm(texts, first, size, num, den), "links")
     release(df.sparkSession)
     nodes = components(links)
-    tagged = shared.join(nodes, shared.id == nodes.node, "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = tagged.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    left = materialise(tagged.join(mixed, "bucket").join(reps.select("id", "sig"), "id").select("bucket", "band", "id", "comp", "sig"), "mixed")
-    more = materialise(close_links(left, texts.dropDuplicates(["id"]), size, num, den, minmax, round((num / den - slack) * bands * rows)), "links")
+    discard(first, links)
+    tagged = materialise(shared.join(nodes, shared.id == nodes.node, "left").select("bucket", "id", F.coalesce("component", "id").alias("comp")), "tagged")
+    mixed = materialise(tagged.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("times")).where("lo < hi").select("bucket", "times"), "mixed")
+    left = materialise(lookup(tagged, mixed, ["bucket"], "times").select("id", "comp").distinct(), "left")
+    discard(shared, tagged, mixed)
+    more = close_links(texts, left, size, num, den)
+    discard(left, texts)
     release(df.sparkSession)
-    if more.limit(1).count():
+    if not more.isEmpty():
         nodes = components(nodes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     whole = classes.join(nodes, classes.rep == nodes.node, "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     out = sigs.select("id", "n", "key").join(whole, "key", "left").withColumn("component_id", F.coalesce("component_id", "id"))

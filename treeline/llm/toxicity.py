@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treeline.llm._common import blocks, materialise, table, utf8, windows, word_hashes
+from treeline.llm._common import materialise, stretches, table, windows, word_hashes
 
 _TRIM = ".,;:!?\"'()[]{}*%#|<>&/-_…«»“”¿¡"
 _PREFIXES = (4, 5, 6)
@@ -202,7 +202,7 @@ def sketched(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sketches = []
-            for _, texts in blocks(utf8(batch.column(1))):
+            for _, texts in stretches(batch.column(1)):
                 h, at = word_hashes([t.lower() for t in texts])
                 sketches += [int(windows(h[a:b], min(3, b - a)).min() >> np.uint64(1)) if b > a else 0 for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sketches, pa.int64())], names=["id", "text", "y", "sketch"])
