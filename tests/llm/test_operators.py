@@ -90,6 +90,23 @@ def test_bpe(spark, docs):
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and r.decoded_sha256 == hashlib.sha256(want[r.doc_id].encode()).hexdigest()
 
 
+def test_bpe_random_characters():
+    import random
+
+    import tiktoken
+
+    path, pattern = bpe.tokenizer()
+    codec, rng = bpe.Encoder(path, pattern), random.Random(1)
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=codec.machine.ranks, special_tokens={})
+    spans = [(0x20, 0x7F), (0x80, 0x250), (0x250, 0xD800), (0xE000, 0xFFFE), (0x10000, 0x20000), (0x30000, 0x33000)]
+    for _ in range(4000):
+        text = "".join(rng.choice(["'s", " ", "e", "7", *[chr(rng.randrange(*rng.choice(spans)))] * 6]) for _ in range(rng.randrange(1, 40)))
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == own.encode_ordinary(text)
+    codec.STEP = 50  # long texts are cut
+    text = " ".join("".join(rng.choice("ab é漢1!\n") for _ in range(rng.randrange(0, 9))) for _ in range(3000))
+    assert np.frombuffer(codec.encode(text), "<u4").tolist() == own.encode_ordinary(text)
+
+
 def test_transducer_settles():
     path, pattern = bpe.tokenizer()
     codec = bpe.Encoder(path, pattern, most_pieces=3)

@@ -86,18 +86,23 @@ def utf8(values) -> list[bytes]:
     return [v or b"" for v in values.cast(pa.binary()).to_pylist()]
 
 
-def stretches(values, limit: int = 1 << 22) -> Iterator[tuple[int, list[bytes]]]:
-    """(first index, texts as bytes) of an Arrow string column in stretches of about `limit` bytes, null as empty; a longer
-    text is a stretch of its own. Only one stretch at a time is Python objects."""
+def strings(values) -> list[str]:
+    """An Arrow string column as strings, null as empty."""
+    return [v or "" for v in values.to_pylist()]
+
+
+def stretches(values, limit: int = 1 << 22, read: Callable = utf8) -> Iterator[tuple[int, list]]:
+    """(first index, texts as `read` gives them) of an Arrow string column in stretches of about `limit` bytes, null as empty;
+    a longer text is a stretch of its own. Only one stretch at a time is Python objects."""
     sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
     lo, size = 0, 0
     for k, n in enumerate(sizes.tolist()):
         if size and size + n > limit:
-            yield lo, utf8(values.slice(lo, k - lo))
+            yield lo, read(values.slice(lo, k - lo))
             lo, size = k, 0
         size += n
     if len(values):
-        yield lo, utf8(values.slice(lo))
+        yield lo, read(values.slice(lo))
 
 
 def trimmed(run: Callable) -> Callable:

@@ -8,6 +8,10 @@ the tokens on which they still differ; what all of them share is emitted at once
 bounded by the longest token. Subsets and transitions are built on first use and dropped together
 when their number passes a bound, which changes no result.
 
+Texts are cut by the pattern as the library cuts them. What Python's tables call unassigned may be a letter or a number in
+the library's: such a character's class is asked of the library when it is first met, and texts that hold one are cut with
+characters of these classes in their places.
+
 Nulls count as empty texts; an empty text has no tokens. Columns besides the id and the text are ignored.
 """
 
@@ -18,6 +22,7 @@ import functools
 import hashlib
 import re
 import sys
+import unicodedata
 from array import array
 from collections.abc import Iterator
 
@@ -25,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm._common import table
+from treeline.llm._common import stretches, strings, table, trimmed
 
 ROOT = 0
 
@@ -233,18 +238,32 @@ class Utf8Machine:
         return out
 
 
+@functools.cache
+def unassigned() -> re.Pattern:
+    """Finds a character that Python's tables call unassigned."""
+    odd = [k for k in range(0x110000) if unicodedata.category(chr(k)) == "Cn"]
+    ends = [k for k, nxt in zip(odd, [*odd[1:], -1], strict=True) if nxt != k + 1]
+    starts = [k for k, before in zip(odd, [-1, *odd[:-1]], strict=True) if before != k - 1]
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True)) + "]")
+
+
 class Encoder:
     """Texts to ids and back. Pre-tokens are cut by the pattern; whole pieces between single spaces are remembered."""
 
     #: A space before white space or the end: only then can a match reach over a space.
     _ODD = re.compile(r" (?:\s|\Z)")
+    #: Where a match always begins.
+    _CUT = re.compile(r"(?<=\S) (?=\S)")
+    #: Characters of a text that are cut at once.
+    STEP = 1 << 20
 
     def __init__(self, path: str, pattern: str, most_pieces: int = 160_000):
         import regex
 
         with open(path, "rb") as f:
             self.machine = Transducer({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
-        self.split = regex.compile(pattern).findall
+        self.pattern, self.split = pattern, regex.compile(pattern).findall
+        self.plain: dict[str, str] = {}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.most = most_pieces
@@ -280,7 +299,39 @@ class Encoder:
             return out
         return b"".join([self._ids(x) for x in self.split(piece)])
 
+    def _like(self, char: str) -> str:
+        """A character that all tables know, of the class that the library's have the given one in."""
+        if (out := self.plain.get(char)) is None:
+            import tiktoken
+
+            whole = {kind: (kind + char).encode() for kind in "a1"}
+            ranks = {bytes([k]): k for k in range(256)} | {b: 256 + k for k, b in enumerate(whole.values())}
+            library = tiktoken.Encoding("classes", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+            one = [kind for kind in "a1" if len(library.encode_ordinary(kind + char)) == 1]
+            out = self.plain[char] = {"a": "é", "1": "7"}[one[0]] if one else "§"
+        return out
+
     def encode(self, text: str) -> bytes:
+        if len(text) <= self.STEP:
+            return self._encode(text)
+        out, lo = [], 0
+        while lo < len(text):
+            cut = self._CUT.search(text, lo + self.STEP)
+            hi = cut.start() if cut else len(text)
+            out.append(self._encode(text[lo:hi]))
+            lo = hi
+        return b"".join(out)
+
+    def _encode(self, text: str) -> bytes:
+        try:
+            text.encode("latin-1")  # all assigned
+        except UnicodeEncodeError:
+            if unassigned().search(text):
+                out, lo = [], 0
+                for piece in self.split(unassigned().sub(lambda m: self._like(m[0]), text)):
+                    out.append(self._ids(text[lo : lo + len(piece)]))
+                    lo += len(piece)
+                return b"".join(out)
         if self._ODD.search(text):
             pieces = self.split(text)
         else:
@@ -318,32 +369,33 @@ def encode_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(path, pattern)
         for batch in batches:
-            rows: dict[str, list] = {"n": [], "a": [], "b": [], "ids": [], "text": []}
-            for t in batch.column(1).to_pylist():
-                packed = codec.encode(t or "")
-                digest, parts = hashlib.sha256(), []
-                for data, part in codec.decode(packed):
-                    digest.update(data)
+            for lo, some in stretches(batch.column(1), read=strings):
+                rows: dict[str, list] = {"n": [], "a": [], "b": [], "ids": [], "text": []}
+                for t in some:
+                    packed = codec.encode(t)
+                    digest, parts = hashlib.sha256(), []
+                    for data, part in codec.decode(packed):
+                        digest.update(data)
+                        if text:
+                            parts.append(part)
+                    rows["n"].append(len(packed) // 4)
+                    rows["a"].append(hashlib.sha256(packed).hexdigest())
+                    rows["b"].append(digest.hexdigest())
+                    if ids:
+                        rows["ids"].append(np.frombuffer(packed, "<u4").astype(np.int32))
                     if text:
-                        parts.append(part)
-                rows["n"].append(len(packed) // 4)
-                rows["a"].append(hashlib.sha256(packed).hexdigest())
-                rows["b"].append(digest.hexdigest())
+                        rows["text"].append("".join(parts))
+                out = [batch.column(0).slice(lo, len(some)).cast(pa.int64()), pa.array(rows["n"], pa.int64()), pa.array(rows["a"], pa.string()), pa.array(rows["b"], pa.string())]
+                names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if ids:
-                    rows["ids"].append(np.frombuffer(packed, "<u4").astype(np.int32))
+                    out.append(pa.array(rows["ids"], pa.list_(pa.int32())))
+                    names.append("ids")
                 if text:
-                    rows["text"].append("".join(parts))
-            out = [batch.column(0).cast(pa.int64()), pa.array(rows["n"], pa.int64()), pa.array(rows["a"], pa.string()), pa.array(rows["b"], pa.string())]
-            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if ids:
-                out.append(pa.array(rows["ids"], pa.list_(pa.int32())))
-                names.append("ids")
-            if text:
-                out.append(pa.array(rows["text"], pa.string()))
-                names.append("decoded_text")
-            yield pa.RecordBatch.from_arrays(out, names=names)
-
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+                    out.append(pa.array(rows["text"], pa.string()))
+                    names.append("decoded_text")
+                yield pa.RecordBatch.from_arrays(out, names=names)
+
+    return df.select(id_col, text_col).mapInArrow(trimmed(run), schema)
 
 
 def tokenizer() -> tuple[str, str]:
