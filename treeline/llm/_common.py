@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
+import functools
+import gc
 import re
 import tempfile
 import uuid
@@ -35,11 +38,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> Iterator[None]:
+    """Arrow batches of whole texts are held on both sides of the pipe to Python: inside, they are small."""
+    want = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    was = {k: spark.conf.get(k, None) for k in want}
+    for k, v in want.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df to the shared folder as Parquet and reads it again. Survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -71,9 +89,7 @@ def _delete(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets the JVM drop what is no longer referenced, so that the cleaner removes the shuffle files of finished jobs."""
-    import gc
-
-    gc.collect()
+    give_back()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -105,16 +121,37 @@ def stretches(values, limit: int = 1 << 22, read: Callable = utf8) -> Iterator[t
         yield lo, read(values.slice(lo))
 
 
+@functools.cache
+def one_thread() -> None:
+    """Matrix products on one thread: a task has a core, and OpenBLAS's threads would wait for each other busily."""
+    try:
+        with open("/proc/self/maps") as f:
+            paths = {line.split()[-1] for line in f if "openblas" in line and ".so" in line}
+    except OSError:
+        return
+    for path in paths:
+        library = ctypes.CDLL(path)
+        for name in ("openblas_set_num_threads", "openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "scipy_openblas_set_num_threads64_"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
+def give_back() -> None:
+    """Gives memory that is free back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def trimmed(run: Callable) -> Callable:
     """For mapInArrow: gives what a finished task has freed back to the system, as workers are used again."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except AttributeError:  # not glibc
-            pass
+        give_back()
 
     return whole
 

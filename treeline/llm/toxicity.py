@@ -1,4 +1,4 @@
-"""Toxicity from the nearest labelled examples by exact cosine of weighted terms.
+"""Toxicity from the nearest labelled examples by exact cosine of weighted terms, over a block-max inverted index.
 
 Fitting sees a bounded sample of labelled rows (`most_examples`, those with the smallest hashes of their identifiers, at
 most so many of each label; texts of one label that share the smallest hash of their three-word shingles, as copies do,
@@ -8,10 +8,13 @@ log odds of toxic to clean examples less two standard errors, times the square o
 `purity` times as frequent in toxic examples, even with one more clean one). Examples and texts are unit vectors over
 these and one constant term, which lets the amount of evidence count; words that no example has weigh nothing.
 
-A search has the cosines of all examples in single precision, common terms by a matrix product over some texts at once
-and the others by their postings; those within the error of the kth are computed anew in double precision. The votes of
-the k nearest, weighted by nearness and smoothed by the base rate, give the score; they are the evidence. Every text with
-words is searched; only texts without any have the smoothed rate of such examples, and no evidence.
+Examples are put in blocks of similar ones. Rare terms have postings, which are summed for all examples. Common terms, which
+make up most of the work, have for each block the largest weight there and the examples' weights; a text's weights with
+these largest ones and the block's largest sum of rare terms bound all cosines of the block. The blocks of the highest
+bounds are computed first, and then those that can still hold one of the k nearest, as matrix products over some texts at
+once. That is single precision; what is within its error of the kth is computed anew in double precision. The votes of the k nearest, weighted by nearness and smoothed by the base
+rate, give the score; they are the evidence. Every text with words is searched; only texts without any have the smoothed
+rate of such examples, and no evidence.
 
 Nulls count as empty texts. A row repeated is scored each time. Labels
 that are null are no examples; an identifier labelled twice counts as toxic if one label says so. Without any example
@@ -20,17 +23,19 @@ every score is 0.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import math
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm._common import materialise, stretches, table, windows, word_hashes
+from treeline.llm._common import give_back, materialise, one_thread, stretches, strings, table, trimmed, windows, word_hashes
 
 _TRIM = ".,;:!?\"'()[]{}*%#|<>&/-_…«»“”¿¡"
 _PREFIXES = (4, 5, 6)
@@ -71,12 +76,12 @@ def weigh(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return unit(np.array(terms, np.int64), np.array([counts[t] for t in terms], np.float64), idf)
 
 
-def index(examples: list[tuple[int, int, dict[int, int]]], terms: dict[str, int], idf: np.ndarray, weights: np.ndarray, size: int = 64) -> Model:
+def index(examples: list[tuple[int, int, dict[int, int]]], terms: dict[str, int], idf: np.ndarray, weights: np.ndarray, size: int = 256) -> Model:
     """examples: identifier, label, counts of terms."""
     return indexed([(i, y, np.array(sorted(c), np.int64), np.array([c[t] for t in sorted(c)], np.float64)) for i, y, c in examples], terms, idf, weights, size)
 
 
-def indexed(examples: list[tuple[int, int, np.ndarray, np.ndarray]], terms: dict[str, int], idf: np.ndarray, weights: np.ndarray, size: int = 64) -> Model:
+def indexed(examples: list[tuple[int, int, np.ndarray, np.ndarray]], terms: dict[str, int], idf: np.ndarray, weights: np.ndarray, size: int = 256) -> Model:
     """examples: identifier, label, terms in order, their counts."""
     rate = lambda some, more, base: (sum(e[1] * weights[e[1]] for e in some) + base) / (sum(weights[e[1]] for e in some) + more)
     base = rate(examples, 1, 0.5) if examples else 0.0
@@ -93,40 +98,77 @@ def _spans(lows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(lows - np.cumsum(sizes) + sizes, sizes)
 
 
+def alike(rows: np.ndarray, kinds: int, rounds: int = 3) -> np.ndarray:
+    """Which of some kinds each row is of: a few rounds of nearest means."""
+    means = rows[np.random.default_rng(0).choice(len(rows), min(kinds, len(rows)), replace=False)]
+    for _ in range(rounds):
+        of = (rows @ means.T - 0.5 * (means**2).sum(1)).argmax(1)
+        means = np.stack([rows[of == k].mean(0) if (of == k).any() else means[k] for k in range(len(means))])
+    return of
+
+
 class Search:
-    """The examples by term: a dense row for a term that more than `common` of them have, postings for the others."""
+    """The examples by term. A term that more than `common` of them have has a row of weights, in blocks of similar examples
+    with the largest weight of each block; the others have postings."""
 
     ERROR = 2e-5  # more than single precision is off by, on unit vectors
 
-    def __init__(self, m: Model, common: float = 0.05):
+    def __init__(self, m: Model, common: float = 0.05, block: int = 32, kinds: int = 64):
         self.m, n, size = m, len(m.ids), len(m.idf) + 1
         often = np.flatnonzero(np.bincount(m.own, minlength=size) > common * n)
         self.place = np.full(size, -1, np.int32)
         self.place[often] = np.arange(len(often))
-        rows, place = np.repeat(np.arange(n, dtype=np.int32), np.diff(m.at)), self.place[m.own]
-        self.dense = np.zeros((len(often), n), np.float32)
-        self.dense[place[place >= 0], rows[place >= 0]] = m.values[place >= 0]
+        rows, place = np.repeat(np.arange(n), np.diff(m.at)), self.place[m.own]
+        dense = np.zeros((n, len(often)), np.float32)
+        dense[rows[place >= 0], place[place >= 0]] = m.values[place >= 0]
+        self.back = np.argsort(alike(dense, kinds), kind="stable")  # the example at each place of the index
+        at = np.empty(n, np.int32)
+        at[self.back] = np.arange(n, dtype=np.int32)
+        self.edges = np.minimum(np.arange(-(-n // block) + 1) * block, n)
+        self.blocks = [np.ascontiguousarray(dense[self.back[lo:hi]].T) for lo, hi in itertools.pairwise(self.edges)]
+        self.top = np.stack([b.max(1) for b in self.blocks], 1)
+        self.first = 1 + -(-64 // block)  # blocks that are computed whatever they are bound by
         order = np.flatnonzero(place < 0)
         order = order[np.argsort(m.own[order], kind="stable")]
         self.low = np.searchsorted(m.own[order], np.arange(size + 1))
-        self.rows, self.values = rows[order], m.values[order]
+        self.rows, self.values = at[rows[order]], m.values[order].astype(np.float32)
         self.query = np.zeros(size)
+        self.computed = self.asked = 0
+
+    def _add(self, scores: np.ndarray, often: np.ndarray, rare: np.ndarray, wanted: np.ndarray) -> None:
+        """Sets the cosines of the wanted blocks, a row for each text."""
+        for b in np.flatnonzero(wanted.any(0)).tolist():
+            some, span = np.flatnonzero(wanted[:, b])[:, None], slice(self.edges[b], self.edges[b + 1])
+            to = (some, np.arange(span.start, span.stop)[None, :])
+            scores[to] = often[some[:, 0]] @ self.blocks[b] + rare[to]
+        self.computed += int(wanted.sum())
 
     def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each of texts (terms and weights of a unit vector) the places and cosines of the k nearest examples, ties to
         the smaller place."""
         m, n = self.m, len(self.m.ids)
-        often = np.zeros((len(texts), len(self.dense)), np.float32)
+        often, rare = np.zeros((len(texts), len(self.top)), np.float32), np.zeros((len(texts), n), np.float32)
         for i, (terms, w) in enumerate(texts):
             p = self.place[terms]
             often[i, p[p >= 0]] = w[p >= 0]
-        for (terms, w), scores in zip(texts, often @ self.dense, strict=True):
-            rare = self.place[terms] < 0
-            low, sizes = self.low[terms[rare]], self.low[terms[rare] + 1] - self.low[terms[rare]]
-            at = _spans(low, sizes)
-            scores = scores + np.bincount(self.rows[at], self.values[at] * np.repeat(w[rare], sizes), n)
-            least = np.partition(scores, n - k)[n - k] if k < n else -1.0
-            near = np.flatnonzero(scores >= least - self.ERROR)
+            terms, w = terms[p < 0], w[p < 0].astype(np.float32)
+            sizes = self.low[terms + 1] - self.low[terms]
+            at = _spans(self.low[terms], sizes)
+            rare[i] = np.bincount(self.rows[at], self.values[at] * np.repeat(w, sizes), n)
+        bounds = often @ self.top + np.maximum.reduceat(rare, self.edges[:-1], 1)
+        self.asked += bounds.size
+        scores = np.full((len(texts), n), -np.inf, np.float32)
+        first, wanted = min(len(self.blocks), self.first), np.zeros(bounds.shape, bool)
+        np.put_along_axis(wanted, np.argpartition(-bounds, first - 1, 1)[:, :first], True, 1)
+        self._add(scores, often, rare, wanted)
+        least = (np.partition(scores, n - k, 1)[:, n - k] if k < n else np.full(len(texts), -np.inf)) - self.ERROR
+        self._add(scores, often, rare, (bounds >= least[:, None]) & ~wanted)
+        for (terms, w), row, low in zip(texts, scores, least.tolist(), strict=True):
+            some = np.flatnonzero(row >= low)
+            found = row[some]
+            if len(found) > k:
+                some = some[found >= np.partition(found, len(found) - k)[len(found) - k] - self.ERROR]
+            near = self.back[some]
             self.query[terms] = w
             sizes = m.at[near + 1] - m.at[near]
             at = _spans(m.at[near], sizes)
@@ -141,28 +183,45 @@ def nearest(m: Model, counts: dict[int, int], k: int) -> tuple[np.ndarray, np.nd
     return next(Search(m).nearest([weigh(counts, m.idf)], k))
 
 
+class _Words(dict):
+    """The known terms of each word met so far."""
+
+    def __init__(self, terms: dict[str, int]):
+        self.known = terms.get
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        core, get, out = word.strip(_TRIM), self.known, ()
+        # an example with a longer beginning or the whole word has the shorter ones too
+        if len(core) < 4:
+            if core and (t := get(core)) is not None:
+                out = (t,)
+        elif (a := get(core[:4] + "*")) is not None:
+            out, b, c = (a,), None, None
+            if len(core) > 4 and (b := get(core[:5] + "*")) is not None:
+                out = (a, b)
+                if len(core) > 5 and (c := get(core[:6] + "*")) is not None:
+                    out = (a, b, c)
+            if (c if len(core) > 5 else b if len(core) > 4 else a) is not None and (t := get(core)) is not None:
+                out += (t,)
+        self[word] = out
+        return out
+
+
 class Scorer:
     def __init__(self, model: Model, k: int, most: int = 200_000):
         self.model, self.k, self.most = model, k, most
         self.search = Search(model) if len(model.ids) else None
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words = _Words(model.terms)
         self.known: dict[bytes, tuple[float, list[int]]] = {}
 
-    def word(self, word: str) -> tuple[int, ...]:
-        out = tuple(t for x in terms_of(word) if (t := self.model.terms.get(x)) is not None)
-        if len(word) <= 64:
-            if len(self.words) >= self.most:
-                self.words.clear()
-            self.words[word] = out
-        return out
-
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The known terms of a text in order, and how often it has each."""
-        get, out = self.words.get, []
-        for word in text.lower().split():
-            terms = get(word)
-            out += self.word(word) if terms is None else terms
-        return np.unique(np.array(out, np.int64), return_counts=True)
+        if len(self.words) > self.most:
+            self.words.clear()
+        terms = np.fromiter(itertools.chain.from_iterable(map(self.words.__getitem__, text.lower().split())), np.int64)
+        terms.sort()
+        first = np.flatnonzero(np.diff(terms, prepend=-1))
+        return terms[first], np.diff(first, append=len(terms))
 
     def score(self, texts: list[str]) -> list[tuple[float, list[int]]]:
         """The score of each text and the identifiers of its nearest examples."""
@@ -213,9 +272,14 @@ def sketched(rows: DataFrame) -> DataFrame:
 def fit(df: DataFrame, labels: DataFrame, learn: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_examples: int = 3000, purity: float = 20.0, seed: int = 5) -> Model:
     """Learns from rows of labels whose identifier passes `learn`, at most most_examples of each label."""
     rows = labels.where(learn(F.col(id_col)) & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
-    by_hash = Window.partitionBy("y").orderBy(F.xxhash64(F.lit(seed), id_col), id_col)
+    rows = rows.withColumn("at", F.xxhash64(F.lit(seed), id_col))
     whole = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = rows.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= most_examples).select(F.col(id_col).cast("bigint").alias("id"), "y")
+    some = []
+    for y, n in sorted(whole.items()):
+        # half as many again as wanted lie below the limit, twenty standard deviations more than needed
+        limit = min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, 1.5 * most_examples / n)))
+        some.append(rows.where((F.col("y") == y) & (F.col("at") <= limit)).orderBy("at", id_col).limit(most_examples))
+    rows = functools.reduce(DataFrame.unionByName, some, rows.limit(0)).select(F.col(id_col).cast("bigint").alias("id"), "y")
     own = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(rows), "id")  # at most 2 * most_examples rows
     own = materialise(sketched(own).groupBy("sketch", "y").agg(F.min_by("text", "id").alias("text"), F.min("id").alias("id")).repartition(df.sparkSession.sparkContext.defaultParallelism, "id"), "examples")
 
@@ -234,33 +298,37 @@ def fit(df: DataFrame, labels: DataFrame, learn: Callable[[Column], Column], id_
     weights = np.array([whole.get(y, 0) / max(sums.get(y, 0), 1) for y in (0, 1)])
     weights = weights / (weights.max() or 1.0)
     found_terms = df_terms.orderBy("term").toArrow()
-    terms = {t: k for k, t in enumerate(found_terms["term"].to_pylist())}
+    terms = {t.as_py(): k for k, t in enumerate(found_terms["term"])}
     a, b = (found_terms[x].to_numpy().astype(np.float64) for x in "ab")
+    del found_terms
     idf = (np.log((1 + toxic + clean) / (1 + a + b)) + 1) * (FLOOR + told(a, b, toxic, clean, purity))
     scorer = Scorer(Model(terms, idf, *[np.zeros(0, np.int64)] * 6, 1, 0.0, 0.0), 1)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = [scorer.counts(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([t for t, _ in counts], pa.list_(pa.int64())), pa.array([c for _, c in counts], pa.list_(pa.int64()))], names=["id", "y", "t", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([x[k].astype(np.int32) for x in counts], pa.list_(pa.int32())) for k in (0, 1))], names=["id", "y", "t", "c"])
 
-    examples = own.select("id", "text", "y").mapInArrow(vectors, "id bigint, y int, t array<bigint>, c array<bigint>").toArrow()
-    columns = [examples["id"].to_pylist(), examples["y"].to_pylist(), *([x.values.to_numpy(zero_copy_only=False) for x in examples[k]] for k in "tc")]
+    examples = own.select("id", "text", "y").mapInArrow(trimmed(vectors), "id bigint, y int, t array<int>, c array<int>").toArrow()
+    columns = [examples["id"].to_pylist(), examples["y"].to_pylist(), *([x.values.to_numpy() for x in examples[k]] for k in "tc")]
     return indexed(list(zip(*columns, strict=True)), terms, idf, weights)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", k: int = 15) -> DataFrame:
     """id_col, score and evidence (identifiers of the nearest examples) of every whole text."""
-    held: list[Scorer] = []
+    shared = df.sparkSession.sparkContext.broadcast(model)  # at most twice most_examples vectors
+    del model
+    give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            held.append(Scorer(model, k))
+        one_thread()
+        scorer = Scorer(shared.value, k)
         for batch in batches:
-            out = held[0].score([t or "" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.int64()))], names=[id_col, "score", "evidence"])
+            for lo, some in stretches(batch.column(1), read=strings):
+                out = scorer.score(some)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(some)).cast(pa.int64()), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.int64()))], names=[id_col, "score", "evidence"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` bigint, score double, evidence array<bigint>")
+    return df.select(id_col, text_col).mapInArrow(trimmed(run), f"`{id_col}` bigint, score double, evidence array<bigint>")
 
 
 THRESHOLD = 0.3
