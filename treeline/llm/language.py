@@ -14,16 +14,19 @@ example every text is `und`.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm._common import materialise, table
+from treeline.llm._common import materialise, stretches, strings, table, trimmed
 
 #: Where the blocks of scripts begin in Unicode, in order; what lies between is common.
 SCRIPTS = [
@@ -36,8 +39,6 @@ _FROM = [a for a, _ in SCRIPTS]
 
 def script(word: str) -> str:
     """The script of a word's first letter."""
-    from bisect import bisect_right
-
     c = next((c for c in word if c.isalpha()), None)
     return SCRIPTS[max(0, bisect_right(_FROM, ord(c)) - 1)][1] if c else "none"
 
@@ -54,16 +55,28 @@ def letters(token: str) -> str:
 
 class Model(NamedTuple):
     langs: list[str]
-    grams: dict[str, tuple[float, ...]]
-    floor: tuple[float, ...]
+    #: The row of each trigram in scores; row 0 is that of all others.
+    grams: dict[str, int]
+    scores: np.ndarray
     scripts: dict[str, frozenset[int]]
 
 
+class _Grams(dict):
+    def __missing__(self, gram: str) -> int:
+        return 0
+
+
 class Labeller:
-    """Spans of one text. Word scores are rows of a table, remembered by token."""
+    """Spans of one text. Word scores are rows of a table, remembered by token; those of a text's new words are computed
+    together."""
 
     def __init__(self, model: Model, penalty: float = 8.0, cut: float = 6.0, most: int = 200_000):
         self.model, self.penalty, self.cut, self.most = model, penalty, cut, most
+        n = len(model.langs)
+        self.grams = _Grams(model.grams)
+        every = np.ones(n, bool)
+        self.allowed = {s: np.isin(np.arange(n), list(some)) if some else every for s, some in model.scripts.items()}
+        self.every = every
         self._forget()
 
     def _forget(self) -> None:
@@ -73,27 +86,30 @@ class Labeller:
         self.scores = np.zeros((1024, n), np.float64)
         self.sizes = np.zeros(1024, np.int64)
 
-    def word(self, word: str) -> list[float]:
-        """Scores by language, the best one 0 and none below -cut."""
-        m, n = self.model, len(self.model.langs)
-        some = m.scripts.get(script(word)) or range(n)
-        get, floor = m.grams.get, m.floor
-        total = [sum(p) for p in zip(*[get(g, floor) for g in trigrams(word)], strict=True)]
-        top = max(total[k] for k in some)
-        return [max(total[k] - top, -self.cut) if k in some else -self.cut for k in range(n)]
-
-    def _add(self, token: str) -> int:
-        word = letters(token)
-        if (at := self.words.get(word)) is not None:
-            self.rows[token] = at
-            return at
-        at = len(self.words)
-        if at >= len(self.scores):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        self.scores[at], self.sizes[at] = self.word(word), len(word)
-        self.rows[token] = self.words[word] = at
-        return at
+    def score(self, words: list[str]) -> np.ndarray:
+        """Scores of words by language, the best one 0 and none below -cut."""
+        grams = list(map(trigrams, words))
+        rows = np.fromiter(map(self.grams.__getitem__, itertools.chain.from_iterable(grams)), np.int64)
+        starts = np.cumsum([0, *map(len, grams[:-1])])
+        total = np.add.reduceat(self.model.scores[rows], starts, 0)
+        allowed = np.stack([self.allowed.get(script(w), self.every) for w in words])
+        total[~allowed] = -np.inf
+        return np.maximum(total - total.max(1, keepdims=True), -self.cut)
+
+    def _add(self, tokens: list[str]) -> None:
+        tokens = list(dict.fromkeys(tokens))
+        words = list(map(letters, tokens))
+        new = [w for w in dict.fromkeys(words) if w not in self.words]
+        if new:
+            at = len(self.words)
+            while at + len(new) > len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+                self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+            if self.model.langs:
+                self.scores[at : at + len(new)] = self.score(new)
+            self.sizes[at : at + len(new)] = list(map(len, new))
+            self.words.update(zip(new, range(at, at + len(new)), strict=True))
+        self.rows.update(zip(tokens, map(self.words.__getitem__, words), strict=True))
 
     def path(self, s: np.ndarray) -> np.ndarray:
         """The best labels for rows of scores."""
@@ -121,7 +137,8 @@ class Labeller:
         get = self.rows.get
         at = list(map(get, tokens))
         if None in at:
-            at = [r if r is not None else (get(t) if t in self.rows else self._add(t)) for t, r in zip(tokens, at, strict=True)]
+            self._add([t for t, r in zip(tokens, at, strict=True) if r is None])
+            at = list(map(get, tokens))
         rows = np.array(at, np.int64)
         rows = rows[rows > 0]
         if not len(rows) or not self.model.langs:
@@ -140,13 +157,16 @@ class Labeller:
         return self.model.langs[lead], float(share[lead] / share.sum()), spans
 
 
-def fit(df: DataFrame, learn: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_texts: int = 1500, most_grams: int = 60_000, seed: int = 3) -> Model:
+def fit(df: DataFrame, learn: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_texts: int = 1500, seed: int = 3) -> Model:
     """Learns from rows whose identifier passes `learn` and whose language is known, at most most_texts of each."""
     rows = df.where(learn(F.col(id_col)) & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(lang_col).alias("lang"))
-    for parts in (["lang", F.pmod(F.xxhash64("id"), F.lit(64))], ["lang"]):  # no task sees a whole language: the first pass leaves at most 64 * most_texts of each
-        by_hash = Window.partitionBy(*parts).orderBy(F.xxhash64(F.lit(seed), "id"), "id")
-        rows = rows.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= most_texts).select("id", "lang")
-    rows = rows.dropDuplicates(["id"])
+    rows = rows.withColumn("at", F.xxhash64(F.lit(seed), "id"))
+    some = []
+    for x, n in sorted((r.lang, r.n) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()):
+        # half as many again as wanted lie below the limit, far more standard deviations than needed
+        limit = min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, 1.5 * most_texts / n)))
+        some.append(rows.where((F.col("lang") == x) & (F.col("at") <= limit)).orderBy("at", "id").limit(most_texts))
+    rows = F.broadcast(functools.reduce(DataFrame.unionByName, some, rows.limit(0)).select("id", "lang").dropDuplicates(["id"]))  # at most most_texts of each language
     own = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(rows, "id")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,30 +194,30 @@ def fit(df: DataFrame, learn: Callable[[Column], Column], id_col: str = "doc_id"
         scripts.setdefault(r.gram[1:], [0.0] * len(langs))[at[r.lang]] = r.n
     whole = [sum(v[k] for v in scripts.values()) or 1 for k in range(len(langs))]
     totals = {r.lang: (r.n, r.k) for r in sums.where("gram not like '=%'").groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect()}
-    grams: dict[str, list[float]] = {}
-    frequent = sums.where("gram not like '=%'").groupBy("gram").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "gram").limit(most_grams)
-    floor = tuple(math.log(0.1 / (totals.get(x, (0, 0))[0] + 0.1 * (totals.get(x, (0, 0))[1] + 1))) for x in langs)
-    for r in sums.join(frequent, "gram").collect():  # at most most_grams rows for each language
-        grams.setdefault(r.gram, list(floor))[at[r.lang]] = math.log((r.n + 0.1) / (totals[r.lang][0] + 0.1 * (totals[r.lang][1] + 1)))
-    return Model(langs, {g: tuple(p) for g, p in grams.items()}, floor, {s: frozenset(k for k in range(len(langs)) if v[k] / whole[k] >= 0.01) for s, v in scripts.items()})
+    floor = [math.log(0.1 / (totals.get(x, (0, 0))[0] + 0.1 * (totals.get(x, (0, 0))[1] + 1))) for x in langs]
+    found_grams = sums.where("gram not like '=%'").toArrow()  # of the texts of a bounded sample
+    names, of, times = (found_grams[c].to_pylist() for c in ("gram", "lang", "n"))
+    grams = {g: k for k, g in enumerate(sorted(set(names)), 1)}
+    scores = np.tile(np.array(floor), (len(grams) + 1, 1))
+    for g, x, n in zip(names, of, times, strict=True):
+        scores[grams[g], at[x]] = math.log((n + 0.1) / (totals[x][0] + 0.1 * (totals[x][1] + 1)))
+    return Model(langs, grams, scores, {s: frozenset(k for k in range(len(langs)) if v[k] / whole[k] >= 0.01) for s, v in scripts.items()})
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = 8.0) -> DataFrame:
     """id_col, lang_pred, score and spans (language and number of words) of every whole text."""
-    held: list[Labeller] = []
-    shared = df.sparkSession.sparkContext.broadcast(model)  # at most most_grams trigrams
+    shared = df.sparkSession.sparkContext.broadcast(model)  # trigrams of a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            held.append(Labeller(shared.value, penalty))
+        labeller = Labeller(shared.value, penalty)
         kind = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
         for batch in batches:
-            out = [held[0].label(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array([x[0] for x in out]), pa.array([x[1] for x in out]), pa.array([[{"lang": a, "words": n} for a, n in x[2]] for x in out], kind)], names=[id_col, "lang_pred", "score", "spans"]
-            )
+            for lo, some in stretches(batch.column(1), read=strings):
+                out = list(map(labeller.label, some))
+                spans = pa.array([[{"lang": a, "words": n} for a, n in x[2]] for x in out], kind)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(some)).cast(pa.int64()), pa.array([x[0] for x in out]), pa.array([x[1] for x in out]), spans], names=[id_col, "lang_pred", "score", "spans"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` bigint, lang_pred string, score double, spans array<struct<lang: string, words: bigint>>")
+    return df.select(id_col, text_col).mapInArrow(trimmed(run), f"`{id_col}` bigint, lang_pred string, score double, spans array<struct<lang: string, words: bigint>>")
 
 
 def held_out(x: Column) -> Column:
