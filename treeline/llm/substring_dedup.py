@@ -4,15 +4,17 @@ Windows of a quarter of the wanted length come first, only at anchors: in every
 quarter with the smallest hash. Equal stretches have equal anchors, so no repeat is missed. Anchors whose hash occurs once
 are dropped; the others are extended to twice their length, to the right and to the left, and those that occur once are
 dropped again; what is left is extended to the wanted length, at every start that holds such a half. Windows found twice
-at this last level decide. Hashes of a level are made of two of the level before; the last has 128 bits.
+at this last level decide. Hashes of a level are made of two of the level before. Words have two 64-bit hashes, halves of
+128 bits of XXH3; the last level is made from both apart and compares 96 bits (128 within a unit), so two windows among
+10**13 that differ are taken for equal with probability below 0.001.
 
-Counting is a partial aggregation by hash, and decisions come back by a join on the hash, which splits a frequent one's
-rows among tasks. At the last level documents with candidates are packed into units of some megabytes; a unit gives each
-of its windows once, so a window in a third of all documents is no more rows than units, and rows in order of the hash
-are streamed past each other. The unit gets the places of its repeated windows back.
+Counting is a partial aggregation by hash, and decisions come back by a join on the hash, in which frequent ones are
+broadcast, so that their rows are not dealt to one task. At the last level documents with candidates are packed into units
+of some megabytes; a unit gives each of its windows once, so a window in a third of all documents is no more rows than
+units, and rows in order of the hash are streamed past each other. The unit gets the places of its repeated windows back.
 
-Words are runs of anything but space and \\x09-\\x0D, unchanged; null has none. Identifiers name a document: rows repeated
-with the same identifier and text count as occurrences of each other's windows, and each gets the result.
+Words are runs of anything but space and \\x09-\\x0D, unchanged; null has none. Each row is a document: rows repeated with
+the same identifier, with equal texts or others, count as occurrences of each other's windows, and each gets its result. Rows without an identifier are no documents.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm._common import blocks, discard, materialise, mix, release, table, utf8, windows, word_hashes
+from treeline.llm._common import discard, lookup, materialise, mix, release, stretches, table, trimmed, windows, word_hashes
 
 _C = [np.uint64(c) for c in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -44,15 +47,15 @@ class Levels:
             raise ValueError("windows have four words at least")
         self.length, self.half, self.quarter = length, -(-length // 2), -(-length // 4)
 
-    def quarters(self, h: np.ndarray) -> np.ndarray:
-        return windows(h, self.quarter)
+    def quarters(self, h: np.ndarray, seed: int = 0) -> np.ndarray:
+        return windows(h, self.quarter, seed)
 
     def halves(self, quarters: np.ndarray, kind: int = 0) -> np.ndarray:
         return pair_up(quarters, self.half - self.quarter, kind)
 
     def wholes(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        q = self.quarters(h)
-        return tuple(pair_up(self.halves(q, k), self.length - self.half, k) for k in (0, 2))
+        """Two hashes of each whole window; h: both hashes of each word."""
+        return tuple(pair_up(self.halves(self.quarters(h[k // 2], k), k), self.length - self.half, k) for k in (0, 2))
 
     def anchors(self, quarters: np.ndarray, n: int) -> np.ndarray:
         """Where anchors of a document of n words begin."""
@@ -83,7 +86,7 @@ def _scan(df: DataFrame, id_col: str, text_col: str, levels: Levels) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, texts in blocks(utf8(batch.column(1))):
+            for lo, texts in stretches(batch.column(1)):
                 h, at = word_hashes(texts)
                 q = levels.quarters(h)
                 half = levels.halves(q)
@@ -102,11 +105,13 @@ def _scan(df: DataFrame, id_col: str, text_col: str, levels: Levels) -> DataFram
                 sha = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)).cast(pa.int64()), pa.array(np.diff(at)), pa.array(sha), *map(_lists, parts)], names=["id", "n", "sha", "place", "q", "r", "l"])
 
-    return df.select(id_col, text_col).mapInArrow(run, "id bigint, n bigint, sha string, place array<bigint>, q array<bigint>, r array<bigint>, l array<bigint>")
+    return df.select(id_col, text_col).mapInArrow(trimmed(run), "id bigint, n bigint, sha string, place array<bigint>, q array<bigint>, r array<bigint>, l array<bigint>")
 
 
-def _twice(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(*keys)
+def _twice(rows: DataFrame, key: str) -> DataFrame:
+    """Those of rows whose key another row has too."""
+    times = materialise(rows.groupBy(key).agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "times")
+    return lookup(rows, times, [key], "times").drop("times")
 
 
 def _units(texts: DataFrame, most: int = 1 << 21) -> DataFrame:
@@ -116,7 +121,7 @@ def _units(texts: DataFrame, most: int = 1 << 21) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lo = 0
-            sizes = [len(t) for t in utf8(batch.column(1))]
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
             while lo < batch.num_rows:
                 hi, size = lo + 1, sizes[lo]
                 while hi < batch.num_rows and size + sizes[hi] <= most:
@@ -125,18 +130,23 @@ def _units(texts: DataFrame, most: int = 1 << 21) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), *(pa.array([some.column(k).to_pylist()], pa.list_(some.column(k).type)) for k in range(4))], names=["unit", "ids", "texts", "places", "rights"])
                 lo = hi
 
-    return texts.select("id", "text", "places", "rights").mapInArrow(run, "unit bigint, ids array<bigint>, texts array<string>, places array<array<bigint>>, rights array<array<boolean>>")
+    return texts.select("id", "text", "places", "rights").mapInArrow(trimmed(run), "unit bigint, ids array<bigint>, texts array<string>, places array<array<bigint>>, rights array<array<boolean>>")
 
 
 def _candidates(levels: Levels, texts: list[bytes], places: list, rights: list):
     """Of a unit: offsets of its documents, starts of candidate windows, their distinct hashes, and for each start the place
     of its hash among these."""
-    h, at = word_hashes(texts)
+    h, at = word_hashes(texts, both=True)
     w, w2 = levels.wholes(h)
     starts = [a + levels.starts(np.array(p, np.int64), np.array(r, bool), b - a) for a, b, p, r in zip(at[:-1].tolist(), at[1:].tolist(), places, rights, strict=True)]
     starts = np.concatenate([np.zeros(0, np.int64), *starts])
-    one, first, place, times = np.unique(w[starts], return_index=True, return_inverse=True, return_counts=True)
-    return at, starts, one.view(np.int64), w2[starts][first].astype(np.uint32).view(np.int32), times > 1, place
+    w, w2 = w[starts], w2[starts]
+    order = np.lexsort((w2, w))
+    new = np.concatenate([[True], (w[order][1:] != w[order][:-1]) | (w2[order][1:] != w2[order][:-1])])[: len(order)]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    first = order[new]
+    return at, starts, w[first].view(np.int64), w2[first].astype(np.uint32).view(np.int32), np.bincount(place, minlength=len(first)) > 1, place
 
 
 def _asked(units: DataFrame, levels: Levels) -> DataFrame:
@@ -150,7 +160,7 @@ def _asked(units: DataFrame, levels: Levels) -> DataFrame:
                     n = len(h[lo : lo + (1 << 16)])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row["unit"])), pa.array(np.arange(lo, lo + n, dtype=np.int32)), pa.array(h[lo : lo + n]), pa.array(h2[lo : lo + n]), pa.array(again[lo : lo + n])], names=["unit", "k", "h", "h2", "again"])
 
-    return units.select("unit", "texts", "places", "rights").mapInArrow(run, "unit bigint, k int, h bigint, h2 int, again boolean")
+    return units.select("unit", "texts", "places", "rights").mapInArrow(trimmed(run), "unit bigint, k int, h bigint, h2 int, again boolean")
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +187,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _remove(units: DataFrame, levels: Levels, with_text: bool) -> DataFrame:
-    """units with found (places of repeated windows): id, n_removed, kept_sha256 and on request the kept text."""
+    """units with found (places of repeated windows): id, sha (of all words), n_removed, kept_sha256 and on request the kept text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,34 +201,33 @@ def _remove(units: DataFrame, levels: Levels, with_text: bool) -> DataFrame:
                 np.add.at(change, starts, 1)
                 np.add.at(change, starts + levels.length, -1)
                 keep = np.cumsum(change)[: at[-1]] == 0
-                removed, sha, kept_text = [], [], []
+                removed, was, sha, kept_text = [], [], [], []
                 for t, a, b in zip(texts, at[:-1].tolist(), at[1:].tolist(), strict=True):
                     words = t.split()
                     kept = b" ".join([words[i] for i in np.flatnonzero(keep[a:b]).tolist()])
+                    was.append(hashlib.sha256(b" ".join(words)).hexdigest())
                     removed.append(b - a - int(keep[a:b].sum()))
                     sha.append(hashlib.sha256(kept).hexdigest())
                     kept_text.append(kept.decode() if with_text else None)
-                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_text, pa.string())], names=["id", "n_removed", "kept_sha256", "kept"])
+                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(was, pa.string()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_text, pa.string())], names=["id", "sha", "n_removed", "kept_sha256", "kept"])
 
-    return units.select("unit", "ids", "texts", "places", "rights", "found").mapInArrow(run, "id bigint, n_removed bigint, kept_sha256 string, kept string")
+    return units.select("unit", "ids", "texts", "places", "rights", "found").mapInArrow(trimmed(run), "id bigint, sha string, n_removed bigint, kept_sha256 string, kept string")
 
 
 def substring_dedup(df: DataFrame, length: int, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """A row for each row of df: id_col, n_words, n_removed, kept_sha256; with_text: kept, the text that is left where
     words were removed (else null)."""
-    levels, spark = Levels(length), df.sparkSession
+    levels, spark, df = Levels(length), df.sparkSession, df.where(F.col(id_col).isNotNull())
     anchors = materialise(_scan(df, id_col, text_col, levels), "anchors")
     scan = materialise(anchors.select("id", "n", "sha"), "texts")
     # level 1: quarters at anchors
-    again = _twice(anchors.select(F.explode("q").alias("q")), "q")
     rows = anchors.select("id", F.explode(F.arrays_zip("place", "q", "r", "l")).alias("x")).select("id", "x.*")
-    rows = rows.join(again, "q").select("id", "place", F.explode(F.array(F.struct(F.lit(True).alias("right"), F.col("r").alias("h")), F.struct(F.lit(False).alias("right"), F.col("l").alias("h")))).alias("x"))
+    rows = _twice(rows, "q").select("id", "place", F.explode(F.array(F.struct(F.lit(True).alias("right"), F.col("r").alias("h")), F.struct(F.lit(False).alias("right"), F.col("l").alias("h")))).alias("x"))
     rows = materialise(rows.select("id", "place", "x.*").where("h <> 0"), "halves")
     discard(anchors)
     release(spark)
     # level 2: halves
-    live = rows.join(_twice(rows.select("h", "right"), "h"), "h")
-    live = live.groupBy("id").agg(F.collect_set(F.struct("place", "right")).alias("x")).select("id", F.col("x.place").alias("places"), F.col("x.right").alias("rights"))
+    live = _twice(rows, "h").groupBy("id").agg(F.collect_set(F.struct("place", "right")).alias("x")).select("id", F.col("x.place").alias("places"), F.col("x.right").alias("rights"))
     units = materialise(_units(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(live, "id")), "units")
     discard(rows)
     release(spark)
@@ -226,10 +235,10 @@ def substring_dedup(df: DataFrame, length: int, id_col: str = "doc_id", text_col
     found = _asked(units, levels).repartition("h").sortWithinPartitions("h", "h2").mapInArrow(_repeated, "unit bigint, k int")
     found = materialise(found.groupBy("unit").agg(F.collect_list("k").alias("found")), "found")
     release(spark)
-    out = materialise(_remove(units.join(found, "unit"), levels, with_text).dropDuplicates(["id"]), "removed")
+    out = materialise(_remove(units.join(found, "unit"), levels, with_text).dropDuplicates(["id", "sha"]), "removed")
     discard(units)
     cols = [F.col("id").alias(id_col), F.col("n").alias("n_words"), F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")]
-    return scan.select("id", "n", "sha").join(out, "id", "left").select(*cols, *(["kept"] if with_text else []))
+    return scan.select("id", "n", "sha").join(out, ["id", "sha"], "left").select(*cols, *(["kept"] if with_text else []))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,13 +247,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = {
     "op10_substring_dedup": """
-with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
-p as (select doc_id, i, sha256(array_to_string(ws[i:i + 34], ' ')) as h
-  from (select doc_id, ws, unnest(generate_series(1, len(ws) - 34)) as i from w where len(ws) >= 35)),
-r as (select doc_id, i from p where h in (select h from p group by h having count(*) > 1)),
-gone as (select distinct doc_id, j from (select doc_id, unnest(generate_series(i, i + 34)) as j from r)),
-words as (select doc_id, unnest(generate_series(1, len(ws))) as j, unnest(ws) as word from w),
-kept as (select words.doc_id, count(*) as n, string_agg(word, ' ' order by j) as t from words anti join gone using (doc_id, j) group by 1)
+with w as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+p as (select r, i, sha256(array_to_string(ws[i:i + 34], ' ')) as h
+  from (select r, ws, unnest(generate_series(1, len(ws) - 34)) as i from w where len(ws) >= 35)),
+twice as (select r, i from p where h in (select h from p group by h having count(*) > 1)),
+gone as (select distinct r, j from (select r, unnest(generate_series(i, i + 34)) as j from twice)),
+words as (select r, unnest(generate_series(1, len(ws))) as j, unnest(ws) as word from w),
+kept as (select words.r, count(*) as n, string_agg(word, ' ' order by j) as t from words anti join gone using (r, j) group by 1)
 select w.doc_id, len(ws) as n_words, len(ws) - coalesce(kept.n, 0) as n_removed, sha256(coalesce(kept.t, '')) as kept_sha256
-from w left join kept using (doc_id)"""
+from w left join kept using (r)"""
 }
