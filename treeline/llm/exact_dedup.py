@@ -8,7 +8,7 @@ share, and a digest held by a third of all rows has never been more than one row
 
 Texts are equal when identical after lower-casing A-Z only; null counts as empty. Rows with equal digests must agree on
 length and on a second checksum, or the merge fails. Rows repeated with the same identifier count each and get the same
-result. An empty table gives an empty result.
+result; rows without an identifier are no documents. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     names=["id", "digest", "size", "crc"],
                 )
 
-    return df.select(id_col, text_col).mapInArrow(trimmed(run), "id bigint, digest binary, size bigint, crc bigint")
+    return df.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(trimmed(run), "id bigint, digest binary, size bigint, crc bigint")
 
 
 def merger(keep: str):
