@@ -161,7 +161,7 @@ def test_access(spark):
     ws = spark.createDataFrame([("ws-1", 1, "jane", "n")], "ws string, team int, owner string, name string")
     members = spark.createDataFrame([(1, "jane", 3), (1, "bob", 2), (1, "carol", 1)], "team int, user_name string, role int")
     need = spark.createDataFrame([("ws-1", u, n) for u in ("jane", "bob", "carol", "dave") for n in (1, 2)], "ws string, user_name string, need int")
-    got = {(r.user_name, r.need): r.status for r in access.gate(need, access.effective_roles(ws, members, None)).collect()}
+    got = {(r.user_name, r.need): r.status for r in access.gate(need, access.effective_roles(ws, members)).collect()}
     assert got == {("jane", 1): 200, ("jane", 2): 200, ("bob", 1): 200, ("bob", 2): 200, ("carol", 1): 200, ("carol", 2): 403, ("dave", 1): 404, ("dave", 2): 404}
 
 

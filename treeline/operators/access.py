@@ -6,20 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def effective_roles(workspaces: DataFrame, members: DataFrame, users: DataFrame, admins: DataFrame | None = None) -> DataFrame:
-    """ws, user_name, role: the creator owns, others have their team's role; an admin owns everything."""
+def effective_roles(workspaces: DataFrame, members: DataFrame) -> DataFrame:
+    """ws, user_name, role: the creator owns, others have their team's role. That an admin owns everything is for gate to
+    say, so that it is no row for each admin and workspace."""
     own = workspaces.select("ws", F.col("owner").alias("user_name"), F.lit(3).alias("role"))
     team = workspaces.where("team is not null").join(members, "team").select("ws", "user_name", "role")
-    rows = own.unionByName(team).groupBy("ws", "user_name").agg(F.max("role").alias("role"))
-    if admins is not None:
-        every = admins.withColumn("k", F.lit(1)).join(workspaces.select("ws", F.lit(1).alias("k")), "k").select("ws", "user_name", F.lit(3).alias("role"))
-        rows = rows.unionByName(every).groupBy("ws", "user_name").agg(F.max("role").alias("role"))
-    return rows
+    return own.unionByName(team).groupBy("ws", "user_name").agg(F.max("role").alias("role"))
 
 
-def gate(requests: DataFrame, roles: DataFrame) -> DataFrame:
-    """requests: ws, user_name, need. Adds status: 404 without a role, 403 with too small a one, else 200."""
+def gate(requests: DataFrame, roles: DataFrame, admins: DataFrame | None = None, workspaces: DataFrame | None = None) -> DataFrame:
+    """requests: ws, user_name, need. Adds status: 404 without a role, 403 with too small a one, else 200. admins
+    (user_name) own every one of workspaces (ws)."""
     rows = requests.join(roles, ["ws", "user_name"], "left")
+    if admins is not None:
+        rows = rows.join(admins.select("user_name").distinct().withColumn("admin", F.lit(True)), "user_name", "left")
+        rows = rows.join(workspaces.select("ws").distinct().withColumn("known", F.lit(True)), "ws", "left")
+        rows = rows.withColumn("role", F.when(F.col("admin") & F.col("known"), 3).otherwise(F.col("role")))
     return rows.select(*requests.columns, F.when(F.col("role").isNull(), 404).when(F.col("role") < F.col("need"), 403).otherwise(200).alias("status"))
 
 
@@ -92,3 +94,40 @@ def rotation(last_wrapped: DataFrame, current: DataFrame, ring: DataFrame, force
     """ws, generation: the new generation of workspaces that are forced or lost a member who held the key."""
     due = departed(last_wrapped, current).select("ws").unionByName(forced.select("ws")).distinct()
     return ring.groupBy("ws").agg(F.max("generation").alias("g")).join(due, "ws", "left_semi").select("ws", (F.col("g") + 1).alias("generation"))
+
+
+def team_writers(requests: DataFrame, members: DataFrame) -> DataFrame:
+    """requests: team, user_name. Adds status for what only a team's writers may do: an admin is no member by being one."""
+    rows = requests.join(members.select("team", "user_name", "role"), ["team", "user_name"], "left")
+    return rows.select(*requests.columns, F.when(F.col("role").isNull(), 404).when(F.col("role") < 2, 403).otherwise(200).alias("status"))
+
+
+#: The least role for what is done with a workspace.
+CAPABILITIES = {"read": 1, "subscribe": 1, "snapshot_list": 1, "push": 2, "put_chunks": 2, "snapshot_push": 2, "attach_team": 3, "wrap_keys": 3}
+
+
+def capabilities(roles: DataFrame) -> DataFrame:
+    """ws, user_name, capability, allowed: the table of capabilities for each role that there is."""
+    each = F.explode(F.create_map(*[F.lit(x) for pair in CAPABILITIES.items() for x in pair])).alias("capability", "least")
+    return roles.select("ws", "user_name", "role", each).select("ws", "user_name", "capability", (F.col("role") >= F.col("least")).alias("allowed"))
+
+
+def authenticate(requests: DataFrame, tokens: DataFrame, admin_digest: str) -> DataFrame:
+    """requests: id, token; tokens: digest, user_name. id, user_name, admin: the admin's digest first, then the users'; who
+    has neither is null. Tokens are compared as digests only."""
+    rows = requests.select("id", F.sha2("token", 256).alias("digest")).join(tokens, "digest", "left")
+    admin = F.coalesce(F.col("digest") == admin_digest, F.lit(False))
+    return rows.select("id", F.when(~admin, F.col("user_name")).alias("user_name"), admin.alias("admin"))
+
+
+def teams_with_owners(asked: DataFrame, teams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """asked: name, user_name. New teams (name) and their first owners (name, user_name, role) from one decision: of requests
+    for a name that is free the smallest user's."""
+    new = asked.join(teams.select("name"), "name", "left_anti").groupBy("name").agg(F.min("user_name").alias("user_name"))
+    return new.select("name"), new.withColumn("role", F.lit(3))
+
+
+def wrap_buckets(classes: DataFrame) -> DataFrame:
+    """What is done for each member: class counted by workspace, in one column each; one bad member holds up no other."""
+    kinds = ["wrap", "wrap_first_sight", "pin_changed", "no_key", "unsigned", "bad_sig"]
+    return classes.groupBy("ws").agg(*[F.count_if(F.col("class") == k).alias(k) for k in kinds])

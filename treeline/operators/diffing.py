@@ -65,8 +65,10 @@ def reuse(scan: DataFrame, old: DataFrame, present: DataFrame, scanned_at: int,
     return scan.select(*KEY, "size", "mtime_secs", "mtime_nanos").join(usable, list(KEY), "left").select(*KEY, "size", F.coalesce(hit, F.lit(False)).alias("reused"), F.when(hit, F.col("chunks")).alias("chunks"))
 
 
-def retained_under(old: DataFrame, unreadable: DataFrame, scanned: DataFrame) -> DataFrame:
-    """Old entries at or under an unreadable path that the scan did not give: ancestors-or-self, then equi-joins."""
+def retained_under(old: DataFrame, unreadable: DataFrame, scanned: DataFrame, present: DataFrame) -> DataFrame:
+    """Old entries at or under an unreadable path that the scan did not give and whose chunks are all present (hash):
+    ancestors-or-self, then equi-joins."""
+    missing = old.select(*KEY, F.explode("chunks").alias("hash")).join(present.select("hash").distinct(), "hash", "left_anti").select(*KEY).distinct()
     at = old.select(*KEY, F.explode(F.concat(P.ancestors(F.col("path")), F.array("path"))).alias("above"))
     hit = at.join(unreadable.select("ws", F.col("path").alias("above")).distinct(), ["ws", "above"], "left_semi").select(*KEY).distinct()
-    return hit.join(scanned.select(*KEY), list(KEY), "left_anti")
+    return hit.join(scanned.select(*KEY), list(KEY), "left_anti").join(missing, list(KEY), "left_anti")

@@ -46,11 +46,12 @@ def calls(asked: DataFrame, most: int = 50_000, cell: int = 10_000) -> DataFrame
 def missing(asked: DataFrame, pool: DataFrame, seen: DataFrame, admin: bool = False, most: int = 50_000) -> DataFrame:
     """asked: user_name, ord, hash, call (see calls). What is not both in the pool and visible, duplicates and order kept.
     Calls of over `most` hashes fail."""
-    over = asked.groupBy(F.col("user_name").alias("user"), F.col("call").alias("which")).agg(F.count(F.lit(1)).alias("n"))
-    asked = asked.join(F.broadcast(over), F.col("user_name").eqNullSafe(F.col("user")) & (F.col("call") == F.col("which")))
-    asked = asked.where(F.when(F.col("n") > most, F.raise_error(F.lit("too many hashes"))).otherwise(True)).select("user_name", "ord", "hash")
-    there = asked.join(pool.select("hash"), "hash", "left_semi") if admin else asked.join(pool.select("hash"), "hash", "left_semi").join(seen, ["user_name", "hash"], "left_semi")
-    return asked.join(there.select("user_name", "ord", "hash"), ["user_name", "ord", "hash"], "left_anti").select("user_name", "ord", "hash")
+    size = F.count(F.lit(1)).over(Window.partitionBy("user_name", "call"))
+    rows = asked.withColumn("n", size).where(F.when(F.col("n") > most, F.raise_error(F.lit("too many hashes")).cast("boolean")).otherwise(True))
+    stored = pool.select("hash").distinct()
+    if admin:
+        return rows.join(stored, "hash", "left_anti").select("user_name", "ord", "hash")
+    return rows.join(seen.join(stored, "hash", "left_semi"), ["user_name", "hash"], "left_anti").select("user_name", "ord", "hash")
 
 
 def missing_report(files: DataFrame, pool: DataFrame) -> DataFrame:
@@ -118,3 +119,12 @@ def gc(refs: DataFrame, rows: DataFrame, chunks: DataFrame, blobs: DataFrame, no
 def stale_temporaries(names: DataFrame, now: int, age: int = 60) -> DataFrame:
     """names: name, mtime. Left-over temporary files."""
     return names.where(F.col("name").startswith(".tmp-") & (F.col("mtime") < now - age))
+
+
+def gc_report(refs: DataFrame, rows: DataFrame, delta: DataFrame, blobs: DataFrame, swept: DataFrame) -> DataFrame:
+    """One row with what a collection did: workspaces seen and skipped, references deleted and added, blobs and bytes swept."""
+    seen = rows.groupBy("ws").agg(F.bool_and("parseable").alias("ok")).agg(F.count(F.lit(1)).alias("workspaces"), F.count_if(~F.col("ok")).alias("skipped"))
+    moved = delta.agg(F.count_if(F.col("action") == "delete").alias("refs_deleted"), F.count_if(F.col("action") == "add").alias("refs_added"))
+    gone = swept.agg(F.count(F.lit(1)).alias("blobs_deleted"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes_deleted"))
+    kept = blobs.agg(F.count(F.lit(1)).alias("blobs")).join(refs.agg(F.count(F.lit(1)).alias("refs")))
+    return seen.join(moved).join(gone).join(kept)  # of one row each

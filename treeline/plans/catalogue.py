@@ -175,19 +175,10 @@ def dotenv_policy_violations(t):
 _TREE = "select l_orderkey as id, l_linenumber as ln, l_suppkey as sk, case l_partkey % 6 when 0 then 'src/' when 1 then 'build/' when 2 then 'build/generated/' when 3 then 'node_modules/x/' when 4 then '.git/logs/' else 'a/target/b/' end || case when l_suppkey % 5 = 0 then '.env.' else 'f' end || cast(l_orderkey as varchar(20)) as path, l_suppkey % 7 = 0 as ignored from lineitem"
 
 
-@query(f"""with p as ({_TREE}) select path, ignored, case when starts_with(path, 'src/f9') then false when starts_with(path, '.git/') then true
-  when starts_with(path, 'build/generated/') then true when starts_with(path, 'build/') or starts_with(path, 'node_modules/') or starts_with(path, 'a/target/') then false
-  when starts_with(string_split(path, '/')[-1], '.env') then true else not ignored end and not regexp_matches(path, '^src/f9$') as captured
-  from p where not regexp_matches(path, '^src/f9')""")
-def prefix_precedence(t):
-    rows = A.rows(t.spark, t.sf_dir, _TREE).where("not rlike(path, '^src/f9')")
-    return rows.select("path", "ignored", predicates.captured(F.col("path"), ["build/generated"], ["src/f9"], F.col("ignored")).alias("captured"))
-
-
 @query(f"""with p as ({_TREE}) select path, ignored, case when path = 'src/f9' or starts_with(path, 'src/f9/') then false when starts_with(path, '.git/') then true
   when starts_with(path, 'build/generated/') then true when starts_with(path, 'build/') or starts_with(path, 'node_modules/') or starts_with(path, 'a/target/') then false
   when starts_with(string_split(path, '/')[-1], '.env') then true else not ignored end as captured from p""")
-def prefix_precedence_all(t):
+def prefix_precedence(t):
     rows = A.rows(t.spark, t.sf_dir, _TREE)
     return rows.select("path", "ignored", predicates.captured(F.col("path"), ["build/generated"], ["src/f9"], F.col("ignored")).alias("captured"))
 
@@ -208,9 +199,9 @@ def scan_cache_reuse(t):
 _BROKEN = "select c_custkey as ws, 'src' as path from customer where c_custkey % 3 = 0"
 
 
-@query(f"with o as ({A.side('base')}), s as ({A.side('local')}), u as ({_BROKEN}) select o.ws, o.path from o join u on o.ws = u.ws and (o.path = u.path or starts_with(o.path, u.path || '/')) where not exists (select 1 from s where s.ws = o.ws and s.path = o.path)")
+@query(f"with o as ({A.side('base')}), s as ({A.side('local')}), u as ({_BROKEN}), pr as ({_PRESENT}) select o.ws, o.path from o join u on o.ws = u.ws and (o.path = u.path or starts_with(o.path, u.path || '/')) where not exists (select 1 from s where s.ws = o.ws and s.path = o.path) and o.chunks[1] in (select hash from pr)")
 def unreadable_retention(t):
-    return diffing.retained_under(t.base, A.rows(t.spark, t.sf_dir, _BROKEN), t.local)
+    return diffing.retained_under(t.base, A.rows(t.spark, t.sf_dir, _BROKEN), t.local, A.rows(t.spark, t.sf_dir, _PRESENT))
 
 
 # --- pool ----------------------------------------------------------------------------------------------------------
@@ -233,7 +224,7 @@ def chunk_hashes_distinct(t):
     return t.chunks.groupBy("ws").agg(F.array_sort(F.collect_set("hash")).alias("h")).select("ws", F.size("h").cast("bigint").alias("n"), F.element_at("h", 1).alias("first_hash"))
 
 
-_ASKED = "select 'u' || cast(l_suppkey % 50 as varchar(20)) as user_name, l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey * 1000 + l_suppkey as ord, {sha:l_partkey} as hash from lineitem where l_orderkey % 4 = 0"
+_ASKED = "select 'u' || cast(l_suppkey % 50 as varchar(20)) as user_name, l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey * 1000 + l_suppkey as ord, {sha:l_partkey} as hash from lineitem"
 _SEEN = "seen as (select distinct u.user_name, r.hash from (select owner as user_name, ws from ws union select mem.user_name, ws.ws from ws join mem on ws.team = mem.team) u join refs r on u.ws = r.ws)"
 
 
@@ -243,15 +234,6 @@ def chunks_missing(t):
     return pool.missing(pool.calls(asked), t.pool, pool.visible(t.workspaces, t.members, t.refs))
 
 
-_ASKED_ALL = _ASKED.removesuffix(" where l_orderkey % 4 = 0")
-
-
-@query(f"with {_POOL}, {_SEEN}, a as (select distinct user_name, ord, hash from ({_ASKED_ALL}) z) select user_name, ord, hash from a where not (hash in (select hash from pool) and exists (select 1 from seen where seen.user_name = a.user_name and seen.hash = a.hash))")
-def chunks_missing_all(t):
-    asked = A.rows(t.spark, t.sf_dir, _ASKED_ALL).distinct()
-    return pool.missing(pool.calls(asked), t.pool, pool.visible(t.workspaces, t.members, t.refs))
-
-
 @query(f"with {_POOL}, {_SEEN} select user_name, count(*) as n, min(hash) as first_hash from seen group by user_name")
 def chunk_visibility(t):
     return pool.visible(t.workspaces, t.members, t.refs).groupBy("user_name").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("first_hash"))
@@ -332,14 +314,8 @@ def gc_refs_delta(t):
     return _gc(t)[0]
 
 
-@query(f"with {_GC} select hash, length, mtime from pool where mtime < 900 and hash not in (select hash from after_refs where ws % 300 = 7)")
-def gc_sweep(t):
-    after = t.refs.join(_gc(t)[0].where("action = 'delete'"), ["ws", "hash"], "left_anti").where("ws % 300 = 7")
-    return pool.sweep(t.pool, after, 1500, GRACE).select("hash", "length", "mtime")
-
-
 @query(f"with {_GC}, blobs as ({A.BLOBS}) select hash, length, mtime from blobs where mtime < 900 and hash not in (select hash from after_refs union all select hash from new)")
-def gc_sweep_all(t):
+def gc_sweep(t):
     return pool.gc(t.refs, retention.retained_heads(t.heads, 5), t.chunks, t.blobs, 1500, GRACE)[1].select("hash", "length", "mtime")
 
 
@@ -349,13 +325,8 @@ def gc_skip_unparseable(t):
     return t.refs.join(bad, "ws", "left_semi").groupBy("ws").agg(F.count(F.lit(1)).alias("refs"))
 
 
-@query(f"with {_POOL} select hash, length from pool where hash not in (select hash from c where file % 10 = 0)")
-def local_sweep(t):
-    return t.pool.join(t.chunks.where("file % 10 = 0").select("hash"), "hash", "left_anti").select("hash", "length")
-
-
 @query(f"with {_POOL}, blobs as ({A.BLOBS}) select hash, length from blobs where hash not in (select hash from c)")
-def local_sweep_all(t):
+def local_sweep(t):
     return t.blobs.join(t.chunks.select("hash"), "hash", "left_anti").select("hash", "length")
 
 
@@ -366,7 +337,7 @@ _ACL = f"ws as ({A.WORKSPACES}), mem as ({A.MEMBERS}), usr as ({A.USERS}), tm as
 
 @query(f"with {_ACL} select ws, user_name, role from roles")
 def effective_roles(t):
-    return access.effective_roles(t.workspaces, t.members, t.users)
+    return access.effective_roles(t.workspaces, t.members)
 
 
 _WANT = "select o_custkey as ws, 'u' || cast(o_orderkey % 120 as varchar(20)) as user_name, cast(o_orderkey % 3 + 1 as int) as need, o_orderkey as id from orders"
@@ -374,7 +345,7 @@ _WANT = "select o_custkey as ws, 'u' || cast(o_orderkey % 120 as varchar(20)) as
 
 @query(f"with {_ACL}, q as ({_WANT}) select q.id, q.ws, q.user_name, need, case when role is null then 404 when role < need then 403 else 200 end as status from q left join roles using (ws, user_name)")
 def role_gate(t):
-    return access.gate(A.rows(t.spark, t.sf_dir, _WANT), access.effective_roles(t.workspaces, t.members, t.users))
+    return access.gate(A.rows(t.spark, t.sf_dir, _WANT), access.effective_roles(t.workspaces, t.members))
 
 
 @query(f"with {_ACL} select mem.team, mem.user_name, mem.role, usr.pubkey from mem left join usr on usr.name = mem.user_name")
@@ -551,3 +522,6 @@ def frame_roundtrip(t):
     rows = rows.select("doc_id", "idx", F.encode("line", "UTF-8").alias("data")).withColumn("hash", F.sha2("data", 256))
     back = chunking.unframed(chunking.framed(rows, "doc_id"), "doc_id")
     return back.select("doc_id", (F.col("idx") + 1).alias("idx"), "hash", F.octet_length("data").cast("bigint").alias("length"))
+
+
+from treeline.plans import cycles as _cycles  # noqa: E402, F401  (adds its queries)

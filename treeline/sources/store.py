@@ -8,10 +8,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import shutil
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.operators import predicates as P
@@ -84,9 +85,15 @@ class Pool:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def exists(self) -> bool:
+        """Whether anything was put, on whatever file system the path names."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
     def read(self) -> DataFrame:
         schema = "hash string, data binary, shard string"
-        if not os.path.isdir(self.path):
+        if not self.exists():
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.path)
 
@@ -94,9 +101,9 @@ class Pool:
         """Appends what is not there; bytes that are not their name's are refused. Gives how many were written."""
         new = chunks.dropDuplicates(["hash"]).join(self.read().select("hash"), "hash", "left_anti")
         new = new.withColumn("shard", F.when(F.sha2("data", 256) == F.col("hash"), F.substring("hash", 1, 2)).otherwise(F.raise_error(F.lit("bytes are not their name's"))))
-        before = self.read().count()
-        new.select("hash", "data", "shard").write.mode("append").partitionBy("shard").parquet(self.path)
-        return self.read().count() - before
+        written = Observation("put")
+        new.select("hash", "data", "shard").observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("shard").parquet(self.path)
+        return written.get["n"]
 
 
 class HeadLog:
@@ -170,6 +177,27 @@ def converge(log: HeadLog, ws: str, base: DataFrame, local: DataFrame, device: s
     raise HeadConflict(f"lost {attempts} races")
 
 
+def preserve(lost: DataFrame, root: str) -> int:
+    """Copies what local losers (path, copy) hold to their conflict names, whole and on disk before anything is written over
+    them; a copy that is there already is left, as a cycle that broke off may have made it."""
+    n = 0
+    for row in lost.where("loser = 'local'").select("path", "copy").orderBy("path").toLocalIterator():
+        source, target = _inside(root, row.path), _inside(root, row["copy"])
+        if os.path.exists(target):
+            continue
+        with open(source, "rb") as f:
+            write_atomic(target, f.read())
+        shutil.copystat(source, target)
+        n += 1
+    return n
+
+
+def materialize(plan: DataFrame, lost: DataFrame, files: DataFrame, root: str) -> int:
+    """Local losers first, then the plan; nothing is applied unless all copies are on disk."""
+    preserve(lost, root)
+    return apply(plan, files, root)
+
+
 def apply(plan: DataFrame, files: DataFrame, root: str) -> int:
     """Carries out a plan (path, change, phase) on a tree: files has path, mode, mtime_secs, mtime_nanos, data. Deletes
     climb while the parent is empty. Rows stream to the driver in phase order, a file at a time."""

@@ -127,3 +127,54 @@ def keepalive(silences: list[float], limit: float = 45.0) -> list[str]:
             out.append("dead" if asked else "ping")
             asked = True
     return out
+
+
+#: Fixed values, in seconds: how often heads are polled without and with a live feed, and when a failed cycle is tried again.
+POLL_DOWN, POLL_LIVE, RETRY = 2, 300, 5
+
+
+def polls(states: DataFrame) -> DataFrame:
+    """states: ws, at, until, live (intervals of a feed's state, in seconds). ws, at: when heads are polled, in each interval
+    from its start on."""
+    step = F.when(F.col("live"), POLL_LIVE).otherwise(POLL_DOWN)
+    return states.where("until > at").select("ws", F.explode(F.sequence(F.col("at"), F.col("until") - 1, step.cast("bigint"))).alias("at"))
+
+
+def retries(cycles: DataFrame) -> DataFrame:
+    """cycles: ws, at, ok. Adds retry_at: for failed ones after which nothing comes within RETRY seconds, when they are tried
+    again although all is quiet."""
+    later = F.lead("at").over(Window.partitionBy("ws").orderBy("at"))
+    quiet = ~F.col("ok") & (F.coalesce(later, F.lit(2**62)) - F.col("at") > RETRY)
+    return cycles.withColumn("retry_at", F.when(quiet, F.col("at") + RETRY))
+
+
+def mirror(hints: DataFrame, pull: Callable[[str, int], bool], checkpoint: str, known: dict[str, int] | None = None, **trigger):
+    """Keeps copies of workspaces up to date: the hints that a micro-batch has drained are one pull for each workspace, and
+    those that come during it wake the next. pull(workspace, seq) says whether it went well; what failed is tried again with
+    the next micro-batch, whatever that brings."""
+    known, failed = {} if known is None else known, {}
+
+    def batch(rows: DataFrame, _: int) -> None:
+        due = dict(failed)
+        for r in latest(rows).toLocalIterator():  # a row for each workspace that this device mirrors
+            if r.seq > known.get(r.workspace, 0):
+                due[r.workspace] = max(r.seq, due.get(r.workspace, 0))
+        for workspace, seq in sorted(due.items()):
+            if pull(workspace, seq):
+                known[workspace] = max(seq, known.get(workspace, 0))
+                failed.pop(workspace, None)
+            else:
+                failed[workspace] = seq
+
+    return hints.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def periodic(spark, job: Callable[[int], None], checkpoint: str, every: str = "1 hour", **rate):
+    """Runs job(number) at an interval, as a stream of a clock; the first run comes after one interval."""
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).options(**rate).load()
+
+    def batch(_: DataFrame, number: int) -> None:
+        if number:
+            job(number)
+
+    return clock.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
