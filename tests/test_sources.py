@@ -10,15 +10,20 @@ from treeline.operators import merging
 from treeline.sources import chunks, store, tree
 from treeline.streaming import feeds
 
+#: Files, settings and what is captured: a rule of the scan each.
 TREES = [
-    ({".gitignore": "*.log\n.env\n", "app.log": "", ".env": "", "main.rs": "", "sub/.env.local": "", "node_modules/a": "", "target/b": "", ".git/HEAD": ""}, "", {".gitignore", ".env", "sub/.env.local", "main.rs", ".git/HEAD"}),
-    ({".gitignore": "logs/\n", ".git/logs/HEAD": "", ".git/HEAD": "", "logs/app.log": "", "main.rs": ""}, "", {".gitignore", ".git/logs/HEAD", ".git/HEAD", "main.rs"}),
-    ({"build/generated/out.rs": ""}, 'include = ["build"]', {"build/generated/out.rs", "treeline.toml"}),
-    ({"build/lib.rs": "", "build/generated/x": "", "src/a": "", ".env": ""}, 'include = ["build"]\nexclude = ["build/generated", "src", ".env"]', {"build/lib.rs", "treeline.toml"}),
-    ({"build/lib.rs": "", "rebuild/notes.txt": "", "rebuild/build/out.rs": ""}, 'include = ["build"]', {"build/lib.rs", "rebuild/notes.txt", "treeline.toml"}),
-    ({"build/generated/keep.rs": "", "build/other.txt": "", "build/other/inner.txt": ""}, 'include = ["build/generated"]', {"build/generated/keep.rs", "treeline.toml"}),
-    ({".treeline/x": "", "sub/.treeline/fixture.json": "", "main.rs": ""}, "", {"sub/.treeline/fixture.json", "main.rs"}),
-    ({".gitignore": "*\n", ".env": "", ".envrc": "", "sub/.env.local": "", "env": "", "foo.env": "", ".ENV": "", ".env.d/local": "", "main.rs": ""}, "", {".env", ".envrc", "sub/.env.local"}),
+    # a folder's own ignore file counts below it only, and a later line takes a pattern back
+    ({"score/.gitignore": "take-*\n!take-9\n", "score/take-1": "", "score/take-9": "", "score/deep/take-2": "", "take-3": ""}, "", {"score/.gitignore", "score/take-9", "take-3"}),
+    # what git keeps is captured whatever ignore files say, and so are .env files
+    ({".gitignore": "*\n", ".git/refs/heads/trunk": "", ".env.staging": "", "plan.md": ""}, "", {".git/refs/heads/trunk", ".env.staging"}),
+    # built-in names go at every depth, but only as whole folder names
+    ({"dist/a.js": "", "web/dist/b.js": "", "web/distance.txt": "", "__pycache__/m": "", "pkg/.venv/bin/py": "", "pkg/venv/x": ""}, "", {"web/distance.txt", "pkg/venv/x"}),
+    # an include takes back a part of a built-in folder and nothing beside it
+    ({"dist/public/logo.svg": "", "dist/tmp/logo.svg": "", "dist/publicity": ""}, 'include = ["dist/public"]', {"dist/public/logo.svg", "treeline.toml"}),
+    # an exclude wins over an include and over .env
+    ({"dist/public/logo.svg": "", "dist/public/raw/huge.psd": "", "dist/public/.env": "", "dist/public/raw/.env": ""}, 'include = ["dist"]\nexclude = ["dist/public/raw"]', {"dist/public/logo.svg", "dist/public/.env", "treeline.toml"}),
+    # the state folder is left out at the root, and is a folder like others elsewhere
+    ({".treeline/store/aa": "", "samples/.treeline/readme": "", "one": ""}, "", {"samples/.treeline/readme", "one"}),
 ]
 
 
