@@ -62,11 +62,12 @@ def conflicts(decided: DataFrame, device: str, stamp: str) -> DataFrame:
     label = F.when(F.col("loser") == "local", device_label(F.lit(device))).otherwise("remote")
     at = lambda n: copy_name(F.col("path"), label, F.lit(stamp), n)
     named = lost.withColumn("first", at(F.lit(1)))
-    taken = decided.where("local is not null or remote is not null").select("ws", "path")
-    taken = taken.unionByName(taken.select("ws", F.explode(P.ancestors(F.col("path"))).alias("path"))).distinct()
     # only names that look like copies can stand in the way: those few are matched by the name without its ordinal
+    like = F.col("path").contains(" (conflict from ")
+    taken = decided.where(like & (F.col("local").isNotNull() | F.col("remote").isNotNull())).select("ws", "path")
+    taken = taken.unionByName(taken.select("ws", F.explode(P.ancestors(F.col("path"))).alias("path")).where(like)).distinct()
     plain = F.regexp_replace("path", r" \d+(\.[^./]*)?$", "$1")
-    used = taken.where(F.col("path").contains(" (conflict from ")).select("ws", "path").withColumn("plain", F.explode(F.array_distinct(F.array("path", plain))))
+    used = taken.select("ws", "path").withColumn("plain", F.explode(F.array_distinct(F.array("path", plain))))
     used = used.groupBy("ws", F.col("plain").alias("first")).agg(F.collect_set("path").alias("used"))
     named = named.join(used, ["ws", "first"], "left").withColumn("used", F.coalesce("used", F.array().cast("array<string>")))
     tries = F.transform(F.sequence(F.lit(1), F.size("used") + 1), lambda n: at(n))
@@ -89,6 +90,14 @@ def apply_list(local: DataFrame, merged: DataFrame, lost: DataFrame) -> DataFram
     return diff(local, merged).join(there, ["ws", "path", "change"], "left_anti")
 
 
+def applied(decided: DataFrame, lost: DataFrame) -> DataFrame:
+    """apply_list from the decisions themselves, without aligning manifests again: a copy has a name that neither side has,
+    so it is always added, and those of local losers are there already."""
+    change = F.when(F.col("local").isNull(), "added").when(F.col("winner").isNull(), "deleted").otherwise("changed")
+    rows = decided.where(~F.col("local").eqNullSafe(F.col("winner"))).select("ws", "path", change.alias("change"))
+    return rows.unionByName(lost.where("loser = 'remote' and not local_only").select("ws", F.col("copy").alias("path"), F.lit("added").alias("change")))
+
+
 def apply_phases(changes: DataFrame) -> DataFrame:
     """Phases of applying: deletes and writes of the tree, then deletes and writes under .git."""
     git, gone = P.is_git_path(F.col("path")), F.col("change") == "deleted"

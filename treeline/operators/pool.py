@@ -95,10 +95,9 @@ def live(rows: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def refs_delta(refs: DataFrame, kept: DataFrame, listed: DataFrame) -> DataFrame:
     """ws, hash, action: delete and add for listed workspaces, whose references become exactly the live ones."""
-    own = refs.join(listed.select("ws").distinct(), "ws", "left_semi")
-    gone = own.join(kept, ["ws", "hash"], "left_anti").withColumn("action", F.lit("delete"))
-    new = kept.join(own, ["ws", "hash"], "left_anti").withColumn("action", F.lit("add"))
-    return gone.select("ws", "hash", "action").unionByName(new.select("ws", "hash", "action"))
+    own = refs.join(listed.select("ws").distinct(), "ws", "left_semi").select("ws", "hash", F.lit(True).alias("had"), F.lit(False).alias("has"))
+    both = own.unionByName(kept.select("ws", "hash", F.lit(False).alias("had"), F.lit(True).alias("has"))).groupBy("ws", "hash").agg(F.max("had").alias("had"), F.max("has").alias("has"))
+    return both.where("had <> has").select("ws", "hash", F.when(F.col("had"), "delete").otherwise("add").alias("action"))
 
 
 def sweep(blobs: DataFrame, refs: DataFrame, now: int, grace: int) -> DataFrame:
@@ -111,9 +110,10 @@ def sweep(blobs: DataFrame, refs: DataFrame, now: int, grace: int) -> DataFrame:
 def gc(refs: DataFrame, rows: DataFrame, chunks: DataFrame, blobs: DataFrame, now: int, grace: int) -> tuple[DataFrame, DataFrame]:
     """The change of references, and the blobs to delete under the references after it."""
     listed = rows.groupBy("ws").agg(F.bool_and("parseable").alias("ok")).where("ok").select("ws")
-    delta = refs_delta(refs, live(rows, chunks), listed)
-    after = refs.join(delta.where("action = 'delete'"), ["ws", "hash"], "left_anti").unionByName(delta.where("action = 'add'").select("ws", "hash"))
-    return delta, sweep(blobs, after, now, grace)
+    kept = live(rows, chunks)
+    # listed workspaces refer to exactly what is live, the others to what they did
+    after = refs.join(listed, "ws", "left_anti").select("hash").unionByName(kept.select("hash"))
+    return refs_delta(refs, kept, listed), sweep(blobs, after, now, grace)
 
 
 def stale_temporaries(names: DataFrame, now: int, age: int = 60) -> DataFrame:

@@ -97,14 +97,14 @@ ap as (select ws, path, change from ch where not exists (select 1 from k where k
 
 @query(f"with {_DECIDED}, {_CHANGES} select ws, path, change from ap")
 def merge_apply_list(t):
-    merged, lost = _merged(t)
-    return merging.apply_list(t.local, merged, lost)
+    decided = _decided(t)
+    return merging.applied(decided, merging.conflicts(decided, "dev", STAMP))
 
 
 @query(f"with {_DECIDED}, {_CHANGES} select case when path = '.git' or starts_with(path, '.git/') then 2 else 0 end + case when change = 'deleted' then 1 else 2 end as phase, change, count(*) as n from ap group by all")
 def apply_phases(t):
-    merged, lost = _merged(t)
-    return merging.apply_phases(merging.apply_list(t.local, merged, lost)).groupBy("phase", "change").agg(F.count(F.lit(1)).alias("n"))
+    decided = _decided(t)
+    return merging.apply_phases(merging.applied(decided, merging.conflicts(decided, "dev", STAMP))).groupBy("phase", "change").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"with {_DECIDED} select count(*) as files, cast(0 as bigint) as new_conflicts, cast(0 as bigint) as changes from m")

@@ -66,15 +66,14 @@ union all select ws, case when path = '.git' or starts_with(path, '.git/') then
 def materialize_steps(t):
     decided = _decided(t)
     lost = merging.conflicts(decided, "dev", STAMP)
-    return cycles.steps(merging.apply_list(t.local, merging.merged_rows(decided, lost), lost), lost)
+    return cycles.steps(merging.applied(decided, lost), lost)
 
 
 @query(f"with {_DECIDED}, {_CHANGES}, n as (select ap.ws, m.e.c as c from ap join m using (ws, path) where change <> 'deleted' union all select ws, e.c from k where loser = 'remote' and git) select distinct ws, unnest(c) as hash from n")
 def fetch_needs(t):
     decided = _decided(t)
     lost = merging.conflicts(decided, "dev", STAMP)
-    merged = merging.merged_rows(decided, lost)
-    return cycles.needs(merging.apply_list(t.local, merged, lost), merged, lost)
+    return cycles.needs(merging.applied(decided, lost), merging.merged_rows(decided, lost), lost)
 
 
 _LOCAL_REFS = f"select distinct ws, {{sha:v}} as hash from (select ws, 0 as v from ({A.side('local')}) x union all select ws, 2 as v from ({A.side('remote')}) y union all select ws, 9 as v from ({A.side('base')}) z) u"
