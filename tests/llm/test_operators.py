@@ -226,8 +226,34 @@ def test_topk(spark):
         x = next(v for i, v in good if i == q)
         want = sorted((-int(x @ v), i) for i, v in good if i != q)[:5]
         assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == want
-    tree = topk.CoverTree(np.array([v for _, v in good]), leaf=8)
-    assert any(c for _, _, c, _ in tree.nodes) and all(((tree.points[rows] - m) ** 2).sum(1).max() <= r * r + 1e-6 for m, r, _, rows in tree.nodes)
+    points = np.array([v for _, v in good])
+    tree = topk.CoverTree(points, leaf=8)
+
+    def below(k):
+        node = tree.nodes[k]
+        return np.concatenate([node.own, *[below(c) for c in node.children]]).astype(int)
+
+    assert any(n.children for n in tree.nodes) and sorted(below(tree.root)) == list(range(len(points)))
+    assert all(((points[below(k)] - n.centre) ** 2).sum(1).max() <= n.radius**2 + 1e-6 for k, n in enumerate(tree.nodes) if len(below(k)))
+    search = topk.Search(tree, np.array([i for i, _ in good]), 5)
+    search.run(points[::10], np.array([i for i, _ in good])[::10])
+    assert search.computed < search.whole / 2  # groups that lie close together are pruned
+
+
+def test_topk_random_vectors(spark):
+    """Nothing lies close together but one group; queries with several vectors; several cells and blocks."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(400, 24))
+    v[100:200] = v[100] + 0.01 * rng.normal(size=(100, 24))
+    rows = [(k, [float(x) for x in v[k] / 6]) for k in range(400)] + [(50, [0.25] * 24)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 5, 50, block_rows=32, query_rows=3).collect()
+    good = [(i, np.floor(256 * np.array(x))) for i, x in rows]
+    want = []
+    for q, x in good:
+        if q % 50 == 0:
+            best = sorted((-int(x @ y), i) for i, y in good if i != q)[:5]
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_tree_merge(spark):
@@ -355,9 +381,12 @@ def test_toxicity_searches_every_text(spark):
         t, w = toxicity.weigh(counts, idf)
         dense[k, t] = w
     queries = [toxicity.weigh(c, idf) for _, _, c in examples]
-    for common in (0.0, 0.4, 1.0):
-        for k, (at, near) in enumerate(toxicity.Search(small, common).nearest(queries, 9)):
+    for common, block, kinds in ((0.0, 32, 64), (0.4, 4, 6), (1.0, 32, 2), (0.1, 3, 20)):
+        search = toxicity.Search(small, common, block, kinds)
+        search.first = 1 + -(-9 // block)
+        for k, (at, near) in enumerate(search.nearest(queries, 9)):
             assert at.tolist() == np.lexsort((np.arange(90), -np.round(dense @ dense[k], 12)))[:9].tolist() and np.allclose(near, dense[at] @ dense[k])
+    assert search.computed < search.asked  # blocks are passed over
 
 
 def test_language(spark, docs):
@@ -376,7 +405,7 @@ def test_language(spark, docs):
 def test_language_path():
     """The constant path is only taken where the recursion gives it too."""
     rng = np.random.default_rng(0)
-    model = language.Model(["a", "b", "c"], {}, (0.0,) * 3, {})
+    model = language.Model(["a", "b", "c"], {}, np.zeros((1, 3)), {})
     own = language.Labeller(model, penalty=3.0)
     for _ in range(200):
         s = -rng.uniform(0, 4, (rng.integers(1, 7), 3))

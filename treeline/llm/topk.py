@@ -1,99 +1,137 @@
 """Exact top-k search by inner product with two cover trees walked together.
 
-Vectors are quantised to floor(scale * x). The data is dealt into blocks of bounded size by a hash of the identifier, and
-the stated set of queries goes to every block. A task indexes its block in a cover tree, and each stretch of queries in
-another; node pairs are pruned when the centres' product and the covering radii bound all products in the pair below the
-query group's worst kth score so far. Each block gives its k best for each query, and the k best of those are the result.
+Vectors are quantised to floor(scale * x). Rows are dealt into cells by the nearest of a bounded number of pivots, and cells
+of more than `block_rows` rows into blocks by a hash of the identifier. Each query first searches the block it lies in; its
+kth score there bounds what is looked for, and it goes only to blocks whose pivot and covering radius allow such a score. A
+task indexes its block in a cover tree and each stretch of queries in another. Nodes are pruned for a query group when the
+centres' product and both covering radii bound all products below the group's worst kth score, and for single queries of
+the group likewise. The k best of all blocks are the result.
+
+Where nothing but single points lie near each other, as in random vectors of many dimensions, the levels of a tree are a
+root and its single points, which are compared at once: then all products are computed. What can be pruned are groups of
+vectors that lie close together.
 
 Ties go to the smaller identifier. A row is never its own candidate: rows with the query's identifier are left out, and a
-query row repeated entirely is one query. Vectors that are null or hold null or non-finite components take no part;
-shorter vectors count as padded with zeros. An empty table gives an empty result.
+query row repeated entirely is one query; an identifier with several vectors is a query, and has a ranking, for each.
+Vectors that are null or hold null or non-finite components (scaled ones too) take no part; shorter vectors count as padded
+with zeros. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treeline.llm._common import materialise, table
+from treeline.llm._common import discard, materialise, one_thread, table, trimmed
 
 
-class CoverTree:
-    """Nodes hold a centre and the radius that covers all points below; each child's radius is a share of its parent's.
+class Node(NamedTuple):
+    """A centre, the radius that covers all points below, children, and the points that no child holds."""
+
+    centre: np.ndarray
+    radius: float
+    children: list[int]
+    own: np.ndarray
 
-    Where points are too spread for children to hold several, the node is a leaf: its points are compared at once."""
+
+class CoverTree:
+    """Each node's children cover its points within a share of its radius; a child of one point is kept as the point alone,
+    and a node of few points has no children."""
 
     def __init__(self, points: np.ndarray, leaf: int = 64, shrink: float = 0.6):
         self.points, self.leaf, self.shrink = points, leaf, shrink
-        self.nodes: list[tuple[np.ndarray, float, list[int], np.ndarray]] = []
-        self.root = self._build(np.arange(len(points)), 0)
-
-    def _build(self, rows: np.ndarray, centre: int) -> int:
-        own = self.points[rows]
-        middle = own[centre]
-        far = np.sqrt(((own - middle) ** 2).sum(1))
-        radius, children = float(far.max(initial=0.0)), []
+        self.sizes = np.sqrt((points**2).sum(1))
+        self.nodes: list[Node] = []
+        self.root = self._build(np.arange(len(points)), points[0])
+
+    def _build(self, rows: np.ndarray, middle: np.ndarray) -> int:
+        radius = float(np.sqrt(((self.points[rows] - middle) ** 2).sum(1)).max())
+        children, own = [], rows
         if len(rows) > self.leaf and radius > 0:
-            reach, free, groups = radius * self.shrink, np.arange(len(rows)), []
-            while len(free) and len(groups) * self.leaf <= 4 * len(rows):
-                pick = centre if not groups else free[0]
-                near = ((own[free] - own[pick]) ** 2).sum(1) <= reach * reach
-                groups.append((pick, free[near]))
-                free = free[~near]
-            if len(groups) > 1 and not len(free):
-                for pick, members in groups:
-                    children.append(self._build(rows[members], int(np.flatnonzero(members == pick)[0])))
-        self.nodes.append((middle, radius, children, rows))
+            groups = self._cover(rows, radius * self.shrink)
+            own = np.array([g[0] for g in groups if len(g) == 1], np.int64)
+            children = [self._build(g, self.points[g[0]]) for g in groups if len(g) > 1]
+        self.nodes.append(Node(middle, radius, children, own))
         return len(self.nodes) - 1
 
+    def _cover(self, rows: np.ndarray, reach: float, at_once: int = 64) -> list[np.ndarray]:
+        """Groups of rows within reach of their first; the firsts are further from each other."""
+        groups, free = [], rows
+        while len(free):
+            points, firsts = self.points[free], self.points[free[:at_once]]
+            gaps = self.sizes[free[:at_once], None] ** 2 + self.sizes[free][None, :] ** 2 - 2 * (firsts @ points.T)
+            near, left = gaps <= reach * reach, np.ones(len(free), bool)
+            for i in range(len(firsts)):
+                if left[i]:
+                    members = near[i] & left
+                    members[i] = False
+                    left &= ~members
+                    left[i] = False
+                    groups.append(np.concatenate([free[i : i + 1], free[members]]))
+            free = free[left]
+        return groups
+
 
 class Search:
-    """The k best of the data tree's points for each query."""
+    """The k best of the data tree's points for each query. computed and whole: products that were and that there are."""
 
     def __init__(self, data: CoverTree, ids: np.ndarray, k: int):
         self.data, self.ids, self.k = data, ids, k
-        self.norms = [float(np.linalg.norm(n[0])) for n in data.nodes]
+        self.norms = [float(np.linalg.norm(n.centre)) for n in data.nodes]
+        self.computed = self.whole = 0
 
-    def run(self, queries: np.ndarray, query_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and identifiers, best first; identifier -1 where there are too few."""
+    def run(self, queries: np.ndarray, query_ids: np.ndarray, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and identifiers, best first; identifier -1 where there are too few. least: smaller scores are no use."""
         self.tree, self.query_ids = CoverTree(queries), query_ids
         self.best = np.full((len(queries), self.k), -np.inf)
         self.who = np.full((len(queries), self.k), -1, np.int64)
-        self._pair(self.tree.root, self.data.root)
+        self.floor = np.full(len(queries), -np.inf) if least is None else least
+        self.whole += len(queries) * len(self.ids)
+        self._pair(self.tree.root)
         return self.best, self.who
 
-    def _bound(self, q: int, d: int) -> float:
-        cq, rq, _, _ = self.tree.nodes[q]
-        cd, rd, _, _ = self.data.nodes[d]
-        return float(cq @ cd) + rq * self.norms[d] + rd * (float(np.linalg.norm(cq)) + rq) + 0.5  # products are whole numbers
+    def _pair(self, q: int) -> None:
+        node = self.tree.nodes[q]
+        if len(node.own):
+            self._rows(node, node.own, self.data.root)
+        for c in node.children:
+            self._pair(c)
+
+    def _worst(self, rows: np.ndarray) -> np.ndarray:
+        return np.maximum(self.best[rows, -1], self.floor[rows])
+
+    def _bound(self, node: Node, d: int) -> float:
+        data = self.data.nodes[d]
+        return float(node.centre @ data.centre) + node.radius * self.norms[d] + data.radius * (float(np.linalg.norm(node.centre)) + node.radius) + 0.5  # products are whole numbers
 
-    def _pair(self, q: int, d: int) -> None:
-        _, rq, below_q, rows_q = self.tree.nodes[q]
-        _, rd, below_d, rows_d = self.data.nodes[d]
-        if self._bound(q, d) < self.best[rows_q, -1].min():
+    def _rows(self, node: Node, rows: np.ndarray, d: int) -> None:
+        """The points of a query node that no child of it holds, against a data node."""
+        worst, data = self._worst(rows), self.data.nodes[d]
+        if self._bound(node, d) < worst.min():
             return
-        if not below_q and not below_d:
-            self._compare(rows_q, rows_d)
-        elif below_d and (not below_q or rd >= rq):
-            for c in sorted(below_d, key=lambda c: -self._bound(q, c)):
-                self._pair(q, c)
-        else:
-            for c in below_q:
-                self._pair(c, d)
+        rows = rows[self.tree.points[rows] @ data.centre + self.tree.sizes[rows] * data.radius + 0.5 >= worst]
+        if not len(rows):
+            return
+        self._compare(rows, data.own)
+        for c in sorted(data.children, key=lambda c: -self._bound(node, c)):
+            self._rows(node, rows, c)
 
     def _compare(self, rows_q: np.ndarray, rows_d: np.ndarray) -> None:
+        self.computed += len(rows_q) * len(rows_d)
         for lo in range(0, len(rows_d), 2048):
             some = rows_d[lo : lo + 2048]
             scores = self.tree.points[rows_q] @ self.data.points[some].T
             ids = self.ids[some]
             scores[self.query_ids[rows_q][:, None] == ids[None, :]] = -np.inf
-            for r in np.flatnonzero((scores >= self.best[rows_q, -1][:, None]).any(1)).tolist():
+            worst = self._worst(rows_q)
+            for r in np.flatnonzero((scores >= worst[:, None]).any(1)).tolist():
                 q = rows_q[r]
-                ok = np.flatnonzero((scores[r] >= self.best[q, -1]) & (scores[r] > -np.inf))
+                ok = np.flatnonzero((scores[r] >= worst[r]) & (scores[r] > -np.inf))
                 s, i = np.concatenate([self.best[q], scores[r][ok]]), np.concatenate([self.who[q], ids[ok]])
                 top = np.lexsort((np.where(s == -np.inf, np.iinfo(np.int64).max, i), -s))[: self.k]
                 self.best[q], self.who[q] = s[top], i[top]
@@ -123,52 +161,116 @@ def quantised(df: DataFrame, id_col: str, vector_col: str, scale: float) -> Data
     return df.select(id_col, vector_col).mapInArrow(run, "id bigint, v binary")
 
 
-def top_k(df: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, block_rows: int = 8192, query_rows: int = 1024) -> DataFrame:
-    """query_id, rank, vec_id, score for the rows whose identifier `every` divides, against all rows. Scores are exact
-    while the sum of the products' sizes is below 2**53."""
-    spark = df.sparkSession
-    own = materialise(quantised(df, id_col, vector_col, scale), "vectors")
-    row = own.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("v")).alias("d")).first()
-    if not row.n:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    blocks, dims = -(-row.n // block_rows), max(1, (row.d or 0) // 8)
-    data = own.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("side"), "id", "v")
-    asked = own.where(F.col("id") % every == 0).dropDuplicates(["id", "v"])
-    queries = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"), "id", "v")
+def celled(own: DataFrame, pivots: np.ndarray, dims: int) -> DataFrame:
+    """own (id, v) with the nearest pivot and the distance to it."""
+    shared, sizes = own.sparkSession.sparkContext.broadcast(pivots), (pivots**2).sum(1)  # at most most_pivots vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
+        for batch in batches:
+            points = _stack(batch.column(1).to_pylist(), dims)
+            gaps = np.maximum((points**2).sum(1)[:, None] + sizes[None, :] - 2 * (points @ shared.value.T), 0)
+            cell = gaps.argmin(1)
+            far = np.sqrt(((points - shared.value[cell]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far)], names=["id", "v", "cell", "far"])
+
+    return own.select("id", "v").mapInArrow(trimmed(run), "id bigint, v binary, cell int, far double")
+
+
+def searched(data: DataFrame, queries: DataFrame, k: int, dims: int, parts: int, query_rows: int) -> DataFrame:
+    """data: cell, sub, id, v. queries: cell, sub, id, v, least. The k best of each block for each of its queries, with the
+    query's vector's hash (mark)."""
+    both = data.select("cell", "sub", F.lit(0).alias("side"), "id", "v", F.lit(None).cast("double").alias("least"), F.lit(0).cast("bigint").alias("mark"))
+    both = both.unionByName(queries.select("cell", "sub", F.lit(1).alias("side"), "id", "v", "least", F.xxhash64("v").alias("mark")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         block, search, points, asking = None, None, [], []
 
         def answer() -> pa.RecordBatch:
             nonlocal search
             if search is None and points and asking:
-                search = Search(CoverTree(_stack([v for _, v in points], dims)), np.array([i for i, _ in points]), k)
-            q, v, s = [], [], []
+                search = Search(CoverTree(_stack([r[1] for r in points], dims)), np.array([r[0] for r in points]), k)
+                points.clear()
+            out: list[tuple[int, int, int, int]] = []
             if search is not None and asking:
-                best, who = search.run(_stack([x for _, x in asking], dims), np.array([i for i, _ in asking]))
-                for (i, _), b, w in zip(asking, best, who, strict=True):
-                    for score, one in zip(b, w, strict=True):
-                        if score > -np.inf:
-                            q.append(i)
-                            v.append(int(one))
-                            s.append(int(score))
+                least = np.array([-np.inf if r[2] is None else r[2] for r in asking])
+                best, who = search.run(_stack([r[1] for r in asking], dims), np.array([r[0] for r in asking]), least)
+                for r, b, w in zip(asking, best.tolist(), who.tolist(), strict=True):
+                    out += [(r[0], r[3], one, int(score)) for score, one in zip(b, w, strict=True) if score > -np.inf]
             asking.clear()
-            return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(4)], names=["query_id", "mark", "vec_id", "score"])
 
         for batch in batches:
-            for b, side, i, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if b != block:
+            for cell, sub, side, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (cell, sub) != block:
                     yield answer()
-                    block, search, points = b, None, []
-                (asking if side else points).append((i, v))
+                    block, search, points = (cell, sub), None, []
+                (asking if side else points).append(row)
                 if len(asking) >= query_rows:
                     yield answer()
         yield answer()
 
-    both = data.unionByName(queries).repartition(max(blocks, spark.sparkContext.defaultParallelism), "block").sortWithinPartitions("block", "side", "id")
-    found = both.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    dealt = both.repartition(parts, "cell", "sub").sortWithinPartitions("cell", "sub", "side", "id")
+    return dealt.mapInArrow(trimmed(run), "query_id bigint, mark bigint, vec_id bigint, score bigint")
+
+
+def reached(queries: DataFrame, pivots: np.ndarray, cells: dict[int, tuple[int, float]], dims: int) -> DataFrame:
+    """queries: id, v, cell, sub (where they lie), least. A row for each other block that may hold a score of least or more.
+    cells: blocks and covering radius of each cell."""
+    shared = queries.sparkSession.sparkContext.broadcast((pivots, cells))  # at most most_pivots vectors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
+        pivots, cells = shared.value
+        names = np.array(sorted(cells))
+        counts, radii = np.array([cells[c][0] for c in names.tolist()]), np.array([cells[c][1] for c in names.tolist()])
+        for batch in batches:
+            home, sub = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            points = _stack(batch.column(1).to_pylist(), dims)
+            least = np.array([-np.inf if x is None else x for x in batch.column(4).to_pylist()])
+            bounds = points @ pivots[names].T + np.sqrt((points**2).sum(1))[:, None] * radii[None, :] + 0.5
+            for lo in range(0, len(points), 256):
+                row, col = np.nonzero(bounds[lo : lo + 256] >= least[lo : lo + 256, None])
+                n = counts[col]
+                row, cell = np.repeat(row + lo, n), np.repeat(names[col], n)
+                part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                ok = (cell != home[row]) | (part != sub[row])
+                row, cell, part = row[ok], cell[ok], part[ok]
+                some = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(4), pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32))], names=["id", "v", "least", "cell", "sub"])
+
+    return queries.select("id", "v", "cell", "sub", "least").mapInArrow(trimmed(run), "id bigint, v binary, least double, cell int, sub int")
+
+
+def top_k(df: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, block_rows: int = 8192, query_rows: int = 1024, most_pivots: int = 1024) -> DataFrame:
+    """query_id, rank, vec_id, score for the rows whose identifier `every` divides, against all rows. Scores are exact
+    while the sum of the products' sizes is below 2**53."""
+    spark = df.sparkSession
+    own = materialise(quantised(df, id_col, vector_col, scale), "vectors")
+    row = own.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("v")).alias("d")).first()
+    if not row.n:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    dims = max(1, (row.d or 0) // 8)
+    wanted = min(most_pivots, max(4, 4 * -(-row.n // block_rows)))
+    picked = own.orderBy(F.xxhash64("id", F.lit("pivot")), "id", "v").limit(wanted).collect()
+    pivots = np.unique(_stack([bytes(r.v) for r in picked], dims), axis=0)
+    placed = materialise(celled(own, pivots, dims), "placed")
+    found = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()  # a row for each pivot
+    cells = {r.cell: (-(-r.n // block_rows), r.far * (1 + 1e-9) + 1e-6) for r in found}
+    subs = F.create_map(*[F.lit(x) for c, (n, _) in sorted(cells.items()) for x in (c, n)])
+    placed = placed.withColumn("sub", F.pmod(F.xxhash64("id"), F.element_at(subs, F.col("cell"))).cast("int"))
+    data = placed.select("cell", "sub", "id", "v")
+    asked = placed.where(F.col("id") % every == 0).select("id", "v", "cell", "sub").dropDuplicates(["id", "v"])
+    parts = max(sum(n for n, _ in cells.values()), spark.sparkContext.defaultParallelism)
+    near = materialise(searched(data, asked.withColumn("least", F.lit(None).cast("double")), k, dims, parts, query_rows), "near")
+    kth = near.groupBy(F.col("query_id").alias("id"), "mark").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("least"))
+    asked = asked.withColumn("mark", F.xxhash64("v")).join(kth, ["id", "mark"], "left")
+    far = materialise(searched(data, reached(asked, pivots, cells, dims), k, dims, parts, query_rows), "far")
+    discard(own)
+    best = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
+    rows = near.unionByName(far).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return rows.select("query_id", "rank", "vec_id", "score")
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
