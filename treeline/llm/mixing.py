@@ -11,7 +11,8 @@ Targets: sources by code point, null last, weigh 3, 1, 2 and so on and share `sh
 `most` times its source's words and the excess is shared again by weight.
 
 Documents without words are in the result with nothing taken; rows repeated with the same identifier are separate
-documents; an empty table gives an empty result. Everything derives from hashes of identifiers and indexes, so reruns agree.
+documents; an empty table gives an empty result. Rows without an identifier count too, as documents of identifier null.
+Everything derives from hashes of identifiers, texts and indexes, so reruns agree.
 """
 
 from __future__ import annotations
@@ -47,14 +48,26 @@ def targets(sources: DataFrame, share: float, most: float, weights: tuple[int, .
     return rows.select("source", "source_size", "sid", F.least("cap", F.coalesce(F.col("level") * F.col("w"), "cap")).alias("target"))
 
 
+def running(rows: DataFrame, key: str, order: str, value: str, name: str, span: int = 1024) -> DataFrame:
+    """Adds name: the sum of value over rows of the same key with a smaller order (a whole number, once for each key). Sums of
+    spans of the order come first, so that no task sees all rows of a key."""
+    rows = rows.withColumn("_span", F.expr(f"{order} div {span}"))
+    sums = rows.groupBy(key, "_span").agg(F.sum(value).alias("_sum"))
+    spans = Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(key, "_span", F.coalesce(F.sum("_sum").over(spans), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(key, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(base, [key, "_span"])
+    return rows.withColumn(name, (F.col("_inside") + F.col("_base")).cast("bigint")).drop("_span", "_inside", "_base")
+
+
 class Mix:
-    """documents: id, source, size, sid, source_size, target, start (place in its source's words).
+    """documents: id, mark (a hash of the text), source, size, sid, source_size, target, start (place in its source's words).
     spans: shard, sid, pass, block, id, start, first (word of the document), words."""
 
     def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, block: int = 256, shard: int = 1024, seed: int = 11, bucket_rows: int = 1024):
         self.spark, self.block, self.shard, self.seed = df.sparkSession, block, shard, seed
         size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
-        own = materialise(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
+        own = materialise(df.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
         wanted = targets(own.groupBy("source").agg(F.sum("size").alias("source_size")), share, most)
         wanted = wanted.withColumn("wanted", F.round("target").cast("bigint")).withColumn("blocks", F.ceil(F.col("source_size") / block).cast("bigint"))
         wanted = wanted.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("wanted") / F.col("source_size"))).otherwise(0).cast("bigint"))
@@ -74,11 +87,10 @@ class Mix:
         rows = own.join(self.sources.select("source", "sid", "source_size", "target"), own.source.eqNullSafe(self.sources.source)).drop(self.sources.source)
         rows = rows.withColumn("at", F.xxhash64("id", F.lit(self.seed))).withColumn("bucket", F.pmod("at", F.lit(buckets)))
         sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
-        before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        sums = sums.select("sid", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-        inside = Window.partitionBy("sid", "bucket").orderBy("at", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+        sums = running(sums, "sid", "bucket", "words", "base").drop("words")
+        inside = Window.partitionBy("sid", "bucket").orderBy("at", "id", "mark", "size").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(sums, ["sid", "bucket"])
-        return rows.select("id", "source", "size", "sid", "source_size", "target", (F.col("start") + F.col("base")).cast("bigint").alias("start"))
+        return rows.select("id", "mark", "source", "size", "sid", "source_size", "target", (F.col("start") + F.col("base")).cast("bigint").alias("start"))
 
     def _slots(self) -> DataFrame:
         """shard, sid, j: the j-th slot of source sid is in that shard."""
@@ -91,15 +103,16 @@ class Mix:
         draws = self.spark.range(total).select((F.expr(f"id div {self.shard}")).alias("shard"), F.pmod(F.xxhash64("id", F.lit(self.seed), F.lit("draw")), F.lit(max(total, 1))).alias("x"))
         draws = draws.withColumn("cell", F.expr(f"x div {cell}")).join(cells, "cell").where("x >= low and x < high")
         counts = draws.groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("c"))
-        before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-        counts = materialise(counts.withColumn("j", F.coalesce(F.sum("c").over(before), F.lit(0))), "counts")
+        counts = materialise(running(counts, "sid", "shard", "c", "j"), "counts")
         drawn = counts.groupBy("sid").agg(F.sum("c").alias("drawn"))
         upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
         even = src.join(drawn, "sid", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
         even = even.withColumn("over", F.greatest(F.col("drawn") - F.col("slots"), F.lit(0))).withColumn("under", F.greatest(F.col("slots") - F.col("drawn"), F.lit(0)))
         even = even.withColumn("over_at", F.coalesce(F.sum("over").over(upto), F.lit(0))).withColumn("under_at", F.coalesce(F.sum("under").over(upto), F.lit(0)))
         even = materialise(even, "even")
-        each = counts.join(even.select("sid", "slots", "over_at"), "sid").withColumn("j", F.explode(F.expr("sequence(j, j + c - 1)")))
+        parts = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        counts = counts.repartition(parts, "shard", "sid")  # a row becomes up to a shard of slots
+        each = counts.join(F.broadcast(even.select("sid", "slots", "over_at")), "sid").withColumn("j", F.explode(F.expr("sequence(j, j + c - 1)")))
         good = each.where("j < slots").select("shard", "sid", "j")
         extra = each.where("j >= slots").select("shard", (F.col("over_at") + F.col("j") - F.col("slots")).alias("e"))
         free = even.where("under > 0").select("sid", "drawn", "under_at", F.explode(F.expr("sequence(0L, under - 1)")).alias("i")).select("sid", (F.col("drawn") + F.col("i")).alias("j"), (F.col("under_at") + F.col("i")).alias("e"))
@@ -113,10 +126,10 @@ class Mix:
         length = F.when(F.col("block") == F.col("blocks") - 1, F.col("short_len")).otherwise(b)
         done = F.when(F.col("i") <= F.col("short_at"), F.col("i") * b).otherwise((F.col("i") - 1) * b + F.col("short_len"))
         slots = slots.withColumn("take", F.when(F.col("pass") < F.col("passes"), length).otherwise(F.least(length, F.col("rest") - done)))
-        pieces = self.documents.where("size > 0").select("sid", "id", "start", "size", F.explode(F.expr(f"sequence(start div {b}, (start + size - 1) div {b})")).alias("block"))
+        pieces = self.documents.where("size > 0").select("sid", "id", "mark", "start", "size", F.explode(F.expr(f"sequence(start div {b}, (start + size - 1) div {b})")).alias("block"))
         pieces = pieces.withColumn("lo", F.greatest(F.col("start") - F.col("block") * b, F.lit(0))).withColumn("hi", F.least(F.col("start") + F.col("size") - F.col("block") * b, F.lit(b)))
         spans = slots.select("shard", "sid", "pass", "block", "take").join(pieces, ["sid", "block"]).where("lo < take")
-        return spans.select("shard", "sid", "pass", "block", "id", "start", (F.col("block") * b + F.col("lo") - F.col("start")).alias("first"), (F.least("hi", "take") - F.col("lo")).cast("bigint").alias("words"))
+        return spans.select("shard", "sid", "pass", "block", "id", "mark", "start", (F.col("block") * b + F.col("lo") - F.col("start")).alias("first"), (F.least("hi", "take") - F.col("lo")).cast("bigint").alias("words"))
 
     def taken(self) -> DataFrame:
         """id, size, source_size, target, taken for each document."""
@@ -131,17 +144,19 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """df's columns, a row for each document and pass over its source from which words were taken. A document taken whole
     keeps its text; else it has the words taken, joined by one space."""
     mix = Mix(df, id_col, text_col, **options)
-    parts = mix.spans.groupBy("id", "sid", "start", "pass").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias("parts"))
-    parts = parts.join(mix.documents.where("size > 0").select("sid", "start", "size"), ["sid", "start"]).select(F.col("id").alias("mix_id"), "parts", (F.col("taken") < F.col("size")).alias("cut"))
-    each = df.dropDuplicates([id_col])
-    rows = each.join(parts, each[id_col] == parts.mix_id)
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    rows = rows.withColumn("mix_words", F.when(F.col("cut"), words))
-    some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(F.col("mix_words"), (p["first"] + 1).cast("int"), p["words"].cast("int")))), " ")
-    rows = rows.withColumn(text_col, F.when(F.col("cut"), some).otherwise(F.col(text_col)))
+    parts = mix.spans.groupBy("id", "mark", "sid", "start", "pass").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias("parts"))
+    parts = parts.join(mix.documents.where("size > 0").select("sid", "start", "size"), ["sid", "start"]).select("id", "mark", "parts", (F.col("taken") < F.col("size")).alias("cut"))
+    # all of df's columns in one, as they may have any names; equal rows of one identifier and text are one here
+    each = df.select(F.struct("*").alias("doc"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("mark")).groupBy("id", "mark").agg(F.min("doc").alias("doc"))
+    rows = parts.join(each, parts.id.eqNullSafe(each.id) & (parts.mark == each.mark)).select("doc", "parts", "cut")
+    text = F.col("doc").getField(text_col)
+    rows = rows.withColumn("split", F.when(F.col("cut"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0))))
+    some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(F.col("split"), (p["first"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    rows = rows.withColumn("whole", F.when(F.col("cut"), some).otherwise(text))
+    fields = {c: F.col("doc").getField(c) for c in df.columns} | {text_col: F.col("whole")}
     if n_col in df.columns:
-        rows = rows.withColumn(n_col, F.when(F.col("cut"), F.char_length(text_col)).otherwise(F.col(n_col)).cast(df.schema[n_col].dataType))
-    return rows.select(*df.columns)
+        fields[n_col] = F.when(F.col("cut"), F.char_length("whole")).otherwise(fields[n_col]).cast(df.schema[n_col].dataType)
+    return rows.select(*[x.alias(c) for c, x in fields.items()])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
