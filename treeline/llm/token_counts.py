@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm._common import table
+from treeline.llm._common import held, stretches, strings, table, trimmed
 
 _NEVER = 1 << 60
 
@@ -211,9 +211,9 @@ class Counter:
         return sum(map(self.plain, self.special.split(text))) + len(self.special.findall(text))
 
 
-@functools.lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
-    return Counter(path)
+    """One for each Python worker."""
+    return held(("counter", path), lambda: Counter(path))
 
 
 def token_counts(df: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,14 +222,14 @@ def token_counts(df: DataFrame, path: str, limit: int, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            n = [own.count(t) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_())],
-                names=[id_col, "n_bytes", "n_tokens", "over_limit"],
-            )
-
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+            for lo, texts in stretches(batch.column(1), read=strings):
+                n = [own.count(t) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, len(texts)).cast(pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_())],
+                    names=[id_col, "n_bytes", "n_tokens", "over_limit"],
+                )
+
+    return df.select(id_col, text_col).mapInArrow(trimmed(run, ("counter", path)), f"`{id_col}` bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm._common import fresh_path, materialise, table
+from treeline.llm._common import fresh_path, lookup, materialise, table
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
@@ -39,9 +39,12 @@ def base32(digest: bytes) -> str:
 def kinds(df: DataFrame, id_col: str, url_col: str, text_col: str, least: int) -> DataFrame:
     """id, url, payload (null for revisits), size, sha (hex), first: the identifier of the response to refer to, or null."""
     own = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("payload"))
-    own = own.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("bigint"))
-    again = own.where(F.col("size") >= least).groupBy("sha", "size").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    rows = own.join(again, ["sha", "size"], "left").withColumn("first", F.when(F.col("first") != F.col("id"), F.col("first")))
+    own = own.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("bigint")).withColumn("key", F.sha2("payload", 256))
+    # which payloads are equal is told from digests alone; payloads are dealt by identifier, so that a frequent one is spread
+    marks = materialise(own.where(F.col("size") >= least).select("id", "key"), "marks")
+    again = materialise(marks.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "again")
+    refers = materialise(lookup(marks, again, ["key"], "n").where("id <> first").select("id", "key", "first").distinct(), "refers")
+    rows = own.join(refers, ["id", "key"], "left")
     return rows.select("id", "url", F.when(F.col("first").isNull(), F.col("payload")).alias("payload"), "size", "sha", "first")
 
 
