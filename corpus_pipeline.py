@@ -1,48 +1,64 @@
-"""A corpus pipeline: toxicity, exact dedup, near dedup, mixing and encoding, each over all that the one before kept."""
+"""A corpus pipeline: toxicity, exact dedup, near dedup, mixing and encoding, each over all that the one before kept.
+
+All stages but the last return the columns of documents, whatever they are called. Null texts count as empty; rows without
+an identifier are no documents and go. Rows that share an identifier are judged together by the first stage (they go if one
+is toxic) and by their texts after it; equal ones become one row. Every stage gives an empty table for an empty one.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import string
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.llm import bpe, exact_dedup, minhash, mixing, toxicity
-from treeline.llm._common import fresh_path, table
+from treeline.llm._common import fresh_path, materialise, table
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxic documents go. The model is learnt from the labelled rows that are not held out."""
-    verdict = toxicity.score(docs, toxicity.model_of(spark, sf_dir)).groupBy("doc_id").agg(F.max("score").alias("score"))
-    return docs.join(verdict.where(F.col("score") >= toxicity.THRESHOLD), "doc_id", "left_anti").select(*docs.columns)
+    """Toxic documents go, empty texts by the score of such examples. The model is learnt from the labelled rows that are not
+    held out, of the table and not of what is given."""
+    docs = docs.where(F.col("doc_id").isNotNull())
+    verdict = toxicity.score(docs, toxicity.model_of(spark, sf_dir)).where(F.col("score") >= toxicity.THRESHOLD).select("doc_id")
+    return docs.join(materialise(verdict.distinct(), "toxic"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def _lower(text: str) -> Column:
+    """A text's digest with A-Z lower-cased."""
+    return F.sha2(F.translate(F.coalesce(F.col(text), F.lit("")), string.ascii_uppercase, string.ascii_lowercase), 256)
 
 
 def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The documents that verdicts keep; rows repeated with the same identifier become one."""
-    return docs.join(verdicts.where("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The documents that verdicts (doc_id, key: a digest of the text) keep; of rows equal in both the smallest."""
+    each = docs.select(F.struct("*").alias("doc"), "doc_id", _lower("text").alias("key"))
+    kept = each.join(verdicts.select("doc_id", "key").distinct(), ["doc_id", "key"], "left_semi").groupBy("doc_id", "key").agg(F.min("doc").alias("doc"))
+    return kept.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the smallest identifier stays."""
-    return _keep(docs, exact_dedup.exact_dedup(docs))
+    """Of texts that are equal but for the case of A-Z, the document with the smallest identifier stays."""
+    return _keep(docs, exact_dedup.exact_dedup(docs).where("kept").withColumnRenamed("text_sha256", "key"))
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest identifier stays."""
-    return _keep(docs, minhash.near_dedup(docs))
+    """Of each group of near copies, the document with the smallest identifier stays; texts without words all stay."""
+    return docs.join(minhash.near_dedup(docs).where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes: a row for each document and pass over its source."""
+    """The words that the mix takes: a row for each document and pass over its source; documents without words go."""
     return mixing.mixed_documents(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with the digests of their round trip."""
+    """Token ids of every row's text, with the digests of their round trip; an empty text has none."""
     return bpe.encode_decode(docs, *bpe.tokenizer(), ids=True)
 
 
 STAGES = [("toxicity", clean), ("exact_dedup", distinct), ("near_dedup", unlike), ("mixing", mixed), ("encoding", encoded)]
 
-#: Scores, the mix and token ids are beyond SQL; tests hold the stages against brute force.
+#: Scores, the mix and token ids are beyond SQL; tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
