@@ -385,7 +385,7 @@ def test_toxicity_searches_every_text(spark):
         search = toxicity.Search(small, common, block, kinds)
         search.first = 1 + -(-9 // block)
         for k, (at, near) in enumerate(search.nearest(queries, 9)):
-            assert at.tolist() == np.lexsort((np.arange(90), -np.round(dense @ dense[k], 12)))[:9].tolist() and np.allclose(near, dense[at] @ dense[k])
+            assert at.tolist() == np.lexsort((np.arange(90), -np.round(dense.astype(np.float32).astype(float) @ dense[k], 12)))[:9].tolist() and np.allclose(near, dense[at] @ dense[k])
     assert search.computed < search.asked  # blocks are passed over
 
 

@@ -146,10 +146,23 @@ def give_back() -> None:
         pass
 
 
-def trimmed(run: Callable) -> Callable:
-    """For mapInArrow: gives what a finished task has freed back to the system, as workers are used again."""
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable):
+    """What make gives, kept by this Python worker for later tasks of the same operator."""
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def trimmed(run: Callable, keep: tuple | None = None) -> Callable:
+    """For mapInArrow: workers are used again, so what other operators hold is dropped (but `keep`), and what a finished task
+    has freed is given back to the system."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key in [k for k in _HELD if k != keep]:
+            del _HELD[key]
         yield from run(batches)
         give_back()
 

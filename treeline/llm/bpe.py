@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm._common import stretches, strings, table, trimmed
+from treeline.llm._common import held, stretches, strings, table, trimmed
 
 ROOT = 0
 
@@ -355,19 +355,15 @@ class Encoder:
         yield b"", machine.finish()
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Encoder:
-    """One per Python worker."""
-    return Encoder(path, pattern)
-
-
 def encode_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False, text: bool = False) -> DataFrame:
     """Encodes every whole text and streams it back. Gives id_col, n_tokens, ids_sha256, decoded_sha256, and on request
     ids (array of int) and decoded_text. One pass without a shuffle; memory is bounded by a batch of texts."""
     schema = f"`{id_col}` bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded_text string" * text
 
+    key = ("bpe", path, pattern)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = encoder(path, pattern)
+        codec = held(key, lambda: Encoder(path, pattern))
         for batch in batches:
             for lo, some in stretches(batch.column(1), read=strings):
                 rows: dict[str, list] = {"n": [], "a": [], "b": [], "ids": [], "text": []}
@@ -395,7 +391,7 @@ def encode_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
                     names.append("decoded_text")
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return df.select(id_col, text_col).mapInArrow(trimmed(run), schema)
+    return df.select(id_col, text_col).mapInArrow(trimmed(run, key), schema)
 
 
 def tokenizer() -> tuple[str, str]:

@@ -186,7 +186,7 @@ def fit(df: DataFrame, learn: Callable[[Column], Column], id_col: str = "doc_id"
                 times.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(langs, pa.string()), pa.array(times, pa.int64())], names=["gram", "lang", "n"])
 
-    sums = materialise(own.select("text", "lang").mapInArrow(found, "gram string, lang string, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "grams")
+    sums = materialise(own.select("text", "lang").mapInArrow(trimmed(found), "gram string, lang string, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "grams")
     langs = [r.lang for r in sums.select("lang").distinct().orderBy("lang").collect()]
     at = {x: k for k, x in enumerate(langs)}
     scripts: dict[str, list[float]] = {}

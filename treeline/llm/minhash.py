@@ -17,7 +17,7 @@ Words are hashed to 64 bits of XXH3 and shingles to 64 bits made of these; sets
 such hashes. Nulls and texts without words have an empty set, link with nothing and are their own component. A document of
 fewer than `shingle` words has one shingle, the whole sequence. Rows repeated with the same identifier and text get the
 same result; rows with the same identifier and other texts each get that of their own text's class, and a link of any of
-the texts counts for the identifier. An empty table gives an empty result.
+the texts counts for the identifier; rows without an identifier are no documents. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -247,6 +247,7 @@ def close_links(texts: DataFrame, tagged: DataFrame, size: int, num: int, den: i
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 75, den: int = 100, bands: int = 36, rows: int = 4) -> DataFrame:
     """A row for each row of df: id_col, n_shingles, component_id, kept."""
+    df = df.where(F.col(id_col).isNotNull())
     sigs = materialise(signatures(df, id_col, text_col, size, MinMax(bands, rows)), "signatures")
     classes = materialise(sigs.where("key is not null").groupBy("key").agg(F.min("id").alias("rep")), "classes")
     reps = sigs.join(classes, (sigs.id == classes.rep) & (sigs.key == classes.key)).select("id", "buckets")

@@ -90,7 +90,7 @@ def indexed(examples: list[tuple[int, int, np.ndarray, np.ndarray]], terms: dict
     vectors = [unit(t, c, idf) for _, _, t, c in full]
     at = np.cumsum([0, *(len(t) for t, _ in vectors)])
     own, values = (np.concatenate([v[k] for v in vectors]) if vectors else np.zeros(0) for k in (0, 1))
-    return Model(terms, idf, np.array([e[0] for e in full], np.int64), np.array([e[1] for e in full], np.int64), weights, at, own.astype(np.int32), values, size, empty, base)
+    return Model(terms, idf, np.array([e[0] for e in full], np.int64), np.array([e[1] for e in full], np.int64), weights, at, own.astype(np.int32), values.astype(np.float32), size, empty, base)
 
 
 def _spans(lows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -118,20 +118,24 @@ class Search:
         often = np.flatnonzero(np.bincount(m.own, minlength=size) > common * n)
         self.place = np.full(size, -1, np.int32)
         self.place[often] = np.arange(len(often))
-        rows, place = np.repeat(np.arange(n), np.diff(m.at)), self.place[m.own]
+        rows, place = np.repeat(np.arange(n, dtype=np.int32), np.diff(m.at)), self.place[m.own]
         dense = np.zeros((n, len(often)), np.float32)
-        dense[rows[place >= 0], place[place >= 0]] = m.values[place >= 0]
+        for lo in range(0, len(place), 1 << 18):  # in parts, as all indexes at once would take more than the matrix
+            some = np.flatnonzero(place[lo : lo + (1 << 18)] >= 0) + lo
+            dense[rows[some], place[some]] = m.values[some]
         self.back = np.argsort(alike(dense, kinds), kind="stable")  # the example at each place of the index
         at = np.empty(n, np.int32)
         at[self.back] = np.arange(n, dtype=np.int32)
         self.edges = np.minimum(np.arange(-(-n // block) + 1) * block, n)
         self.blocks = [np.ascontiguousarray(dense[self.back[lo:hi]].T) for lo, hi in itertools.pairwise(self.edges)]
+        del dense
         self.top = np.stack([b.max(1) for b in self.blocks], 1)
         self.first = 1 + -(-64 // block)  # blocks that are computed whatever they are bound by
-        order = np.flatnonzero(place < 0)
-        order = order[np.argsort(m.own[order], kind="stable")]
+        order = np.flatnonzero(place < 0).astype(np.int32)
+        del place
+        order = order[np.argsort(m.own[order], kind="stable").astype(np.int32)]
         self.low = np.searchsorted(m.own[order], np.arange(size + 1))
-        self.rows, self.values = at[rows[order]], m.values[order].astype(np.float32)
+        self.rows, self.values = at[rows[order]], m.values[order]
         self.query = np.zeros(size)
         self.computed = self.asked = 0
 
@@ -172,7 +176,7 @@ class Search:
             self.query[terms] = w
             sizes = m.at[near + 1] - m.at[near]
             at = _spans(m.at[near], sizes)
-            exact = np.round(np.bincount(np.repeat(np.arange(len(near)), sizes), self.query[m.own[at]] * m.values[at], len(near)), 12)
+            exact = np.round(np.bincount(np.repeat(np.arange(len(near)), sizes), self.query[m.own[at]] * m.values[at].astype(np.float64), len(near)), 12)
             self.query[terms] = 0.0
             best = np.lexsort((near, -exact))[:k]
             yield near[best], exact[best]
@@ -266,7 +270,7 @@ def sketched(rows: DataFrame) -> DataFrame:
                 sketches += [int(windows(h[a:b], min(3, b - a)).min() >> np.uint64(1)) if b > a else 0 for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sketches, pa.int64())], names=["id", "text", "y", "sketch"])
 
-    return rows.select("id", "text", "y").mapInArrow(run, "id bigint, text string, y int, sketch bigint")
+    return rows.select("id", "text", "y").mapInArrow(trimmed(run), "id bigint, text string, y int, sketch bigint")
 
 
 def fit(df: DataFrame, labels: DataFrame, learn: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_examples: int = 3000, purity: float = 20.0, seed: int = 5) -> Model:
@@ -294,7 +298,7 @@ def fit(df: DataFrame, labels: DataFrame, learn: Callable[[Column], Column], id_
 
     sums = {r.y: r.n for r in own.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = max(sums.get(1, 0), 1), max(sums.get(0, 0), 1)
-    df_terms = own.select("text", "y").mapInArrow(found, "term string, y int").groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    df_terms = own.select("text", "y").mapInArrow(trimmed(found), "term string, y int").groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     weights = np.array([whole.get(y, 0) / max(sums.get(y, 0), 1) for y in (0, 1)])
     weights = weights / (weights.max() or 1.0)
     found_terms = df_terms.orderBy("term").toArrow()
