@@ -136,6 +136,18 @@ def one_thread() -> None:
                 getattr(library, name)(1)
 
 
+@contextlib.contextmanager
+def no_cycles() -> Iterator[None]:
+    """Without the search for cycles, which large dictionaries make dear, around code that makes none."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def give_back() -> None:
     """Gives memory that is free back to the system."""
     gc.collect()

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm._common import give_back, materialise, one_thread, stretches, strings, table, trimmed, windows, word_hashes
+from treeline.llm._common import give_back, materialise, no_cycles, one_thread, stretches, strings, table, trimmed, windows, word_hashes
 
 _TRIM = ".,;:!?\"'()[]{}*%#|<>&/-_…«»“”¿¡"
 _PREFIXES = (4, 5, 6)
@@ -176,7 +176,7 @@ class Search:
             self.query[terms] = w
             sizes = m.at[near + 1] - m.at[near]
             at = _spans(m.at[near], sizes)
-            exact = np.round(np.bincount(np.repeat(np.arange(len(near)), sizes), self.query[m.own[at]] * m.values[at].astype(np.float64), len(near)), 12)
+            exact = np.round(np.bincount(np.repeat(np.arange(len(near)), sizes), self.query[m.own[at]] * m.values[at], len(near)), 12)
             self.query[terms] = 0.0
             best = np.lexsort((near, -exact))[:k]
             yield near[best], exact[best]
@@ -188,25 +188,38 @@ def nearest(m: Model, counts: dict[int, int], k: int) -> tuple[np.ndarray, np.nd
 
 
 class _Words(dict):
-    """The known terms of each word met so far."""
+    """The known terms of each word met so far. Terms are split by kind, so that a new word's are found in small tables."""
 
     def __init__(self, terms: dict[str, int]):
-        self.known = terms.get
+        kinds: dict[int, dict[str, int]] = {n: {} for n in (0, *_PREFIXES)}
+        for t, k in terms.items():
+            if t[-1] == "*":
+                kinds[len(t) - 1][t[:-1]] = k
+            else:
+                kinds[0][t] = k
+        self.whole, self.four, self.five, self.six = (kinds[n].get for n in (0, *_PREFIXES))
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        core, get, out = word.strip(_TRIM), self.known, ()
+        core, out = word.strip(_TRIM), ()
+        n = len(core)
         # an example with a longer beginning or the whole word has the shorter ones too
-        if len(core) < 4:
-            if core and (t := get(core)) is not None:
+        if n < 4:
+            if n and (t := self.whole(core)) is not None:
                 out = (t,)
-        elif (a := get(core[:4] + "*")) is not None:
-            out, b, c = (a,), None, None
-            if len(core) > 4 and (b := get(core[:5] + "*")) is not None:
+        elif (a := self.four(core[:4])) is not None:
+            if n == 4:
+                t = self.whole(core)
+                out = (a,) if t is None else (a, t)
+            elif (b := self.five(core[:5])) is None:
+                out = (a,)
+            elif n == 5:
+                t = self.whole(core)
+                out = (a, b) if t is None else (a, b, t)
+            elif (c := self.six(core[:6])) is None:
                 out = (a, b)
-                if len(core) > 5 and (c := get(core[:6] + "*")) is not None:
-                    out = (a, b, c)
-            if (c if len(core) > 5 else b if len(core) > 4 else a) is not None and (t := get(core)) is not None:
-                out += (t,)
+            else:
+                t = self.whole(core)
+                out = (a, b, c) if t is None else (a, b, c, t)
         self[word] = out
         return out
 
@@ -329,7 +342,8 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
         scorer = Scorer(shared.value, k)
         for batch in batches:
             for lo, some in stretches(batch.column(1), read=strings):
-                out = scorer.score(some)
+                with no_cycles():
+                    out = scorer.score(some)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(some)).cast(pa.int64()), pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.int64()))], names=[id_col, "score", "evidence"])
 
     return df.select(id_col, text_col).mapInArrow(trimmed(run), f"`{id_col}` bigint, score double, evidence array<bigint>")
