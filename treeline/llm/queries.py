@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from treeline.llm import bpe, exact_dedup, language, minhash, mixing, substring_dedup, token_counts, topk, toxicity, warc
+from treeline.llm import alignment, bpe, exact_dedup, language, minhash, mixing, neighbours, periodic, substring_dedup, token_counts, topk, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_language": language.op8_language,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_neighbours": neighbours.op11_neighbours,
+    "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_alignment": alignment.op13_alignment,
 }
 
-SQL = exact_dedup.SQL | minhash.SQL | substring_dedup.SQL | topk.SQL
+SQL = exact_dedup.SQL | minhash.SQL | neighbours.SQL | substring_dedup.SQL | topk.SQL
