@@ -118,28 +118,6 @@ def test_boundary_order(spark):
     assert [(r.ws, r.seq, r.id) for r in after.collect()] == [("w", 4, 1)] and refs.count() == 1
 
 
-def test_mirror(spark, tmp_path):
-    src = tmp_path / "in"
-    src.mkdir()
-    hint = lambda ws, seq: json.dumps({"type": "head_changed", "workspace": ws, "seq": seq}) + "\n"
-    seen, known = [], {}
-
-    def pull(ws, seq):
-        seen.append((ws, seq))
-        return ws != "bad" or len(seen) > 2
-
-    def run():
-        feeds.mirror(feeds.parse_hints(spark.readStream.option("maxFilesPerTrigger", 1).text(str(src))), pull, str(tmp_path / "cp"), known).awaitTermination()
-
-    (src / "1").write_text(hint("a", 2) + hint("a", 4) + hint("bad", 1))
-    os.utime(src / "1", (1, 1))
-    (src / "2").write_text(hint("a", 3) + hint("c", 1))
-    run()
-    assert seen == [("a", 4), ("bad", 1), ("bad", 1), ("c", 1)] and known == {"a": 4, "bad": 1, "c": 1}
-    roles = spark.createDataFrame([("w", "u"), ("w", "v"), ("x", "u")], "ws string, user_name string")
-    assert feeds.allowed(spark.createDataFrame([("w", 3)], "ws string, seq int"), roles).count() == 2
-
-
 def test_small_rules(spark):
     one = spark.range(1)
     value = lambda c: one.select(c.alias("v")).first().v

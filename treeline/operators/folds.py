@@ -61,18 +61,23 @@ def put_plan(entries: DataFrame, most_entries: int = PUT_ENTRIES, most_bytes: in
 
 
 def debounce(events: DataFrame, quiet: float, cap: float) -> DataFrame:
-    """events: ws, id, at, wanted. Windows: ws, opened, last, n, capped, runs. A window ends when nothing comes for `quiet`,
-    or with the first event `cap` or more after it opened; it runs a cycle if some event in it was wanted."""
+    """events: ws, id, at, wanted, and kick if there are any. Windows: ws, opened, last, n, capped, runs. A window ends when
+    nothing comes for `quiet`, or with the first event `cap` or more after it opened; it runs a cycle if some event in it was
+    wanted. A kick that comes while no window is open is a window of its own at once; inside one it is a wanted event."""
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = ["ws", "opened", "last", "n", "capped", "runs"]
         cur: list | None = None
         for frame in frames:
             out = []
-            for ws, at, wanted in zip(frame["ws"], frame["at"], frame["wanted"], strict=True):
+            for ws, at, wanted, kick in zip(frame["ws"], frame["at"], frame["wanted"], frame["kick"], strict=True):
                 if cur and (cur[0] != ws or at - cur[2] >= quiet):
                     out.append(cur)
                     cur = None
+                if cur is None and kick:
+                    out.append([ws, at, at, 1, False, True])
+                    continue
+                wanted = wanted or kick
                 cur = [ws, at, at, 1, False, bool(wanted)] if cur is None else [ws, cur[1], at, cur[3] + 1, False, cur[5] or bool(wanted)]
                 if cur[2] - cur[1] >= cap:
                     cur[4] = True
@@ -82,4 +87,5 @@ def debounce(events: DataFrame, quiet: float, cap: float) -> DataFrame:
         if cur:
             yield pd.DataFrame([cur], columns=cols)
 
-    return _in_order(events.select("ws", "id", "at", "wanted"), ["ws"], ["at", "id"]).mapInPandas(fold, "ws bigint, opened bigint, last bigint, n bigint, capped boolean, runs boolean")
+    rows = events.select("ws", "id", "at", "wanted", (F.col("kick") if "kick" in events.columns else F.lit(False)).alias("kick"))
+    return _in_order(rows, ["ws"], ["at", "id"]).mapInPandas(fold, "ws bigint, opened bigint, last bigint, n bigint, capped boolean, runs boolean")
