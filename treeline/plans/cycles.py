@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from treeline.operators import access, cycles, diffing, envelopes, folds, merging, pool, retention, tables
 from treeline.plans import adapters as A
 from treeline.plans.catalogue import _ACL, _CHANGES, _DECIDED, _GC, _WANT, GRACE, NOW, STAMP, _decided, query
-from treeline.sources import store
+from treeline.sources import commits, store
 from treeline.streaming import feeds
 
 _ENTRY = "ws, path, size, mode, mtime_secs, mtime_nanos, chunks"
@@ -120,17 +120,24 @@ def commit_verdicts(t):
     return _commits(t)
 
 
+def _committed(t) -> commits.CommitLog:
+    """A log that has the heads and references there are, and then the requests as one commit."""
+    log = commits.CommitLog(commits.shared_folder(t.spark, "commits"))
+    refs = _rows(t, f"select ws, hash from ({_NAMED}) n where hash = {{sha:0}}")
+    log.commit(0, {"heads": t.heads.select("ws", F.col("seq").cast("bigint"), F.col("file").alias("id"))}, {"refs": refs})
+    roles = access.effective_roles(t.workspaces, t.members)
+    commits.put_heads(log, _rows(t, _REQUESTS), roles, _rows(t, _FLAVOURS), _rows(t, _SUBMITTED), _rows(t, _CLOSED), _rows(t, _NAMED), 5)
+    return log
+
+
 @query(f"with {_COMMIT}, al as (select ws, seq, file as id from ({A.HEADS}) h union all select ws, base + 1, id from vv where verdict = 'ok') select ws, seq, id from al qualify row_number() over (partition by ws order by seq desc) <= 5")
 def commit_heads(t):
-    heads = t.heads.select("ws", "seq", F.col("file").alias("id"))
-    return cycles.writes(_commits(t), _rows(t, _SUBMITTED), heads, _rows(t, _NAMED), 5)[0]
+    return _committed(t).read(t.spark, "heads", commits.HEADS)
 
 
 @query(f"with {_COMMIT}, al as (select ws, hash from nm where hash = {{sha:0}} union select ws, unnest(chunks) as hash from sub where id in (select id from vv where verdict = 'ok')) select distinct ws, hash from al")
 def commit_refs(t):
-    heads = t.heads.select("ws", "seq", F.col("file").alias("id"))
-    refs = _rows(t, f"select ws, hash from ({_NAMED}) n where hash = {{sha:0}}")
-    return cycles.writes(_commits(t), _rows(t, _SUBMITTED), heads, refs, 5)[1]
+    return _committed(t).read(t.spark, "refs", commits.REFS)
 
 
 _ADMINS = "select distinct 'u' || cast(s_suppkey as varchar(20)) as user_name from supplier where s_suppkey % 10 = 4"
