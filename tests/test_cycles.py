@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from treeline.functions import crypto, scalars
-from treeline.operators import access, cycles, diffing, envelopes, merging, pool, predicates, retention, tables
+from treeline.operators import access, cycles, diffing, digests, envelopes, merging, pool, predicates, retention, tables
 from treeline.sources import store
 from treeline.streaming import feeds
 
@@ -63,7 +63,7 @@ def test_manifest_file(spark, tmp_path):
     store.write_atomic(path, store.to_documents(rows).first().json.encode())
     assert [r.path for r in store.load_manifest(spark, path).orderBy("path").collect()] == ["a", "b"]
     same = store.load_manifest(spark, path)
-    print_of = lambda m: diffing.fingerprint(m).first().fingerprint
+    print_of = lambda m: digests.roots(m).first().digest
     assert print_of(rows) == print_of(same) != print_of(manifest(spark, ("a", 1, "a")))
     store.write_atomic(path, store.to_documents(manifest(spark, ("a", 1, "a"), ("a/b", 1, "b"))).first().json.encode())
     with pytest.raises(ValueError, match="file_dir"):

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.operators import merging, retention
+from treeline.operators import digests, merging, retention
 from treeline.operators import predicates as P
 from treeline.operators.diffing import KEY, diff, violations
 
@@ -15,8 +15,8 @@ def push(asked: DataFrame, heads: DataFrame, local: DataFrame, committed: DataFr
     """asked: ws, forced, base (the head that the device knows; 0 for none). heads: ws, seq. committed: what the device
     published last; published: the present head. Adds action: idle if nothing asks for a commit; commit on the known head;
     own where the next head has just these files, so that only the answer was lost; else conflict."""
-    changed = diff(committed, local).select("ws").distinct().withColumn("changed", F.lit(True))
-    other = diff(published, local).select("ws").distinct().withColumn("other", F.lit(True))
+    changed = digests.unequal(committed, local).withColumn("changed", F.lit(True))
+    other = digests.unequal(published, local).withColumn("other", F.lit(True))
     rows = asked.join(heads, "ws", "left").join(changed, "ws", "left").join(other, "ws", "left").withColumn("seq", F.coalesce("seq", F.lit(0)))
     due = F.col("forced") | (F.col("seq") == 0) | F.coalesce("changed", F.lit(False))
     action = F.when(~due, "idle").when(F.col("seq") == F.col("base"), "commit").when((F.col("seq") == F.col("base") + 1) & F.col("other").isNull(), "own").otherwise("conflict")

@@ -50,12 +50,6 @@ def violations(manifest: DataFrame) -> DataFrame:
     return own.where("violation is not null").select(*KEY, "violation").unionByName(clash.select(*KEY, "violation"))
 
 
-def fingerprint(manifest: DataFrame) -> DataFrame:
-    """A digest of each workspace's files in path order; only equality means something."""
-    rows = manifest.withColumn("line", F.to_json(F.struct("path", *ENTRY)))
-    return rows.groupBy("ws").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "line"))), lambda x: x["line"]), "\n"), 256).alias("fingerprint"))
-
-
 def reuse(scan: DataFrame, old: DataFrame, present: DataFrame, scanned_at: int, guard: int = 2) -> DataFrame:
     """Scanned files whose chunks the old manifest still tells: same size and time, settled before the scan by `guard`
     seconds, and all chunks present. scan: ws, path, size, mtime_secs, mtime_nanos."""

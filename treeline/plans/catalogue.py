@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.functions import crypto, scalars
+from treeline.functions import blake3, crypto, scalars
 from treeline.operators import access, diffing, folds, merging, pool, predicates, retention
 from treeline.plans import adapters as A
 from treeline.sources import chunks as chunking
@@ -508,6 +508,13 @@ def cdc_chunks(t):
     return chunking.chunked(rows, least=256, average=1024, most=4096, with_data=False)
 
 
+@query()
+def blake3_digests(t):
+    """BLAKE3 of every text, and keyed."""
+    rows = t.spark.read.parquet(f"{t.sf_dir}/documents.parquet").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    return rows.select("doc_id", blake3.blake3(F.col("data")).alias("digest"), blake3.blake3(F.col("data"), bytes(range(32))).alias("keyed"))
+
+
 @query("select doc_id, octet_length(encode(coalesce(text, ''))) + 28 as stored, true as back, true as refused from documents")
 def aes_roundtrip(t):
     rows = t.spark.read.parquet(f"{t.sf_dir}/documents.parquet").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))

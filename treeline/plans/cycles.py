@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from treeline.operators import access, cycles, diffing, envelopes, folds, merging, pool, retention, tables
+from treeline.operators import access, cycles, diffing, digests, envelopes, folds, merging, pool, retention, tables
 from treeline.plans import adapters as A
 from treeline.plans.catalogue import _ACL, _CHANGES, _DECIDED, _GC, _WANT, GRACE, NOW, STAMP, _decided, query
 from treeline.sources import commits, store
@@ -37,6 +37,19 @@ def push_gate(t):
     return cycles.push(_rows(t, _PUSHES), _rows(t, _PUSH_HEADS), t.local, t.base, _rows(t, _PUSHED))
 
 
+@query(f"with o as ({A.side('base')}), n as ({A.side('local')}) select ws, path, case when o.mode is null then 'added' when n.mode is null then 'deleted' else 'changed' end as change from o full join n using (ws, path) where (o.size, o.mode, o.mtime_secs, o.mtime_nanos, o.chunks) is distinct from (n.size, n.mode, n.mtime_secs, n.mtime_nanos, n.chunks)")
+def sharded_diff(t):
+    """Both manifests stored by shard, and their difference from the shards whose digests differ. 256 shards."""
+    old, new = (digests.Sharded("file://" + commits.shared_folder(t.spark, name), 2).write(side) for name, side in (("old", t.base), ("new", t.local)))
+    return digests.sharded_diff(old, new, t.base)[0]
+
+
+@query(f"with b as ({A.side('base')}), l as ({A.side('local')}) {_differ('b', 'l')}")
+def changed_workspaces(t):
+    """Workspaces whose digest trees have different roots."""
+    return digests.unequal(t.base, t.local)
+
+
 _PULLED = f"select ws, case when ws % 11 = 5 then '../' || path else path end as path, size, cast(mode + 512 as int) as mode, mtime_secs, mtime_nanos, chunks from ({A.side('remote')}) re"
 _PULLS = "select c_custkey as ws, c_custkey % 6 as known_seq, 'h' || cast(c_custkey % 5 as varchar(20)) as known_hash, c_custkey % 6 as seq, 'h' || cast(c_custkey % 5 + case when c_custkey % 4 = 0 then 0 else 1 end as varchar(20)) as hash from customer"
 _HAVE = "select distinct c_custkey as ws, {sha:0} as hash from customer where c_custkey % 3 <> 0"
