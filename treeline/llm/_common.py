@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 #: Words are runs of anything but space, tab, LF, VT, FF and CR: exactly what bytes.split() yields.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -93,6 +94,23 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _ordered(kind: DataType) -> bool:
+    """Whether values of a type have an order, as those of maps have not."""
+    if isinstance(kind, ArrayType):
+        return _ordered(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(_ordered(f.dataType) for f in kind)
+    return not isinstance(kind, (MapType, VariantType))
+
+
+def smallest(df: DataFrame, name: str) -> Column:
+    """The smallest of structs of all of df's columns, called name; columns whose values have no order don't count."""
+    own = [f.name for f in df.schema if _ordered(f.dataType)]
+    if len(own) == len(df.columns):
+        return F.min(name)
+    return F.min_by(name, F.struct(*[F.col(name).getField(c) for c in own]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,7 +12,8 @@ Texts are cut by the pattern as the library cuts them. What Python's tables call
 the library's: such a character's class is asked of the library when it is first met, and texts that hold one are cut with
 characters of these classes in their places.
 
-Nulls count as empty texts; an empty text has no tokens. Columns besides the id and the text are ignored.
+Nulls count as empty texts; an empty text has no tokens. Rows repeated give a row each, as do those without an identifier;
+an empty table gives an empty result. Columns besides the id and the text are ignored.
 """
 
 from __future__ import annotations

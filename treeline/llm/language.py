@@ -8,7 +8,8 @@ the score its share of all letters.
 
 Where one language leads so that no stretch favours another by more than half the penalty, the path is constant; other
 texts are solved by the full recursion. Null texts and texts without a letter are `und` with score 0. Letters of a script
-that no language was seen in leave all languages as candidates. Ties go to the language first in order. Without any
+that no language was seen in leave all languages as candidates; a language with under 1 % of its words in a script is no
+candidate for it. Rows repeated give a row each. Ties go to the language first in order. Without any
 example every text is `und`.
 """
 

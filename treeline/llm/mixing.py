@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treeline.llm._common import WORD, materialise, table
+from treeline.llm._common import WORD, materialise, smallest, table
 
 ROUNDS = 24
 
@@ -147,7 +147,7 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = mix.spans.groupBy("id", "mark", "sid", "start", "pass").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias("parts"))
     parts = parts.join(mix.documents.where("size > 0").select("sid", "start", "size"), ["sid", "start"]).select("id", "mark", "parts", (F.col("taken") < F.col("size")).alias("cut"))
     # all of df's columns in one, as they may have any names; equal rows of one identifier and text are one here
-    each = df.select(F.struct("*").alias("doc"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("mark")).groupBy("id", "mark").agg(F.min("doc").alias("doc"))
+    each = df.select(F.struct("*").alias("doc"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("mark")).groupBy("id", "mark").agg(smallest(df, "doc").alias("doc"))
     rows = parts.join(each, parts.id.eqNullSafe(each.id) & (parts.mark == each.mark)).select("doc", "parts", "cut")
     text = F.col("doc").getField(text_col)
     rows = rows.withColumn("split", F.when(F.col("cut"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0))))

@@ -2,7 +2,8 @@
 
 Before any text is read, every vocabulary string that ends a word is encoded alone; those that give one token are
 proven. A pre-token that is a proven string counts one without merging; only the rest is merged, lowest rank first, and
-its count remembered. Nulls count as empty texts, which have no tokens.
+its count remembered. Nulls count as empty texts, which have no tokens. Rows repeated give a row each, as do those without
+an identifier; an empty table gives an empty result.
 
 Characters on which the library's Unicode tables and Python's disagree (scripts newer than one of them) are found by
 probing the library once; texts that hold one are normalised and split by the library itself, then counted as the others.

@@ -18,7 +18,7 @@ rate of such examples, and no evidence.
 
 Nulls count as empty texts. A row repeated is scored each time. Labels
 that are null are no examples; an identifier labelled twice counts as toxic if one label says so. Without any example
-every score is 0.
+every score is 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ reads stretches of records by range; nothing is extracted. Any file system that
 
 Records with equal payloads of at least `least` bytes: the one with the smallest identifier is a response, the others are
 revisits that refer to it. Null payloads count as empty. A row repeated with the same identifier is a record each time,
-of the same kind. An empty table gives no package and an empty result.
+of the same kind. Rows without an identifier are no pages and are left out. An empty table gives no package and an empty
+result. Columns besides these three are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def base32(digest: bytes) -> str:
 
 def kinds(df: DataFrame, id_col: str, url_col: str, text_col: str, least: int) -> DataFrame:
     """id, url, payload (null for revisits), size, sha (hex), first: the identifier of the response to refer to, or null."""
-    own = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("payload"))
+    own = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("payload"))
     own = own.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("bigint")).withColumn("key", F.sha2("payload", 256))
     # which payloads are equal is told from digests alone; payloads are dealt by identifier, so that a frequent one is spread
     marks = materialise(own.where(F.col("size") >= least).select("id", "key"), "marks")
