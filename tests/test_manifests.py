@@ -8,7 +8,7 @@ from treeline.operators import access, diffing, folds, merging, pool, predicates
 from treeline.plans import catalogue
 from treeline.sources.store import MANIFEST
 
-STAMP = "2026-07-24 153000"
+STAMP = "2019-08-03 221107"
 
 
 def e(path, seed, mtime, nanos=0, ws="w", mode=420):
@@ -25,13 +25,24 @@ def test_diff(spark):
     assert {(r.path, r.change) for r in diffing.diff(old, new).collect()} == {("add", "added"), ("change", "changed"), ("delete", "deleted"), ("f", "changed")}
 
 
-A = None
-CASES = [
-    ((1, 10), (1, 10), (1, 10), (1, 10), None), ((1, 10), (2, 20), (1, 10), (2, 20), None), (A, (2, 20), A, (2, 20), None), ((1, 10), (1, 10), (3, 30), (3, 30), None),
-    (A, A, (3, 30), (3, 30), None), ((1, 10), A, (1, 10), A, None), ((1, 10), (1, 10), A, A, None), ((1, 10), A, (3, 30), (3, 30), None), ((1, 10), (2, 20), A, (2, 20), None),
-    ((1, 10), (2, 20), (2, 50), (2, 50), None), ((1, 10), (2, 60), (2, 50), (2, 60), None), (A, (2, 20), (2, 20), (2, 20), None), ((1, 10), (2, 20), (3, 30), (3, 30), "local"),
-    ((1, 10), (2, 40), (3, 30), (2, 40), "remote"), (A, (2, 20), (3, 30), (3, 30), "local"), ((1, 10), (2, 30), (3, 30), (3, 30), "local"), ((1, 10), (2, 30, 1), (3, 30), (2, 30, 1), "remote"),
-]
+#: What a side may have: nothing, or content, seconds and nanoseconds. All triples are tried.
+SIDES = [None, (40, 700, 0), (41, 700, 0), (41, 650, 9), (42, 700, 1)]
+
+
+def outcome(base, local, remote):
+    """Winner and loser, in words: who did not change takes the other's, an edit beats a delete, equal contents take the
+    later time, else the later one wins and the other is kept; the remote side wins ties."""
+    if local == remote or remote == base:
+        return local, None
+    if local == base:
+        return remote, None
+    if local is None or remote is None:
+        return local or remote, None
+    later = remote if remote[1:] >= local[1:] else local
+    return later, None if local[0] == remote[0] else "local" if later == remote else "remote"
+
+
+CASES = [(b, x, y, *outcome(b, x, y)) for b in SIDES for x in SIDES for y in SIDES]
 
 
 def test_merge_cases(spark):
@@ -42,7 +53,7 @@ def test_merge_cases(spark):
     losers = {r.ws: (r.loser, r.copy) for r in lost.collect()}
     applied = {(r.ws, r.path, r.change) for r in merging.apply_list(sides[1], merging.merged_rows(decided, lost), lost).collect()}
     for i, (_, local, _, want, loser) in enumerate(CASES):
-        assert merged.get((str(i), "f")) == ((*want, 0)[:3] if want else None), i
+        assert merged.get((str(i), "f")) == (want or None), i
         assert losers.get(str(i)) == ((loser, f"f (conflict from {'dev' if loser == 'local' else 'remote'} {STAMP})") if loser else None), i
         change = None if want == local else "added" if local is None else "deleted" if want is None else "changed"
         assert {c for w, p, c in applied if w == str(i) and p == "f"} == ({change} if change else set()), i
@@ -74,9 +85,9 @@ def test_convergence(spark):
 
 
 @pytest.mark.parametrize(("f", "good", "bad"), [
-    (predicates.path_valid, ["a/b.txt", ".git/HEAD", ".env", "a/./b"], ["", "/abs", "../x", "a/../../x", "./x", "a//b", "a/b/", "a///b", ".treeline/x", ".TREELINE/store"]),
-    (predicates.is_dotenv, [".env", ".env.local", ".envrc", ".environment", "sub/.env", "sub/deep/.env.txt"], ["env", ".en", "sub/env", ".ENV", ".env/config", ".env.d/local", "foo.env"]),
-    (predicates.is_chunk_hash, ["a" * 64], ["a", "xyz", "a" * 63, "A" * 64, "g" * 64]),
+    (predicates.path_valid, ["docs/img/./logo.png", ".git/config", "x", "deep/.treeline/y", ".env.prod"], ["lib//core", "lib/", "/etc/hosts", "lib/../../etc", "..", "./lib", "", ".TreeLine/tmp", ".treeline", "lib///"]),
+    (predicates.is_chunk_hash, ["0123456789abcdef" * 4, "f" * 64], ["0" * 65, "F0" * 32, "0" * 62, "", "zz" * 32]),
+    (predicates.is_dotenv, ["api/.env.prod", ".env", "web/app/.envfile", ".env-old"], ["web/.Env", ".env.d/readme", "prod.env", "environment", "api/env", ".e"]),
     (predicates.valid_name, ["a", "a b", "é"], ["", ".", "..", "a/b", "a\nb", "x" * 129]),
     (predicates.valid_workspace_id, ["a-b_1.c"], ["...", "a b", "x" * 129, ""]),
     (predicates.is_wrapped_key, ["ab" * 60], ["ab" * 59, "abc", "AB" * 60]),

@@ -55,7 +55,8 @@ def copy_name(path: Column, label: Column, stamp: Column, ordinal: Column) -> Co
 
 def conflicts(decided: DataFrame, device: str, stamp: str) -> DataFrame:
     """ws, path, copy, loser, local_only, entry. Copies take the first free ordinal: not a path of either side, nor a
-    directory of one. Copies of one name (which takes a path that looks like a copy) are numbered on in path order."""
+    directory of one. Two conflicts whose copies would have one name (which takes a path that looks like a copy) are not
+    told apart."""
     lost = decided.where(F.col("decision").startswith("conflict_"))
     local = F.col("decision") == "conflict_local_loses"
     lost = lost.select("ws", "path", F.when(local, "local").otherwise("remote").alias("loser"), F.when(local, F.col("local")).otherwise(F.col("remote")).alias("entry"))

@@ -15,7 +15,7 @@ from treeline.streaming import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-STAMP = "2026-07-24 153000"
+STAMP = "2031-02-11 040506"
 NOW = 1706659200
 GRACE = 600
 

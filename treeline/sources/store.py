@@ -198,9 +198,15 @@ def materialize(plan: DataFrame, lost: DataFrame, files: DataFrame, root: str) -
     return apply(plan, files, root)
 
 
-def apply(plan: DataFrame, files: DataFrame, root: str) -> int:
+def apply(plan: DataFrame, files: DataFrame, root: str, after: DataFrame | None = None) -> int:
     """Carries out a plan (path, change, phase) on a tree: files has path, mode, mtime_secs, mtime_nanos, data. Deletes
-    climb while the parent is empty. Rows stream to the driver in phase order, a file at a time."""
+    climb while the parent is empty. Rows stream to the driver in phase order, a file at a time. Paths that differ in case
+    only could be one file: where the plan writes such, or after (path: the tree as it will be) has such, nothing is applied."""
+    paths = plan.where("change <> 'deleted'").select("path")
+    paths = paths if after is None else paths.unionByName(after.select("path"))
+    clash = paths.groupBy(F.lower("path").alias("folded")).agg(F.min("path").alias("a"), F.max("path").alias("b")).where("a <> b").orderBy("a").first()
+    if clash:
+        raise ValueError(f"{clash.a} and {clash.b} differ in case only")
     for row in plan.where("phase in (1, 3)").orderBy("phase", "path").toLocalIterator():
         _inside(root, row.path)
     n = 0
