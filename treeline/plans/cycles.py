@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from treeline.operators import access, cycles, diffing, digests, envelopes, folds, merging, pool, retention, tables
 from treeline.plans import adapters as A
 from treeline.plans.catalogue import _ACL, _CHANGES, _DECIDED, _GC, _WANT, GRACE, NOW, STAMP, _decided, query
-from treeline.sources import commits, store
+from treeline.sources import assembly, commits, store
 from treeline.streaming import feeds
 
 _ENTRY = "ws, path, size, mode, mtime_secs, mtime_nanos, chunks"
@@ -50,6 +50,18 @@ def changed_workspaces(t):
     return digests.unequal(t.base, t.local)
 
 
+_STORED = "select {sha:p_partkey} as hash, cast(p_partkey as varchar(20)) as content from part where p_partkey % 7 <> 0"
+
+
+@query(f"""with c as ({A.CHUNKS}), st as ({_STORED}) select cast(ws as varchar) || '/' || cast(file as varchar) as path, count(*) as parts, cast(sum(length(content)) as bigint) as size,
+sha256(string_agg(content, '' order by pos)) as sha256 from c left join st using (hash) group by ws, file having count(content) = count(*)""")
+def written_files(t):
+    """Files that were written from their chunks by ranges, as they are on disk."""
+    files = t.chunks.select(F.concat_ws("/", F.col("ws").cast("string"), F.col("file").cast("string")).alias("path"), "pos", "hash")
+    stored = _rows(t, _STORED).select("hash", F.encode("content", "UTF-8").alias("data"))
+    return assembly.assemble_files(files, stored, commits.shared_folder(t.spark, "files")).where("complete").select("path", "parts", "size", "sha256")
+
+
 _PULLED = f"select ws, case when ws % 11 = 5 then '../' || path else path end as path, size, cast(mode + 512 as int) as mode, mtime_secs, mtime_nanos, chunks from ({A.side('remote')}) re"
 _PULLS = "select c_custkey as ws, c_custkey % 6 as known_seq, 'h' || cast(c_custkey % 5 as varchar(20)) as known_hash, c_custkey % 6 as seq, 'h' || cast(c_custkey % 5 + case when c_custkey % 4 = 0 then 0 else 1 end as varchar(20)) as hash from customer"
 _HAVE = "select distinct c_custkey as ws, {sha:0} as hash from customer where c_custkey % 3 <> 0"
