@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -96,6 +96,29 @@ def rotation(last_wrapped: DataFrame, current: DataFrame, ring: DataFrame, force
     return ring.groupBy("ws").agg(F.max("generation").alias("g")).join(due, "ws", "left_semi").select("ws", (F.col("g") + 1).alias("generation"))
 
 
+def rotate(last_wrapped: DataFrame, current: DataFrame, ring: DataFrame, relay: DataFrame, forced: DataFrame, mint: Column, unreadable: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """A whole rotation. Workspaces that are forced, or lost a member who held the key, take the relay's ring into theirs
+    first (its keys win; where it can't be read, ws of unreadable, they go on without), and then get a new generation above
+    all that both have, with the key that mint makes of ws. Two tables: the rings after it (ws, generation, key), and for each
+    workspace ws, rotated, generation (the newest), departed, adopted (how many) and skipped (rotated without the relay's)."""
+    gone = departed(last_wrapped, current)
+    due = gone.select("ws").unionByName(forced.select("ws")).distinct()
+    away = due.limit(0) if unreadable is None else unreadable.select("ws").distinct()
+    both = keyring_union(ring.join(due, "ws", "left_semi"), relay.join(due, "ws", "left_semi").join(away, "ws", "left_anti"))
+    minted = both.groupBy("ws").agg((F.max("generation") + 1).alias("generation")).withColumn("key", mint)
+    rings = ring.join(due, "ws", "left_anti").select("ws", "generation", "key", F.lit(False).alias("adopted")).unionByName(both).unionByName(minted.withColumn("adopted", F.lit(False)))
+    counts = rings.groupBy("ws").agg(F.max("generation").alias("generation"), F.count_if("adopted").alias("adopted"))
+    rows = counts.join(gone.groupBy("ws").agg(F.count(F.lit(1)).alias("departed")), "ws", "left").join(due.withColumn("rotated", F.lit(True)), "ws", "left").join(away.withColumn("skipped", F.lit(True)), "ws", "left")
+    rotated = F.coalesce("rotated", F.lit(False))
+    report = rows.select("ws", rotated.alias("rotated"), "generation", F.coalesce("departed", F.lit(0)).alias("departed"), "adopted", (rotated & F.coalesce("skipped", F.lit(False))).alias("skipped"))
+    return rings.select("ws", "generation", "key"), report
+
+
+def remembered(classes: DataFrame) -> DataFrame:
+    """ws, user_name: who really got the key, and is looked for at the next rotation; not those who could not be wrapped for."""
+    return classes.where(F.col("class").isin("wrap", "wrap_first_sight")).select("ws", "user_name").distinct()
+
+
 def team_writers(requests: DataFrame, members: DataFrame) -> DataFrame:
     """requests: team, user_name. Adds status for what only a team's writers may do: an admin is no member by being one."""
     rows = requests.join(members.select("team", "user_name", "role"), ["team", "user_name"], "left")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from treeline.operators import access, cycles, diffing, digests, envelopes, folds, merging, pool, retention, tables
 from treeline.plans import adapters as A
-from treeline.plans.catalogue import _ACL, _CHANGES, _DECIDED, _GC, _WANT, GRACE, NOW, STAMP, _decided, query
+from treeline.plans.catalogue import _ACL, _CHANGES, _DECIDED, _GC, _LAST, _NOWM, _OTHER, _PINS, _RING, _WANT, GRACE, NOW, STAMP, _decided, query
 from treeline.sources import assembly, commits, store
 from treeline.streaming import feeds
 
@@ -204,6 +204,33 @@ def wrap_buckets(t):
     return access.wrap_buckets(access.classify(t.members, t.users, pins).withColumn("ws", F.col("team")))
 
 
+_FORCED, _AWAY = ("select c_custkey as ws from customer where c_custkey % " + x for x in ("50 = 1", "7 = 3"))
+_ROTATED = f"""m as ({_RING}), o as ({_OTHER}), fo as ({_FORCED}), un as ({_AWAY}), gone as (select ws, user_name from ({_LAST}) la except select ws, user_name from ({_NOWM}) nw),
+due as (select ws from gone union select ws from fo), mu as (select * from m where ws in (select ws from due)), ou as (select * from o where ws in (select ws from due) and ws not in (select ws from un)),
+u as (select ws, generation, coalesce(ou.key, mu.key) as key, ou.key is not null and mu.key is distinct from ou.key as adopted from mu full join ou using (ws, generation)),
+af as (select ws, generation, key, false as adopted from m where ws not in (select ws from due) union all select * from u union all select ws, max(generation) + 1, {{sha:ws}}, false from u group by ws)"""
+
+
+def _rotated(t):
+    return access.rotate(_rows(t, _LAST), _rows(t, _NOWM), _rows(t, _RING), _rows(t, _OTHER), _rows(t, _FORCED), F.sha2(F.col("ws").cast("string"), 256), _rows(t, _AWAY))
+
+
+@query(f"with {_ROTATED} select ws, generation, key from af")
+def rotated_rings(t):
+    return _rotated(t)[0]
+
+
+@query(f"""with {_ROTATED}, n as (select ws, count(*) as departed from gone group by ws), c as (select ws, max(generation) as generation, count(*) filter (where adopted) as adopted from af group by ws)
+select ws, ws in (select ws from due) as rotated, generation, coalesce(departed, 0) as departed, adopted, ws in (select ws from due) and ws in (select ws from un) as skipped from c left join n using (ws)""")
+def rotation_report(t):
+    return _rotated(t)[1]
+
+
+@query(f"with {_ACL}, pins as ({_PINS}) select distinct mem.team as ws, mem.user_name from mem join usr on usr.name = mem.user_name left join pins on pins.user_name = mem.user_name where pubkey is not null and key_sig is not null and sig_valid and (pinned is null or pinned = pubkey)")
+def wrapped_members(t):
+    return access.remembered(access.classify(t.members, t.users, _rows(t, _PINS)).withColumn("ws", F.col("team")))
+
+
 # --- versioned tables ----------------------------------------------------------------------------------------------
 
 _MEMBER_CHANGES = "select (s_nationkey + s_suppkey % 3) % 25 as team, 'u' || cast(s_suppkey as varchar(20)) as user_name, cast((s_suppkey + v) % 3 + 1 as int) as role, v as version from supplier cross join (select distinct r_regionkey as v from region) vv where s_suppkey % 4 <> v"
