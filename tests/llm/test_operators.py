@@ -231,7 +231,7 @@ def test_topk(spark):
 
     def below(k):
         node = tree.nodes[k]
-        return np.concatenate([node.own, *[below(c) for c in node.children]]).astype(int)
+        return np.concatenate([below(c) for c in node.children]) if node.children else node.rows
 
     assert any(n.children for n in tree.nodes) and sorted(below(tree.root)) == list(range(len(points)))
     assert all(((points[below(k)] - n.centre) ** 2).sum(1).max() <= n.radius**2 + 1e-6 for k, n in enumerate(tree.nodes) if len(below(k)))
@@ -240,6 +240,30 @@ def test_topk(spark):
     assert search.computed < search.whole / 2  # groups that lie close together are pruned
 
 
+def test_topk_trees_walked_together():
+    """Groups of queries share what is pruned: fewer pairs of nodes than a descent from the root for every query node."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 16))
+    data = np.floor(256 * (np.repeat(centres, 100, 0) + 0.02 * rng.normal(size=(4000, 16))))
+    asked = np.floor(256 * (np.repeat(centres[:8], 160, 0) + 0.02 * rng.normal(size=(1280, 16))))
+    ids = np.arange(4000) // 2  # every identifier twice
+    asked_ids = np.arange(1280) * 3
+    search = topk.Search(topk.CoverTree(data, leaf=16), ids, 5)
+    best, who = search.run(asked, asked_ids)
+    scores = asked @ data.T
+    scores[asked_ids[:, None] == ids[None, :]] = -np.inf
+    for r in range(len(asked)):
+        top = np.lexsort((ids, -scores[r]))[:5]
+        assert best[r].tolist() == scores[r][top].tolist() and who[r].tolist() == ids[top].tolist()
+    together, nodes = search.pairs, search.tree.nodes
+    search.pairs = 0
+    search.best[:], search.floor[:] = -np.inf, -np.inf
+    for q, node in enumerate(nodes):
+        if not node.children:
+            search._walk(q, np.array([search.data.root]))
+    assert len(nodes) > 20 and together < search.pairs and search.computed < 0.2 * search.whole
+
+
 def test_topk_random_vectors(spark):
     """Nothing lies close together but one group; queries with several vectors; several cells and blocks."""
     rng = np.random.default_rng(4)

@@ -3,9 +3,11 @@
 Vectors are quantised to floor(scale * x). Rows are dealt into cells by the nearest of a bounded number of pivots, and cells
 of more than `block_rows` rows into blocks by a hash of the identifier. Each query first searches the block it lies in; its
 kth score there bounds what is looked for, and it goes only to blocks whose pivot and covering radius allow such a score. A
-task indexes its block in a cover tree and each stretch of queries in another. Nodes are pruned for a query group when the
-centres' product and both covering radii bound all products below the group's worst kth score, and for single queries of
-the group likewise. The k best of all blocks are the result.
+task indexes its block in a cover tree and each stretch of queries in another, and walks them together: the data nodes that a
+query node leaves pass to its children, opened where they are wider than it. A pair is pruned when the centres' product and
+both covering radii bound all products below the group's worst kth score, or below what data nodes of enough rows are bound
+to give every query of the group; in a leaf of queries, single ones are pruned likewise. The k best of all blocks are the
+result.
 
 Where nothing but single points lie near each other, as in random vectors of many dimensions, the levels of a tree are a
 root and its single points, which are compared at once: then all products are computed. What can be pruned are groups of
@@ -31,17 +33,17 @@ from treeline.llm._common import discard, materialise, one_thread, table, trimme
 
 
 class Node(NamedTuple):
-    """A centre, the radius that covers all points below, children, and the points that no child holds."""
+    """A centre, the radius that covers all points below, all these points, and children (none: a leaf)."""
 
     centre: np.ndarray
     radius: float
+    rows: np.ndarray
     children: list[int]
-    own: np.ndarray
 
 
 class CoverTree:
-    """Each node's children cover its points within a share of its radius; a child of one point is kept as the point alone,
-    and a node of few points has no children."""
+    """Each node's children cover its points within a share of its radius; points that nothing else lies near are one leaf
+    beside the others, and a node of few points has no children."""
 
     def __init__(self, points: np.ndarray, leaf: int = 64, shrink: float = 0.6):
         self.points, self.leaf, self.shrink = points, leaf, shrink
@@ -49,14 +51,16 @@ class CoverTree:
         self.nodes: list[Node] = []
         self.root = self._build(np.arange(len(points)), points[0])
 
-    def _build(self, rows: np.ndarray, middle: np.ndarray) -> int:
+    def _build(self, rows: np.ndarray, middle: np.ndarray, split: bool = True) -> int:
         radius = float(np.sqrt(((self.points[rows] - middle) ** 2).sum(1)).max())
-        children, own = [], rows
-        if len(rows) > self.leaf and radius > 0:
+        children = []
+        if split and len(rows) > self.leaf and radius > 0:
             groups = self._cover(rows, radius * self.shrink)
-            own = np.array([g[0] for g in groups if len(g) == 1], np.int64)
             children = [self._build(g, self.points[g[0]]) for g in groups if len(g) > 1]
-        self.nodes.append(Node(middle, radius, children, own))
+            single = [g[0] for g in groups if len(g) == 1]
+            if single and children:
+                children.append(self._build(np.array(single), middle, False))
+        self.nodes.append(Node(middle, radius, rows, children))
         return len(self.nodes) - 1
 
     def _cover(self, rows: np.ndarray, reach: float, at_once: int = 64) -> list[np.ndarray]:
@@ -78,48 +82,85 @@ class CoverTree:
 
 
 class Search:
-    """The k best of the data tree's points for each query. computed and whole: products that were and that there are."""
+    """The k best of the data tree's points for each query. computed and whole: products that were and that there are;
+    pairs: pairs of nodes, or of a leaf's queries and a node, that were bounded."""
 
     def __init__(self, data: CoverTree, ids: np.ndarray, k: int):
         self.data, self.ids, self.k = data, ids, k
-        self.norms = [float(np.linalg.norm(n.centre)) for n in data.nodes]
-        self.computed = self.whole = 0
+        self.centres, self.radii = np.array([n.centre for n in data.nodes]), np.array([n.radius for n in data.nodes])
+        self.norms = np.sqrt((self.centres**2).sum(1))
+        self.counts = np.array([len(n.rows) for n in data.nodes])
+        self.inner = np.array([bool(n.children) for n in data.nodes])
+        self.enough = k + int(np.unique(ids, return_counts=True)[1].max())  # so many rows hold k of other identifiers
+        self.computed = self.whole = self.pairs = 0
 
     def run(self, queries: np.ndarray, query_ids: np.ndarray, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Scores and identifiers, best first; identifier -1 where there are too few. least: smaller scores are no use."""
         self.tree, self.query_ids = CoverTree(queries), query_ids
         self.best = np.full((len(queries), self.k), -np.inf)
         self.who = np.full((len(queries), self.k), -1, np.int64)
-        self.floor = np.full(len(queries), -np.inf) if least is None else least
+        self.floor = np.full(len(queries), -np.inf) if least is None else least.copy()
         self.whole += len(queries) * len(self.ids)
-        self._pair(self.tree.root)
+        self._walk(self.tree.root, np.array([self.data.root]))
         return self.best, self.who
 
-    def _pair(self, q: int) -> None:
-        node = self.tree.nodes[q]
-        if len(node.own):
-            self._rows(node, node.own, self.data.root)
-        for c in node.children:
-            self._pair(c)
-
     def _worst(self, rows: np.ndarray) -> np.ndarray:
         return np.maximum(self.best[rows, -1], self.floor[rows])
 
-    def _bound(self, node: Node, d: int) -> float:
-        data = self.data.nodes[d]
-        return float(node.centre @ data.centre) + node.radius * self.norms[d] + data.radius * (float(np.linalg.norm(node.centre)) + node.radius) + 0.5  # products are whole numbers
+    def _bounds(self, node: Node, front: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """No product of a point below the query node and one below a data node is larger, or smaller, than these."""
+        self.pairs += len(front)
+        middle = self.centres[front] @ node.centre
+        slack = node.radius * self.norms[front] + self.radii[front] * (float(np.linalg.norm(node.centre)) + node.radius) + 0.5  # products are whole numbers
+        return middle + slack, middle - slack
+
+    def _kth(self, lower: np.ndarray, front: np.ndarray) -> float:
+        """A score that k rows reach for every query of the group: data nodes in front hold different rows."""
+        order = np.argsort(-lower)
+        at = int(np.searchsorted(np.cumsum(self.counts[front][order]), self.enough))
+        return float(lower[order[at]]) if at < len(order) else -np.inf
+
+    def _walk(self, q: int, front: np.ndarray) -> None:
+        """A query node against the data nodes that its parent left. Data nodes wider than it are opened, those pass to its
+        children whose bound reaches the group's worst kth score."""
+        node = self.tree.nodes[q]
+        upper, lower = self._bounds(node, front)
+        while True:
+            least = max(float(self._worst(node.rows).min()), self._kth(lower, front))
+            kept = upper >= least
+            front, upper, lower = front[kept], upper[kept], lower[kept]
+            wide = self.inner[front] & (self.radii[front] > node.radius)
+            if not wide.any():
+                break
+            inside = np.concatenate([self.data.nodes[d].children for d in front[wide].tolist()])
+            bounds = self._bounds(node, inside)
+            front = np.concatenate([front[~wide], inside])
+            upper, lower = (np.concatenate([x[~wide], y]) for x, y in zip((upper, lower), bounds, strict=True))
+        if not len(front):
+            return
+        if node.children:
+            for c in node.children:
+                self._walk(c, front)
+            return
+        self.floor[node.rows] = np.maximum(self.floor[node.rows], least)
+        for at in np.argsort(-upper, kind="stable").tolist():
+            self._rows(node, node.rows, int(front[at]), float(upper[at]))
 
-    def _rows(self, node: Node, rows: np.ndarray, d: int) -> None:
-        """The points of a query node that no child of it holds, against a data node."""
+    def _rows(self, node: Node, rows: np.ndarray, d: int, upper: float) -> None:
+        """Queries of a leaf against a data node, of whose products with the leaf none is above upper."""
         worst, data = self._worst(rows), self.data.nodes[d]
-        if self._bound(node, d) < worst.min():
+        if upper < worst.min():
             return
         rows = rows[self.tree.points[rows] @ data.centre + self.tree.sizes[rows] * data.radius + 0.5 >= worst]
         if not len(rows):
             return
-        self._compare(rows, data.own)
-        for c in sorted(data.children, key=lambda c: -self._bound(node, c)):
-            self._rows(node, rows, c)
+        if not data.children:
+            self._compare(rows, data.rows)
+            return
+        inside = np.array(data.children)
+        upper_of = self._bounds(node, inside)[0]
+        for at in np.argsort(-upper_of, kind="stable").tolist():
+            self._rows(node, rows, int(inside[at]), float(upper_of[at]))
 
     def _compare(self, rows_q: np.ndarray, rows_d: np.ndarray) -> None:
         self.computed += len(rows_q) * len(rows_d)
