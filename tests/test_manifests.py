@@ -1,10 +1,12 @@
 """Golden rows for diff, merge, validity, retention, packing and debouncing."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from treeline.functions import crypto, scalars
-from treeline.operators import access, diffing, folds, merging, pool, predicates, retention
+from treeline.operators import access, diffing, folds, merging, packing, pool, predicates, retention
 from treeline.plans import catalogue
 from treeline.sources.store import MANIFEST
 
@@ -159,6 +161,40 @@ def test_fetch_plan(spark):
     assert got == {c: want for c, (_, want) in enumerate(cases) if want}
 
 
+def packed(rows, most_hashes, most_bytes):
+    """The definition, a row at a time."""
+    out, ws, batch, hashes, size = [], None, 0, 0, 0
+    for w, _, s, n in [*sorted(rows), (None, 0, 0, 0)]:
+        if w != ws:
+            out += [(ws, batch, hashes, size)] if hashes else []
+            ws, batch, hashes, size = w, 0, 0, 0
+        if hashes and (hashes + n > most_hashes or size + s > most_bytes):
+            out.append((ws, batch, hashes, size))
+            batch, hashes, size = batch + 1, 0, 0
+        hashes, size = hashes + n, size + s
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_next_fit_over_partitions(spark, seed):
+    """One workspace lies in many partitions, others in one; files without hashes, without bytes, and over the caps."""
+    rng = random.Random(seed)
+    sizes, news = [[0, 0, 1, 9, 40], [0, 3], [0, 0, 0, 0, 70], [1]][seed], [[0, 0, 1, 2, 9], [0] * 30 + [1], [0, 0, 12], [1]][seed]
+    rows = [(w, k, rng.choice(sizes), rng.choice(news)) for w, n in enumerate([600, 1, 0, 40, 7, 500, 3]) for k in range(n)]
+    df = spark.createDataFrame(rows, "ws bigint, ord bigint, size bigint, new bigint").repartition(5)
+    for partitions in (1, 13):
+        got = packing.next_fit(df.withColumn("batch", F.lit("x")), 8, 50, partitions).collect()
+        assert sorted(map(tuple, got)) == sorted(packed(rows, 8, 50))
+
+
+def test_next_fit_edges(spark):
+    shape = "ws bigint, ord bigint, size bigint, new bigint"
+    assert packing.next_fit(spark.createDataFrame([], shape)).collect() == []
+    rows = [(None, 1, 1, 1), (1, 1, None, 1), (1, 2, 5, None), (1, 3, 1, 200), (1, 4, 0, 0), (1, 5, 0, 1), (2, 1, 7, 0)]
+    got = sorted(map(tuple, packing.next_fit(spark.createDataFrame(rows, shape)).collect()))
+    assert got == [(1, 0, 1, 5), (1, 1, 200, 1), (1, 2, 1, 0)]
+
+
 def test_debounce(spark):
     rows = spark.createDataFrame([(1, k, t, w) for k, (t, w) in enumerate([(0, False), (1, True), (10, False), (12, True), (14, True), (16, True), (18, False)])], "ws bigint, id bigint, at bigint, wanted boolean")
     got = [(r.opened, r.last, r.n, r.capped, r.runs) for r in sorted(folds.debounce(rows, 3, 6).collect(), key=lambda r: r.opened)]

@@ -1,7 +1,8 @@
-"""Folds in order: next-fit packing and capped debouncing, a key at a time.
+"""Folds in order: plans of capped batches, and capped debouncing.
 
-Both depend on all rows before, so each key is folded in one pass over its rows in order. The rows of a partition are
-sorted by key and streamed, so memory is bounded by one batch and one key's state, not by a key's rows."""
+Both depend on all rows before. Batches are packed with a key's rows spread over all tasks (see packing). Debouncing folds a
+key in one pass over its rows in order: the rows of a partition are sorted by key and streamed, so memory is bounded by one
+batch and one key's state, not by a key's rows."""
 
 from __future__ import annotations
 
@@ -11,8 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Most hashes and bytes of a fetch, most entries and bytes of a put.
-FETCH_HASHES, FETCH_BYTES = 128, 32 << 20
+from treeline.operators.packing import FETCH_BYTES, FETCH_HASHES, next_fit
+
+# Most entries and bytes of a put.
 PUT_ENTRIES, PUT_BYTES = 256, 32 << 20
 
 
@@ -20,32 +22,6 @@ def _in_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
 
-def next_fit(files: DataFrame, most_hashes: int = FETCH_HASHES, most_bytes: int = FETCH_BYTES) -> DataFrame:
-    """files: ws, ord, size, new (hashes not planned before). ws, batch, hashes, bytes of each batch, in order.
-
-    A batch closes before a file that would pass a cap; a file without new hashes still adds its size; batches without
-    hashes are not given, nor numbered."""
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ws, batch, hashes, size = None, 0, 0, 0
-        for frame in frames:
-            out = []
-            for w, s, n in zip(frame["ws"], frame["size"], frame["new"], strict=True):
-                if w != ws:
-                    if hashes:
-                        out.append((ws, batch, hashes, size))
-                    ws, batch, hashes, size = w, 0, 0, 0
-                if hashes and (hashes + n > most_hashes or size + s > most_bytes):
-                    out.append((ws, batch, hashes, size))
-                    batch, hashes, size = batch + 1, 0, 0
-                hashes, size = hashes + n, size + s
-            yield pd.DataFrame(out, columns=["ws", "batch", "hashes", "bytes"])
-        if hashes:
-            yield pd.DataFrame([(ws, batch, hashes, size)], columns=["ws", "batch", "hashes", "bytes"])
-
-    return _in_order(files.select("ws", "ord", "size", "new"), ["ws"], ["ord"]).mapInPandas(fold, "ws bigint, batch bigint, hashes bigint, bytes bigint")
-
-
 def fetch_plan(chunks: DataFrame, sizes: DataFrame, most_hashes: int = FETCH_HASHES, most_bytes: int = FETCH_BYTES) -> DataFrame:
     """chunks: ws, file, pos, hash; sizes: ws, file, size (files without chunks too). Each hash goes with its first file."""
     from treeline.operators.pool import first_reference
