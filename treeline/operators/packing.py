@@ -66,18 +66,25 @@ class Places:
     def batches(self, entries: dict[tuple[int, int], tuple[int, int, int, bool]]) -> Iterator[pd.DataFrame]:
         """ws, batch, hashes, bytes of the batches that end here. entries: by partition and key what is open at the begin
         of a segment (number, hashes, bytes) and whether it is the key's last; other segments are whole keys."""
-        known = [entries.get((self.part, int(w)), (0, 0, 0, True)) for w in self.ws[self.heads]]
+        known = [entries.get((self.part, w), (0, 0, 0, True)) for w in self.ws[self.heads].tolist()]
         number, hashes, size = (np.array([k[c] for k in known], np.int64) for c in range(3))
         whole = np.array([k[3] for k in known], bool)
-        start, end, ws = self.heads, self.tails, self.ws[self.heads]
-        while len(start):
-            stop = self.breaks(start, end, hashes, size)
-            hashes, size = hashes + self.hashes[stop] - self.hashes[start], size + self.bytes[stop] - self.bytes[start]
-            go = stop < end
-            told = go | (whole & (hashes > 0))
-            yield pd.DataFrame({"ws": ws[told], "batch": number[told], "hashes": hashes[told], "bytes": size[told]})
-            start, end, ws, whole, number = stop[go], end[go], ws[go], whole[go], number[go] + 1
-            hashes = size = np.zeros(len(start), np.int64)
+        carried = self.breaks(self.heads, self.tails, hashes, size)
+        following = self.breaks(np.arange(len(self.ws)), np.repeat(self.tails, self.tails - self.heads))
+        starts, owner = [], []
+        for k, (at, end) in enumerate(zip(carried.tolist(), self.tails.tolist(), strict=True)):
+            while at < end:
+                starts.append(at)
+                owner.append(k)
+                at = following.item(at)
+        start, owner = np.array(starts, np.int64), np.array(owner, np.int64)
+        yield self._closed(np.arange(len(known)), number, self.heads, carried, whole, hashes, size)
+        yield self._closed(owner, number[owner] + 1 + np.arange(len(owner)) - np.searchsorted(owner, owner), start, following[start], whole, 0, 0)
+
+    def _closed(self, owner: np.ndarray, number: np.ndarray, start: np.ndarray, stop: np.ndarray, whole: np.ndarray, hashes: np.ndarray | int, size: np.ndarray | int) -> pd.DataFrame:
+        hashes, size = hashes + self.hashes[stop] - self.hashes[start], size + self.bytes[stop] - self.bytes[start]
+        rows = pd.DataFrame({"ws": self.ws[start], "batch": number, "hashes": hashes, "bytes": size})
+        return rows[(stop < self.tails[owner]) | (whole[owner] & (hashes > 0))]
 
 
 def _composed(most_hashes: int, most_bytes: int):
