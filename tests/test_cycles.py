@@ -132,3 +132,16 @@ def test_small_rules(spark):
     assert {r.user_name: r.state for r in pins.collect()} == {"a": "match", "b": "mismatch", "c": "first_sight"}
     bad = spark.createDataFrame([("YQ==",), ("YQ",), ("?",)], "t string")
     assert [r.x is not None for r in bad.select(scalars.strict_base64(F.col("t")).alias("x")).collect()] == [True, False, False]
+
+
+def test_upload_outcome(spark):
+    sent = spark.createDataFrame([(1, h, k, 10 + k) for k, h in enumerate("abcd")] + [(2, "a", 1, 5), (2, "e", 2, 6), (3, "e", 1, 6), (3, "f", 2, 7), (4, "g", 1, 8)], "ws bigint, hash string, ord bigint, length bigint")
+    present = spark.createDataFrame([("a",), ("a",), (None,)], "hash string")
+    told = [(1, "b", True, None), (1, "c", None, "late"), (1, "d", False, None), (2, "e", True, None), (3, "e", True, None), (4, "g", True, None), (4, "g", True, None), (5, "x", True, None)]
+    statuses, report = cycles.upload_outcome(sent, present, spark.createDataFrame(told, "ws bigint, hash string, stored boolean, failure string"))
+    assert {(r.ws, r.hash): r.status for r in statuses.collect()} == {
+        (1, "a"): "present", (1, "b"): "stored", (1, "c"): "failed", (1, "d"): "concurrent", (2, "a"): "present", (2, "e"): "stored",
+        (3, "e"): "unconfirmed", (3, "f"): "unconfirmed", (4, "g"): "unconfirmed",  # one answer too few, one too many
+    }
+    assert sorted(map(tuple, report.collect())) == [(1, 1, 11, 1, 12, "c", "late"), (2, 1, 6, 0, 0, None, None), (3, 0, 0, 2, 13, None, None), (4, 0, 0, 1, 8, None, None)]
+    assert [x.count() for x in cycles.upload_outcome(sent.limit(0), present, spark.createDataFrame([], "ws bigint, hash string, stored boolean, failure string"))] == [0, 0]

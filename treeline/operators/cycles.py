@@ -145,6 +145,30 @@ def uploads(chunks: DataFrame, seen: DataFrame) -> DataFrame:
     return rows.join(seen.select("ws", "hash").distinct(), ["ws", "hash"], "left_anti").select("ws", "hash", "at.ord", "at.length")
 
 
+def upload_outcome(sent: DataFrame, present: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What became of each chunk of an upload, and what each workspace reports and keeps for the next one.
+
+    sent: ws, hash, ord, length, a row for each hash. present: hashes that the store held before. answers: ws, hash, stored
+    (false if someone else was faster), failure (null if it went well). First table: ws, hash, ord, length, status: present,
+    stored, concurrent, failed or unconfirmed. Answers of a workspace that are not exactly one for each chunk that was not
+    present confirm none of them. Second table: ws, uploaded, bytes, kept, kept_bytes (failed and unconfirmed ones, which are
+    sent again), and hash and failure of the first that failed, by ord then hash. Answers for nothing sent give no rows."""
+    held = present.select("hash").distinct().withColumn("held", F.lit(True))
+    told = answers.groupBy("ws", "hash").agg(F.count(F.lit(1)).alias("told"), F.bool_or("stored").alias("stored"), F.min("failure").alias("failure"))
+    rows = sent.select("ws", "hash", "ord", "length", F.lit(True).alias("sent")).join(held, "hash", "left").join(told, ["ws", "hash"], "full")
+    open_ = F.when(F.col("sent") & F.col("held").isNull(), 1).otherwise(0)
+    unclear = rows.where(open_ != F.coalesce("told", F.lit(0))).select("ws").distinct().withColumn("unclear", F.lit(True))
+    status = F.when(F.col("held"), "present").when(F.col("unclear"), "unconfirmed").when(F.col("failure").isNotNull(), "failed").when(F.col("stored"), "stored").otherwise("concurrent")
+    rows = rows.where("sent").join(unclear, "ws", "left").withColumn("status", status)
+    stored, kept = F.col("status") == "stored", F.col("status").isin("failed", "unconfirmed")
+    first = F.min(F.when(F.col("status") == "failed", F.struct("ord", "hash", "failure")))
+    report = rows.groupBy("ws").agg(
+        F.count_if(stored).alias("uploaded"), F.coalesce(F.sum(F.when(stored, F.col("length"))), F.lit(0)).alias("bytes"),
+        F.count_if(kept).alias("kept"), F.coalesce(F.sum(F.when(kept, F.col("length"))), F.lit(0)).alias("kept_bytes"), first.alias("first"),
+    )
+    return rows.select("ws", "hash", "ord", "length", "status"), report.select("ws", "uploaded", "bytes", "kept", "kept_bytes", F.col("first.hash").alias("failed_hash"), F.col("first.failure").alias("failure"))
+
+
 def generated_tree(spark: SparkSession, files: int, seed: int = 7, folders: int = 100) -> DataFrame:
     """A deterministic tree for measurements: path, size and one chunk's hash for each file, from digests of its number."""
     digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")), 256)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from treeline.operators import access, cycles, diffing, digests, envelopes, folds, merging, pool, retention, tables
 from treeline.plans import adapters as A
-from treeline.plans.catalogue import _ACL, _CHANGES, _DECIDED, _GC, _LAST, _NOWM, _OTHER, _PINS, _RING, _WANT, GRACE, NOW, STAMP, _decided, query
+from treeline.plans.catalogue import _ACL, _CHANGES, _DECIDED, _GC, _LAST, _NOWM, _OTHER, _PINS, _RING, _WANT, GRACE, NOW, STAMP, _decided, _packing, query
 from treeline.sources import assembly, commits, store
 from treeline.streaming import feeds
 
@@ -326,10 +326,35 @@ def upload_dedup(t):
     return cycles.uploads(_rows(t, _UPLOADS), _rows(t, _UP_SEEN))
 
 
-@query(f"with u as ({_UPLOADS}), f as (select ws, hash, min(ord) as ord, min(length) as length from u where (ws, hash) not in (select ws, hash from ({_UP_SEEN}) z) group by 1, 2) select ws, cast(sum(length) as bigint) as bytes, count(*) as chunks from f group by ws")
+_SENT = f"select ws, hash, min(ord) as ord, min(length) as length from ({_UPLOADS}) u where (ws, hash) not in (select ws, hash from ({_UP_SEEN}) z) group by 1, 2"
+
+
+@query(_packing(f"select ws, length as size, cast(1 as bigint) as new, row_number() over (partition by ws order by ord) as rn from ({_SENT}) z", 8, 100))
 def upload_batches(t):
-    batches = folds.put_plan(cycles.uploads(_rows(t, _UPLOADS), _rows(t, _UP_SEEN)), 8, 100)
-    return batches.groupBy("ws").agg(F.sum("bytes").alias("bytes"), F.sum("hashes").alias("chunks"))
+    return folds.put_plan(cycles.uploads(_rows(t, _UPLOADS), _rows(t, _UP_SEEN)), 8, 100)
+
+
+_UP_HELD = "select distinct {sha:p_partkey % 50} as hash from part where p_partkey % 50 < 10"
+_UP_TOLD = """select distinct o_custkey as ws, {sha:o_orderkey % 50} as hash, o_orderkey % 50 % 3 <> 1 as stored, case when o_orderkey % 50 % 9 = 4 then 'no room' end as failure from orders
+where o_orderkey % 50 >= 10 and o_orderkey % 50 <> o_custkey % 50 and not (o_custkey % 8 = 5 and o_orderkey % 50 = 17)"""
+_OUTCOME = f"""sent as ({_SENT}), told as ({_UP_TOLD}), r as (select sent.*, sent.hash in (select hash from ({_UP_HELD}) h) as held, told.hash is not null as answered, stored, failure from sent left join told using (ws, hash)),
+st as (select *, case when held then 'present' when ws in (select ws from r where not held and not answered) then 'unconfirmed' when failure is not null then 'failed' when stored then 'stored' else 'concurrent' end as status from r)"""
+
+
+def _outcome(t):
+    return cycles.upload_outcome(cycles.uploads(_rows(t, _UPLOADS), _rows(t, _UP_SEEN)), _rows(t, _UP_HELD), _rows(t, _UP_TOLD))
+
+
+@query(f"with {_OUTCOME} select ws, hash, ord, length, status from st")
+def upload_statuses(t):
+    return _outcome(t)[0]
+
+
+@query(f"""with {_OUTCOME}, e as (select ws, hash, failure from st where status = 'failed' qualify row_number() over (partition by ws order by ord, hash) = 1)
+select ws, count(*) filter (where status = 'stored') as uploaded, cast(coalesce(sum(length) filter (where status = 'stored'), 0) as bigint) as bytes, count(*) filter (where status in ('failed', 'unconfirmed')) as kept,
+  cast(coalesce(sum(length) filter (where status in ('failed', 'unconfirmed')), 0) as bigint) as kept_bytes, max(e.hash) as failed_hash, max(e.failure) as failure from (select ws, length, status from st) x left join e using (ws) group by ws""")
+def upload_reports(t):
+    return _outcome(t)[1]
 
 
 _REPORT = f"{_GC}, blobs as ({A.BLOBS}), w as (select ws, bool_and(parseable) as ok from h group by ws), sw as (select hash, length from blobs where mtime < 900 and hash not in (select hash from after_refs union all select hash from new))"
