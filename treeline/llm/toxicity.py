@@ -23,6 +23,7 @@ every score is 0. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
 import itertools
@@ -188,7 +189,8 @@ def nearest(m: Model, counts: dict[int, int], k: int) -> tuple[np.ndarray, np.nd
 
 
 class _Words(dict):
-    """The known terms of each word met so far. Terms are split by kind, so that a new word's are found in small tables."""
+    """A number for each word met so far; word k has the known terms flat[starts[k]:starts[k + 1]]. Terms are split by kind, so
+    that a new word's are found in small tables."""
 
     def __init__(self, terms: dict[str, int]):
         kinds: dict[int, dict[str, int]] = {n: {} for n in (0, *_PREFIXES)}
@@ -198,30 +200,42 @@ class _Words(dict):
             else:
                 kinds[0][t] = k
         self.whole, self.four, self.five, self.six = (kinds[n].get for n in (0, *_PREFIXES))
+        self.clear()
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        core, out = word.strip(_TRIM), ()
+    def clear(self) -> None:
+        super().clear()
+        self.flat, self.starts = array.array("i"), array.array("q", [0])
+
+    def __missing__(self, word: str) -> int:
+        core, own = word.strip(_TRIM), self.flat
         n = len(core)
         # an example with a longer beginning or the whole word has the shorter ones too
-        if n < 4:
-            if n and (t := self.whole(core)) is not None:
-                out = (t,)
-        elif (a := self.four(core[:4])) is not None:
-            if n == 4:
-                t = self.whole(core)
-                out = (a,) if t is None else (a, t)
-            elif (b := self.five(core[:5])) is None:
-                out = (a,)
-            elif n == 5:
-                t = self.whole(core)
-                out = (a, b) if t is None else (a, b, t)
-            elif (c := self.six(core[:6])) is None:
-                out = (a, b)
-            else:
-                t = self.whole(core)
-                out = (a, b, c) if t is None else (a, b, c, t)
-        self[word] = out
-        return out
+        known = n > 0
+        if n >= 4:
+            known = (t := self.four(core[:4])) is not None
+            if known:
+                own.append(t)
+                if n >= 5:
+                    known = (t := self.five(core[:5])) is not None
+                    if known:
+                        own.append(t)
+                        if n >= 6:
+                            known = (t := self.six(core[:6])) is not None
+                            if known:
+                                own.append(t)
+        if known and (t := self.whole(core)) is not None:
+            own.append(t)
+        self[word] = k = len(self)
+        self.starts.append(len(own))
+        return k
+
+    def terms(self, words: list[str]) -> np.ndarray:
+        """The known terms of all words, as often as the words come."""
+        k = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        starts = np.frombuffer(self.starts, np.int64)
+        lows = starts[k]
+        at = _spans(lows, starts[k + 1] - lows)
+        return np.frombuffer(self.flat, np.int32)[at] if len(at) else np.zeros(0, np.int32)
 
 
 class Scorer:
@@ -235,7 +249,7 @@ class Scorer:
         """The known terms of a text in order, and how often it has each."""
         if len(self.words) > self.most:
             self.words.clear()
-        terms = np.fromiter(itertools.chain.from_iterable(map(self.words.__getitem__, text.lower().split())), np.int64)
+        terms = self.words.terms(text.lower().split())
         terms.sort()
         first = np.flatnonzero(np.diff(terms, prepend=-1))
         return terms[first], np.diff(first, append=len(terms))
