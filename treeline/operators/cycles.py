@@ -93,6 +93,47 @@ def device_ok(device: Column) -> Column:
     return F.coalesce(device.rlike(r"\A[^\p{Cc}]{1,64}\z"), F.lit(False))
 
 
+def failure_class(status: Column, head_conflict: Column) -> Column:
+    """What a client does about an answer: retry (the head moved: pull, merge, push again), fatal, read_only, transient (wait
+    and try again, other 4xx too); null for success."""
+    fails = F.when(status == 403, "read_only").when(status.isin(400, 401, 404), "fatal").otherwise("transient")
+    return F.when(head_conflict, "retry").when(status.between(200, 299), None).otherwise(fails)
+
+
+def register(asked: DataFrame, workspaces: DataFrame, teams: DataFrame, members: DataFrame) -> DataFrame:
+    """Registration that may be repeated: a workspace is created once, and attached to a team only if it is not yet.
+
+    asked: ord (no two alike), ws, name, user_name, team_name (null: none), e2e. workspaces: ws, name, owner, team, e2e.
+    Adds team and outcome, the first that holds: unknown_team, again (a request before is for the same workspace), flavour
+    (end-to-end asked of a workspace without it), existed, attached (it is already), not_owner, not_writer, name_taken (of
+    the team's workspaces or by a request before), attach or create. Of these not_owner, not_writer and name_taken of a
+    workspace that exists are warnings: the workspace goes on without the team."""
+    rows = asked.join(teams.select("team", F.col("name").alias("team_name")), "team_name", "left")
+    own = workspaces.select("ws", F.lit(True).alias("there"), "owner", F.col("team").alias("has"), F.col("e2e").alias("sealed"), F.col("name").alias("own_name"))
+    rows = rows.join(own, "ws", "left").join(asked.groupBy("ws").agg(F.min("ord").alias("first")), "ws")
+    rows = rows.join(members.where("role >= 2").select("team", "user_name", F.lit(True).alias("writer")).distinct(), ["team", "user_name"], "left")
+    there, named = F.col("there").isNotNull(), F.col("team_name").isNotNull()
+    outcome = (
+        F.when(named & F.col("team").isNull(), "unknown_team")
+        .when(F.col("ord") > F.col("first"), "again")
+        .when(there & F.col("e2e") & ~F.coalesce("sealed", F.lit(False)), "flavour")
+        .when(there & ~named, "existed")
+        .when(there & (F.col("team") == F.col("has")), "attached")
+        .when(there & (F.col("owner") != F.col("user_name")), "not_owner")
+        .when(named & F.col("writer").isNull(), "not_writer")
+        .when(there, "attach")
+        .otherwise("create")
+    )
+    rows = rows.withColumn("outcome", outcome).withColumn("name", F.coalesce("own_name", "name"))
+    # a name is whose workspace has it in the team, else the first request's; one row for each name, whoever asks
+    wants = rows.where("outcome in ('attach', 'create') and team is not null").select("team", "name", F.struct(F.lit(1).alias("late"), F.col("ord").cast("bigint").alias("ord")).alias("at"))
+    holds = workspaces.where("team is not null").select("team", "name", F.struct(F.lit(0).alias("late"), F.lit(0).cast("bigint").alias("ord")).alias("at"))
+    holder = wants.unionByName(holds).groupBy("team", "name").agg(F.min("at").alias("at"))
+    rows = rows.join(holder, ["team", "name"], "left")
+    lost = F.col("outcome").isin("attach", "create") & F.col("team").isNotNull() & ((F.col("at.late") == 0) | (F.col("at.ord") != F.col("ord")))
+    return rows.select(*[c for c in asked.columns if c != "name"], "name", "team", F.when(lost, "name_taken").otherwise(F.col("outcome")).alias("outcome"))
+
+
 def writes(requests: DataFrame, manifests: DataFrame, heads: DataFrame, refs: DataFrame, keep: int = retention.HEAD_KEEP) -> tuple[DataFrame, DataFrame]:
     """What one transaction of accepted requests (verdict ok) leaves: heads (ws, seq, id) after retention, and references with
     the new heads' chunks, each once."""

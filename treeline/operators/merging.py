@@ -85,6 +85,13 @@ def merged_rows(decided: DataFrame, lost: DataFrame) -> DataFrame:
     return winners.unionByName(copies).select("ws", "path", *[F.col(f"entry.{c}").alias(c) for c in ENTRY])
 
 
+def headers(local: DataFrame, merged: DataFrame) -> DataFrame:
+    """local: ws, scanned_at_secs, the headers of the local manifests. Those of the merged ones: identifier and time of the
+    scan come from the local side, with the number of files and their bytes; workspaces left without files have none of both."""
+    sums = merged.groupBy("ws").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+    return local.join(sums, "ws", "left").select("ws", "scanned_at_secs", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("files", "bytes")])
+
+
 def apply_list(local: DataFrame, merged: DataFrame, lost: DataFrame) -> DataFrame:
     """What changes on the local tree: copies of local losers are there already."""
     there = lost.where("loser = 'local' and not local_only").select("ws", F.col("copy").alias("path"), F.lit("added").alias("change"))

@@ -73,6 +73,13 @@ def get(asked: DataFrame, pool: DataFrame) -> DataFrame:
     return found.select("hash", F.when(ok, F.col("data")).alias("data"), F.coalesce(~ok, F.lit(False)).alias("torn"))
 
 
+def heal(asked: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """asked: hash. What can be read (hash, data), and the pool without what was asked for and is torn, so that the next put
+    of its bytes is taken. Only what is asked for is verified."""
+    got = get(asked.select("hash").distinct(), pool)
+    return got.where("data is not null").select("hash", "data"), pool.join(got.where("torn").select("hash").distinct(), "hash", "left_anti")
+
+
 def assemble(files: DataFrame, pool: DataFrame) -> DataFrame:
     """Each file from its chunks in order; complete is false where one is missing."""
     rows = files.join(pool.select("hash", "data"), "hash", "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from treeline.operators import access, cycles, diffing, digests, envelopes, folds, merging, pool, retention, tables
 from treeline.plans import adapters as A
 from treeline.plans.catalogue import _ACL, _CHANGES, _DECIDED, _GC, _LAST, _NOWM, _OTHER, _PINS, _RING, _WANT, GRACE, NOW, STAMP, _decided, _packing, query
-from treeline.sources import assembly, commits, store
+from treeline.sources import assembly, collection, commits, store
 from treeline.streaming import feeds
 
 _ENTRY = "ws, path, size, mode, mtime_secs, mtime_nanos, chunks"
@@ -435,3 +435,82 @@ def dotenv_refusals(t):
 @query(f"with m as ({_SUBMITTED}) select id as ws, path, 'path' as violation from m where starts_with(path, '../')")
 def manifest_violations(t):
     return diffing.violations(_rows(t, _SUBMITTED).withColumn("ws", F.col("id")))
+
+
+# --- stored rows, torn chunks, registration ------------------------------------------------------------------------
+
+
+def _stored(t):
+    """Retained heads as they are stored: documents, envelopes, and texts that are cut off."""
+    rows = retention.retained_heads(t.heads, 5).join(t.chunks.select("ws", "file", "hash"), ["ws", "file"], "left").groupBy("ws", "file", "parseable").agg(F.collect_list("hash").alias("chunks"))
+    entry = F.struct(F.lit(1).alias("size"), F.lit(420).alias("mode"), F.lit(0).alias("mtime_secs"), F.lit(0).alias("mtime_nanos"), "chunks")
+    files = F.create_map(F.concat(F.lit("f"), F.col("file").cast("string")), entry)
+    document = F.to_json(F.struct(F.lit(1).alias("version"), F.col("ws").cast("string").alias("workspace_id"), F.lit(0).alias("scanned_at_secs"), files.alias("files")))
+    envelope = F.to_json(F.struct(F.lit(1).alias("generation"), F.lit("AA==").alias("ciphertext"), F.col("chunks").alias("hashes")))
+    text = F.when(F.col("file") % 2 == 0, document).otherwise(envelope)
+    return rows.select("ws", F.col("file").alias("id"), F.when(F.col("parseable"), text).otherwise(F.substring(text, F.lit(1), F.length(text) - 2)).alias("stored"))
+
+
+def _collected(t):
+    return collection.collect(t.refs, _stored(t), t.blobs, 1500, GRACE, "file://" + commits.shared_folder(t.spark, "stored") + "/rows")
+
+
+@query(f"with {_GC} select ws, hash, 'delete' as action from gone union all select ws, hash, 'add' from new")
+def stored_gc_refs(t):
+    return _collected(t)[0]
+
+
+@query(f"with {_GC}, blobs as ({A.BLOBS}) select hash, length, mtime from blobs where mtime < 900 and hash not in (select hash from after_refs union all select hash from new)")
+def stored_gc_sweep(t):
+    return _collected(t)[1].select("hash", "length", "mtime")
+
+
+_TORN = "select {sha:p_partkey} as hash, case when p_partkey % 11 = 0 then 'x' else cast(p_partkey as varchar(20)) end as content from part where p_partkey % 7 <> 0"
+
+
+@query(f"""with c as ({A.CHUNKS}), st as ({_TORN}), a as (select distinct hash from c), g as (select a.hash, case when sha256(content) = a.hash then content end as content from a left join st using (hash))
+select hash, content, case when content is null then 'put' else 'read' end as action from g""")
+def torn_chunks(t):
+    """Chunks that are read back, and those that the pool takes again, as they were absent or torn."""
+    stored = _rows(t, _TORN).select("hash", F.encode("content", "UTF-8").alias("data"))
+    read, rest = pool.heal(t.chunks, stored)
+    again = pool.put(t.chunks.select("hash", F.encode(F.col("part_no").cast("string"), "UTF-8").alias("data")), rest)
+    return read.select("hash", F.decode("data", "UTF-8").alias("content"), F.lit("read").alias("action")).unionByName(again.select("hash", F.lit(None).cast("string").alias("content"), F.lit("put").alias("action")))
+
+
+_REGISTER = """select c_custkey as ord, case when c_custkey % 3 = 0 then c_custkey + 10000000 when c_custkey % 11 = 0 then c_custkey - 1 else c_custkey end as ws,
+  case when c_custkey % 2 = 0 then 'w' || cast(c_custkey % 40 as varchar(20)) else 'n' || cast(c_custkey % 200 as varchar(20)) end as name,
+  case when c_custkey % 5 = 0 then 'u1' else 'u' || cast(c_custkey % 100 as varchar(20)) end as user_name,
+  case when c_custkey % 4 = 0 then null when c_custkey % 31 = 1 then 'nowhere' else n_name end as team_name, c_custkey % 7 = 0 as e2e
+from customer join nation on n_nationkey = (c_nationkey + c_custkey % 2) % 25"""
+_REGISTERED = f"select w.ws as ws, w.name as name, w.team as team, w.owner as owner, fl.e2e as e2e from ({A.WORKSPACES}) w join ({_FLAVOURS}) fl on w.ws = fl.ws"
+
+
+@query(f"""with tm as ({A.TEAMS}), mem as ({A.MEMBERS}), q as ({_REGISTER}), w as ({_REGISTERED}),
+a as (select q.*, tm.team, w.ws is not null as there, w.owner, w.team as has, w.e2e as sealed, coalesce(w.name, q.name) as nm, min(q.ord) over (partition by q.ws) as first_ord
+  from q left join tm on tm.name = q.team_name left join w on w.ws = q.ws),
+b as (select *, case when team_name is not null and team is null then 'unknown_team' when ord > first_ord then 'again' when there and e2e and not sealed then 'flavour' when there and team_name is null then 'existed'
+  when there and team = has then 'attached' when there and owner <> user_name then 'not_owner' when team_name is not null and not exists (select 1 from mem where mem.team = a.team and mem.user_name = a.user_name and role >= 2) then 'not_writer'
+  when there then 'attach' else 'create' end as o from a),
+c as (select *, row_number() over (partition by team, nm, o in ('attach', 'create') order by ord) as place from b)
+select ord, ws, user_name, team_name, e2e, nm as name, team, case when o in ('attach', 'create') and team is not null and (place > 1 or exists (select 1 from w where w.team = c.team and w.name = c.nm)) then 'name_taken' else o end as outcome from c""")
+def registrations(t):
+    return cycles.register(_rows(t, _REGISTER), _rows(t, _REGISTERED), t.teams, t.members)
+
+
+_ANSWERS = "select user_id as ws, case event_id % 9 when 0 then 200 when 1 then 400 when 2 then 401 when 3 then 403 when 4 then 404 when 5 then 408 when 6 then 409 when 7 then 429 else 500 end as status, event_id % 18 = 6 as moved from events"
+
+
+@query(f"with a as ({_ANSWERS}), b as (select ws, case when moved then 'retry' when status = 200 then 'done' when status = 403 then 'read_only' when status in (400, 401, 404) then 'fatal' else 'transient' end as class from a) select ws, class, count(*) as n from b group by ws, class")
+def failure_classes(t):
+    rows = _rows(t, _ANSWERS).select("ws", F.coalesce(cycles.failure_class(F.col("status"), F.col("moved")), F.lit("done")).alias("class"))
+    return rows.groupBy("ws", "class").agg(F.count(F.lit(1)).alias("n"))
+
+
+_LOCAL_HEADERS = "select c_custkey as ws, c_custkey * 7 as scanned_at_secs from customer"
+
+
+@query(f"with {_DECIDED}, hd as ({_LOCAL_HEADERS}), s as (select ws, count(*) as files, sum(e.size) as bytes from m group by ws) select ws, scanned_at_secs, coalesce(files, 0) as files, cast(coalesce(bytes, 0) as bigint) as bytes from hd left join s using (ws)")
+def merged_headers(t):
+    decided = _decided(t)
+    return merging.headers(_rows(t, _LOCAL_HEADERS), merging.merged_rows(decided, merging.conflicts(decided, "dev", STAMP)))
