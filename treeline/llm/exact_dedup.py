@@ -4,7 +4,8 @@ Every input partition makes one run: its digests in order, each with the identif
 verifies it. With fan_in ** rounds partitions, a round sends each row to the partition that differs from its own in one
 base-fan_in digit, which it takes from the digest; so fan_in runs meet in every partition, are merged in order, and equal
 digests become one row again. After the last round all rows of a digest have met, no partition has read more than its
-share, and a digest held by a third of all rows has never been more than one row of a run.
+share, and a digest held by a third of all rows has never been more than one row of a run. The results go back to the rows by
+a join that broadcasts the few digests of very many rows, whose rows stay where they are.
 
 Texts are equal when identical after lower-casing A-Z only; null counts as empty. Rows with equal digests must agree on
 length and on a second checksum, or the merge fails. Rows repeated with the same identifier count each and get the same
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm._common import materialise, stretches, table, trimmed
+from treeline.llm._common import lookup, materialise, stretches, table, trimmed
 
 _RUN = "digest binary, id bigint, n bigint, size bigint, crc bigint"
 _ARROW = pa.schema([("digest", pa.binary()), ("id", pa.int64()), ("n", pa.int64()), ("size", pa.int64()), ("crc", pa.int64())])
@@ -104,7 +105,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     own = materialise(digests(df, id_col, text_col), "digests")
     merged = tree_merge(own.withColumn("n", F.lit(1).cast("bigint")), keep, fan_in, rounds_for(spark, own.count(), fan_in))
     merged = materialise(merged.select("digest", F.col("id").alias("keep_id"), F.col("n").alias("group_size")), "merged")
-    return own.join(merged, "digest").select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return lookup(own, merged, ["digest"], "group_size").select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
