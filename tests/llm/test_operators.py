@@ -474,3 +474,24 @@ def test_pipeline(spark):
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {k for k, s in scores.items() if s < toxicity.THRESHOLD}
     apart = corpus_pipeline.unlike(spark, docs, d)
     assert {r.doc_id for r in apart.collect()} == {r.doc_id for r in minhash.near_dedup(docs).where("kept").collect()}
+
+
+def test_hot_texts_stay_where_they_are(spark):
+    """Half of all rows have one text and a quarter none: the results still come whole, and their rows are not dealt."""
+    words = "one two three four five six seven eight nine ten".split()
+    rows = [(k, " ".join(words) if k % 2 else None if k % 4 else " ".join(words[i % 10] + str(k) for i in range(8))) for k in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in minhash.near_dedup(df).collect()}
+    assert got == {k: (1, 6) if k % 2 else (k, 0) if k % 4 else (k, 4) for k in range(20_000)}
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        exact = exact_dedup.exact_dedup(df)
+        most = exact.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in exact.collect()} == {k: (1, 10_000) if k % 2 else (2, 5_000) if k % 4 else (k, 1) for k in range(20_000)}
+    assert most < 7_500  # a join by digest would put 10,000 rows into one task

@@ -249,7 +249,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """A row for each row of df: id_col, n_shingles, component_id, kept."""
     df = df.where(F.col(id_col).isNotNull())
     sigs = materialise(signatures(df, id_col, text_col, size, MinMax(bands, rows)), "signatures")
-    classes = materialise(sigs.where("key is not null").groupBy("key").agg(F.min("id").alias("rep")), "classes")
+    classes = materialise(sigs.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("times")), "classes")
     reps = sigs.join(classes, (sigs.id == classes.rep) & (sigs.key == classes.key)).select("id", "buckets")
     entries = materialise(reps.select(F.explode("buckets").alias("bucket"), "id").distinct(), "buckets")
     heads = materialise(entries.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count(F.lit(1)).alias("times")).where("a < z").drop("z"), "heads")
@@ -273,8 +273,10 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     release(df.sparkSession)
     if not more.isEmpty():
         nodes = components(nodes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    whole = classes.join(nodes, classes.rep == nodes.node, "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    out = sigs.select("id", "n", "key").join(whole, "key", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    whole = materialise(classes.join(nodes, classes.rep == nodes.node, "left").select("key", "times", F.coalesce("component", "rep").alias("component_id")), "whole")
+    rows = sigs.select("id", "n", "key")
+    out = lookup(rows.where("key is not null"), whole, ["key"], "times").select("id", "n", "component_id")
+    out = out.unionByName(rows.where("key is null").select("id", "n", F.col("id").alias("component_id")))  # texts without words, however many, are not dealt
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
