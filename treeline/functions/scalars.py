@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def conflict_stamp(seconds: Column) -> Column:
-    """UTC, to the second; times before the epoch count as the epoch. The session's time zone must be UTC."""
-    return F.date_format(F.timestamp_seconds(F.greatest(seconds, F.lit(0))), "yyyy-MM-dd HHmmss")
+    """UTC, to the second; times before the epoch count as the epoch. Years of five digits have no sign. The session's time
+    zone must be UTC."""
+    at = F.timestamp_seconds(F.greatest(seconds, F.lit(0)))
+    return F.concat(F.year(at).cast("string"), F.date_format(at, "-MM-dd HHmmss"))
 
 
 def human_bytes(n: Column) -> Column:
