@@ -91,9 +91,10 @@ def polls(states: DataFrame) -> DataFrame:
 
 
 def retries(cycles: DataFrame) -> DataFrame:
-    """cycles: ws, at, ok. Adds retry_at: for failed ones after which nothing comes within RETRY seconds, when they are tried
-    again although all is quiet."""
-    later = F.lead("at").over(Window.partitionBy("ws").orderBy("at"))
+    """cycles: ws, at, ok, and id if there is one, by which those of one time are in order. Adds retry_at: for failed ones after
+    which nothing comes within RETRY seconds, when they are tried again although all is quiet."""
+    order = ["at", "id"] if "id" in cycles.columns else ["at"]
+    later = F.lead("at").over(Window.partitionBy("ws").orderBy(*order))
     quiet = ~F.col("ok") & (F.coalesce(later, F.lit(2**62)) - F.col("at") > RETRY)
     return cycles.withColumn("retry_at", F.when(quiet, F.col("at") + RETRY))
 
