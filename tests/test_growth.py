@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from treeline.functions import scalars
-from treeline.operators import access
+from treeline.operators import access, pool
 from treeline.plans import adapters as A
 from treeline.plans import catalogue
 from treeline.streaming import feeds
@@ -45,7 +45,7 @@ def dealt(spark, df):
 
 @pytest.mark.parametrize("name", [
     "role_gate", "role_gate_admins", "capability_matrix", "effective_roles", "departed_members", "key_rotation", "rotated_rings", "rotation_report",
-    "remove_member_cascade", "wrapped_key_deletes", "wrapped_key_lookups", "commit_verdicts",
+    "remove_member_cascade", "wrapped_key_deletes", "wrapped_key_lookups", "commit_verdicts", "chunk_visibility",
 ])
 def test_pairs_of_workspaces_and_members(spark, one_nation, name):
     d, con = one_nation
@@ -88,3 +88,17 @@ def test_retries_of_one_time(spark):
     for some in (rows, rows[::-1]):
         got = feeds.retries(spark.createDataFrame(some, "ws int, id int, at bigint, ok boolean")).where("retry_at is not null").collect()
         assert [(r.ws, r.id, r.retry_at) for r in got] == [(1, 8, 15)]
+
+
+def test_visible_by_classes(spark):
+    """Users of several teams, owners inside and outside of teams, rows twice, no user: as visible says, and as asked for."""
+    spaces = spark.createDataFrame([(1, 1, "a"), (2, 2, "z"), (3, None, "b"), (4, 1, "b"), (5, 3, None), (1, 2, "a")], "ws int, team int, owner string")
+    members = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "b"), (1, "c"), (9, "d"), (None, "e"), (3, None)], "team int, user_name string")
+    refs = spark.createDataFrame([(w, f"h{w * k % 7}") for w in range(1, 7) for k in range(3)], "ws int, hash string").distinct()
+    whole = pool.visible(spaces, members, refs)
+    want = {tuple(r) for r in whole.groupBy("user_name").agg(F.count(F.lit(1)), F.min("hash")).collect()}
+    got = [tuple(r) for r in pool.visible_counts(spaces, members, refs).collect()]
+    assert len(got) == len(want) and set(got) == want
+    asked = spark.createDataFrame([(u, f"h{k}") for u in "abcdez" for k in range(8)] * 2, "user_name string, hash string")
+    got = [tuple(r) for r in pool.visible_of(asked, spaces, members, refs).collect()]
+    assert sorted(got) == sorted(tuple(r) for r in whole.where("user_name is not null").collect() if r[0] in "abcdez")

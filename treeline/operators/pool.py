@@ -4,12 +4,21 @@ refs: ws, hash. files: ws, file, size, pos, hash (a row for each chunk in order)
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.operators import predicates as P
 
 
+def packed(digest: Column) -> Column:
+    """A digest's 32 bytes for its 64 digits, as it is dealt by exchanges; any other text is kept whole, after 33 zero bytes."""
+    return F.when(P.is_chunk_hash(digest), F.unhex(digest)).otherwise(F.concat(F.lit(bytes(33)), F.encode(digest, "UTF-8")))
+
+
+def unpacked(data: Column) -> Column:
+    return F.when(F.octet_length(data) == 32, F.lower(F.hex(data))).otherwise(F.decode(F.substring(data, 34, 2**31 - 1), "UTF-8"))
+
+
 def first_reference(files: DataFrame) -> DataFrame:
     """Each hash of a workspace with the first place that needs it, in file order, then chunk order."""
     return files.groupBy("ws", "hash").agg(F.min(F.struct("file", "pos")).alias("at")).select("ws", "hash", "at.file", "at.pos")
@@ -28,6 +37,34 @@ def visible(workspaces: DataFrame, members: DataFrame, refs: DataFrame) -> DataF
     return own.unionByName(shared).distinct().join(refs, "ws").select("user_name", "hash").distinct()
 
 
+def visible_of(asked: DataFrame, workspaces: DataFrame, members: DataFrame, refs: DataFrame) -> DataFrame:
+    """The rows of visible that are asked for (user_name, hash), each once. Hashes are looked up by owner, and by each team of
+    who asks; what a team sees is not made for each of its members."""
+    pairs = asked.select("user_name", "hash").distinct()
+    own = refs.join(workspaces.select("ws", F.col("owner").alias("user_name")), "ws").select("user_name", "hash").distinct()
+    seen = refs.join(workspaces.where("team is not null").select("ws", "team"), "ws").select("team", "hash").distinct()
+    shared = pairs.join(members.select("team", "user_name").distinct(), "user_name").join(seen, ["team", "hash"], "left_semi")
+    return pairs.join(own, ["user_name", "hash"], "left_semi").unionByName(shared.select("user_name", "hash")).distinct()
+
+
+def visible_counts(workspaces: DataFrame, members: DataFrame, refs: DataFrame) -> DataFrame:
+    """user_name, n, first_hash: how many rows visible has for each user, and the smallest hash. Users of the same teams see
+    the same through these, which is counted once for all of them; a user's own workspaces add what the teams have not."""
+    teams = members.where("team is not null").groupBy("user_name").agg(F.array_sort(F.collect_set("team")).alias("teams"))
+    spaces = workspaces.where("team is not null").select("team", "ws").distinct()
+    places = teams.select("teams").distinct().withColumn("team", F.explode("teams")).join(spaces, "team").select("ws", "teams").distinct()
+    shared = refs.join(places, "ws").select("teams", "hash").distinct()
+    own = refs.join(workspaces.select("ws", F.col("owner").alias("user_name")).distinct(), "ws").select("user_name", "hash").distinct()
+    # shared hashes have no user, own ones the teams of theirs: one grouping says which own ones the teams have
+    own = own.join(teams.withColumnRenamed("user_name", "member"), F.col("user_name").eqNullSafe(F.col("member")), "left").select("teams", "hash", F.struct("user_name").alias("owner"))
+    groups = shared.select("teams", "hash", F.lit(None).cast(own.schema["owner"].dataType).alias("owner")).unionByName(own).groupBy("teams", "hash")
+    groups = groups.agg(F.max(F.col("owner").isNull()).alias("has"), F.collect_set("owner").alias("owners"))
+    total = groups.where("has").groupBy("teams").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("first_hash"))
+    more = groups.where("not has").select(F.explode("owners").alias("owner"), "hash").select("owner.user_name", "hash")
+    rows = teams.join(total, "teams").select("user_name", "n", "first_hash").unionByName(more.groupBy("user_name").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("first_hash")))
+    return rows.groupBy("user_name").agg(F.sum("n").alias("n"), F.min("first_hash").alias("first_hash"))
+
+
 def calls(asked: DataFrame, most: int = 50_000, cell: int = 10_000) -> DataFrame:
     """asked: user_name, ord, ... Adds call: each user's list in order, split after every `most` rows. Places are counted
     by cells of a user's range of ord, then inside the cell, so that a long list is not one task's."""
@@ -96,31 +133,48 @@ def locality(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def live(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     """rows: ws, file, parseable (retained heads and snapshots). ws, hash of workspaces whose rows all parse."""
+    return _live(rows, chunks).select("ws", "hash").distinct().select("ws", unpacked(F.col("hash")).alias("hash"))
+
+
+def _live(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The same with packed hashes, repeats left in."""
     good = rows.groupBy("ws").agg(F.bool_and("parseable").alias("ok")).where("ok").select("ws")
-    return rows.join(good, "ws", "left_semi").select("ws", "file").distinct().join(chunks.select("ws", "file", "hash"), ["ws", "file"]).select("ws", "hash").distinct()
+    own = rows.join(good, "ws", "left_semi").select("ws", "file").distinct()
+    return own.join(chunks.select("ws", "file", packed(F.col("hash")).alias("hash")), ["ws", "file"]).select("ws", "hash")
 
 
 def refs_delta(refs: DataFrame, kept: DataFrame, listed: DataFrame) -> DataFrame:
     """ws, hash, action: delete and add for listed workspaces, whose references become exactly the live ones."""
-    own = refs.join(listed.select("ws").distinct(), "ws", "left_semi").select("ws", "hash", F.lit(True).alias("had"), F.lit(False).alias("has"))
-    both = own.unionByName(kept.select("ws", "hash", F.lit(False).alias("had"), F.lit(True).alias("has"))).groupBy("ws", "hash").agg(F.max("had").alias("had"), F.max("has").alias("has"))
-    return both.where("had <> has").select("ws", "hash", F.when(F.col("had"), "delete").otherwise("add").alias("action"))
+    return _delta(refs, kept.select("ws", packed(F.col("hash")).alias("hash")), listed)
+
+
+def _delta(refs: DataFrame, kept: DataFrame, listed: DataFrame) -> DataFrame:
+    """refs_delta of packed live ones, which may repeat. Whether a workspace is listed is asked only of what differs."""
+    own = refs.select("ws", packed(F.col("hash")).alias("hash"), F.lit(1).alias("had"), F.lit(0).alias("has"))
+    both = own.unionByName(kept.select("ws", "hash", F.lit(0).alias("had"), F.lit(1).alias("has"))).groupBy("ws", "hash").agg(F.max("had").alias("had"), F.max("has").alias("has"))
+    rows = both.where("had <> has").join(listed.select("ws").distinct().withColumn("listed", F.lit(True)), "ws", "left")
+    return rows.where("listed or has = 1").select("ws", unpacked(F.col("hash")).alias("hash"), F.when(F.col("had") == 1, "delete").otherwise("add").alias("action"))
 
 
 def sweep(blobs: DataFrame, refs: DataFrame, now: int, grace: int) -> DataFrame:
     """blobs: hash (file name), mtime. Names to delete: digests without a reference anywhere that are older than the
     grace. Odd names and times to come stay."""
-    old = blobs.where(P.is_chunk_hash(F.col("hash")) & (F.col("mtime") < now - grace))
-    return old.join(refs.select("hash"), "hash", "left_anti")
+    return _sweep(blobs, refs.select(packed(F.col("hash")).alias("hash")), now, grace)
+
+
+def _sweep(blobs: DataFrame, refs: DataFrame, now: int, grace: int) -> DataFrame:
+    """sweep under packed references."""
+    old = blobs.where(P.is_chunk_hash(F.col("hash")) & (F.col("mtime") < now - grace)).withColumn("_hash", packed(F.col("hash")))
+    return old.join(refs.select(F.col("hash").alias("_hash")).distinct(), "_hash", "left_anti").drop("_hash")
 
 
 def gc(refs: DataFrame, rows: DataFrame, chunks: DataFrame, blobs: DataFrame, now: int, grace: int) -> tuple[DataFrame, DataFrame]:
     """The change of references, and the blobs to delete under the references after it."""
     listed = rows.groupBy("ws").agg(F.bool_and("parseable").alias("ok")).where("ok").select("ws")
-    kept = live(rows, chunks)
+    kept = _live(rows, chunks)
     # listed workspaces refer to exactly what is live, the others to what they did
-    after = refs.join(listed, "ws", "left_anti").select("hash").unionByName(kept.select("hash"))
-    return refs_delta(refs, kept, listed), sweep(blobs, after, now, grace)
+    after = refs.join(listed, "ws", "left_anti").select(packed(F.col("hash")).alias("hash")).unionByName(kept.select("hash"))
+    return _delta(refs, kept, listed), _sweep(blobs, after, now, grace)
 
 
 def stale_temporaries(names: DataFrame, now: int, age: int = 60) -> DataFrame:
