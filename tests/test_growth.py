@@ -1,13 +1,17 @@
 """What grows with the square of the input is not made, or not dealt: rows written to exchanges are counted."""
 
+import struct
+
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from treeline.functions import scalars
-from treeline.operators import access, pool
+from treeline.operators import access, envelopes, pool
 from treeline.plans import adapters as A
 from treeline.plans import catalogue
+from treeline.sources import chunks
 from treeline.streaming import feeds
 
 SPACES, USERS = 2000, 600
@@ -45,7 +49,7 @@ def dealt(spark, df):
 
 @pytest.mark.parametrize("name", [
     "role_gate", "role_gate_admins", "capability_matrix", "effective_roles", "departed_members", "key_rotation", "rotated_rings", "rotation_report",
-    "remove_member_cascade", "wrapped_key_deletes", "wrapped_key_lookups", "commit_verdicts", "chunk_visibility",
+    "remove_member_cascade", "wrapped_key_deletes", "wrapped_key_lookups", "commit_verdicts", "chunk_visibility", "resolve_workspace",
 ])
 def test_pairs_of_workspaces_and_members(spark, one_nation, name):
     d, con = one_nation
@@ -102,3 +106,35 @@ def test_visible_by_classes(spark):
     asked = spark.createDataFrame([(u, f"h{k}") for u in "abcdez" for k in range(8)] * 2, "user_name string, hash string")
     got = [tuple(r) for r in pool.visible_of(asked, spaces, members, refs).collect()]
     assert sorted(got) == sorted(tuple(r) for r in whole.where("user_name is not null").collect() if r[0] in "abcdez")
+
+
+def test_packed_digests(spark):
+    """Digests are 32 bytes; other texts, also of 31 to 33 bytes, come back as they were."""
+    rows = ["ab" * 32, "AB" * 32, "a" * 64 + "0", "", "x" * 31, "x" * 32, "x" * 33, "ä", None]
+    df = spark.createDataFrame([(r,) for r in rows], "hash string").select("hash", pool.packed(F.col("hash")).alias("data"))
+    got = df.select("hash", F.octet_length("data").alias("n"), pool.unpacked(F.col("data")).alias("back")).collect()
+    assert all(r.back == r.hash for r in got) and [r.hash for r in got if r.n == 32] == ["ab" * 32]
+
+
+def test_first_references_are_dealt_finely(spark):
+    files = spark.range(1000).select((F.col("id") % 3).alias("ws"), (F.col("id") % 7).alias("file"), "id", F.sha2((F.col("id") % 50).cast("string"), 256).alias("hash")).withColumnRenamed("id", "pos")
+    rows = pool.first_reference(files)
+    assert rows.rdd.getNumPartitions() == 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) and rows.count() == 150
+
+
+def test_chunks_are_opened_by_the_newest_key(spark):
+    """Sealed under an older generation, torn, and twice; the keys of a workspace do not make a row each."""
+    keys = spark.createDataFrame([("w", g, bytes([g]) * 32) for g in (1, 2, 3)], "ws string, generation int, key binary")
+    chunks = spark.createDataFrame([("w", b"a"), ("w", b"a"), ("w", b"b")], "ws string, data binary")
+    sealed = envelopes.seal_chunks(chunks, keys.where("generation < 3"))
+    torn = sealed.limit(1).select("ws", F.lit("0" * 64).alias("hash"), "data")
+    got = [r.data and bytes(r.data) for r in envelopes.open_chunks(sealed.unionByName(sealed).unionByName(torn), keys).collect()]
+    assert sorted(got, key=str) == sorted([None, b"a", b"b"], key=str)
+    plan = envelopes.open_chunks(sealed, keys)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan
+
+
+def test_frames_come_in_pieces():
+    frame = struct.pack("<I", 1) + b"0" * 64 + struct.pack("<Q", 100) + b"x" * 100
+    got = list(chunks.unframed_batches(iter([pd.DataFrame({"k": range(10), "frame": [frame] * 9 + [b"?"]})]), "k", 3 * len(frame)))
+    assert [len(g) for g in got] == [3, 3, 3, 1] and list(got[3]["error"]) == ["a frame has four bytes at least"]

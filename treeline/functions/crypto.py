@@ -21,9 +21,16 @@ def _xor(key: Column, byte: int) -> Column:
     return F.unhex(F.array_join(pairs, ""))
 
 
-def hmac_sha256(key: Column, data: Column) -> Column:
+def hmac_pads(key: Column) -> Column:
+    """What of a keyed digest depends on the key alone: outer and inner."""
     block = F.unhex(F.rpad(F.hex(F.when(F.octet_length(key) > 64, _sha(key)).otherwise(key)), 128, "0"))
-    return _sha(F.concat(_xor(block, 0x5C), _sha(F.concat(_xor(block, 0x36), data))))
+    return F.struct(_xor(block, 0x5C).alias("outer"), _xor(block, 0x36).alias("inner"))
+
+
+def hmac_sha256(key: Column, data: Column, pads: Column | None = None) -> Column:
+    """pads: hmac_pads of the key where they are known."""
+    pads = hmac_pads(key) if pads is None else pads
+    return _sha(F.concat(pads["outer"], _sha(F.concat(pads["inner"], data))))
 
 
 def hkdf_sha256(secret: Column, salt: Column, info: Column, blocks: int = 1) -> Column:
@@ -36,9 +43,9 @@ def hkdf_sha256(secret: Column, salt: Column, info: Column, blocks: int = 1) ->
     return out
 
 
-def encrypt_chunk(data: Column, key: Column) -> Column:
+def encrypt_chunk(data: Column, key: Column, pads: Column | None = None) -> Column:
     """Equal data under one key gives equal bytes: the nonce is the first 12 bytes of a keyed digest."""
-    return F.aes_encrypt(data, key, F.lit("GCM"), F.lit("DEFAULT"), F.substring(hmac_sha256(key, data), 1, 12))
+    return F.aes_encrypt(data, key, F.lit("GCM"), F.lit("DEFAULT"), F.substring(hmac_sha256(key, data, pads), 1, 12))
 
 
 def encrypt_blob(data: Column, key: Column) -> Column:

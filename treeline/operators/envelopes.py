@@ -38,18 +38,23 @@ def open_documents(stored: DataFrame, keys: DataFrame) -> DataFrame:
 
 def seal_chunks(chunks: DataFrame, keys: DataFrame) -> DataFrame:
     """chunks: ws, data. ws, hash, data: each under the newest generation, its address the digest of the ciphertext; equal
-    chunks of a workspace are one."""
+    chunks of a workspace are one, and are so before they are sealed. What a key brings to a nonce is worked out once a key."""
     newest = keys.groupBy("ws").agg(F.max(F.struct("generation", "key")).alias("k")).select("ws", "k.key")
-    rows = chunks.join(newest, "ws").select("ws", crypto.encrypt_chunk(F.col("data"), F.col("key")).alias("data"))
+    pads = newest.select("key").distinct().select(F.col("key").alias("_key"), crypto.hmac_pads(F.col("key")).alias("_pads"))
+    newest = newest.join(pads, F.col("key").eqNullSafe(F.col("_key")), "left").drop("_key")
+    rows = chunks.select("ws", "data").distinct().join(newest, "ws")
+    rows = rows.select("ws", crypto.encrypt_chunk(F.col("data"), F.col("key"), F.col("_pads")).alias("data"))
     return rows.withColumn("hash", F.sha2("data", 256)).dropDuplicates(["ws", "hash"]).select("ws", "hash", "data")
 
 
 def open_chunks(sealed: DataFrame, keys: DataFrame) -> DataFrame:
-    """ws, hash, data: ciphertexts that are their address's, by the newest generation that opens them; data is null else."""
-    rows = sealed.withColumn("good", F.sha2("data", 256) == F.col("hash")).join(keys, "ws", "left")
-    plain = F.when(F.col("good"), crypto.decrypt(F.col("data"), F.col("key")))
-    rows = rows.select("ws", "hash", "generation", plain.alias("plain"))
-    return rows.groupBy("ws", "hash").agg(F.max_by("plain", F.when(F.col("plain").isNotNull(), F.col("generation"))).alias("data"))
+    """ws, hash, data: ciphertexts that are their address's, by the newest generation that opens them; data is null else. The
+    keys of a workspace come as one row, newest first, and older ones are tried only where newer ones failed."""
+    ring = keys.groupBy("ws").agg(F.array_sort(F.collect_list(F.struct((-F.col("generation")).alias("g"), "key"))).alias("ring"))
+    good = F.sha2("data", 256) == F.col("hash")
+    rows = sealed.groupBy("ws", "hash").agg(F.max(F.when(good, F.col("data"))).alias("data")).join(ring, "ws", "left")
+    tried = F.expr("aggregate(ring, cast(null as binary), (found, k) -> coalesce(found, try_aes_decrypt(data, k.key, 'GCM')))")
+    return rows.select("ws", "hash", tried.alias("data"))
 
 
 def keyring(payload: Column) -> Column:

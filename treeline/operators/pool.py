@@ -19,9 +19,15 @@ def unpacked(data: Column) -> Column:
     return F.when(F.octet_length(data) == 32, F.lower(F.hex(data))).otherwise(F.decode(F.substring(data, 34, 2**31 - 1), "UTF-8"))
 
 
+def _finely(rows: DataFrame, *keys: str) -> DataFrame:
+    """Dealt by keys over four times the usual number of tasks: a grouping by nearly distinct keys holds a task's rows."""
+    return rows.repartition(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def first_reference(files: DataFrame) -> DataFrame:
     """Each hash of a workspace with the first place that needs it, in file order, then chunk order."""
-    return files.groupBy("ws", "hash").agg(F.min(F.struct("file", "pos")).alias("at")).select("ws", "hash", "at.file", "at.pos")
+    rows = _finely(files.select("ws", packed(F.col("hash")).alias("hash"), "file", "pos"), "ws", "hash")
+    return rows.groupBy("ws", "hash").agg(F.min(F.struct("file", "pos")).alias("at")).select("ws", unpacked(F.col("hash")).alias("hash"), "at.file", "at.pos")
 
 
 def dedup_stats(files: DataFrame, pool: DataFrame) -> DataFrame:
@@ -40,16 +46,18 @@ def visible(workspaces: DataFrame, members: DataFrame, refs: DataFrame) -> DataF
 def visible_of(asked: DataFrame, workspaces: DataFrame, members: DataFrame, refs: DataFrame) -> DataFrame:
     """The rows of visible that are asked for (user_name, hash), each once. Hashes are looked up by owner, and by each team of
     who asks; what a team sees is not made for each of its members."""
-    pairs = asked.select("user_name", "hash").distinct()
+    refs = refs.select("ws", packed(F.col("hash")).alias("hash"))
+    pairs = asked.select("user_name", packed(F.col("hash")).alias("hash")).distinct()
     own = refs.join(workspaces.select("ws", F.col("owner").alias("user_name")), "ws").select("user_name", "hash").distinct()
     seen = refs.join(workspaces.where("team is not null").select("ws", "team"), "ws").select("team", "hash").distinct()
     shared = pairs.join(members.select("team", "user_name").distinct(), "user_name").join(seen, ["team", "hash"], "left_semi")
-    return pairs.join(own, ["user_name", "hash"], "left_semi").unionByName(shared.select("user_name", "hash")).distinct()
+    return pairs.join(own, ["user_name", "hash"], "left_semi").unionByName(shared.select("user_name", "hash")).distinct().select("user_name", unpacked(F.col("hash")).alias("hash"))
 
 
 def visible_counts(workspaces: DataFrame, members: DataFrame, refs: DataFrame) -> DataFrame:
     """user_name, n, first_hash: how many rows visible has for each user, and the smallest hash. Users of the same teams see
     the same through these, which is counted once for all of them; a user's own workspaces add what the teams have not."""
+    refs, first = refs.select("ws", packed(F.col("hash")).alias("hash")), F.min(unpacked(F.col("hash"))).alias("first_hash")
     teams = members.where("team is not null").groupBy("user_name").agg(F.array_sort(F.collect_set("team")).alias("teams"))
     spaces = workspaces.where("team is not null").select("team", "ws").distinct()
     places = teams.select("teams").distinct().withColumn("team", F.explode("teams")).join(spaces, "team").select("ws", "teams").distinct()
@@ -59,9 +67,9 @@ def visible_counts(workspaces: DataFrame, members: DataFrame, refs: DataFrame) -
     own = own.join(teams.withColumnRenamed("user_name", "member"), F.col("user_name").eqNullSafe(F.col("member")), "left").select("teams", "hash", F.struct("user_name").alias("owner"))
     groups = shared.select("teams", "hash", F.lit(None).cast(own.schema["owner"].dataType).alias("owner")).unionByName(own).groupBy("teams", "hash")
     groups = groups.agg(F.max(F.col("owner").isNull()).alias("has"), F.collect_set("owner").alias("owners"))
-    total = groups.where("has").groupBy("teams").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("first_hash"))
+    total = groups.where("has").groupBy("teams").agg(F.count(F.lit(1)).alias("n"), first)
     more = groups.where("not has").select(F.explode("owners").alias("owner"), "hash").select("owner.user_name", "hash")
-    rows = teams.join(total, "teams").select("user_name", "n", "first_hash").unionByName(more.groupBy("user_name").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("first_hash")))
+    rows = teams.join(total, "teams").select("user_name", "n", "first_hash").unionByName(more.groupBy("user_name").agg(F.count(F.lit(1)).alias("n"), first))
     return rows.groupBy("user_name").agg(F.sum("n").alias("n"), F.min("first_hash").alias("first_hash"))
 
 
@@ -128,6 +136,7 @@ def assemble(files: DataFrame, pool: DataFrame) -> DataFrame:
 def locality(before: DataFrame, after: DataFrame) -> DataFrame:
     """How many entries differ between two multisets of hashes."""
     both = before.select("hash", F.lit(1).alias("n")).unionByName(after.select("hash", F.lit(-1).alias("n")))
+    both = _finely(both.select(packed(F.col("hash")).alias("hash"), "n"), "hash")
     return both.groupBy("hash").agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum(F.abs("n")), F.lit(0)).alias("changed"))
 
 

@@ -123,18 +123,25 @@ def unframe(frame: bytes) -> list[tuple[str, bytes]]:
     return out
 
 
+def unframed_batches(batches: Iterator[pd.DataFrame], key: str, piece: int = 2 << 20) -> Iterator[pd.DataFrame]:
+    """Chunks of frames, given after so many bytes of frames: as rows, small chunks take many times the bytes of a frame."""
+    shape = lambda out: pd.DataFrame(out, columns=[key, "idx", "hash", "data", "error"]).astype({"idx": "Int64"})
+    for batch in batches:
+        out, size = [], 0
+        for k, frame in zip(batch[key], batch["frame"], strict=True):
+            try:
+                out += [(k, i, name, data, None) for i, (name, data) in enumerate(unframe(bytes(frame)))]
+            except ValueError as e:
+                out.append((k, None, None, None, str(e)))
+            size += len(frame)
+            if size >= piece:
+                yield shape(out)
+                out, size = [], 0
+        yield shape(out)
+
+
 def unframed(frames: DataFrame, key: str) -> DataFrame:
     """frames: key, frame. A row for each chunk; a damaged frame gives one row with an error."""
     kind = frames.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for k, frame in zip(batch[key], batch["frame"], strict=True):
-                try:
-                    out += [(k, i, name, data, None) for i, (name, data) in enumerate(unframe(bytes(frame)))]
-                except ValueError as e:
-                    out.append((k, None, None, None, str(e)))
-            yield pd.DataFrame(out, columns=[key, "idx", "hash", "data", "error"]).astype({"idx": "Int64"})
-
-    return frames.select(key, "frame").mapInPandas(run, f"`{key}` {kind}, idx bigint, hash string, data binary, error string")
+    return frames.select(key, "frame").mapInPandas(lambda batches: unframed_batches(batches, key), f"`{key}` {kind}, idx bigint, hash string, data binary, error string")
