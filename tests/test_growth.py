@@ -138,3 +138,11 @@ def test_frames_come_in_pieces():
     frame = struct.pack("<I", 1) + b"0" * 64 + struct.pack("<Q", 100) + b"x" * 100
     got = list(chunks.unframed_batches(iter([pd.DataFrame({"k": range(10), "frame": [frame] * 9 + [b"?"]})]), "k", 3 * len(frame)))
     assert [len(g) for g in got] == [3, 3, 3, 1] and list(got[3]["error"]) == ["a frame has four bytes at least"]
+
+
+def test_stamps_as_in_the_sql(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"copy (select unnest([0, 11, 12, 2932943, 6672090, 6672091, 6672095, 8999999]) as o_orderkey) to '{tmp_path}/orders.parquet'")
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet'")
+    got = sorted((r.o_orderkey, r.stamp) for r in catalogue.QUERIES["conflict_stamp"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(f"select o_orderkey, stamp from ({catalogue.SQL['conflict_stamp']}) q").fetchall())
