@@ -142,7 +142,7 @@ def test_frames_come_in_pieces():
 
 def test_stamps_as_in_the_sql(spark, tmp_path):
     con = duckdb.connect()
-    con.execute(f"copy (select unnest([0, 11, 12, 2932943, 6672090, 6672091, 6672095, 8999999]) as o_orderkey) to '{tmp_path}/orders.parquet'")
+    con.execute(f"copy (select unnest([0, 11, 12, 2932943, 6672090, 6672091, 6672095, 8999999]::bigint[]) as o_orderkey) to '{tmp_path}/orders.parquet'")
     con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet'")
     got = sorted((r.o_orderkey, r.stamp) for r in catalogue.QUERIES["conflict_stamp"](spark, str(tmp_path)).collect())
     assert got == sorted(con.execute(f"select o_orderkey, stamp from ({catalogue.SQL['conflict_stamp']}) q").fetchall())
