@@ -1,5 +1,7 @@
 """What grows with the square of the input is not made, or not dealt: rows written to exchanges are counted."""
 
+import hashlib
+import json
 import struct
 
 import duckdb
@@ -11,7 +13,8 @@ from treeline.functions import scalars
 from treeline.operators import access, envelopes, pool
 from treeline.plans import adapters as A
 from treeline.plans import catalogue
-from treeline.sources import chunks
+from treeline.plans import cycles as cycle_plans
+from treeline.sources import chunks, collection
 from treeline.streaming import feeds
 
 SPACES, USERS = 2000, 600
@@ -116,6 +119,19 @@ def test_packed_digests(spark):
     assert all(r.back == r.hash for r in got) and [r.hash for r in got if r.n == 32] == ["ab" * 32]
 
 
+def test_stored_digests_are_packed(spark, tmp_path):
+    """What a collection writes down has 32 bytes a digest, and parts are named after their rows were dealt."""
+    h = [hashlib.sha256(bytes([k])).hexdigest() for k in range(3)]
+    text = json.dumps({"generation": 1, "ciphertext": "AA==", "hashes": h[:2]})
+    rows = spark.createDataFrame([(1, 1, text), (2, 1, text), (2, 2, "{")], "ws int, id int, stored string")
+    refs = spark.createDataFrame([(1, h[2]), (2, h[2]), (3, h[2])], "ws int, hash string")
+    delta, _, _ = collection.collect(refs, rows, refs.selectExpr("hash", "1 as length", "0 as mtime"), 100, 10, str(tmp_path / "rows"))
+    assert {tuple(r) for r in delta.collect()} == {(1, h[2], "delete"), (1, h[0], "add"), (1, h[1], "add")}
+    assert spark.read.parquet(str(tmp_path / "rows")).schema["hashes"].dataType.simpleString() == "array<binary>"
+    plan = cycle_plans._stored(catalogue.Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert "sha2" in plan and "sha2" not in plan[plan.index("Exchange") :] and plan.count("FileScan") == 2
+
+
 def test_first_references_are_dealt_finely(spark):
     files = spark.range(1000).select((F.col("id") % 3).alias("ws"), (F.col("id") % 7).alias("file"), "id", F.sha2((F.col("id") % 50).cast("string"), 256).alias("hash")).withColumnRenamed("id", "pos")
     rows = pool.first_reference(files)

@@ -154,24 +154,25 @@ def _live(rows: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def refs_delta(refs: DataFrame, kept: DataFrame, listed: DataFrame) -> DataFrame:
     """ws, hash, action: delete and add for listed workspaces, whose references become exactly the live ones."""
-    return _delta(refs, kept.select("ws", packed(F.col("hash")).alias("hash")), listed)
+    return delta_packed(refs, kept.select("ws", packed(F.col("hash")).alias("hash")), listed.select("ws").distinct().withColumn("good", F.lit(True)))
 
 
-def _delta(refs: DataFrame, kept: DataFrame, listed: DataFrame) -> DataFrame:
-    """refs_delta of packed live ones, which may repeat. Whether a workspace is listed is asked only of what differs."""
+def delta_packed(refs: DataFrame, kept: DataFrame, listed: DataFrame) -> DataFrame:
+    """refs_delta of packed live ones, which may repeat. listed: ws, good; of a workspace that is listed and not good nothing
+    changes. Whether a workspace is listed is asked only of what differs."""
     own = refs.select("ws", packed(F.col("hash")).alias("hash"), F.lit(1).alias("had"), F.lit(0).alias("has"))
     both = own.unionByName(kept.select("ws", "hash", F.lit(0).alias("had"), F.lit(1).alias("has"))).groupBy("ws", "hash").agg(F.max("had").alias("had"), F.max("has").alias("has"))
-    rows = both.where("had <> has").join(listed.select("ws").distinct().withColumn("listed", F.lit(True)), "ws", "left")
-    return rows.where("listed or has = 1").select("ws", unpacked(F.col("hash")).alias("hash"), F.when(F.col("had") == 1, "delete").otherwise("add").alias("action"))
+    rows = both.where("had <> has").join(listed, "ws", "left").where("good or (good is null and has = 1)")
+    return rows.select("ws", unpacked(F.col("hash")).alias("hash"), F.when(F.col("had") == 1, "delete").otherwise("add").alias("action"))
 
 
 def sweep(blobs: DataFrame, refs: DataFrame, now: int, grace: int) -> DataFrame:
     """blobs: hash (file name), mtime. Names to delete: digests without a reference anywhere that are older than the
     grace. Odd names and times to come stay."""
-    return _sweep(blobs, refs.select(packed(F.col("hash")).alias("hash")), now, grace)
+    return sweep_packed(blobs, refs.select(packed(F.col("hash")).alias("hash")), now, grace)
 
 
-def _sweep(blobs: DataFrame, refs: DataFrame, now: int, grace: int) -> DataFrame:
+def sweep_packed(blobs: DataFrame, refs: DataFrame, now: int, grace: int) -> DataFrame:
     """sweep under packed references."""
     old = blobs.where(P.is_chunk_hash(F.col("hash")) & (F.col("mtime") < now - grace)).withColumn("_hash", packed(F.col("hash")))
     return old.join(refs.select(F.col("hash").alias("_hash")).distinct(), "_hash", "left_anti").drop("_hash")
@@ -183,7 +184,7 @@ def gc(refs: DataFrame, rows: DataFrame, chunks: DataFrame, blobs: DataFrame, no
     kept = _live(rows, chunks)
     # listed workspaces refer to exactly what is live, the others to what they did
     after = refs.join(listed, "ws", "left_anti").select(packed(F.col("hash")).alias("hash")).unionByName(kept.select("hash"))
-    return _delta(refs, kept, listed), _sweep(blobs, after, now, grace)
+    return delta_packed(refs, kept, listed.withColumn("good", F.lit(True))), sweep_packed(blobs, after, now, grace)
 
 
 def stale_temporaries(names: DataFrame, now: int, age: int = 60) -> DataFrame:

@@ -20,13 +20,15 @@ def stored_chunks(rows: DataFrame) -> DataFrame:
 def collect(refs: DataFrame, rows: DataFrame, blobs: DataFrame, now: int, grace: int, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The change of references, the blobs to delete under the references after it, and the workspaces that were passed over.
 
-    Texts are read and parsed once, and what they name is written to folder, which must be new. A workspace with a row that
-    cannot be read keeps all its references; one without any row is not listed and keeps them too."""
-    stored_chunks(rows).select("ws", "hashes").write.parquet(folder)
+    Texts are read and parsed once, and what they name is written to folder, which must be new, with packed digests. A
+    workspace with a row that cannot be read keeps all its references; one without any row is not listed and keeps them too.
+    Repeats are dropped by the last grouping only."""
+    named = F.transform("hashes", pool.packed).alias("hashes")
+    stored_chunks(rows).select("ws", named).write.parquet(folder)
     parsed = refs.sparkSession.read.parquet(folder)
-    listed = parsed.groupBy("ws").agg(F.bool_and(F.col("hashes").isNotNull()).alias("ok"))
-    skipped = listed.where("not ok").select("ws")
-    kept = parsed.join(skipped, "ws", "left_anti").select("ws", F.explode("hashes").alias("hash")).distinct()
-    good = listed.where("ok").select("ws")
-    after = refs.join(good, "ws", "left_anti").select("hash").unionByName(kept.select("hash"))
-    return pool.refs_delta(refs, kept, good), pool.sweep(blobs, after, now, grace), skipped
+    listed = parsed.groupBy("ws").agg(F.bool_and(F.col("hashes").isNotNull()).alias("good"))
+    skipped, good = listed.where("not good").select("ws"), listed.where("good").select("ws")
+    delta = pool.delta_packed(refs, parsed.select("ws", F.explode("hashes").alias("hash")), listed)
+    kept = parsed.join(skipped, "ws", "left_anti").select(F.explode("hashes").alias("hash"))
+    after = refs.select("ws", pool.packed(F.col("hash")).alias("hash")).join(good, "ws", "left_anti").select("hash").unionByName(kept)
+    return delta, pool.sweep_packed(blobs, after, now, grace), skipped
