@@ -84,6 +84,19 @@ def test_convergence(spark):
     again = merging.decide(remote, remote, merged)
     assert merging.conflicts(again, "b", STAMP).count() == 0
     assert diffing.diff(merged, merging.merged_rows(again, merging.conflicts(again, "b", STAMP))).count() == 0
+    assert tuple(merging.unsettled(again).first()) == (0, 0)
+    for one, two, three in ((base, local, remote), (local, base, remote), (base, remote, local), (local, local, remote), (remote.limit(0), local, remote)):
+        decided = merging.decide(one, two, three)  # not settled: counted as by aligning again
+        lost = merging.conflicts(decided, "b", STAMP)
+        assert tuple(merging.unsettled(decided).first()) == (lost.count(), diffing.diff(three, merging.merged_rows(decided, lost)).count())
+    same = merging.decide(local.select("*"), local, remote)
+    assert same.exceptAll(merging.decide(local, local, remote)).isEmpty() and merging.decide(local, local, remote).exceptAll(same).isEmpty()
+
+
+def test_convergence_is_worked_out_once(spark):
+    """The first merge is written down, and the second aligns two sides, so few relations are read."""
+    df = catalogue.QUERIES["merge_convergence"](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 7 and tuple(df.first())[1:] == (0, 0)
 
 
 @pytest.mark.parametrize(("f", "good", "bad"), [
