@@ -36,3 +36,14 @@ def test_paths_stay_below_the_root(spark, tmp_path):
     one = hashlib.sha256(b"x").hexdigest()
     with pytest.raises(Exception, match="leaves the tree"):
         assembly.assemble_files(spark.createDataFrame([("../x", 0, one)], FILES), spark.createDataFrame([(one, bytearray(b"x"))], POOL), str(tmp_path / "root"))
+
+
+def test_places_are_written_down(spark, tmp_path):
+    """Where chunks lie is worked out once: the result reads it, with packed names of what is fetched only."""
+    one = hashlib.sha256(b"x").hexdigest()
+    files = spark.createDataFrame([("a", 0, one), ("a", 1, one), ("b", 0, one), ("b", 1, "odd"), ("c", 0, None)], FILES)
+    got = assembly.assemble_files(files, spark.createDataFrame([(one, bytearray(b"x"))] * 2, POOL), str(tmp_path))
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.path, r.complete, r.size, r.parts) for r in got.collect()} == {("a", True, 2, 2), ("b", False, None, 2), ("c", False, None, 1)}
+    placed = spark.read.parquet(*[str(p) for p in tmp_path.glob(".tmp-*/placed")])
+    assert sorted((r.path, r.offset, r.hash and bytes(r.hash).hex()) for r in placed.collect() if r.hash) == [("a", 0, one), ("a", 1, one)]

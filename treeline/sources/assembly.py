@@ -2,8 +2,9 @@
 
 Where each chunk of a file begins is a prefix sum of lengths. Chunks then go to tasks by ranges of (file, place), and each task
 writes its stretch into the file's temporary at that place; so a large file is written by many tasks, and a task holds a batch
-of chunks. A file is renamed to its name when all its bytes are there. A folder `.tmp-...` below root keeps two small
-tables, from which the result is read; `pool.stale_temporaries` names such. Needs a POSIX file system that all executors share."""
+of chunks. A file is renamed to its name when all its bytes are there. A folder `.tmp-...` below root keeps three
+tables, from which the result is read, one of them with a row for each chunk; `pool.stale_temporaries` names such. Needs a
+POSIX file system that all executors share."""
 
 from __future__ import annotations
 
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from treeline.operators.pool import packed
 from treeline.sources.store import _inside
 
 
@@ -38,14 +40,20 @@ def assemble_files(files: DataFrame, pool: DataFrame, root: str, batch: str = "1
     file are in order of pos. Writing again replaces a file as a whole."""
     spark, root = files.sparkSession, root.removeprefix("file://")
     work = os.path.join(root, f".tmp-{uuid.uuid4().hex}")
-    own = files.select("path", "pos", "hash")
-    sound = pool.select("hash", "data").join(own.select("hash").distinct(), "hash", "left_semi").where(F.sha2("data", 256) == F.col("hash")).dropDuplicates(["hash"])
+    own = files.select("path", "pos", packed(F.col("hash")).alias("hash"))
+    good = pool.select("hash", "data").where(F.sha2("data", 256) == F.col("hash")).withColumn("hash", packed(F.col("hash")))
+    lengths = good.select("hash", F.octet_length("data").cast("bigint").alias("length")).distinct()  # of equal digests, one
+    sound = good.dropDuplicates(["hash"])
     before = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("path")
-    # of lengths only: a row of some 100 bytes for each chunk of a file
-    placed = own.join(sound.select("hash", F.octet_length("data").cast("bigint").alias("length")), "hash", "left")
-    placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).withColumn("complete", F.count_if(F.col("length").isNull()).over(whole) == 0)
-    placed = placed.withColumn("size", F.sum("length").over(whole)).withColumn("parts", F.count(F.lit(1)).over(whole))
+    # of lengths only: a row of some 60 bytes for each chunk of a file
+    rows = own.join(lengths, "hash", "left")
+    rows = rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).withColumn("complete", F.count_if(F.col("length").isNull()).over(whole) == 0)
+    rows = rows.withColumn("size", F.sum("length").over(whole)).withColumn("parts", F.count(F.lit(1)).over(whole))
+    # three jobs ask where chunks lie: it is written down, with the names of those only that are fetched
+    at = f"file://{os.path.join(work, 'placed')}"
+    rows.withColumn("hash", F.when(F.col("complete") & (F.col("length") > 0), F.col("hash"))).drop("length").write.parquet(at)
+    placed = spark.read.schema(rows.drop("length").schema).parquet(at)
 
     def name(path: str) -> str:
         return os.path.join(work, hashlib.sha256(path.encode()).hexdigest())
@@ -86,15 +94,15 @@ def assemble_files(files: DataFrame, pool: DataFrame, root: str, batch: str = "1
                     digests.append(hashlib.file_digest(f, "sha256").hexdigest())
             yield pa.RecordBatch.from_arrays([*rows.columns[:4], pa.array(digests, pa.string())], names=["path", "complete", "size", "parts", "sha256"])
 
-    ready = placed.where("complete and length > 0").join(sound, "hash").select("path", "pos", "offset", "data")
+    ready = placed.where("hash is not null").join(sound, "hash").select("path", "pos", "offset", "data")
     ready = ready.repartitionByRange("path", "pos").sortWithinPartitions("path", "pos").select("path", "offset", "data")
     summary = os.path.join(work, "summary")
     with _small_batches(spark, batch):
         ready.mapInArrow(write, "path string, written bigint").write.parquet(f"file://{summary}")
     sums = spark.read.schema("path string, written bigint").parquet(f"file://{summary}").groupBy("path").agg(F.sum("written").alias("written"))
     one = placed.groupBy("path").agg(F.first("complete").alias("complete"), F.first("size").alias("size"), F.first("parts").alias("parts"))
-    good = one.where("complete and size > 0").join(sums, "path").select("path", "complete", "size", "parts", "written")
+    ready = one.where("complete and size > 0").join(sums, "path").select("path", "complete", "size", "parts", "written")
     out = os.path.join(work, "out")
-    good.mapInArrow(publish, "path string, complete boolean, size bigint, parts bigint, sha256 string").write.parquet(f"file://{out}")
+    ready.mapInArrow(publish, "path string, complete boolean, size bigint, parts bigint, sha256 string").write.parquet(f"file://{out}")
     rest = one.where("not (complete and size > 0)").select("path", "complete", F.when(F.col("complete"), F.col("size")).alias("size"), "parts", F.lit(None).cast("string").alias("sha256"))
     return spark.read.schema("path string, complete boolean, size bigint, parts bigint, sha256 string").parquet(f"file://{out}").unionByName(rest)
