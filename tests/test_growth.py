@@ -184,3 +184,11 @@ def test_blocks_of_users(spark, monkeypatch):
     got = access.expanded(*frames, "scope", "less").select("ws", "user_name", "n").collect()
     want = [(w, u, n) for w, s, less in spaces for t, u, n in users if s is not None and s == t and (u,) not in (less or [])]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_pairs_keep_their_order(spark):
+    """Blocks come one after the other: the sort before the join is not left out."""
+    spaces = spark.range(300).select(F.col("id").alias("ws"), F.lit(1).alias("scope"))
+    users = spark.range(2000).select(F.lit(1).alias("scope"), F.col("id").cast("string").alias("user_name"))
+    parts = access.expanded(spaces, users, "scope").select("ws", "user_name").rdd.mapPartitions(lambda rows: [sum(a != b for a, b in zip(ws, ws[1:])) + 1 for ws in [[r.ws for r in rows]]]).collect()
+    assert sum(parts) >= 300 * 4 - len(parts)  # a workspace comes once a block, not once with all its users
