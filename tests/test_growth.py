@@ -192,3 +192,26 @@ def test_pairs_keep_their_order(spark):
     users = spark.range(2000).select(F.lit(1).alias("scope"), F.col("id").cast("string").alias("user_name"))
     parts = access.expanded(spaces, users, "scope").select("ws", "user_name").rdd.mapPartitions(lambda rows: [sum(a != b for a, b in zip(ws, ws[1:])) + 1 for ws in [[r.ws for r in rows]]]).collect()
     assert sum(parts) >= 300 * 4 - len(parts)  # a workspace comes once a block, not once with all its users
+
+
+def test_missing_is_dealt_by_numbers(spark):
+    """Asked chunks are named after they were dealt; rows are dealt for calls only where one ends in a cell."""
+    plan = catalogue.QUERIES["chunks_missing"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "sha2" not in plan[plan.index("Exchange") :]
+    asked = spark.range(20_000).select(F.lit("a").alias("user_name"), F.col("id").alias("ord"), F.col("id").alias("hash"))
+    calls = pool.calls(asked, most=5000, cell=300)
+    rows, moved = dealt(spark, calls)
+    assert rows == 20_000 and moved < 5000
+    assert sorted(tuple(r) for r in calls.groupBy("call").count().collect()) == [(k, 5000) for k in range(4)]
+    few, none = asked.limit(0).select("user_name", "hash"), spark.createDataFrame([], "hash bigint")
+    assert pool.missing(calls, none, few, most=5000).count() == 20_000
+    with pytest.raises(Exception, match="too many hashes"):
+        pool.missing(calls, none, few, most=4999).count()
+
+
+def test_visible_by_numbers(spark):
+    spaces = spark.createDataFrame([(1, 1, "a"), (2, 2, "z"), (2, 1, "z"), (3, None, "b")], "ws int, team int, owner string")
+    members = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "a")], "team int, user_name string")
+    refs = spark.createDataFrame([(1, 10), (2, 20), (2, 20), (3, 30), (4, 40)], "ws int, hash bigint")
+    asked = spark.createDataFrame([(u, h) for u in ("a", "b", "c", None) for h in (10, 20, 30, 40, None)] * 2, "user_name string, hash bigint")
+    assert sorted(tuple(r) for r in pool.visible_of(asked, spaces, members, refs).collect()) == [("a", 10), ("a", 20), ("b", 20), ("b", 30)]

@@ -19,6 +19,11 @@ def unpacked(data: Column) -> Column:
     return F.when(F.octet_length(data) == 32, F.lower(F.hex(data))).otherwise(F.decode(F.substring(data, 34, 2**31 - 1), "UTF-8"))
 
 
+def _short(rows: DataFrame) -> DataFrame:
+    """hash as it is dealt: a digest's text packed, another name (the number of what has the digest) as it is."""
+    return rows.withColumn("hash", packed(F.col("hash"))) if rows.schema["hash"].dataType.typeName() == "string" else rows
+
+
 def _finely(rows: DataFrame, *keys: str) -> DataFrame:
     """Dealt by keys over four times the usual number of tasks: a grouping by nearly distinct keys holds a task's rows."""
     return rows.repartition(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
@@ -45,13 +50,21 @@ def visible(workspaces: DataFrame, members: DataFrame, refs: DataFrame) -> DataF
 
 def visible_of(asked: DataFrame, workspaces: DataFrame, members: DataFrame, refs: DataFrame) -> DataFrame:
     """The rows of visible that are asked for (user_name, hash), each once. Hashes are looked up by owner, and by each team of
-    who asks; what a team sees is not made for each of its members."""
-    refs = refs.select("ws", packed(F.col("hash")).alias("hash"))
-    pairs = asked.select("user_name", packed(F.col("hash")).alias("hash")).distinct()
-    own = refs.join(workspaces.select("ws", F.col("owner").alias("user_name")), "ws").select("user_name", "hash").distinct()
-    seen = refs.join(workspaces.where("team is not null").select("ws", "team"), "ws").select("team", "hash").distinct()
-    shared = pairs.join(members.select("team", "user_name").distinct(), "user_name").join(seen, ["team", "hash"], "left_semi")
-    return pairs.join(own, ["user_name", "hash"], "left_semi").unionByName(shared.select("user_name", "hash")).distinct().select("user_name", unpacked(F.col("hash")).alias("hash"))
+    who asks; what a team sees is not made for each of its members. refs are read once: what nobody who asks can see is left
+    out, and repeats are dropped, with owners and teams in one table."""
+    text, pairs = asked.schema["hash"].dataType.typeName() == "string", _short(asked.select("user_name", "hash")).distinct()
+    users = asked.where("user_name is not null").select("user_name").distinct()
+    theirs = members.where("team is not null").select("team", "user_name").distinct().join(users, "user_name", "left_semi")
+    no_user, no_team = (F.lit(None).cast(x.schema[c].dataType) for x, c in ((asked, "user_name"), (members, "team")))
+    own = workspaces.join(users.withColumnRenamed("user_name", "owner"), "owner", "left_semi").select("ws", F.col("owner").alias("user"), no_team.alias("team"))
+    shared = workspaces.join(theirs.select("team").distinct(), "team", "left_semi").select("ws", no_user.alias("user"), "team")
+    spaces = own.unionByName(shared).groupBy("ws").agg(F.collect_set(F.struct("user", "team")).alias("sees"))
+    seen = _short(refs.select("ws", "hash")).join(spaces, "ws").select(F.explode("sees").alias("s"), "hash").select("s.user", "s.team", "hash").distinct()
+    # who asks stands for themselves and for each of their teams
+    who = users.select("user_name", F.col("user_name").alias("user"), no_team.alias("team"))
+    who = who.unionByName(theirs.select("user_name", no_user.alias("user"), "team"))
+    found = pairs.join(who, "user_name").join(seen.withColumnsRenamed({"user": "u", "team": "t", "hash": "h"}), F.col("user").eqNullSafe(F.col("u")) & F.col("team").eqNullSafe(F.col("t")) & (F.col("hash") == F.col("h")), "left_semi")
+    return found.select("user_name", "hash").distinct().select("user_name", (unpacked(F.col("hash")) if text else F.col("hash")).alias("hash"))
 
 
 def visible_counts(workspaces: DataFrame, members: DataFrame, refs: DataFrame) -> DataFrame:
@@ -75,24 +88,27 @@ def visible_counts(workspaces: DataFrame, members: DataFrame, refs: DataFrame) -
 
 def calls(asked: DataFrame, most: int = 50_000, cell: int = 10_000) -> DataFrame:
     """asked: user_name, ord, ... Adds call: each user's list in order, split after every `most` rows. Places are counted
-    by cells of a user's range of ord, then inside the cell, so that a long list is not one task's."""
+    by cells of a user's range of ord, and inside a cell only where a call ends in it, so that a long list is not one task's
+    and few rows are dealt."""
     ends = asked.groupBy("user_name").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.ceil(F.count(F.lit(1)) / cell).alias("cells"))
     ends = ends.withColumnRenamed("user_name", "user")
     rows = asked.join(F.broadcast(ends), F.col("user_name").eqNullSafe(F.col("user")))
     rows = rows.withColumn("cell", F.floor((F.col("ord") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1) * F.col("cells")))
     before = Window.partitionBy("user").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("user", F.col("cell").alias("at")).agg(F.count(F.lit(1)).alias("n"))
-    sums = sums.select(F.col("user").alias("whose"), "at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("user", "cell").orderBy("ord")) - 1)
+    sums = sums.select(F.col("user").alias("whose"), "at", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    sums = sums.select("whose", "at", "base", F.floor(F.col("base") / most).alias("call"), (F.floor(F.col("base") / most) < F.floor((F.col("base") + F.col("n") - 1) / most)).alias("split"))
     rows = rows.join(F.broadcast(sums), F.col("user").eqNullSafe(F.col("whose")) & (F.col("cell") == F.col("at")))
-    return rows.select(*asked.columns, F.floor((F.col("base") + F.col("place")) / most).alias("call"))
+    place = F.row_number().over(Window.partitionBy("user", "cell").orderBy("ord")) - 1
+    split = rows.where("split").withColumn("call", F.floor((F.col("base") + place) / most))
+    return rows.where("not split").unionByName(split).select(*asked.columns, "call")
 
 
 def missing(asked: DataFrame, pool: DataFrame, seen: DataFrame, admin: bool = False, most: int = 50_000) -> DataFrame:
     """asked: user_name, ord, hash, call (see calls). What is not both in the pool and visible, duplicates and order kept.
-    Calls of over `most` hashes fail."""
-    size = F.count(F.lit(1)).over(Window.partitionBy("user_name", "call"))
-    rows = asked.withColumn("n", size).where(F.when(F.col("n") > most, F.raise_error(F.lit("too many hashes")).cast("boolean")).otherwise(True))
+    Calls of over `most` hashes fail; they are counted beside the rows, which are not dealt for it."""
+    worst = asked.groupBy("user_name", "call").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"))
+    rows = asked.join(F.broadcast(worst)).where(F.when(F.col("n") > most, F.raise_error(F.lit("too many hashes")).cast("boolean")).otherwise(True))
     stored = pool.select("hash").distinct()
     if admin:
         return rows.join(stored, "hash", "left_anti").select("user_name", "ord", "hash")
