@@ -47,3 +47,20 @@ def test_places_are_written_down(spark, tmp_path):
     assert {(r.path, r.complete, r.size, r.parts) for r in got.collect()} == {("a", True, 2, 2), ("b", False, None, 2), ("c", False, None, 1)}
     placed = spark.read.parquet(*[str(p) for p in tmp_path.glob(".tmp-*/placed")])
     assert sorted((r.path, r.offset, r.hash and bytes(r.hash).hex()) for r in placed.collect() if r.hash) == [("a", 0, one), ("a", 1, one)]
+
+
+def test_file_work_is_spread(spark, tmp_path):
+    """Small files are few bytes and much work: tasks are not made fewer for it, and leave no empty folders. Paths are checked
+    however often their folder came before."""
+    data = [bytes([k]) * 3 for k in range(50)]
+    names = [hashlib.sha256(d).hexdigest() for d in data]
+    files = spark.createDataFrame([(f"d{k % 20}/f{k}", pos, names[(k + pos) % 50]) for k in range(400) for pos in range(2)], FILES)
+    pool = spark.createDataFrame([(n, bytearray(d)) for n, d in zip(names, data, strict=True)], POOL)
+    got = {r.path: r.sha256 for r in assembly.assemble_files(files, pool, str(tmp_path)).collect()}
+    assert got == {f"d{k % 20}/f{k}": hashlib.sha256(data[k % 50] + data[(k + 1) % 50]).hexdigest() for k in range(400)}
+    for table in ("summary", "out"):
+        assert len(list(tmp_path.glob(f".tmp-*/{table}/part-*.parquet"))) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(p.name for p in next(iter(tmp_path.glob(".tmp-*"))).iterdir()) == ["out", "placed", "summary"]
+    for bad in ("d1//x", "/x", "./x", "d1/../x"):
+        with pytest.raises(Exception, match="leaves the tree"):
+            assembly.assemble_files(spark.createDataFrame([("d1/a", 0, names[0]), (bad, 0, names[0])], FILES), pool, str(tmp_path))

@@ -9,6 +9,7 @@ POSIX file system that all executors share."""
 from __future__ import annotations
 
 import contextlib
+import functools
 import hashlib
 import os
 import uuid
@@ -56,10 +57,12 @@ def assemble_files(files: DataFrame, pool: DataFrame, root: str, batch: str = "1
     placed = spark.read.schema(rows.drop("length").schema).parquet(at)
 
     def name(path: str) -> str:
-        return os.path.join(work, hashlib.sha256(path.encode()).hexdigest())
+        digest = hashlib.sha256(path.encode()).hexdigest()
+        return os.path.join(work, digest[:2], digest)  # tasks wait for each other where they all make files in one folder
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(work, exist_ok=True)
+        for k in range(256):
+            os.makedirs(os.path.join(work, f"{k:02x}"), exist_ok=True)
         at, f = None, None
         try:
             for rows in batches:
@@ -67,7 +70,6 @@ def assemble_files(files: DataFrame, pool: DataFrame, root: str, batch: str = "1
                 for path, offset, data in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2), strict=True):
                     if path != at:
                         if f is not None:
-                            os.fsync(f)
                             os.close(f)
                         at, f = path, os.open(name(path), os.O_WRONLY | os.O_CREAT, 0o644)
                     view, lo = memoryview(data.as_buffer()), 0
@@ -77,25 +79,32 @@ def assemble_files(files: DataFrame, pool: DataFrame, root: str, batch: str = "1
                 yield pa.RecordBatch.from_arrays([pa.array(done.keys(), pa.string()), pa.array(done.values(), pa.int64())], names=["path", "written"])
         finally:
             if f is not None:
-                os.fsync(f)
                 os.close(f)
+        os.sync()  # once for all files of the task, none of which has its name before all tasks have ended
 
     def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @functools.lru_cache(maxsize=4096)
+        def made(folder: str) -> None:
+            """A checked folder, once for the files in it that follow."""
+            os.makedirs(os.path.dirname(_inside(root, folder + "_")), exist_ok=True)
+
         for rows in batches:
             digests = []
             for path, size, written in zip(*(rows.column(k).to_pylist() for k in (0, 2, 4)), strict=True):
-                source, target = name(path), _inside(root, path)
+                source, target = name(path), os.path.join(root, path)
                 if written != size:
                     raise OSError(f"{path}: {written} of {size} bytes")
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                if os.path.exists(source):  # else an attempt of this task before has renamed it
+                made("".join(path.rpartition("/")[:2]))
+                with contextlib.suppress(FileNotFoundError):  # an attempt of this task before has renamed it
                     os.replace(source, target)
                 with open(target, "rb") as f:
                     digests.append(hashlib.file_digest(f, "sha256").hexdigest())
             yield pa.RecordBatch.from_arrays([*rows.columns[:4], pa.array(digests, pa.string())], names=["path", "complete", "size", "parts", "sha256"])
 
     ready = placed.where("hash is not null").join(sound, "hash").select("path", "pos", "offset", "data")
-    ready = ready.repartitionByRange("path", "pos").sortWithinPartitions("path", "pos").select("path", "offset", "data")
+    # files take the time, not bytes: tasks of a number that is not made smaller for few bytes
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ready = ready.repartitionByRange(tasks, "path", "pos").sortWithinPartitions("path", "pos").select("path", "offset", "data")
     summary = os.path.join(work, "summary")
     with _small_batches(spark, batch):
         ready.mapInArrow(write, "path string, written bigint").write.parquet(f"file://{summary}")
@@ -103,6 +112,9 @@ def assemble_files(files: DataFrame, pool: DataFrame, root: str, batch: str = "1
     one = placed.groupBy("path").agg(F.first("complete").alias("complete"), F.first("size").alias("size"), F.first("parts").alias("parts"))
     ready = one.where("complete and size > 0").join(sums, "path").select("path", "complete", "size", "parts", "written")
     out = os.path.join(work, "out")
-    ready.mapInArrow(publish, "path string, complete boolean, size bigint, parts bigint, sha256 string").write.parquet(f"file://{out}")
+    ready.repartitionByRange(tasks, "path").sortWithinPartitions("path").mapInArrow(publish, "path string, complete boolean, size bigint, parts bigint, sha256 string").write.parquet(f"file://{out}")
+    for k in range(256):
+        with contextlib.suppress(OSError):  # what a failed attempt left in one stays
+            os.rmdir(os.path.join(work, f"{k:02x}"))
     rest = one.where("not (complete and size > 0)").select("path", "complete", F.when(F.col("complete"), F.col("size")).alias("size"), "parts", F.lit(None).cast("string").alias("sha256"))
     return spark.read.schema("path string, complete boolean, size bigint, parts bigint, sha256 string").parquet(f"file://{out}").unionByName(rest)
